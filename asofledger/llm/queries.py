@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, pieces, simhash
+from . import exact, htmltext, licenses, mixing, pieces, quality, secrets, simhash, toolcalls, toxicity
 from .common import table
 
 
@@ -21,19 +21,47 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(table(spark, sf_dir, "documents"))
+
+
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.summary(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.verdicts(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs.select("doc_id", "text", "source")).select("doc_id", "source", "mix_pass")
+
+
+def op6_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toolcalls.format_calls(table(spark, sf_dir, "conversations"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+    return made.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = simhash.near_classes(table(spark, sf_dir, "documents"))
     return made.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.assess(table(spark, sf_dir, "documents"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_sentencepiece": op1_sentencepiece,
-    "op4_exact_dedup": op4_exact_dedup,
-    "op8_simhash": op8_simhash,
+    f.__name__: f for f in (op1_sentencepiece, op2_secrets, op3_licenses, op4_exact_dedup, op5_mixing, op6_toolcalls, op7_toxicity, op8_simhash, op9_quality, op10_html)
 }
 
 SQL: dict[str, str] = {
