@@ -56,7 +56,7 @@ def read_permissive(spark: SparkSession, path: str, required: list[str] = SOURCE
     """All columns as text, plus malformed: whether the row's width differs from the header's. Extra columns stay."""
     report = inspect_csv(spark, path, required)
     schema = T.StructType([*[T.StructField(c, T.StringType()) for c in report.columns], T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.csv(path, schema=schema, header=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True, emptyValue="", nullValue="\x00", columnPruning=False)  # pruned rows would hide their width
+    rows = spark.read.option("columnPruning", False).csv(path, schema=schema, header=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True, emptyValue="", nullValue="\x00")  # pruned rows would hide their width
     return rows.withColumn("malformed", F.col("_corrupt").isNotNull()).drop("_corrupt")
 
 
