@@ -49,11 +49,10 @@ def features_by_range(rows: DataFrame, keep: list[str], exact: bool = False) ->
     return _with_mean(made.where(is_transfer()).drop("first_seen"), exact)
 
 
-def _rollup(events: DataFrame, first_seen: DataFrame, entity: str, amounts: bool) -> DataFrame:
+def _rollup(moves: DataFrame, first_seen: DataFrame, entity: str, amounts: bool) -> DataFrame:
     """One row per (entity, step) with what the entity did before that step."""
     zero = F.lit(0).cast("long")
-    own = [F.count("*").alias("n"), F.sum(is_transfer().cast("long")).alias("transfers"), F.sum("amount").alias("total"), F.max("amount").alias("most")]
-    steps = events.groupBy(entity, "step").agg(*own).withColumn("fresh", zero)
+    steps = moves.groupBy(entity, "step").agg(F.sum("n").alias("n"), F.sum("transfers").alias("transfers"), F.sum("total").alias("total"), F.max("most").alias("most")).withColumn("fresh", zero)
     firsts = first_seen.groupBy(entity, "step").agg(F.count("*").alias("fresh"))
     firsts = firsts.select(entity, "step", zero.alias("n"), zero.alias("transfers"), F.lit(None).cast(steps.schema["total"].dataType).alias("total"), F.lit(None).cast(steps.schema["most"].dataType).alias("most"), "fresh")
     merged = steps.unionByName(firsts).groupBy(entity, "step").agg(*[F.sum(c).alias(c) for c in ("n", "transfers", "total", "fresh")], F.max("most").alias("most"))
@@ -65,16 +64,17 @@ def _rollup(events: DataFrame, first_seen: DataFrame, entity: str, amounts: bool
 def features_by_rollup(rows: DataFrame, keep: list[str], exact: bool = False) -> DataFrame:
     """The same features from rollups by (entity, step).
 
-    Rows are summed map-side before the first shuffle and windows run over at most one row per entity and step, so an entity that has a third of all rows is as
+    Rows are summed map-side to one per pair and step, once for all rollups (Spark reuses that exchange), and windows run over at most one row per entity and step, so an entity that has a third of all rows is as
     cheap as any other; TRANSFER rows meet their rollups in equi-joins that AQE can split.
     """
     events = behavioural(rows, keep)
-    first_seen = events.groupBy("initiator_id", "recipient_id").agg(F.min("step").alias("step"))
-    sent = _rollup(events, first_seen, "initiator_id", True).select(
+    moves = events.groupBy("initiator_id", "recipient_id", "step").agg(F.count("*").alias("n"), F.sum(is_transfer().cast("long")).alias("transfers"), F.sum("amount").alias("total"), F.max("amount").alias("most"))
+    first_seen = moves.groupBy("initiator_id", "recipient_id").agg(F.min("step").alias("step"))
+    sent = _rollup(moves, first_seen, "initiator_id", True).select(
         "initiator_id", "step", F.col("prior_n").alias("initiator_prior_outgoing_count"), F.col("prior_transfers").alias("initiator_prior_outgoing_transfer_count"), F.col("prior_total").alias("initiator_prior_outgoing_amount_total"),
         F.col("prior_most").alias("initiator_prior_outgoing_amount_max"), F.col("prior_fresh").alias("initiator_prior_distinct_recipient_count"),
     )
-    got = _rollup(events, first_seen, "recipient_id", False).select("recipient_id", "step", F.col("prior_n").alias("recipient_prior_incoming_count"), F.col("prior_fresh").alias("recipient_prior_distinct_initiator_count"))
+    got = _rollup(moves, first_seen, "recipient_id", False).select("recipient_id", "step", F.col("prior_n").alias("recipient_prior_incoming_count"), F.col("prior_fresh").alias("recipient_prior_distinct_initiator_count"))
     made = events.where(is_transfer()).join(sent, ["initiator_id", "step"]).join(got, ["recipient_id", "step"])
     return _with_mean(made, exact)
 

@@ -70,11 +70,11 @@ def _all_fit() -> Column:
 def canonical(rows: DataFrame, artifact_sha256: str) -> DataFrame:
     """Typed rows of valid text rows, with deterministic ids and the source's spelling of money as *_literal."""
     sha = F.lit(artifact_sha256)
-    money = lambda c: F.col(c).cast(MONEY)
+    money = lambda c: F.col(c).try_cast(MONEY)  # noqa: E731  (rows were validated; a plain cast could be evaluated on lines that a filter drops)
     made = rows.select(
-        transaction_id(sha, F.col("source_row_number")).alias("transaction_id"), uuid5(sha).alias("artifact_id"), F.col("source_row_number").cast("long").alias("source_row_number"), F.col("step").cast("int").alias("step"), F.col("transactionType").alias("transaction_type"), money("amount").alias("amount"),
+        transaction_id(sha, F.col("source_row_number")).alias("transaction_id"), uuid5(sha).alias("artifact_id"), F.col("source_row_number").cast("long").alias("source_row_number"), F.col("step").try_cast("int").alias("step"), F.col("transactionType").alias("transaction_type"), money("amount").alias("amount"),
         F.col("initiator").alias("initiator_id"), money("oldBalInitiator").alias("initiator_balance_before"), money("newBalInitiator").alias("initiator_balance_after"),
-        F.col("recipient").alias("recipient_id"), money("oldBalRecipient").alias("recipient_balance_before"), money("newBalRecipient").alias("recipient_balance_after"), F.col("isFraud").cast("int").alias("is_fraud"),
+        F.col("recipient").alias("recipient_id"), money("oldBalRecipient").alias("recipient_balance_before"), money("newBalRecipient").alias("recipient_balance_after"), F.col("isFraud").try_cast("int").alias("is_fraud"),
         *[F.col(c).alias(f"{c}_literal") for c in MONEY_COLUMNS],
     )
     return made.select(*[F.col(f.name).alias(f.name, metadata=f.metadata) for f in CANONICAL_SCHEMA.fields], *[f"{c}_literal" for c in MONEY_COLUMNS])

@@ -72,8 +72,8 @@ def read_text(spark: SparkSession, path: str) -> str:
     return "\n".join(r[0] for r in spark.read.text(path).collect())
 
 
-def stable_json(value) -> str:
-    return json.dumps(value, sort_keys=True, indent=2, allow_nan=False, ensure_ascii=False) + "\n"
+def stable_json(value, default: Callable | None = None) -> str:
+    return json.dumps(value, sort_keys=True, indent=2, allow_nan=False, ensure_ascii=False, default=default) + "\n"
 
 
 def source_rows(rows: DataFrame) -> DataFrame:

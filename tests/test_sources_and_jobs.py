@@ -195,3 +195,25 @@ def test_stream_equals_batch_and_refuses_regressions(spark, tmp_path):
     df.where("hour(ts) < 2").write.mode("append").parquet(str(tmp_path / "in"))
     with pytest.raises(Exception, match="chronological regression"):
         run()
+
+
+def test_commands_reports_and_store(spark, tmp_path, capsys):
+    from asofledger.__main__ import main
+    from asofledger.operators import features
+    from asofledger.plans import store
+
+    source = write(tmp_path / "in.csv", [HEADER, *ROWS])
+    at = lambda name: str(tmp_path / name)
+    assert main(["canonical", source, at("c")]) == 0 and main(["audit", source, at("audit.json")]) == 0 and main(["contract", source, at("contract.json")]) == 0 and main(["features", at("c"), at("features.json")]) == 0
+    assert main(["canonical", source, at("c")]) == 1 and capsys.readouterr().err.startswith("FileExistsError: ")
+    audited, known, made = (json.loads((tmp_path / f"{n}.json").read_text()) for n in ("audit", "contract", "features"))
+    assert audited["rows"][0]["n_rows"] == 6 and audited["out_of_order"] == 0 and {r["transaction_type"]: r["n_rows"] for r in known["populations"]} == {"ALL": 6, "TRANSFER": 4, "PAYMENT": 2}
+    assert made["features"]["rows"] == 4 and made["state"] == {"initiators": 2, "recipients": 3, "pairs": 3} and all(r["n_broken"] == 0 for r in made["broken"])
+    rows = spark.read.parquet(at("c/canonical"))
+    features_ = features.features_by_rollup(rows, ["transaction_id", "initiator_balance_before", "recipient_balance_before"])
+    spark.sql("DROP DATABASE IF EXISTS ledger_test CASCADE")
+    store.store(spark, "ledger_test", rows, features_)
+    assert spark.table("ledger_test.enhanced_predictors").count() == 4 and "is_fraud" not in spark.table("ledger_test.core_predictors").columns
+    with pytest.raises(integrity.IntegrityError):
+        store.store(spark, "ledger_test", rows, features_)
+    spark.sql("DROP DATABASE ledger_test CASCADE")
