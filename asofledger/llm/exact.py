@@ -127,8 +127,8 @@ def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut:
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df without the rows whose text equals that of a row with a smaller id, and without repeats of a row's id and text."""
-    digest = free_name(df, "__digest")
+    digest, own, sha = (free_name(df, n) for n in ("__digest", "__own", "__sha"))
     marked = df.withColumn(digest, text_digest(clean_text(f"`{text_col}`")))
-    stay = verdicts(df, id_col, text_col).where("kept").select(F.col(f"`{id_col}`").alias("__id"), F.unhex("text_sha256").alias("__sha")).distinct()
-    same = (F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id"))) & (F.col(digest) == F.col("__sha"))
-    return marked.join(stay, same).drop("__id", "__sha").dropDuplicates([id_col, digest]).select(*[f"`{c}`" for c in df.columns])
+    stay = verdicts(df, id_col, text_col).where("kept").select(F.col(f"`{id_col}`").alias(own), F.unhex("text_sha256").alias(sha)).distinct()
+    same = (F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own))) & (F.col(digest) == F.col(sha))
+    return marked.join(stay, same).drop(own, sha).dropDuplicates([id_col, digest]).select(*[f"`{c}`" for c in df.columns])

@@ -98,9 +98,9 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", pass_col: str = "mix_pass", **targets) -> DataFrame:
     """docs with each row as often as its source's quota says, and pass_col, 1 for a row's first copy. targets: those of plan()."""
-    made = plan(docs, id_col, text_col, source_col, **targets).select(F.col("source").alias("__source"), "passes", "last_place")
-    own = free_name(docs, "__place")
-    placed = docs.withColumn(own, place(id_col)).join(made, F.col(f"`{source_col}`").eqNullSafe(F.col("__source")))
-    copies = (F.col("passes") + (F.col(own) <= F.col("last_place")).cast("long")).cast("int")
+    own, name, passes, last = (free_name(docs, n) for n in ("__place", "__source", "__passes", "__last"))
+    made = plan(docs, id_col, text_col, source_col, **targets).select(F.col("source").alias(name), F.col("passes").alias(passes), F.col("last_place").alias(last))
+    placed = docs.withColumn(own, place(id_col)).join(made, F.col(f"`{source_col}`").eqNullSafe(F.col(name)))
+    copies = (F.col(passes) + (F.col(own) <= F.col(last)).cast("long")).cast("int")
     cols = [F.col(f"`{c}`") for c in docs.columns if c.lower() != pass_col.lower()]
     return placed.where(copies > 0).select(*cols, F.explode(F.sequence(F.lit(1), copies)).alias(pass_col))

@@ -70,4 +70,22 @@ SQL: dict[str, str] = {
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER w AS kept, text_sha256
         FROM t WINDOW w AS (PARTITION BY text_sha256)""",
+    "op5_mixing": r"""
+        WITH d AS (SELECT doc_id, source, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS place,
+                          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n FROM documents),
+        t AS (SELECT source, CAST(sum(n) AS DOUBLE) AS n FROM d GROUP BY source),
+        e AS (SELECT CASE WHEN max(n) / min(n) <= 2 THEN 0.0 ELSE 1 - ln(2) / ln(max(n) / min(n)) END AS a FROM t WHERE n > 0),
+        w AS (SELECT max(pow(n, 1 - a)) AS widest FROM t, e WHERE n > 0),
+        q AS (SELECT source, n, CASE WHEN n > 0 THEN CAST(floor(pow(n, a) * widest + 0.5) AS BIGINT) ELSE 0 END AS quota FROM t, e, w),
+        p AS (SELECT source, CASE WHEN n > 0 THEN quota // CAST(n AS BIGINT) ELSE 1 END AS passes, CASE WHEN n > 0 THEN quota % CAST(n AS BIGINT) ELSE 0 END AS rest FROM q),
+        c AS (SELECT doc_id, source, coalesce(sum(n) OVER (PARTITION BY source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached FROM d)
+        SELECT doc_id, c.source, CAST(unnest(range(1, passes + CASE WHEN reached < rest THEN 2 ELSE 1 END)) AS INTEGER) AS mix_pass
+        FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source""",
+    "op6_toolcalls": r"""
+        WITH f AS (SELECT conv_id, min(turn) AS first FROM conversations WHERE role = 'user' GROUP BY conv_id),
+        u AS (SELECT 'call_' || c.conv_id || '_' || c.turn AS call_id, c.conv_id, c.turn, coalesce(c.text, '') AS text, CASE WHEN c.turn > first THEN 'call_' || c.conv_id || '_' || first END AS earlier, a.text AS answer, a.turn IS NOT NULL AS answered
+              FROM conversations c JOIN f USING (conv_id) LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn + 1 AND a.role = 'assistant' WHERE c.role = 'user')
+        SELECT call_id, conv_id, turn, 'reply' AS name, CASE WHEN earlier IS NULL THEN 0 ELSE 1 END AS level, CASE WHEN answered THEN 'ok' ELSE 'no_result' END AS status, CAST(answered AS BIGINT) AS n_results,
+               '{"arguments":{' || coalesce('"after":' || to_json(earlier) || ',', '') || '"text":' || to_json(text) || ',"turn":' || turn || '},"id":' || to_json(call_id) || ',"name":"reply","result":'
+               || CASE WHEN answered THEN to_json(coalesce(answer, '')) ELSE 'null' END || '}' AS message FROM u""",
 }

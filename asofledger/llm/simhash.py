@@ -173,7 +173,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each component, that of its smallest id; among rows that share this id, one of them."""
-    made = near_classes(df, id_col, text_col).where(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias("__id")).distinct()
-    flag = free_name(df, "__n")
-    kept = df.join(made, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("__id"))).drop("__id").withColumn(flag, F.lit(1))
+    own = free_name(df, "__own")
+    made = near_classes(df, id_col, text_col).where(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias(own)).distinct()
+    kept = df.join(made, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own))).drop(own)
     return kept.dropDuplicates([id_col]).select(*[f"`{c}`" for c in df.columns])

@@ -142,6 +142,8 @@ def test_pipeline_matches_its_stages_by_brute_force(spark, sf):
 
 def test_pipeline_stages_take_odd_tables(spark, sf):
     df = spark.createDataFrame([(1, "a  b c", "en", "s", 1, "k"), (2, "a b c", None, None, None, None), (None, None, "x", "s", 0, "k"), (1, "a  b c", "en", "s", 1, "k"), (3, "word " * 30000, "en", "t", 9, "z")], "doc_id long, text string, lang string, source string, n_chars long, __digest string")
+    for name in ("__own", "__sha", "passes", "last_place", "score", "fp", "component_id", "id", "ids", "place", "n"):
+        df = df.withColumn(name, F.lit(7))
     for docs in (df, df.limit(0)):
         for name, stage in corpus_pipeline.STAGES:
             out = stage(spark, docs, sf)
