@@ -53,7 +53,8 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.assess(table(spark, sf_dir, "documents"))
+    made = quality.assess(table(spark, sf_dir, "documents"))
+    return made.withColumns({c: F.round(c, 9) for c in ("char_distance", "word_distance")})
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +65,36 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_sentencepiece, op2_secrets, op3_licenses, op4_exact_dedup, op5_mixing, op6_toolcalls, op7_toxicity, op8_simhash, op9_quality, op10_html)
 }
 
+def _op9_sql() -> str:
+    """Base counts, histograms by class and word, references by language, and distances; words that a text lacks add half of their reference share."""
+    q = quality
+    upper, lower = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
+    classes = {"lower": "[a-z]", "upper": "[A-Z]", "digit": "[0-9]", "space": r"[\x20\x09-\x0D]", "stop": r"[.,;:!?]", "mark": r"['\"()-]", "bar": r"[|]", "symbol": r"[#*$%&<>]", "beyond": r"[^\x00-\x7F]"}
+    count = lambda pattern: f"length(t) - length(regexp_replace(t, '{pattern.replace(chr(39), chr(39) * 2)}', '', 'g'))"
+    named = ", ".join(f"{count(p)} AS c_{n}" for n, p in classes.items())
+    parts = " UNION ALL ".join(f"SELECT k, lang, '{n}' AS bin, c_{n} AS n FROM a" for n in classes) + " UNION ALL SELECT k, lang, 'other', length(t) - (" + " + ".join(f"c_{n}" for n in classes) + ") FROM a"
+    words = ", ".join(f"('{w}')" for w in q.WORDS)
+    distance = lambda bins: f"""SELECT k, CASE WHEN sum(n) = 0 THEN 0 ELSE sqrt(greatest((sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + r)) + CASE WHEN r > 0 THEN r * log2(2 * r / (p + r)) ELSE 0 END ELSE 0 END)
+            + 1 - sum(CASE WHEN p > 0 THEN r ELSE 0 END)) / 2, 0)) END AS d FROM (SELECT k, n, CASE WHEN own > 0 THEN n / CAST(own AS DOUBLE) ELSE 0 END AS p, ref / CAST(whole AS DOUBLE) AS r FROM (SELECT b.k, b.n, sum(b.n) OVER (PARTITION BY b.k) AS own, ref, whole
+            FROM {bins} b JOIN (SELECT lang, bin, sum(n) AS ref, sum(sum(n)) OVER (PARTITION BY lang) AS whole FROM {bins} GROUP BY lang, bin) USING (lang, bin))) GROUP BY k"""
+    return rf"""
+        WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, CASE WHEN lang IN ('en', 'de', 'fr', 'es') THEN lang ELSE 'other' END AS lang FROM documents),
+        a AS (SELECT *, {named}, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+        s AS (SELECT k, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM a),
+        v AS (SELECT k, i, [word, lead(word, 1) OVER p, lead(word, 2) OVER p, lead(word, 3) OVER p, lead(word, 4) OVER p] AS five, lead(i, 4) OVER p AS last FROM s WINDOW p AS (PARTITION BY k ORDER BY i)),
+        r AS (SELECT k, i, count(*) OVER (PARTITION BY k, five) AS times FROM v WHERE last IS NOT NULL),
+        e AS (SELECT k, count(DISTINCT i + j) AS n FROM r, range(0, {q.WINDOW}) x(j) WHERE times > 1 GROUP BY k),
+        c AS ({parts}),
+        g AS (SELECT k, lang, unnest(regexp_extract_all(translate(t, '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM d),
+        h AS (SELECT k, lang, CASE WHEN word IN (SELECT * FROM (VALUES {words}) y) THEN word ELSE '' END AS bin, count(*) AS n FROM g GROUP BY ALL),
+        cd AS ({distance('c')}), wd AS ({distance('h')}),
+        m AS (SELECT a.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(t) - c_space AS BIGINT) AS word_chars, CAST(c_symbol + c_bar AS BIGINT) AS n_symbols, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(e.n, 0) AS n_repeat_words,
+                     coalesce(cd.d, 0) AS char_distance, coalesce(wd.d, 0) AS word_distance FROM a LEFT JOIN e USING (k) LEFT JOIN cd USING (k) LEFT JOIN wd USING (k)),
+        f AS (SELECT *, n_words < {q.LEAST_WORDS} OR 100 * n_repeat_words > {q.REPEAT_PERCENT} * n_words AS base_failed FROM m)
+        SELECT * REPLACE (round(char_distance, 9) AS char_distance, round(word_distance, 9) AS word_distance),
+               NOT base_failed AND (n_words < {q.CHARS_WORDS} OR char_distance <= {q.CHARS_FAR} + {q.CHARS_NOISE} / sqrt(n_words)) AND (n_words < {q.WORDS_WORDS} OR word_distance <= {q.WORDS_FAR} + {q.WORDS_NOISE} / sqrt(n_words)) AS kept FROM f"""
+
+
 SQL: dict[str, str] = {
     "op4_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
@@ -88,4 +119,5 @@ SQL: dict[str, str] = {
         SELECT call_id, conv_id, turn, 'reply' AS name, CASE WHEN earlier IS NULL THEN 0 ELSE 1 END AS level, CASE WHEN answered THEN 'ok' ELSE 'no_result' END AS status, CAST(answered AS BIGINT) AS n_results,
                '{"arguments":{' || coalesce('"after":' || to_json(earlier) || ',', '') || '"text":' || to_json(text) || ',"turn":' || turn || '},"id":' || to_json(call_id) || ',"name":"reply","result":'
                || CASE WHEN answered THEN to_json(coalesce(answer, '')) ELSE 'null' END || '}' AS message FROM u""",
+    "op9_quality": _op9_sql(),
 }

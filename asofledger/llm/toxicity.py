@@ -90,12 +90,18 @@ def learn(rows: list[np.ndarray], labels: np.ndarray) -> tuple[np.ndarray, float
     return w[:-1], float(w[-1])
 
 
-def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str) -> tuple[np.ndarray, np.ndarray, float]:
-    """Coordinates with a weight, their weights, and the bias."""
-    rows = labelled.where(F.col(label_col).isNotNull()).select(F.xxhash64(F.col(id_col)).alias("h"), clean_text(text_col).alias("__t"), F.col(label_col).cast("double").alias("y"))
+def sample(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
+    """SAMPLE labelled rows at most, in expectation: __id, __h (hash of the id) and __y. Held-out ids and null labels are left out."""
+    rows = labels.where(~held_out(id_col) & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.xxhash64(F.col(id_col)).alias("__h"), F.col(label_col).cast("double").alias("__y"))
     total = rows.count()
-    if total > SAMPLE:
-        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * (SAMPLE / total)))
+    return rows if total <= SAMPLE else rows.where(F.pmod("__h", F.lit(1 << 30)) < int((1 << 30) * (SAMPLE / total)))
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
+    """Coordinates with a weight, their weights, and the bias, learnt from labels (doc_id, toxic). The sampled labels are bounded and broadcast, so no text is shuffled."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col(f"`{id_col}`").alias("__id"), clean_text(f"`{text_col}`").alias("__t"))
+    rows = texts.join(F.broadcast(sample(labels)), "__id").select("__h", "__t", "__y")
 
     def extract(texts: pa.Array) -> list[pa.Array]:
         data, offsets = text_bytes(texts)
@@ -103,11 +109,11 @@ def fit(labelled: DataFrame, id_col: str, text_col: str, label_col: str) -> tupl
         ends = np.searchsorted(whose, np.arange(len(texts) + 1))
         return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at, pa.int32()))]
 
-    made = add_columns(rows, "__t", [("at", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))], extract, keep=["h", "y"])
+    made = add_columns(rows, "__t", [("at", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))], extract, keep=["__h", "__y"])
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(n=part["at"].map(len)).sort_values(["h", "n"], kind="stable")
-        w, bias = learn([np.asarray(x, dtype=np.int64) for x in part["at"]], part["y"].to_numpy())
+        part = part.assign(n=part["at"].map(len)).sort_values(["__h", "n"], kind="stable")
+        w, bias = learn([np.asarray(x, dtype=np.int64) for x in part["at"]], part["__y"].to_numpy())
         on = np.flatnonzero(w)
         return pd.DataFrame({"at": np.append(on, -1), "w": np.append(w[on], bias)})
 
@@ -143,19 +149,12 @@ def held_out(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def model(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
-    """What fit() learns from labels (doc_id, toxic) that are not held out."""
-    small_batches(docs.sparkSession)
-    learnt = labels.where(~held_out("doc_id")).select(F.col("doc_id").alias("__id"), F.col("toxic").alias("__y"))
-    return fit(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(learnt, "__id"), "__id", "__text", "__y")
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """docs (or its columns keep) with score; a column of that name is replaced."""
-    return score(docs, model(docs, labels, id_col, text_col), text_col, "score", keep)
+    return score(docs, fit(docs, labels, id_col, text_col), text_col, "score", keep)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that score THRESHOLD or more."""
     name = free_name(docs, "__score")
-    return score(docs, model(docs, labels, id_col, text_col), text_col, name).where(F.col(name) < THRESHOLD).drop(name)
+    return score(docs, fit(docs, labels, id_col, text_col), text_col, name).where(F.col(name) < THRESHOLD).drop(name)
