@@ -55,3 +55,9 @@ def partition_counts(rows: DataFrame) -> DataFrame:
 def stability_windows(rows: DataFrame, width: int = 24) -> DataFrame:
     """Bands of width steps: eligible rows, frauds, mean amount and distinct initiators."""
     return eligible(rows).groupBy(F.floor(F.col("step") / width).cast("int").alias("band")).agg(F.count("*").alias("n_rows"), F.count_if(F.col("is_fraud") == 1).alias("n_fraud"), (F.sum("amount").cast("double") / F.count("*")).alias("mean_amount"), F.count_distinct("initiator_id").alias("initiators"))
+
+
+def write_step_summary(rows: DataFrame, path: str) -> None:
+    """transfer_step_summary with exact rates as one CSV in step order (a row per step); the folder must not exist."""
+    columns = ["step", "eligible", "fraud", "legitimate", "fraud_rate_percent"]
+    transfer_step_summary(rows, exact=True).select(*columns).orderBy("step").coalesce(1).write.csv(path, header=True, mode="errorifexists")

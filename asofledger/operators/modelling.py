@@ -33,6 +33,18 @@ def model_data(features: DataFrame) -> DataFrame:
     return features.select("*", evaluation_partition(F.col("step")).alias("evaluation_partition"), F.col("is_fraud").cast("int").alias("label")).withColumns({c: F.col(c).cast("double") for c in ENHANCED_FEATURES if c in features.columns})
 
 
+def tier_matrix(features: DataFrame, tier: str, key: str) -> DataFrame:
+    """Key and the vector of a tier's columns (core: 9, enhanced: 11) in their order; nulls become NaN."""
+    columns = {"core": CORE_FEATURES, "enhanced": ENHANCED_FEATURES}[tier]
+    filled = features.select(key, *[F.coalesce(F.col(c).cast("double"), F.lit(float("nan"))).alias(c) for c in columns])
+    return VectorAssembler(inputCols=columns, outputCol="vector", handleInvalid="keep").transform(filled).select(key, "vector")
+
+
+def sample_rows(rows: DataFrame, most: int = 10_000, seed: int = SEED, key: str = "txn_key") -> DataFrame:
+    """most rows at random without replacement (all, if there are fewer), the same for the same seed and keys: those with the least hashes."""
+    return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(most)
+
+
 def prepare(train: DataFrame, columns: tuple[str, ...]) -> tuple[dict[str, float], dict[str, tuple[float, float]]]:
     """Medians (exact, interpolated; 0 for a column without values) and population mean and deviation after filling, from train only: a row of numbers."""
     medians = train.agg(*[F.percentile(c, 0.5).alias(c) for c in columns]).first().asDict()

@@ -182,6 +182,22 @@ def test_permutation_keeps_the_values(spark):
     assert sorted(r["score"] for r in made) == [k / 50 for k in range(50)] and any(r["score"] != r["k"] / 50 for r in made)
 
 
+def test_matrix_sample_and_step_summary(spark, sf, tmp_path):
+    from asofledger.operators import contract
+    from asofledger.plans.catalog import QUERIES
+    from asofledger.schema import CORE_FEATURES
+    from asofledger.sources.adapter import transactions
+
+    made = QUERIES["pit_enhanced_features"](spark, sf)
+    core = modelling.tier_matrix(made, "core", "txn_key").first()["vector"]
+    assert len(core) == len(CORE_FEATURES) and len(modelling.tier_matrix(made, "enhanced", "txn_key").first()["vector"]) == 11
+    keys = [r[0] for r in modelling.sample_rows(made, 20).select("txn_key").collect()]
+    assert len(keys) == 20 and keys == [r[0] for r in modelling.sample_rows(made, 20).select("txn_key").collect()]
+    contract.write_step_summary(transactions(spark, sf), str(tmp_path / "steps"))
+    rows = spark.read.csv(str(tmp_path / "steps"), header=True).collect()
+    assert [int(r["step"]) for r in rows] == sorted(int(r["step"]) for r in rows) and len(rows[0]) == 5
+
+
 def test_stream_equals_batch_and_refuses_regressions(spark, tmp_path):
     schema = "event_id long, user_id long, ts timestamp, event_type string, value double, props string"
     rows = [(k, k % 3, datetime(2024, 1, 1, k // 4 % 24), "x", float(k % 7), "{}") for k in range(90)]
