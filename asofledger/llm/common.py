@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one Python step holds at a time, besides a single longer text.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 #: Rows of one Arrow batch; texts are long, so batches stay small.
 BATCH_ROWS = 1024
 

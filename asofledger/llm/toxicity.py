@@ -7,7 +7,7 @@ with per-coordinate rates and L1, which leaves few weights: they are broadcast a
 Each text is scored whole, in one pass and without a shuffle.
 
 Learning. At most SAMPLE labelled rows, by a hash of their ids, in an order fixed by that hash, EPOCHS times; one task holds their
-features. Everything else covers all rows.
+features (about 20 kB a row). Everything else covers all rows.
 
 Cases. Null text counts as empty and scores as the bias says. Labels that are null are left out, as are labels of ids without a document;
 without any label all scores are 0. Null ids are scored. Repeated rows get equal scores; very long texts are one row; empty
@@ -16,8 +16,9 @@ tables give empty ones. Only the text makes the score.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,9 @@ from .wordhash import mix, span_hashes, word_spans
 
 BITS, PREFIXES, DENSITY = 19, (4, 5, 6, 7), (1 / 250, 1 / 60)
 #: Labelled rows that are learnt from, at most (in expectation: rows are taken by a hash).
-SAMPLE = 16_000
+SAMPLE = 12_000
+#: Sampled rows that a coordinate must occur in to be learnt.
+LEAST_ROWS = 3
 EPOCHS, ALPHA, BETA, L1, L2 = 4, 0.2, 1.0, 4.0, 1.0
 THRESHOLD = 0.3
 LEVELS = 1 + len(DENSITY)
@@ -111,13 +114,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     made = add_columns(rows, "__t", [("at", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))], extract, keep=["__h", "__y"])
 
-    def train(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.assign(n=part["at"].map(len)).sort_values(["__h", "n"], kind="stable")
-        w, bias = learn([np.asarray(x, dtype=np.int64) for x in part["at"]], part["__y"].to_numpy())
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [(np.asarray(x.column(0)), np.asarray(x.column(1)), np.diff(np.asarray(x.column(2).offsets)), np.asarray(x.column(2).flatten())) for x in batches if x.num_rows]
+        if not parts:
+            return
+        h, y, n, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        del parts
+        rows = np.split(at, np.cumsum(n)[:-1])
+        common = np.bincount(at, minlength=LEVELS << BITS) >= LEAST_ROWS
+        order = np.lexsort((n, h))
+        w, bias = learn([rows[i][common[rows[i]]] for i in order], y[order])
         on = np.flatnonzero(w)
-        return pd.DataFrame({"at": np.append(on, -1), "w": np.append(w[on], bias)})
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(on, -1)), pa.array(np.append(w[on], bias))], names=["at", "w"])
 
-    found = made.groupBy().applyInPandas(train, "at long, w double").toPandas()
+    found = made.repartition(1).mapInArrow(train, "at long, w double").toPandas()
     if not len(found):
         return np.zeros(0, dtype=np.int64), np.zeros(0), -35.0
     on = found["at"] >= 0
