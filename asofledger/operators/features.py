@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..durable import materialize
 from ..functions.decimals import exact_mean
 from ..schema import EVENT_COLUMNS, MODELLED_TYPE
 
@@ -64,11 +65,12 @@ def _rollup(moves: DataFrame, first_seen: DataFrame, entity: str, amounts: bool)
 def features_by_rollup(rows: DataFrame, keep: list[str], exact: bool = False) -> DataFrame:
     """The same features from rollups by (entity, step).
 
-    Rows are summed map-side to one per pair and step, once for all rollups (Spark reuses that exchange), and windows run over at most one row per entity and step, so an entity that has a third of all rows is as
+    Rows are summed map-side to one per pair and step, written once for the three rollups that read it (so the source is read twice, not four times), and windows run over at most one row per entity and step, so an entity that has a third of all rows is as
     cheap as any other; TRANSFER rows meet their rollups in equi-joins that AQE can split.
     """
     events = behavioural(rows, keep)
     moves = events.groupBy("initiator_id", "recipient_id", "step").agg(F.count("*").alias("n"), F.sum(is_transfer().cast("long")).alias("transfers"), F.sum("amount").alias("total"), F.max("amount").alias("most"))
+    moves = materialize(moves, "moves")
     first_seen = moves.groupBy("initiator_id", "recipient_id").agg(F.min("step").alias("step"))
     sent = _rollup(moves, first_seen, "initiator_id", True).select(
         "initiator_id", "step", F.col("prior_n").alias("initiator_prior_outgoing_count"), F.col("prior_transfers").alias("initiator_prior_outgoing_transfer_count"), F.col("prior_total").alias("initiator_prior_outgoing_amount_total"),
