@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,6 +52,6 @@ def with_row_number(df: DataFrame, order: list[str], name: str = "source_row_num
     place = F.monotonically_increasing_id()
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.shiftright(place, 33).alias("__part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
     held = materialize(ranged, "ordered")
-    counts = held.groupBy("__part").agg(F.count("*").alias("__n"))
-    ahead = counts.alias("a").join(counts.alias("b"), F.col("b.__part") < F.col("a.__part"), "left").groupBy(F.col("a.__part").alias("__part")).agg(F.coalesce(F.sum("b.__n"), F.lit(0)).alias("__before"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    ahead = held.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
     return held.join(F.broadcast(ahead), "__part").withColumn(name, (F.col("__before") + F.col("__place") + F.lit(first)).cast("long")).drop("__part", "__place", "__before")

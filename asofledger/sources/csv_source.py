@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..durable import filesystem, materialize
 from ..schema import SOURCE_COLUMNS
@@ -65,9 +66,9 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     place = F.monotonically_increasing_id()
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), place.alias("p"))
     held = materialize(lines, "lines")
-    blocks = held.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("p").alias("first"))
-    earlier = blocks.alias("x").join(blocks.alias("y"), F.struct("y.f", "y.b") < F.struct("x.f", "x.b"), "left").groupBy(F.col("x.f").alias("f"), F.col("x.b").alias("b")).agg(F.first("x.first").alias("first"), F.coalesce(F.sum("y.n"), F.lit(0)).alias("before"))
-    return held.join(F.broadcast(earlier), ["f", "b"]).select("value", (F.col("before") + F.col("p") - F.col("first") + 1).cast("long").alias("line_number"))
+    before = F.sum("n").over(Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1))  # a row per block
+    blocks = held.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("p").alias("first")).select("f", "b", "first", F.coalesce(before, F.lit(0)).alias("before"))
+    return held.join(blocks, ["f", "b"]).select("value", (F.col("before") + F.col("p") - F.col("first") + 1).cast("long").alias("line_number"))
 
 
 def _starts_with_mark(spark: SparkSession, path: str) -> bool:
