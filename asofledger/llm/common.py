@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -14,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Text bytes that one Python step holds at a time, besides a single longer text.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 #: Rows of one Arrow batch; texts are long, so batches stay small.
 BATCH_ROWS = 1024
 
@@ -60,6 +62,13 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def release() -> None:
+    """Give freed memory back to the system: Python workers wait for their next task with all that they hold."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def add_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType, pa.DataType]], step: Callable[[pa.Array], list[pa.Array]], keep: list[str] | None = None) -> DataFrame:
     """df (or its columns keep) with the columns that step makes of slices of text_col; null texts count as empty.
 
@@ -77,6 +86,8 @@ def add_columns(df: DataFrame, text_col: str, fields: list[tuple[str, T.DataType
                 made = step(part.column(part.schema.get_field_index(inner)))
                 arrays = [part.column(i) for i in range(len(kept))] + [a.cast(t) if a.type != t else a for a, (_, _, t) in zip(made, fields)]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *[n for n, _, _ in fields]])
+            made = arrays = None
+            release()
 
     return given.mapInArrow(run, schema)
 

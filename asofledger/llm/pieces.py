@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, small_batches
+from .common import add_columns, release, small_batches
 
 #: Distinct chunks that a task's table holds before it starts anew.
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 200_000
 #: Chunks that go to the library in one string.
 JOINED = 512
 SPACE, FEED, MARK = 0x20, 0x0A, "▁"
@@ -153,6 +153,8 @@ def decode(df: DataFrame, model_file: str, ids_col: str = "ids", text_col: str =
                 part = batch.slice(at, 256)
                 lists = [x or [] for x in part.column(part.schema.get_field_index(ids_col)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sp.decode(lists, num_threads=1) if lists else [], pa.string())], names=[*kept, text_col])
+            lists = None
+            release()
 
     return given.mapInArrow(run, schema)
 

@@ -147,7 +147,7 @@ def _collide(batches):
             cut = int(np.searchsorted(keys, keys[-1]))
             if cut:
                 yield made(keys[:cut], fps[:cut])
-                keys, fps = keys[cut:], fps[cut:]
+                keys, fps = keys[cut:].copy(), fps[cut:].copy()
     if len(keys):
         yield made(keys, fps)
 

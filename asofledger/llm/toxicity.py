@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, clean_text, free_name, small_batches, text_bytes
+from .common import add_columns, clean_text, free_name, release, small_batches, text_bytes
 from .wordhash import mix, span_hashes, word_spans
 
 BITS, PREFIXES, DENSITY = 19, (4, 5, 6, 7), (1 / 250, 1 / 60)
@@ -115,15 +115,25 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     made = add_columns(rows, "__t", [("at", T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))], extract, keep=["__h", "__y"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [(np.asarray(x.column(0)), np.asarray(x.column(1)), np.diff(np.asarray(x.column(2).offsets)), np.asarray(x.column(2).flatten())) for x in batches if x.num_rows]
-        if not parts:
+        parts, counts = [], np.zeros(LEVELS << BITS, dtype=np.int32)
+        for x in batches:
+            at = np.array(x.column(2).flatten())
+            counts += np.bincount(at, minlength=len(counts)).astype(np.int32)
+            parts.append((np.array(x.column(0)), np.array(x.column(1)), np.asarray(x.column(2).offsets) - x.column(2).offsets[0].as_py(), at))
+        common, h, y, n, rows = counts >= LEAST_ROWS, [], [], [], []
+        while parts:  # each batch goes as its common coordinates are kept
+            ph, py, ends, at = parts.pop()
+            h.append(ph)
+            y.append(py)
+            n.append(np.diff(ends))
+            rows += [own[common[own]] for own in (at[a:b] for a, b in zip(ends[:-1], ends[1:]))]
+        if not rows:
             return
-        h, y, n, at = (np.concatenate([p[i] for p in parts]) for i in range(4))
-        del parts
-        rows = np.split(at, np.cumsum(n)[:-1])
-        common = np.bincount(at, minlength=LEVELS << BITS) >= LEAST_ROWS
+        h, y, n = (np.concatenate(v) for v in (h, y, n))
         order = np.lexsort((n, h))
-        w, bias = learn([rows[i][common[rows[i]]] for i in order], y[order])
+        w, bias = learn([rows[i] for i in order], y[order])
+        rows.clear()
+        release()
         on = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(on, -1)), pa.array(np.append(w[on], bias))], names=["at", "w"])
 
