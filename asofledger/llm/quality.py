@@ -124,19 +124,27 @@ def measure(texts: pa.Array) -> list[pa.Array]:
 FIELDS = [(name, T.LongType(), pa.int64()) for name in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [(name, T.ArrayType(T.IntegerType()), pa.list_(pa.int32())) for name in ("char_hist", "word_hist")]
 
 
-def distance(own: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance of two histograms of equal length, each made to sum to 1; 0 if one of them is empty."""
-    def shares(hist: Column) -> Column:
-        total = F.aggregate(hist, F.lit(0.0), lambda a, x: a + x.cast("double"))
-        return F.transform(hist, lambda x: F.when(total > 0, x.cast("double") / total).otherwise(F.lit(0.0)))
+def _total(hist: Column) -> Column:
+    return F.aggregate(hist, F.lit(0.0), lambda a, x: a + x.cast("double"))
 
-    def part(p: Column, q: Column) -> Column:
-        term = lambda x, y: F.when(x > 0, x * F.log2(x / ((x + y) / 2))).otherwise(F.lit(0.0))
-        return term(p, q) + term(q, p)
 
-    total = F.aggregate(F.zip_with(shares(own), shares(reference), part), F.lit(0.0), lambda a, x: a + x)
-    empty = (F.aggregate(own, F.lit(0.0), lambda a, x: a + x.cast("double")) == 0) | (F.aggregate(reference, F.lit(0.0), lambda a, x: a + x.cast("double")) == 0)
-    return F.when(empty, F.lit(0.0)).otherwise(F.sqrt(F.greatest(total / 2, F.lit(0.0))))
+def shares(hist: Column) -> Column:
+    """A histogram made to sum to 1; zeros if it is empty."""
+    return F.transform(hist, lambda x: F.coalesce(F.try_divide(x.cast("double"), _total(hist)), F.lit(0.0)))
+
+
+def distance(own: Column, total: Column, reference: Column) -> Column:
+    """Jensen-Shannon distance of a histogram with its total to the shares of a reference; 0 for an empty histogram.
+
+    A bin that the histogram lacks adds its whole reference share, so logarithms are taken of the bins that it has.
+    """
+    def part(x: Column, r: Column) -> Column:
+        p = x / total
+        both = p * F.log2(2 * p / (p + r)) + F.when(r > 0, r * F.log2(2 * r / (p + r))).otherwise(F.lit(0.0))
+        return F.when(x > 0, both).otherwise(r)
+
+    divergence = F.aggregate(F.zip_with(own, reference, part), F.lit(0.0), lambda a, x: a + x)
+    return F.when(total > 0, F.sqrt(F.greatest(divergence / 2, F.lit(0.0)))).otherwise(F.lit(0.0))
 
 
 def base_failed() -> Column:
@@ -150,8 +158,9 @@ def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_c
     given = df.select(F.col(f"`{id_col}`").alias("__id"), lang.alias("__lang"), F.col(f"`{text_col}`").alias("__t"))
     rows = materialize(add_columns(given, "__t", FIELDS, measure, keep=["__id", "__lang"]), "quality")
     sums = lambda name, n: F.array(*[F.sum(F.col(name)[i]).cast("double") for i in range(n)]).alias(f"all_{name}")
-    reference = rows.groupBy("__lang").agg(sums("char_hist", len(CLASSES)), sums("word_hist", len(WORDS) + 1))
-    scored = rows.join(F.broadcast(reference), "__lang").withColumns({"char_distance": distance(F.col("char_hist"), F.col("all_char_hist")), "word_distance": distance(F.col("word_hist"), F.col("all_word_hist"))})
+    reference = rows.groupBy("__lang").agg(sums("char_hist", len(CLASSES)), sums("word_hist", len(WORDS) + 1)).select("__lang", *[shares(F.col(f"all_{h}")).alias(f"all_{h}") for h in ("char_hist", "word_hist")])
+    totalled = rows.withColumns({"chars": _total(F.col("char_hist")), "words": _total(F.col("word_hist"))})
+    scored = totalled.join(F.broadcast(reference), "__lang").withColumns({"char_distance": distance(F.col("char_hist"), F.col("chars"), F.col("all_char_hist")), "word_distance": distance(F.col("word_hist"), F.col("words"), F.col("all_word_hist"))})
     near = lambda name, least, far, noise: (F.col("n_words") < least) | (F.col(name) <= far + noise / F.sqrt("n_words"))
     passed = near("char_distance", CHARS_WORDS, CHARS_FAR, CHARS_NOISE) & near("word_distance", WORDS_WORDS, WORDS_FAR, WORDS_NOISE)
     failed = base_failed()
