@@ -159,21 +159,34 @@ def fingerprint_edges(nodes: DataFrame, fp_col: str = "fp") -> DataFrame:
     return emitted.repartition("key").sortWithinPartitions("key").mapInArrow(_collide, "u long, v long")
 
 
-def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: its id, fp (long) and component_id, the smallest id that is reachable over links."""
-    rows = materialize(with_fingerprint(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("__text")), "__text", "fp", keep=["id"]), "fingerprints")
+def placed_nodes(rows: DataFrame) -> DataFrame:
+    """rows (id long, fp long) -> one row per distinct fingerprint: fp, least (its smallest id), root (its component's smallest fingerprint)."""
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
     roots = components(fingerprint_edges(nodes))
     placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    placed = materialize(placed, "placed")
+    return materialize(placed, "placed")
+
+
+def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of df: its id, fp (long) and component_id, the smallest id that is reachable over links."""
+    rows = materialize(with_fingerprint(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("__text")), "__text", "fp", keep=["id"]), "fingerprints")
+    placed = placed_nodes(rows)
     classes = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     labelled = placed.join(classes, "root").select("fp", "component_id")
     return rows.join(labelled, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
 def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each component, that of its smallest id; among rows that share this id, one of them."""
-    own = free_name(df, "__own")
-    made = near_classes(df, id_col, text_col).where(F.col(f"`{id_col}`").eqNullSafe(F.col("component_id"))).select(F.col("component_id").alias(own)).distinct()
-    kept = df.join(made, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own))).drop(own)
-    return kept.dropDuplicates([id_col]).select(*[f"`{c}`" for c in df.columns])
+    """df with one row of each component: that of its smallest id, then of the smallest fingerprint; among rows that share both, one of them.
+
+    A row is known by its id and fingerprint, as ids may be null or repeat in other components. Rows are written once with their fingerprints, and brought
+    to one per id and fingerprint in each task before they are dealt.
+    """
+    fp, unknown, number = (free_name(df, n) for n in ("__fp", "__unknown", "__number"))
+    held = materialize(with_fingerprint(df, text_col, fp), "fingerprints")
+    own = F.col(f"`{id_col}`").cast("long")
+    placed = placed_nodes(held.select(own.alias("id"), F.col(fp).alias("fp")))
+    chosen = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("unknown"), F.coalesce("least", F.lit(0)).alias("number"), "fp")).alias("c"))
+    keyed = held.withColumns({unknown: own.isNull(), number: F.coalesce(own, F.lit(0))}).dropDuplicates([fp, unknown, number])
+    kept = keyed.join(chosen.select(F.col("c.fp").alias(fp), F.col("c.unknown").alias(unknown), F.col("c.number").alias(number)), [fp, unknown, number], "left_semi")
+    return kept.select(*[f"`{c}`" for c in df.columns])

@@ -83,6 +83,14 @@ def test_simhash_edge_cases(spark):
     assert sorted(str(r[0]) for r in simhash.keep_one(df).collect()) == sorted({str(x[2]) for x in got})
 
 
+def test_keep_one_leaves_a_row_of_each_component_whatever_its_id(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(40)) for c in "abcdef"]
+    assert len({x[2] for x in classes([(i, fingerprint(t)) for i, t in enumerate(texts)])}) == len(texts)
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, texts[2]), (7, texts[3]), (7, texts[4]), (2, texts[5]), (7, texts[5]), (None, texts[5])]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [*((None, t) for t in texts[:3]), (7, texts[3]), (7, texts[4]), (2, texts[5])]))
+
+
 def test_every_distance_up_to_three_shares_a_key():
     rng = np.random.default_rng(1)
     masks = simhash.ball_keys()
