@@ -2,11 +2,11 @@
 
 Method. Calls and results are found in a table of turns: an assistant turn that is JSON with tool_calls (id, name, arguments, and after: ids that must come first), and a tool turn that is JSON with
 tool_call_id and content. In a conversation without such turns each user turn is a call of the function reply, whose identifier comes from its conversation and turn, the assistant turn that follows it is its result, and it comes after the
-conversation's first call. Calls and results are brought to one row per identifier and hash-joined; arguments are parsed as variants and validated against the schemas; calls get topological levels by taking away, round by round, those
-whose predecessors are all placed; and a call with its result is serialised as canonical JSON (sorted keys, no white space). Joins and aggregates are by identifier, so a long conversation never meets in one
+conversation's first call. An identifier holds within its conversation only: two conversations may both have a call_1. Calls and results are brought to one row per conversation and identifier and hash-joined; arguments are parsed as variants and validated against the schemas; calls get topological levels by taking away, round by round, those
+whose predecessors are all placed; and a call with its result is serialised as canonical JSON (sorted keys, no white space). Joins and aggregates are by conversation and identifier, so a long conversation never meets in one
 task, and rounds are as many as the longest chain of calls.
 
-Cases. Status is the first that holds: orphan (a result without a call), duplicate (an identifier of several calls; the first turn's counts), cyclic, invalid (arguments that are no JSON object or fail their schema), no_result, ok. Null text is an
+Cases. Status is the first that holds: orphan (a result without a call in its conversation), duplicate (an identifier of several calls of a conversation; the first turn's counts), cyclic, invalid (arguments that are no JSON object or fail their schema), no_result, ok. Null text is an
 empty turn; null conversations, turns and roles make no calls. Predecessors that don't exist are left out. Repeated rows make a duplicate. Empty tables give empty ones; columns besides conv_id, turn, role and text are
 ignored.
 """
@@ -24,6 +24,8 @@ TYPES = {"string": "STRING", "integer": "BIGINT", "boolean": "BOOLEAN", "number"
 
 _CALLS = "struct<tool_calls:array<struct<id:string,name:string,arguments:string,after:array<string>>>>"
 _RESULT = "struct<tool_call_id:string,content:string>"
+#: What identifies a call.
+CALL = ["conv_id", "call_id"]
 
 
 def _known(turns: DataFrame) -> DataFrame:
@@ -35,12 +37,12 @@ def _call_id(turn: Column) -> Column:
 
 
 def extract(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """calls (call_id, conv_id, turn, name, arguments JSON, after array) and results (call_id, turn, content)."""
+    """calls (call_id, conv_id, turn, name, arguments JSON, after array) and results (call_id, conv_id, turn, content)."""
     turns = _known(turns)
     parsed = turns.where((F.col("role") == "assistant") & F.col("text").contains('"tool_calls"')).select("conv_id", "turn", F.explode(F.from_json("text", _CALLS)["tool_calls"]).alias("c"))
     written = parsed.where("c.id is not null").select(F.col("c.id").alias("call_id"), "conv_id", "turn", F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"), F.coalesce("c.after", F.array().cast("array<string>")).alias("after"))
-    given = turns.where((F.col("role") == "tool") & F.col("text").contains('"tool_call_id"')).select("turn", F.from_json("text", _RESULT).alias("r"))
-    answers = given.where("r.tool_call_id is not null").select(F.col("r.tool_call_id").alias("call_id"), "turn", F.col("r.content").alias("content"))
+    given = turns.where((F.col("role") == "tool") & F.col("text").contains('"tool_call_id"')).select("conv_id", "turn", F.from_json("text", _RESULT).alias("r"))
+    answers = given.where("r.tool_call_id is not null").select(F.col("r.tool_call_id").alias("call_id"), "conv_id", "turn", F.col("r.content").alias("content"))
 
     using = turns.groupBy("conv_id").agg(F.max((F.col("text").contains('"tool_calls"') & (F.col("role") == "assistant")) | (F.col("role") == "tool")).alias("tools"), F.min(F.when(F.col("role") == "user", F.col("turn"))).alias("first"))
     plain = using.where("not tools and first is not null").select("conv_id", "first")
@@ -48,21 +50,22 @@ def extract(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     later = F.col("turn") > F.col("first")
     arguments = F.to_json(F.struct(F.when(later, _call_id(F.col("first"))).alias("after"), "text", "turn"))
     replies = asked.select(_call_id(F.col("turn")).alias("call_id"), "conv_id", "turn", F.lit("reply").alias("name"), arguments.alias("arguments"), F.when(later, F.array(_call_id(F.col("first")))).otherwise(F.array().cast("array<string>")).alias("after"))
-    answered = turns.where("role = 'assistant'").join(plain, "conv_id").select(_call_id(F.col("turn") - 1).alias("call_id"), "turn", F.col("text").alias("content"))
-    answered = answered.join(replies.select("call_id").distinct(), "call_id", "left_semi")  # an assistant turn after no user turn is no result
+    answered = turns.where("role = 'assistant'").join(plain, "conv_id").select(_call_id(F.col("turn") - 1).alias("call_id"), "conv_id", "turn", F.col("text").alias("content"))
+    answered = answered.join(replies.select(*CALL).distinct(), CALL, "left_semi")  # an assistant turn after no user turn is no result
     return written.unionByName(replies), answers.unionByName(answered)
 
 
 def levels(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """ids (call_id) with level: 0 without predecessors, else one more than the largest of them; null on or behind a cycle. edges: call_id, before."""
-    edges = edges.join(ids.select(F.col("call_id").alias("before")), "before", "left_semi").join(ids, "call_id", "left_semi").distinct()
-    left = materialize(edges.select("call_id", "before"), "calledges")
-    placed = materialize(ids.join(left.select("call_id").distinct(), "call_id", "left_anti").withColumn("level", F.lit(0)), "level")
+    """ids (conv_id, call_id) with level: 0 without predecessors, else one more than the largest of them; null on or behind a cycle. edges: conv_id, call_id, before."""
+    ahead = ["conv_id", "before"]
+    edges = edges.join(ids.select("conv_id", F.col("call_id").alias("before")), ahead, "left_semi").join(ids, CALL, "left_semi").distinct()
+    left = materialize(edges.select(*CALL, "before"), "calledges")
+    placed = materialize(ids.join(left.select(*CALL).distinct(), CALL, "left_anti").withColumn("level", F.lit(0)), "level")
     done, level = placed, 0
     while not left.isEmpty() and not placed.isEmpty():
         level += 1
-        rest = materialize(left.join(placed.select(F.col("call_id").alias("before")), "before", "left_anti").select("call_id", "before"), "calledges")
-        placed = materialize(left.select("call_id").distinct().join(rest.select("call_id").distinct(), "call_id", "left_anti").withColumn("level", F.lit(level)), "level")
+        rest = materialize(left.join(placed.select("conv_id", F.col("call_id").alias("before")), ahead, "left_anti").select(*CALL, "before"), "calledges")
+        placed = materialize(left.select(*CALL).distinct().join(rest.select(*CALL).distinct(), CALL, "left_anti").withColumn("level", F.lit(level)), "level")
         done, left = done.unionByName(placed), rest
     return done
 
@@ -83,14 +86,14 @@ def valid(name: Column, value: Column, schemas: dict[str, dict[str, str]]) -> Co
 
 
 def link(calls: DataFrame, results: DataFrame, schemas: dict[str, dict[str, str]] = SCHEMAS) -> DataFrame:
-    """One row per identifier: call_id, conv_id, turn, name, level, status, n_results, message (canonical JSON)."""
+    """One row per conversation and identifier: call_id, conv_id, turn, name, level, status, n_results, message (canonical JSON)."""
     calls = materialize(calls, "calls")
-    first = calls.groupBy("call_id").agg(F.min(F.struct("turn", "conv_id", "name", "arguments")).alias("c"), F.count("*").alias("n_calls"))
-    answers = results.groupBy("call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
-    placed = levels(calls.select("call_id").distinct(), calls.select("call_id", F.explode("after").alias("before")))
+    first = calls.groupBy(*CALL).agg(F.min(F.struct("turn", "name", "arguments")).alias("c"), F.count("*").alias("n_calls"))
+    answers = results.groupBy(*CALL).agg(F.min(F.struct("turn", "content")).alias("r"), F.count("*").alias("n_results"))
+    placed = levels(calls.select(*CALL).distinct(), calls.select(*CALL, F.explode("after").alias("before")))
     value = F.try_parse_json("c.arguments")
-    rows = first.join(placed, "call_id", "left").join(answers, "call_id", "full_outer").select(
-        "call_id", F.col("c.conv_id").alias("conv_id"), F.col("c.turn").alias("turn"), F.col("c.name").alias("name"), "level", F.coalesce("n_calls", F.lit(0)).alias("n_calls"),
+    rows = first.join(placed, CALL, "left").join(answers, CALL, "full_outer").select(
+        "call_id", "conv_id", F.col("c.turn").alias("turn"), F.col("c.name").alias("name"), "level", F.coalesce("n_calls", F.lit(0)).alias("n_calls"),
         F.coalesce("n_results", F.lit(0)).cast("long").alias("n_results"), F.col("r.content").alias("content"), value.alias("value"),
     )
     status = F.when(F.col("n_calls") == 0, "orphan").when(F.col("n_calls") > 1, "duplicate").when(F.col("level").isNull(), "cyclic").when(~valid(F.col("name"), F.col("value"), schemas), "invalid").when(F.col("n_results") == 0, "no_result").otherwise("ok")

@@ -94,6 +94,17 @@ def test_calls_are_linked_ordered_validated_and_canonical(spark):
     assert toolcalls.format_calls(df.limit(0)).count() == 0
 
 
+def test_call_ids_hold_within_a_conversation(spark):
+    asks = lambda c, text, after=(): (c, 0, "assistant", json.dumps({"tool_calls": [call("call_1", turn=0, text=text), call("call_2", after=after, turn=0, text=text)]}))
+    says = lambda c, t, i, text: (c, t, "tool", json.dumps({"tool_call_id": i, "content": text}))
+    turns = [asks(1, "x", ["call_1"]), asks(2, "y"), says(1, 5, "call_1", "one"), says(2, 1, "call_1", "two"), says(2, 2, "call_2", "three"), says(3, 0, "call_2", "stray")]
+    made = toolcalls.format_calls(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    got = {(r["conv_id"], r["call_id"]): (r["status"], r["level"], json.loads(r["message"])["result"]) for r in made}
+    assert len(made) == len(got) and got == {
+        (1, "call_1"): ("ok", 0, "one"), (1, "call_2"): ("no_result", 1, None), (2, "call_1"): ("ok", 0, "two"), (2, "call_2"): ("ok", 0, "three"), (3, "call_2"): ("orphan", None, "stray"),
+    }
+
+
 def test_calls_query_matches_brute_force(spark, sf):
     turns = [tuple(r) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()]
     texts = {(c, t): (r, x) for c, t, r, x in turns}
