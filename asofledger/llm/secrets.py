@@ -30,8 +30,8 @@ HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"[0-9a-f]{16}")
 
 #: A pair: a name, an operator, and the right side's terms up to the end of the statement.
-PAIR = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][\w.-]{0,80})["']?[\x20\t]*(?::[\x20\t]*[A-Za-z_][\w\[\], ]{0,40}?[\x20\t]*(?==[^=]))?(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?=["'`A-Za-z0-9$+/_-])""", re.A)
-TAG = re.compile(r"<([A-Za-z_][\w.-]{0,80})>([^<>\s]{8,400})</\1>", re.A)
+PAIR = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][\w.-]*+)["']?[\x20\t]*(?::[\x20\t]*[A-Za-z_][\w\[\], ]{0,40}?[\x20\t]*(?==[^=]))?(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?=["'`A-Za-z0-9$+/_-])""", re.A)
+TAG = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>\s]{8,}+)</\1>", re.A)
 TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z0-9+/_.=$-]+)""", re.A)
 JOIN = re.compile(r"[\x20\t]*[+.][\x20\t]*(?=[\"'`A-Za-z_])", re.A)
 INNER = re.compile(r"\$\{?([A-Za-z_]\w*)\}?", re.A)
@@ -40,7 +40,8 @@ PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", re.A)
 # How much a name's part, or two parts in a row, says that its value is secret.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.5, "bearer": 0.8, "signature": 0.5, "salt": 0.5, "dsn": 0.5}
 SENSITIVE_PAIRS = {"api key": 1.0, "access key": 1.0, "private key": 1.0, "secret key": 1.0, "auth key": 0.9, "encryption key": 0.9, "signing key": 0.9, "client key": 0.7, "account key": 0.9, "connection string": 0.7}
-PLACEHOLDER = re.compile(r"change_?me|example|placeholder|your[_-]|dummy|xxxx|<.*>|^\$|\.\.\.|todo|none|null|true|false", re.I | re.A)
+#: Words of up to five letters stand in long random keys by chance, so they count only where no letter or digit adjoins them.
+PLACEHOLDER = re.compile(r"change_?me|example|placeholder|<.*>|^\$|\.\.\.|(?<![A-Z0-9])(?:your[_-]|(?:dummy|x{4,}|todo|none|null|true|false)(?![A-Z0-9]))", re.I | re.A)
 LEAST, LITERAL_LEAST = 0.6, 8
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 

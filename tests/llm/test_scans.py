@@ -45,6 +45,18 @@ def test_secrets_base_and_named(spark):
     assert secrets.digest(df.limit(0)).count() == 0
 
 
+def test_secrets_have_no_longest_name_or_value_and_no_chance_placeholders():
+    rng = np.random.default_rng(7)
+    key = "".join(rng.choice(list("ABCDEFGHJKLMNPQRSTUVWYZabcdefghjkmnpqrstuvwyz23456789"), 3000))
+    named = lambda text: [text[a:b] for k, a, b in secrets.spans(text) if k == "named"]
+    for n in (400, 404, 3000):
+        assert named(f"<privateKey>{key[:n]}</privateKey>") == [key[:n]]
+    for n in (80, 101, 5000):
+        assert named(f'{"part." * (n // 5)}private_key = "{key[:40]}"') == [key[:40]]
+    for word in ("null", "NoNe", "true", "todo", "xXxx", "false"):
+        assert named(f'private_key = "{key[:20]}{word}{key[20:40]}"') and not named(f'private_key = "{key[:20]}-{word}"') and not named(f'private_key = "{word}_{key[:20]}"')
+
+
 def test_secrets_query_matches_brute_force(spark, sf):
     texts = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     for r in queries.op2_secrets(spark, sf).collect():
