@@ -2,8 +2,8 @@
 
 Method. A text becomes its words (lower-case A-Z, digits, letters and non-ASCII characters), joined by single spaces. Each notice of NOTICES may hold up to one edit (insertion, deletion or
 substitution of a character) per EDIT_EVERY characters. By the pigeonhole principle, a notice with at most k edits holds one of k + 1 parts of it unchanged, so the parts are
-searched exactly, all at once, by one automaton over the whole text; only around their hits, where enough of the notice's trigrams stand, does the regex library match the notice with at most k errors, which verifies
-the edits and gives the span. Hits that stand close together are verified as one stretch, so a text full of hits costs no more than its length for each notice. Base places (a phrase's
+searched exactly, all at once, by one automaton over the whole text; only around their hits, where enough of the notice's trigrams stand, does the regex library (beyond REGEX_EDITS, bit-vector distances) match the notice with at most k errors, which verifies
+the edits and gives the span. Hits that stand close together are verified as one stretch, best match first, then what lies before and behind it. Base places (a phrase's
 words standing consecutively) are found by the same automaton.
 
 Cases. Null text counts as empty and has no words. Repeated rows are scanned each; very long texts are one row; empty tables give empty ones; columns named like an output are replaced.
@@ -45,7 +45,8 @@ NOTICES = [
     ("warranty", "this software is provided as is without warranty of any kind"),
     ("reserved", "all rights reserved"),
 ]
-EDIT_EVERY, EDITS_MOST = 10, 6
+#: REGEX_EDITS is the most edits that the regex library is asked for: its time grows steeply with them, and more are met by distances in bits.
+EDIT_EVERY, REGEX_EDITS = 10, 6
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else (c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
 FOUND = T.ArrayType(T.StructType([T.StructField("label", T.StringType()), T.StructField("first", T.LongType()), T.StructField("last", T.LongType()), T.StructField("edits", T.IntegerType()), T.StructField("base", T.BooleanType()), T.StructField("similarity", T.DoubleType())]))
@@ -53,7 +54,7 @@ _FOUND = pa.list_(pa.struct([("label", pa.string()), ("first", pa.int64()), ("la
 
 
 def edits(notice: str) -> int:
-    return min(EDITS_MOST, len(notice) // EDIT_EVERY)
+    return len(notice) // EDIT_EVERY
 
 
 def seeds(notice: str) -> list[tuple[int, str]]:
@@ -83,7 +84,7 @@ def automaton():
 @lru_cache(maxsize=64)
 def pattern(i: int):
     notice = NOTICES[i][1]
-    return regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={edits(notice)}}}")
+    return regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={min(edits(notice), REGEX_EDITS)}}}")
 
 
 @lru_cache(maxsize=64)
@@ -105,9 +106,60 @@ def plausible(text: str, a: int, b: int, i: int) -> bool:
         if left.get(gram, 0):
             left[gram] -= 1
             least -= 1
+            if least <= 0:
+                return True
     return least <= 0
 
 
+def distances(notice: str, text: str, anywhere: bool) -> list[int]:
+    """Fewest edits from the notice to a stretch of text that ends after each of its characters, and begins anywhere or at 0 (Myers' bit vectors)."""
+    n = len(notice)
+    full, top = (1 << n) - 1, 1 << (n - 1)
+    place: dict[str, int] = {}
+    for at, c in enumerate(notice):
+        place[c] = place.get(c, 0) | 1 << at
+    up, down, score, out = full, 0, n, []
+    for c in text:
+        eq = place.get(c, 0)
+        across = (((eq & up) + up) ^ up) | eq | down
+        plus, minus = down | (full & ~(across | up)), up & across
+        score += bool(plus & top) - bool(minus & top)
+        plus, minus = (plus << 1 | (not anywhere)) & full, (minus << 1) & full
+        vertical = eq | down
+        up, down = minus | (full & ~(vertical | plus)), plus & vertical
+        out.append(score)
+    return out
+
+
+def nearest(text: str, a: int, b: int, i: int) -> tuple[int, int, int] | None:
+    """Start, end and edits of the notice's best match in text[a:b], if it has few enough edits."""
+    if not plausible(text, a, b, i):
+        return None
+    notice = NOTICES[i][1]
+    if m := pattern(i).search(text, a, b):
+        return m.start(), m.end(), sum(m.fuzzy_counts)
+    if edits(notice) <= REGEX_EDITS:
+        return None
+    ends = distances(notice, text[a:b], True)
+    k = min(ends)
+    if k > edits(notice):
+        return None
+    end = a + ends.index(k) + 1
+    lengths = [at + 1 for at, d in enumerate(distances(notice[::-1], text[a:end][::-1], False)) if d == k]
+    return end - min(lengths, key=lambda n: abs(n - len(notice))), end, k
+
+
+def verified(text: str, a: int, b: int, i: int) -> list[tuple[int, int, int]]:
+    """Start, end and edits of the notice's matches in text[a:b]: the best one, and those of the parts before and behind it."""
+    found, todo = [], [(a, b)]
+    while todo:
+        a, b = todo.pop()
+        if m := nearest(text, a, b, i):
+            found.append(m)
+            todo += [(a, m[0]), (m[1], b)]
+    return found
+
+
 def words(text: str) -> str:
     """The text's words joined by single spaces, one character a byte."""
     return b" ".join(text.encode().translate(_LOWER).split()).decode("latin-1")
@@ -147,8 +199,7 @@ def search(joined: str) -> list[tuple[str, int, int, int, bool, float]]:
     matches = []
     for i, own in stretches.items():
         for a, b in own:
-            for m in pattern(i).finditer(text, a, b) if plausible(text, a, b, i) else ():
-                matches.append((m.start(), m.end(), i, sum(m.fuzzy_counts)))
+            matches += [(start, end, i, k) for start, end, k in verified(text, a, b, i)]
     for a, b, i, k in sorted(matches):
         label, notice = NOTICES[i]
         shown = text[a:b]

@@ -97,6 +97,17 @@ def test_licenses_find_what_an_unseeded_search_finds():
     assert first[:4] == ("apache", 1, 8, 2)
 
 
+def test_licenses_find_matches_before_a_better_one_and_with_all_edits():
+    for text in ("al rights reserved all rights reserved", "all rights reserved al rights reserved"):
+        assert [x[:3] for x in licenses.search(text)] == [("reserved", 0, 2), ("reserved", 3, 5)]
+    for label, notice in licenses.NOTICES:
+        most = len(notice) // 10
+        if most > 6:
+            at = {len(notice) * j // most for j in range(most)}
+            text = "".join("#" if j in at and c != " " else c for j, c in enumerate(notice)).replace("#", "é")
+            assert any(x[0] == label and x[3] == text.count("é") and x[1] == 2 for x in licenses.search(licenses.words(f"lorem ipsum {text} dolor").replace("Ã©", "é")))
+
+
 def quality_base(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
