@@ -59,6 +59,10 @@ def standardised(df: DataFrame, columns: tuple[str, ...], medians: dict[str, flo
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(ready)
 
 
+def boosting() -> GBTClassifier:
+    return GBTClassifier(labelCol="label", maxIter=100, stepSize=0.1, maxDepth=4, minInstancesPerNode=50, maxBins=255, seed=SEED)
+
+
 class Fitted:
     """A fitted model that scores any rows of the same columns."""
 
@@ -74,8 +78,7 @@ class Fitted:
             filled = [f"{c}__filled" for c in flags]
             stages = [Imputer(strategy="median", inputCols=flags, outputCols=filled, relativeError=0.0)] if flags else []
             inputs = [f"{c}__filled" if c in flags else c for c in spec.columns] + [f"{c}__null" for c in flags]
-            trees = GBTClassifier(labelCol="label", maxIter=20, stepSize=0.1, maxDepth=4, minInstancesPerNode=50, maxBins=128, seed=SEED)
-            self.model: PipelineModel = Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features"), trees]).fit(self._flagged(train))
+            self.model: PipelineModel = Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features"), boosting()]).fit(self._flagged(train))
 
     def _flagged(self, df: DataFrame) -> DataFrame:
         return df.withColumns({f"{c}__null": F.col(c).isNull().cast("double") for c in self.spec.columns if c in NULLABLE_FEATURES})

@@ -176,6 +176,11 @@ def test_modelling_selects_before_it_sees_test(spark, sf, tmp_path):
     assert json.loads((tmp_path / "model/selection.json").read_text()) == facts["selection"]
 
 
+def test_boosting_is_fitted_in_full(spark):
+    trees = modelling.boosting()
+    assert (trees.getMaxIter(), trees.getMaxBins(), trees.getStepSize(), trees.getMinInstancesPerNode()) == (100, 255, 0.1, 50)
+
+
 def test_permutation_keeps_the_values(spark):
     df = scores(spark, [(k / 50, k % 2) for k in range(50)])
     made = modelling.permuted(df, "score", "k").collect()
