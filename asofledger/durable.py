@@ -11,9 +11,11 @@ from pyspark.sql.window import Window
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset (tests)."""
+    """spark.checkpoint.dir; where it is unset a temporary folder on a local master, and an error on a cluster, whose machines share no such folder."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="asofledger-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -23,7 +25,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Write df once and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    made = df.sparkSession.read.schema(df.schema).parquet(path)
+    made.written_at = path
+    return made
+
+
+def discard(made: DataFrame) -> None:
+    """Delete what materialize() wrote for made, once nothing will read it again."""
+    fs, where = filesystem(made.sparkSession, made.written_at)
+    fs.delete(where, True)
 
 
 def filesystem(spark: SparkSession, path: str):
