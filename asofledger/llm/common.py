@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,39 +13,34 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Text bytes that one Python step holds at a time, besides a single longer text.
+from ..durable import discard, materialize, shared_dir  # noqa: F401  (the operators take them from here)
+
+#: Text bytes that one Python step holds at a time, besides a single longer text. Spark itself bounds an Arrow batch (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB).
 SLICE_BYTES = 1 << 19
-#: Rows of one Arrow batch; texts are long, so batches stay small.
-BATCH_ROWS = 1024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch of whole texts holds."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+#: Bits of the bitmap that says which keys need a decision: BITMAP / 64 rows of one long each, at most, whatever the input.
+BITMAP = 1 << 26
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="asofledger-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
+def bitmap(keys: DataFrame) -> DataFrame:
+    """The keys (one column, key) hashed to BITMAP bits: word and bits, 16 MB at most however many keys there are."""
+    at = F.pmod(F.xxhash64("key"), F.lit(BITMAP))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    return materialize(keys.groupBy(F.shiftright(at, 6).alias("word")).agg(F.bit_or(bit).alias("bits")), "bitmap")
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def split_by(rows: DataFrame, key: str, marks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose key is certainly not in a bitmap, found without a shuffle, and all others. A crowded bitmap gives more of the latter, never fewer."""
+    word, bits = (free_name(rows, n) for n in ("__word", "__bits"))
+    at = F.pmod(F.xxhash64(key), F.lit(BITMAP))
+    found = rows.withColumn(word, F.shiftright(at, 6)).join(F.broadcast(marks.select(F.col("word").alias(word), F.col("bits").alias(bits))), word, "left")
+    hit = F.coalesce(F.getbit(bits, at.bitwiseAND(F.lit(63)).cast("int")) == 1, F.lit(False))
+    return found.where(~hit).drop(word, bits), found.where(hit).drop(word, bits)
 
 
 def clean_text(col: str | Column) -> Column:

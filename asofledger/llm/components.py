@@ -5,19 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
+
+
+def _least(edges: DataFrame) -> DataFrame:
+    """u and m, the smaller one of u and its smallest neighbour: one row per node, written, so that a hub's edges meet it in a join of two shuffles, which skew handling splits."""
+    return materialize(edges.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
 
 
 def _large(edges: DataFrame) -> DataFrame:
     """Link each node's larger neighbours to its smallest one."""
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+    return both.where("v > u").join(_least(both), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Link each node and its smaller neighbours to the smallest of them; edges have u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = _least(edges)
     moved = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.union(least.select("u", F.col("m").alias("v"))).where("u <> v")
 
@@ -25,13 +29,17 @@ def _small(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """edges (u long, v long) -> (node, root): the smallest node that each node of an edge reaches.
 
-    Rounds grow with the logarithm of a component's length. A hub's edges are joined to one row of its minimum, which skew-join handling
-    can split; each round is written to the shared folder, and only an edge count and a hash of the edges go to the driver. No edges give no rows.
+    Rounds grow with the logarithm of a component's length. Minima are summed up map-side; a hub's edges are joined to its one row of a written table. Each round is written to the shared folder in place of
+    the one before, and only an edge count and a hash of the edges go to the driver. No edges give no rows.
     """
     edges = materialize(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
     while True:
-        edges = materialize(_small(_large(edges)).distinct(), "edges")
+        larger = materialize(_large(edges), "larger")
+        after = materialize(_small(larger).distinct(), "edges")
+        discard(larger)
+        discard(edges)
+        edges = after
         now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if tuple(now) == seen or not now[0]:
             break

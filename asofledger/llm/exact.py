@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import clean_text, free_name, materialize
+from .common import bitmap, clean_text, free_name, materialize, split_by
 
 #: Digests of a bucket, about: 50 bytes each in the hash, some 300 while it is built.
 BUCKET_KEYS = 50_000
@@ -126,9 +126,18 @@ def verdicts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut:
 
 
 def keep_first(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df without the rows whose text equals that of a row with a smaller id, and without repeats of a row's id and text."""
-    digest, own, sha = (free_name(df, n) for n in ("__digest", "__own", "__sha"))
-    marked = df.withColumn(digest, text_digest(clean_text(f"`{text_col}`")))
-    stay = verdicts(df, id_col, text_col).where("kept").select(F.col(f"`{id_col}`").alias(own), F.unhex("text_sha256").alias(sha)).distinct()
-    same = (F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(own))) & (F.col(digest) == F.col(sha))
-    return marked.join(stay, same).drop(own, sha).dropDuplicates([id_col, digest]).select(*[f"`{c}`" for c in df.columns])
+    """df without the rows whose text equals that of a row with a smaller id, and without repeats of a row's id and text.
+
+    Only rows whose text occurs more than once (and the few that a bitmap takes for such) are shuffled; all others are passed on where they are read.
+    """
+    digest, unknown, number = (free_name(df, n) for n in ("__digest", "__unknown", "__number"))
+    own = F.col(f"`{id_col}`").cast("long")
+    marked = df.withColumns({digest: text_digest(clean_text(f"`{text_col}`")), unknown: own.isNull(), number: F.coalesce(own, F.lit(0))})
+    kept = verdicts(df, id_col, text_col).where("kept").select(F.unhex("text_sha256").alias(digest), F.col(f"`{id_col}`").isNull().alias(unknown), F.coalesce(F.col(f"`{id_col}`"), F.lit(0)).alias(number), "group_size")
+    winners = materialize(kept.dropDuplicates([digest, unknown, number]), "winners")
+    marks = bitmap(winners.where("group_size > 1").select(F.col(digest).alias("key")))
+    alone, rest = split_by(marked, digest, marks)
+    _, deciding = split_by(winners, digest, marks)
+    first = rest.dropDuplicates([digest, unknown, number]).join(deciding.drop("group_size"), [digest, unknown, number], "left_semi")
+    cols = [f"`{c}`" for c in df.columns]
+    return alone.select(*cols).unionByName(first.select(*cols))

@@ -6,11 +6,11 @@ pages, give each node the odds that its subtree holds main text. Decoding is hie
 largest sum of log odds is taken, so an ancestor and its descendants never contradict. Text below open nodes only is kept: white space inside a block becomes one space, blocks are joined by a
 line feed. Pages are independent: one pass, no shuffle; the trees (a few kB) are what executors get.
 
-Learning. At most FIT_PAGES pages (in expectation), by a hash of their ids. Their nodes are labelled by what the markup itself says: inside article or main, and not below what is named or
+Learning. At most FIT_PAGES pages, and of them no more than have FIT_NODES nodes together (both in expectation), by a hash of their ids; the page's size is bounded by PAGE_NODES there, and nowhere else. Their nodes are labelled by what the markup itself says: inside article or main, and not below what is named or
 marked as navigation, header, footer, aside, advert, notice, form, comment or script. VARIANTS copies of each page, whose closed parts get other names and places and whose main element may lose its
 name, are learnt from as well, so that no template is learnt by heart. Each tree sees a part of the features, so that no single hint decides.
 
-Cases. Null html counts as empty; a page without text gives ''. Character references are decoded as browsers do; unfinished markup at the end is read as far as it goes. Repeated rows are extracted each; very long
+Cases. Null html counts as empty; a page without text gives ''. Character references are decoded as browsers do; a tag that the page's end cuts off is left out, as browsers do; reading takes time in proportion to the page, however deep or broken it is. Repeated rows are extracted each; very long
 pages are one row; empty tables give empty ones; columns named like an output are replaced.
 """
 
@@ -26,12 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, small_batches
+from .common import add_columns, materialize
 
 #: Pages that the trees are fitted on, at most (in expectation: pages are taken by a hash).
 FIT_PAGES = 800
 #: Varied copies of each of them that are learnt from besides.
 VARIANTS = 3
+#: Nodes that the trees are fitted on, at most (in expectation), and nodes of a page that is learnt from.
+FIT_NODES, PAGE_NODES = 60_000, 4_000
+#: Trees deeper than this are walked node by node instead of level by level.
+DEEP = 256
 TREES, DEPTH, RATE, SHARE, BINS, LEAF = 60, 4, 0.2, 0.7, 32, 40
 
 # Element kinds of HTML.
@@ -51,8 +55,12 @@ BOILER = frozenset("ad ads advert advertisement adsense banner sponsor sponsored
 CONTENT = frozenset("article content main post entry body story text prose page blog news document".split())
 CLOSED_KINDS = tuple(KIND_NAMES.index(k) for k in ("nav", "edge", "aside", "form", "hidden"))
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))|([^\s=/"'>]+)""")
+# Attributes as browsers read them: a name, and a value in quotes or up to white space or >. A value without quotes may hold quotes; a quote that is never closed is part of a name. All parts are possessive,
+# so a tag is read in one pass whatever it holds, and one that the page's end cuts off gives an empty last group.
+_ATTRIBUTE = r"""[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'>])[^\s>]++)?+)?+"""
+TOKEN = re.compile(rf"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[\s/]++|{_ATTRIBUTE})*+)(>?)", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|((?!["'>])[^\s>]++))?+)?+""")
+CLOSED_ITSELF = re.compile(r"""(?:^|[\s"'])/$""")
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 
@@ -77,7 +85,7 @@ def attribute_marks(attrs: str) -> tuple[int, int, int]:
     """How many boilerplate and content tokens class, id and role hold, and whether the element is hidden."""
     boiler = content = hidden = 0
     for m in ATTRIBUTE.finditer(attrs):
-        name, value = (m[1] or m[5]).lower(), m[2] or m[3] or m[4] or ""
+        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id", "role", "itemprop", "aria-label"):
             tokens = {p.lower() for p in PARTS.findall(value)}
             boiler += len(tokens & BOILER)
@@ -87,48 +95,60 @@ def attribute_marks(attrs: str) -> tuple[int, int, int]:
     return boiler, content, hidden
 
 
-def parse(page: str) -> Dom:
-    dom, stack, at = Dom(), [0], 0
-    tags, runs = dom.tag, dom.runs
-
-    def close(names, scope=SCOPES) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            tag = tags[stack[i]]
-            if tag in names:
-                del stack[i:]
-                return
-            if tag in scope:
-                return
+class Open:
+    """The open elements, with the places at which each tag stands among them, so that closing costs what it closes."""
+
+    def __init__(self):
+        self.stack, self.tags, self.places = [0], ["#root"], {}
+
+    def push(self, tag: str, node: int) -> None:
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append(node)
+        self.tags.append(tag)
+
+    def last(self, tags) -> int:
+        """The highest place of any of tags; 0 without one."""
+        return max((own[-1] for t in tags if (own := self.places.get(t))), default=0)
+
+    def close(self, tags, scope=frozenset()) -> None:
+        """Close the innermost of tags and all that it holds, unless an element of scope stands between."""
+        at = self.last(tags)
+        if at > self.last(scope):
+            while len(self.stack) > at:
+                self.stack.pop()
+                self.places[self.tags.pop()].pop()
 
+
+def parse(page: str) -> Dom:
+    dom, opened, at = Dom(), Open(), 0
+    stack, runs = opened.stack, dom.runs
     while m := TOKEN.search(page, at):
         if m.start() > at:
             runs.append((stack[-1], html.unescape(page[at : m.start()])))
         at = m.end()
-        if m[2] is None:
+        if m[2] is None or not m[4]:
             continue
         tag = m[2].lower()
         if m[1]:
-            if any(tags[i] == tag for i in stack):
-                while tags[stack.pop()] != tag:
-                    pass
+            opened.close((tag,))
             continue
         if tag in CLOSES_P:
-            close({"p"})
+            opened.close(("p",), SCOPES)
         if tag in CLOSED_BY:
-            close(CLOSED_BY[tag], SCOPES - CLOSED_BY[tag])
+            opened.close(CLOSED_BY[tag], SCOPES - CLOSED_BY[tag])
         new = dom.add(tag, stack[-1], m[3])
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCKS:
+        if tag in VOID or tag not in BLOCKS and CLOSED_ITSELF.search(m[3]):
             if tag == "br":
                 runs.append((new, "\n"))
             continue
-        stack.append(new)
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             body = page[at : end.start() if end else len(page)]
             if body:
                 runs.append((new, body if tag in ("script", "style") else html.unescape(body)))
             at = end.end() if end else len(page)
-            stack.pop()
+            continue
+        opened.push(tag, new)
     if at < len(page):
         runs.append((stack[-1], html.unescape(page[at:])))
     return dom
@@ -137,6 +157,33 @@ def parse(page: str) -> Dom:
 FEATURES = [f"is_{k}" for k in KIND_NAMES] + [f"under_{k}" for k in KIND_NAMES] + ["boiler", "content", "hidden", "boiler_above", "content_above", "marked", "marked_above", "depth", "place", "siblings", "children", "text", "words", "links", "tags", "stops", "share", "sibling_text", "before"]
 
 
+def _sum_up(sums: tuple[np.ndarray, ...], parent: np.ndarray) -> None:
+    """Add each node's numbers to its parent's, children first: a parent stands before its children."""
+    up = parent.tolist()
+    for a in sums:
+        total = a.tolist()
+        for i in range(len(up) - 1, -1, -1):
+            if up[i] != i:
+                total[up[i]] += total[i]
+        a[:] = total
+
+
+def _hand_down(out: np.ndarray, parent: np.ndarray, kind: np.ndarray) -> None:
+    """Fill the features of what stands above each node, parents first."""
+    k, base = len(KIND_NAMES), 2 * len(KIND_NAMES)
+    under = [0] * len(parent)
+    above = out[:, [base, base + 1, base + 5]].tolist()  # boilerplate tokens, content tokens, marked
+    best = [[0.0, 0.0, 0.0] for _ in above]
+    for i, (p, own) in enumerate(zip(parent.tolist(), kind.tolist())):
+        if p != i:
+            under[i] = under[p] | 1 << int(kind[p])
+            best[i] = [max(x, y) for x, y in zip(best[p], above[p])]
+    bits = np.array(under, dtype=np.int64)
+    out[:, k:base] = bits[:, None] >> np.arange(k) & 1
+    out[:, base + 3 : base + 5] = np.array(best)[:, :2]
+    out[:, base + 6] = np.array(best)[:, 2]
+
+
 def describe(doms: list[Dom]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A row of FEATURES for each node of all pages, the pages' n + 1 offsets in the rows, and each row's parent row."""
     k = len(KIND_NAMES)
@@ -157,10 +204,14 @@ def describe(doms: list[Dom]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     running = np.cumsum(text) - text
     before = running - running[offsets[:-1]].repeat(np.diff(offsets))
     order = np.argsort(depth, kind="stable")
-    levels = np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max()) + 1))) if n else []
+    deep = n > 0 and int(depth.max()) > DEEP
+    levels = np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max()) + 1))) if n and not deep else []
+    sums = (text, words, links, stops, tags)
     for rows in levels[:0:-1]:
-        for a in (text, words, links, stops, tags):
+        for a in sums:
             np.add.at(a, parent[rows], a[rows])
+    if deep:
+        _sum_up(sums, parent)
     out = np.zeros((n, len(FEATURES)), dtype=np.float32)
     out[np.arange(n), kind] = 1
     base = 2 * k
@@ -172,6 +223,8 @@ def describe(doms: list[Dom]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         out[rows, k:base] = np.maximum(out[up, k:base], out[up, :k])
         out[rows, base + 3 : base + 5] = np.maximum(out[up, base + 3 : base + 5], out[up, base : base + 2])
         out[rows, base + 6] = np.maximum(out[up, base + 6], out[up, base + 5])
+    if deep:
+        _hand_down(out, parent, kind)
     whole = np.maximum(1, text[offsets[:-1]]).repeat(np.diff(offsets))
     siblings = children[parent]
     rest = (depth, joined("place"), siblings, children, np.log1p(text), np.log1p(words), links / np.maximum(text, 1), tags / np.maximum(words, 1), stops / np.maximum(words, 1), text / whole, text[parent] / np.maximum(siblings, 1) / whole, before / whole)
@@ -333,24 +386,30 @@ def main_texts(pages: list[str], model: dict) -> list[str]:
 
 
 def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> dict | None:
-    """Trees fitted on a bounded sample of pages; None without any page."""
-    small_batches(pages.sparkSession)
+    """Trees fitted on a bounded sample of pages; None without any page. Pages of more than PAGE_NODES nodes are not learnt from."""
     total = pages.count()
     rows = pages.select(F.xxhash64(f"`{id_col}`").alias("h"), F.col(f"`{html_col}`").alias("__html"))
+    place = F.pmod("h", F.lit(1 << 30))
     if total > FIT_PAGES:
-        rows = rows.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * (FIT_PAGES / total)))
+        rows = rows.where(place < int((1 << 30) * (FIT_PAGES / total)))
 
     def extract(texts: pa.Array) -> list[pa.Array]:
         made = []
         for page in texts.to_pylist():
             dom = parse(page or "")
+            if len(dom.tag) > PAGE_NODES:
+                made.append(b"")
+                continue
             label, rng = teach(dom), np.random.default_rng(len(page or ""))
             both = [(dom, label), *(vary(dom, label, rng) for _ in range(VARIANTS))]
             x, offsets, _ = describe([d for d, _ in both])
             made.append(np.delete(np.column_stack([x, np.concatenate([y for _, y in both])]), offsets[:-1], axis=0).astype(np.float32).tobytes())
         return [pa.array(made, pa.binary())]
 
-    made = add_columns(rows, "__html", [("rows", T.BinaryType(), pa.binary())], extract, keep=["h"])
+    made = materialize(add_columns(rows, "__html", [("rows", T.BinaryType(), pa.binary())], extract, keep=["h"]), "nodes")
+    nodes = (made.agg(F.sum(F.length("rows"))).first()[0] or 0) / (4 * (len(FEATURES) + 1))
+    if nodes > FIT_NODES:
+        made = made.where(place < int((1 << 30) * min(1.0, FIT_PAGES / total) * FIT_NODES / nodes))
 
     def train(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("h", kind="stable")
@@ -370,6 +429,5 @@ def fit(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> di
 def extract(pages: DataFrame, model: dict | None = None, id_col: str = "page_id", html_col: str = "html", out_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """pages (or its columns keep) with out_col, the main text; without a model, one is fitted on pages."""
     model = model or fit(pages, id_col, html_col)
-    small_batches(pages.sparkSession)
     step = lambda texts: [pa.array(main_texts([t or "" for t in texts.to_pylist()], model) if model else [""] * len(texts), pa.string())]
     return add_columns(pages, html_col, [(out_col, T.StringType(), pa.string())], step, keep)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, small_batches
+from .common import add_columns
 
 # Phrases whose places count as they are, and notices with the label that each one gives.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -211,7 +211,6 @@ def search(joined: str) -> list[tuple[str, int, int, int, bool, float]]:
 
 def scan(df: DataFrame, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """df (or its columns keep) with n_words and found: array<struct<label, first, last, edits, base, similarity>>, places in words."""
-    small_batches(df.sparkSession)
 
     def step(texts: pa.Array) -> list[pa.Array]:
         joined = [words(t or "") for t in texts.to_pylist()]

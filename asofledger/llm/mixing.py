@@ -28,6 +28,11 @@ def place(id_col: str) -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit("")).cast("binary")), 1, PLACE_BITS // 4), 16, 10).cast("long")
 
 
+def block_bits(rows: int) -> int:
+    """Leading bits of a place that name a block of about BLOCK_ROWS rows."""
+    return max(0, min(30, math.ceil(math.log2(max(1, rows) / BLOCK_ROWS))))
+
+
 def tokens(text_col: str) -> Column:
     return F.regexp_count(clean_text(f"`{text_col}`"), F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
 
@@ -70,8 +75,7 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     """One row per source: source, n_tokens, weight, quota, passes, last_place (a row gets a copy more if its place is at most that)."""
     rows = docs.select(F.col(f"`{source_col}`").alias("source"), place(id_col).alias("place"), tokens(text_col).alias("n"))
     rows = materialize(rows, "places")
-    total = rows.count()
-    bits = max(0, min(30, math.ceil(math.log2(max(1, total) / BLOCK_ROWS))))
+    bits = block_bits(rows.count())
     block = F.shiftright("place", PLACE_BITS - bits)
     blocks = materialize(rows.groupBy("source", block.alias("block")).agg(F.sum("n").alias("n")), "blocks")
     sources = materialize(blocks.groupBy("source").agg(F.sum("n").alias("n")), "sources")
@@ -96,11 +100,18 @@ def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     return materialize(found, "plan")
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", pass_col: str = "mix_pass", **targets) -> DataFrame:
-    """docs with each row as often as its source's quota says, and pass_col, 1 for a row's first copy. targets: those of plan()."""
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", pass_col: str = "mix_pass", block_col: str | None = None, place_col: str | None = None, **targets) -> DataFrame:
+    """docs with each row as often as its source's quota says, and pass_col, 1 for a row's first copy. targets: those of plan().
+
+    The mixture's order is that of pass_col, then block_col, then place_col (each of the latter two is added if it is named): blocks run through all sources at once, and a row's place in its block is a random one.
+    """
     own, name, passes, last = (free_name(docs, n) for n in ("__place", "__source", "__passes", "__last"))
     made = plan(docs, id_col, text_col, source_col, **targets).select(F.col("source").alias(name), F.col("passes").alias(passes), F.col("last_place").alias(last))
     placed = docs.withColumn(own, place(id_col)).join(made, F.col(f"`{source_col}`").eqNullSafe(F.col(name)))
     copies = (F.col(passes) + (F.col(own) <= F.col(last)).cast("long")).cast("int")
-    cols = [F.col(f"`{c}`") for c in docs.columns if c.lower() != pass_col.lower()]
-    return placed.where(copies > 0).select(*cols, F.explode(F.sequence(F.lit(1), copies)).alias(pass_col))
+    added = {place_col: F.col(own)} if place_col else {}
+    if block_col:
+        added[block_col] = F.shiftright(own, PLACE_BITS - block_bits(docs.count()))
+    new = {c.lower() for c in (pass_col, *added)}
+    cols = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
+    return placed.where(copies > 0).select(*cols, *[v.alias(k) for k, v in added.items()], F.explode(F.sequence(F.lit(1), copies)).alias(pass_col))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, release, small_batches
+from .common import add_columns, release
 
 #: Distinct chunks that a task's table holds before it starts anew.
 TABLE_CHUNKS = 200_000
@@ -134,14 +134,12 @@ def encode_batch(texts: pa.Array, model_file: str, state: dict) -> pa.Array:
 
 def encode(df: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
     """df (or its columns keep) with ids_col: array<int>, begin and end ids included."""
-    small_batches(df.sparkSession)
     state: dict = {}
     return add_columns(df, text_col, [(ids_col, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))], lambda texts: [encode_batch(texts, model_file, state)], keep)
 
 
 def decode(df: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """df with text_col: the text of ids_col; null ids count as none and give ''. Ids outside the vocabulary raise."""
-    small_batches(df.sparkSession)
     kept = [c for c in df.columns if c.lower() != text_col.lower()]
     given = df.select(*[F.col(f"`{c}`") for c in kept])
     schema = T.StructType([*given.schema.fields, T.StructField(text_col, T.StringType())])

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, materialize, small_batches, text_bytes
+from .common import add_columns, materialize, text_bytes
 from .wordhash import mix, span_hashes, word_spans
 
 # Frequent function words of each language.
@@ -72,17 +72,26 @@ def _repeats(keys: np.ndarray) -> np.ndarray:
     return n[back] > 1
 
 
+def byte_counts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """How often each byte stands in each text."""
+    out = np.zeros((len(offsets) - 1, 256), dtype=np.int64)
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        for at in range(a, b, 1 << 20):
+            out[i] += np.bincount(data[at : min(b, at + (1 << 20))], minlength=256)
+    return out
+
+
 def measure(texts: pa.Array) -> list[pa.Array]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and both histograms of each text."""
     data, offsets = text_bytes(texts)
     n = len(texts)
-    of_byte = np.repeat(np.arange(n), np.diff(offsets))
     space = _SPACE[data]
     starts, ends, own = word_spans(~space, offsets)
     n_words = np.bincount(own, minlength=n)
-    classes = np.bincount(of_byte * 11 + _CLASS[data], minlength=11 * n).reshape(n, 11)[:, :10]
+    of_byte = byte_counts(data, offsets)
+    classes = np.stack([of_byte[:, _CLASS == k].sum(axis=1) for k in range(len(CLASSES))], axis=1)
     word_chars = classes.sum(axis=1) - classes[:, 3]
-    symbols = np.bincount(of_byte[_SYMBOL[data]], minlength=n)
+    symbols = of_byte[:, _SYMBOL].sum(axis=1)
 
     word = span_hashes(data, starts, ends)
     repeated = np.zeros(n, dtype=np.int64)
@@ -101,7 +110,7 @@ def measure(texts: pa.Array) -> list[pa.Array]:
 
     lines, line_ends, line_own = word_spans(data != 10, offsets)
     if len(lines):
-        wordy = np.add.reduceat((~space).astype(np.int64), lines) > 0 if len(data) else np.zeros(0, dtype=bool)
+        wordy = np.logical_or.reduceat(~space, lines)
         lines, line_ends, line_own = lines[wordy], line_ends[wordy], line_own[wordy]
     key = mix(span_hashes(data, lines, line_ends) + mix(line_own.astype(np.uint64) + np.uint64(11)))
     first = np.unique(key, return_index=True)[1]
@@ -153,7 +162,6 @@ def base_failed() -> Column:
 
 def assess(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per row of df: its id, the counts, char_distance, word_distance, base_failed and kept."""
-    small_batches(df.sparkSession)
     lang = F.when(F.col(f"`{lang_col}`").isin(*COMMON), F.col(f"`{lang_col}`")).otherwise(F.lit("other"))
     given = df.select(F.col(f"`{id_col}`").alias("__id"), lang.alias("__lang"), F.col(f"`{text_col}`").alias("__t"))
     rows = materialize(add_columns(given, "__t", FIELDS, measure, keep=["__id", "__lang"]), "quality")

@@ -18,46 +18,57 @@ def tokenizer_file() -> str:
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded: doc_id, n_tokens, ids_sha256, decoded_sha256. Null text counts as empty; repeated rows give a row each."""
     return pieces.round_trip_digests(table(spark, sf_dir, "documents"), tokenizer_file())
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of every document: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_named. Null text has none; repeated rows give a row each."""
     return secrets.digest(table(spark, sf_dir, "documents"))
 
 
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and notices of every document, places in words. Null text has no words; repeated rows give a row each."""
     return licenses.summary(table(spark, sf_dir, "documents"))
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """keep_id, group_size, kept and text_sha256 of every document; null text is empty text, and of equal texts the smallest doc_id stays."""
     return exact.verdicts(table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's quota says, with its pass, block and place in the mixture; null text has no tokens, null source is a source."""
     docs = table(spark, sf_dir, "documents")
-    return mixing.mix(docs.select("doc_id", "text", "source")).select("doc_id", "source", "mix_pass")
+    made = mixing.mix(docs.select("doc_id", "text", "source"), block_col="mix_block", place_col="mix_place")
+    return made.select("doc_id", "source", "mix_pass", "mix_block", "mix_place")
 
 
 def op6_toolcalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls and results of every conversation, linked and levelled, as canonical JSON; a table without written calls gives those of its user turns."""
     return toolcalls.format_calls(table(spark, sf_dir, "conversations"))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """held_out, score and predicted of every document; null and empty texts score as the bias says."""
     made = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
     return made.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fingerprint and component_id of every document; null and empty texts have fingerprint zero and are linked."""
     made = simhash.near_classes(table(spark, sf_dir, "documents"))
     return made.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base_failed, kept and both distances of every document; null text has no words and fails."""
     made = quality.assess(table(spark, sf_dir, "documents"))
     return made.withColumns({c: F.round(c, 9) for c in ("char_distance", "word_distance")})
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page, '' for null html or a page without text; repeated rows give a row each."""
     return htmltext.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
@@ -109,8 +120,11 @@ SQL: dict[str, str] = {
         w AS (SELECT max(pow(n, 1 - a)) AS widest FROM t, e WHERE n > 0),
         q AS (SELECT source, n, CASE WHEN n > 0 THEN CAST(floor(pow(n, a) * widest + 0.5) AS BIGINT) ELSE 0 END AS quota FROM t, e, w),
         p AS (SELECT source, CASE WHEN n > 0 THEN quota // CAST(n AS BIGINT) ELSE 1 END AS passes, CASE WHEN n > 0 THEN quota % CAST(n AS BIGINT) ELSE 0 END AS rest FROM q),
-        c AS (SELECT doc_id, source, coalesce(sum(n) OVER (PARTITION BY source ORDER BY place RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached FROM d)
-        SELECT doc_id, c.source, CAST(unnest(range(1, passes + CASE WHEN reached < rest THEN 2 ELSE 1 END)) AS INTEGER) AS mix_pass
+        g AS (SELECT source, place, sum(n) AS n FROM d GROUP BY source, place),
+        h AS (SELECT source, place, coalesce(sum(n) OVER (PARTITION BY source ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached FROM g),
+        b AS (SELECT greatest(0, least(30, CAST(ceil(log2(greatest(1, count(*)) / 4096.0)) AS INTEGER))) AS bits FROM d),
+        c AS (SELECT doc_id, d.source, d.place, reached FROM d JOIN h ON d.source IS NOT DISTINCT FROM h.source AND d.place = h.place)
+        SELECT doc_id, c.source, CAST(unnest(range(1, passes + CASE WHEN reached < rest THEN 2 ELSE 1 END)) AS INTEGER) AS mix_pass, place >> (60 - (SELECT bits FROM b)) AS mix_block, place AS mix_place
         FROM c JOIN p ON c.source IS NOT DISTINCT FROM p.source""",
     "op6_toolcalls": r"""
         WITH f AS (SELECT conv_id, min(turn) AS first FROM conversations WHERE role = 'user' GROUP BY conv_id),

@@ -1,12 +1,13 @@
 """Secret scans by assignment-aware lexing.
 
-Method. Whole texts are lexed into name-literal pairs as source and configuration files write them (name = "..", name: '..', name := .., "name" => .., export NAME=..,
+Method. Whole texts are lexed into assignments as source and configuration files write them (name = "..", name: '..', name := .., "name" => .., export NAME=.., name: Type = ..,
 <name>..</name> and --name=..). Constants are propagated: a name that stands on the right of a later assignment, also inside a concatenation with + or . or an
-interpolation ${NAME}, brings its literals with it. A pair's literal is scored by the sensitivity of the target name's parts (api_key, privateKey, DB-PASSWORD) and by the
-literal's length, alphabet and entropy; placeholders score nothing. A literal that scores LEAST or more gives a span of kind named, unless a base span covers it.
+interpolation ${NAME}, refers to its latest assignment and brings all literals that reach that one. A literal is scored by the sensitivity of the target name's parts (api_key, privateKey, DB-PASSWORD) and by the
+length, alphabet and entropy of what the assignment joins; placeholders score nothing. Where the score is LEAST ** 2 or more, all literals that reach the assignment give a span of kind named, unless a base span
+covers them. References are kept as references, and what a chain of them joins is summed up as counts of characters, so time and memory follow the text's length however constants are joined.
 The base patterns (assign, access, hex) run over the same text, and their spans are always reported.
 
-Cases. Null text counts as empty and has no spans. Spans are in code points, end exclusive. Repeated rows are scanned each; very long texts are one row; empty tables give
+Cases. Null text counts as empty and has no spans. Spans are in code points, end exclusive. Names and literals of any length count. Repeated rows are scanned each; very long texts are one row; empty tables give
 empty ones; columns named like an output are replaced.
 """
 
@@ -14,14 +15,17 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, small_batches
+from .common import add_columns
 
 KINDS = ("assign", "access", "hex", "named")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -30,9 +34,9 @@ HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"[0-9a-f]{16}")
 
 #: A pair: a name, an operator, and the right side's terms up to the end of the statement.
-PAIR = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][\w.-]*+)["']?[\x20\t]*(?::[\x20\t]*[A-Za-z_][\w\[\], ]{0,40}?[\x20\t]*(?==[^=]))?(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?=["'`A-Za-z0-9$+/_-])""", re.A)
+PAIR = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][\w.-]*+)["']?[\x20\t]*(?::[\x20\t]*+[A-Za-z_][\w\[\],.|\x20\t]*+(?==[^=]))?(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?=["'`A-Za-z0-9$+/_-])""", re.A)
 TAG = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>\s]{8,}+)</\1>", re.A)
-TERM = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z0-9+/_.=$-]+)""", re.A)
+TERM = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*)`|([A-Za-z0-9+/_.=$-]+)""", re.A)
 JOIN = re.compile(r"[\x20\t]*[+.][\x20\t]*(?=[\"'`A-Za-z_])", re.A)
 INNER = re.compile(r"\$\{?([A-Za-z_]\w*)\}?", re.A)
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", re.A)
@@ -41,8 +45,10 @@ PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", re.A)
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "passphrase": 1.0, "pwd": 0.9, "secret": 1.0, "token": 0.9, "apikey": 1.0, "credential": 0.9, "credentials": 0.9, "auth": 0.5, "bearer": 0.8, "signature": 0.5, "salt": 0.5, "dsn": 0.5}
 SENSITIVE_PAIRS = {"api key": 1.0, "access key": 1.0, "private key": 1.0, "secret key": 1.0, "auth key": 0.9, "encryption key": 0.9, "signing key": 0.9, "client key": 0.7, "account key": 0.9, "connection string": 0.7}
 #: Words of up to five letters stand in long random keys by chance, so they count only where no letter or digit adjoins them.
-PLACEHOLDER = re.compile(r"change_?me|example|placeholder|<.*>|^\$|\.\.\.|(?<![A-Z0-9])(?:your[_-]|(?:dummy|x{4,}|todo|none|null|true|false)(?![A-Z0-9]))", re.I | re.A)
+PLACEHOLDER = re.compile(r"change_?me|example|placeholder|<[^<>\n]*>|^\$|\.\.\.|(?<![A-Z0-9])(?:your[_-]|(?:dummy|x{4,}|todo|none|null|true|false)(?![A-Z0-9]))", re.I | re.A)
 LEAST, LITERAL_LEAST = 0.6, 8
+#: Beyond so many characters the counts of joined literals are scaled down; shares and so scores stay.
+MOST_COUNTED = 1 << 20
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -51,43 +57,90 @@ def name_score(name: str) -> float:
     return max([0.0, *(SENSITIVE.get(p, 0.0) for p in parts), *(SENSITIVE_PAIRS.get(f"{a} {b}", 0.0) for a, b in zip(parts, parts[1:]))])
 
 
-def literal_score(value: str) -> float:
-    """0 to 1: how far a literal looks like key material."""
-    if len(value) < LITERAL_LEAST or PLACEHOLDER.search(value) or " " in value:
-        return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    kinds = sum(any(f(c) for c in counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
-    return min(1.0, entropy / 4) * (0.55 + 0.15 * kinds if kinds > 1 else 0.4)
+@dataclass
+class Assignment:
+    """A name with the places of the literals that it joins itself, and the numbers of the earlier assignments that it joins."""
 
+    name: str
+    places: list[tuple[int, int]] = field(default_factory=list)
+    refs: list[int] = field(default_factory=list)
 
-def pairs(text: str) -> list[tuple[str, list[tuple[int, int]]]]:
-    """Names with the places of the literals that reach them, constants propagated in the order of the text."""
-    known: dict[str, list[tuple[int, int]]] = {}
-    found = []
+
+def assignments(text: str) -> list[Assignment]:
+    """All assignments in the order of the text, tags last."""
+    known: dict[str, int] = {}
+    found: list[Assignment] = []
     at = 0
     while m := PAIR.search(text, at):
-        name, places, at = m[1], [], m.end()
+        made, at = Assignment(m[1]), m.end()
         while t := TERM.match(text, at):
             at = t.end()
             group = next((g for g in (1, 2, 3) if t.start(g) >= 0), 4)
             word = t[group]
-            if group == 4 and word in known:
-                places += known[word]
-            else:
-                inner = [p for x in INNER.findall(word) if x in known for p in known[x]]
-                places += inner or [t.span(group)]
+            inner = [known[word]] if group == 4 and word in known else [known[x] for x in INNER.findall(word) if x in known]
+            made.refs += inner
+            if not inner:
+                made.places.append(t.span(group))
             j = JOIN.match(text, at)
             if not j:
                 break
             at = j.end()
         at = max(at, m.end())
-        known[name] = places
-        found.append((name, places))
-    found += [(m[1], [m.span(2)]) for m in TAG.finditer(text)]
+        made.refs = list(dict.fromkeys(made.refs))
+        known[made.name] = len(found)
+        found.append(made)
+    found += [Assignment(m[1], [m.span(2)]) for m in TAG.finditer(text)]
     return found
 
 
+@dataclass
+class Joined:
+    """What literals look like when they are joined: how often each character occurs, and whether a placeholder or a space rules them out."""
+
+    counts: Counter
+    ruled_out: bool
+
+    @staticmethod
+    def of(value: str) -> Joined:
+        return Joined(Counter(value), " " in value or bool(PLACEHOLDER.search(value)))
+
+    def add(self, other: Joined) -> None:
+        self.counts.update(other.counts)
+        self.ruled_out |= other.ruled_out
+        if (total := self.counts.total()) > MOST_COUNTED:  # only shares matter by then
+            self.counts = Counter({c: max(1, n * (MOST_COUNTED // 2) // total) for c, n in self.counts.items()})
+
+    def score(self) -> float:
+        """0 to 1: how far this looks like key material."""
+        total = self.counts.total()
+        if total < LITERAL_LEAST or self.ruled_out:
+            return 0.0
+        entropy = -sum(n / total * math.log2(n / total) for n in self.counts.values())
+        kinds = sum(any(f(c) for c in self.counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
+        return min(1.0, entropy / 4) * (0.55 + 0.15 * kinds if kinds > 1 else 0.4)
+
+
+def named_places(text: str) -> set[tuple[int, int]]:
+    """Places of the literals that reach a name whose sensitivity and value score enough."""
+    found = assignments(text)
+    weights = [name_score(a.name) for a in found]
+    needed, hit = [w > 0 for w in weights], [False] * len(found)
+    for i in range(len(found) - 1, -1, -1):  # references point backwards
+        for r in found[i].refs if needed[i] else ():
+            needed[r] = True
+    joined: dict[int, Joined] = {}
+    for i, made in enumerate(found):
+        if needed[i]:
+            joined[i] = Joined.of("".join(text[a:b] for a, b in made.places))
+            for r in made.refs:
+                joined[i].add(joined[r])
+            hit[i] = weights[i] * joined[i].score() >= LEAST * LEAST
+    for i in range(len(found) - 1, -1, -1):
+        for r in found[i].refs if hit[i] else ():
+            hit[r] = True
+    return {(a, b) for made, on in zip(found, hit) if on for a, b in made.places if b > a}
+
+
 def spans(text: str) -> list[tuple[str, int, int]]:
     """All spans of a text by start, then kind."""
     base = [("assign", *m.span()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 12]
@@ -95,19 +148,16 @@ def spans(text: str) -> list[tuple[str, int, int]]:
         base += [("access", *m.span()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 18]
     if HEX_LONG.search(text):
         base += [("hex", *m.span()) for m in HEX.finditer(text) if m.end() - m.start() >= 16]
-    named = set()
-    for name, places in pairs(text) if "=" in text or ":" in text or "</" in text else ():
-        weight = name_score(name)
-        if weight:
-            value = "".join(text[a:b] for a, b in places)
-            if weight * literal_score(value) >= LEAST * LEAST:
-                named |= {(a, b) for a, b in places if b > a and not any(x <= a and b <= y for _, x, y in base)}
+    named = named_places(text) if "=" in text or ":" in text or "</" in text else set()
+    if named and base:
+        base.sort(key=lambda s: s[1])
+        starts, reach = [s[1] for s in base], list(accumulate((s[2] for s in base), max))
+        named = {(a, b) for a, b in named if not (k := bisect_right(starts, a)) or reach[k - 1] < b}
     return sorted(base + [("named", a, b) for a, b in named], key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
 def scan(df: DataFrame, text_col: str = "text", out_col: str = "found", keep: list[str] | None = None) -> DataFrame:
     """df (or its columns keep) with out_col: array<struct<kind, start, end>>."""
-    small_batches(df.sparkSession)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
     step = lambda texts: [pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in spans(t or "")] for t in texts.to_pylist()], kind)]
     return add_columns(df, text_col, [(out_col, SPANS, kind)], step, keep)

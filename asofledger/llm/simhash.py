@@ -1,22 +1,30 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
-Method. A text's words are those of the text in lower case (A-Z), split at [space, \\t-\\r]; each run of SHINGLE words gives an XXH64, and
+Method (near_classes, keep_one). A text's words are those of the text in lower case (A-Z), split at [space, \\t-\\r]; each run of SHINGLE words gives an XXH64, and
 a fingerprint bit is set where over half of the hashes have it. Equal fingerprints are one node, so copies cost nothing further. Two fingerprints
 within RADIUS = 3 bits meet in the middle: each emits all variants within half the radius, that is itself and its
 64 single flips. As 3 is odd, the bit that is left over is met by blanking one block of BLOCK bits: for each of the 64 / BLOCK
 blocks a fingerprint emits its variants with that block blank (196 keys in all). Any two fingerprints at distance 3 or less share a key: blank the block
 of one differing bit, and flip one of the other two on each side. Keys are shuffled, and within a key every collision is verified by counting bits.
+A key of more than KEY_MOST rows is not searched where it is: its fingerprints are passed on and emit the keys of blocks of FINE bits, of which none can have more than
+(1 + 64 - FINE) * 2 ** FINE = 14,592 rows. The same argument holds for these, so nothing is lost, and no task holds more than that many rows of a key.
+A key gives a spanning star for each of its components rather than all pairs.
 
-A key's rows differ in at most one bit outside its block and in the block, so there are at most 49 * 2**16 of them however large
-the input is; large keys are searched exactly with a second meeting inside the key (see _links), never by all pairs beyond PAIRS_MOST
-rows, and a key gives a spanning star for each of its components rather than all pairs. Nothing is capped.
+Method (keep_dissimilar). Texts whose shingles of WIDE_SHINGLE words have a Jaccard similarity of SIMILAR differ in a share ERROR of their fingerprint bits (the angle of their shingle vectors), which is far
+beyond three of 64. There a fingerprint has more words of 64 bits: VERIFY of them verify, the others make tables. A table takes `bits` of them, and every fingerprint emits all variants within half of radius
+TABLE_RADIUS = 2 of these bits; colliding pairs are verified by counting the bits of the VERIFY words, of which VERIFY_BITS may differ. The bits of a table grow with the logarithm of the number of rows, so that
+strangers in a key stay about as many at any size; the number of tables follows from them, so that a pair of similarity SIMILAR meets with probability MEET. Keys of more than WIDE_MOST rows
+are passed on to tables with STEP_BITS more bits, with their own number of tables, until LAST_BITS. There, rows of a key agree in almost all bits, and each is compared with the key's first row.
 
 Cases. Null or empty texts have fingerprint zero and are linked like any other; fewer than SHINGLE words are one shingle. Null ids never become a
-component's id unless all its ids are null. Repeated rows get the same row each; empty tables give empty ones; extra columns are left alone.
+component's id unless all its ids are null. Repeated rows get the same row each; empty tables give empty ones; extra columns are left alone. Texts are one row whatever their length.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -24,12 +32,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, free_name, materialize, small_batches
+from .common import add_columns, bitmap, free_name, materialize, split_by
 from .components import components
+from .wordhash import mix
 
 SHINGLE, SEED, RADIUS, BLOCK = 3, 42, 3, 16
-#: Rows of a key that are compared pair by pair; a larger key is searched by local ball hashing.
-PAIRS_MOST = 1500
+FINE = 8
+#: Rows of a key that are compared where they are; larger keys are passed on to finer ones.
+KEY_MOST = 2048
+#: Rows up to which a group's pairs are compared at once; larger groups are searched from row to row.
+MATRIX_ROWS = 256
+
+WIDE_SHINGLE, SIMILAR, MEET, TABLE_RADIUS, STRANGERS = 5, 0.8, 0.95, 2, 200
+ERROR = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
+#: Words of a wide fingerprint that verify pairs, and how many of their bits may differ: at similarity SIMILAR 19 are expected, with a deviation of 4.
+VERIFY, VERIFY_BITS = 2, 25
+WIDE_MOST, STEP_BITS, LAST_BITS = 1 << 14, 10, 56
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FLIPS = [1 << i for i in range(64)]
 
@@ -60,20 +78,27 @@ def fingerprints(texts: list[bytes], width: int = SHINGLE) -> np.ndarray:
 
 def with_fingerprint(df: DataFrame, text_col: str = "text", out_col: str = "fp", keep: list[str] | None = None) -> DataFrame:
     """df (or its columns keep) with out_col, the fingerprint as a long."""
-    small_batches(df.sparkSession)
     return add_columns(df, text_col, [(out_col, T.LongType(), pa.int64())], lambda texts: [pa.array(fingerprints(texts.cast(pa.binary()).to_pylist()))], keep)
 
 
-def ball_keys() -> list[tuple[int, int]]:
+def ball_keys(size: int = BLOCK) -> list[tuple[int, int]]:
     """(kept bits, bits to set or flip) of every key that a fingerprint emits; a blanked block holds the block's tag."""
     made = []
-    for at in range(0, 64, BLOCK):
-        block = ((1 << BLOCK) - 1) << at
-        tag = ((0x9E37 + 0x1234 * (at // BLOCK)) & ((1 << BLOCK) - 1)) << at
+    for at in range(0, 64, size):
+        block = ((1 << size) - 1) << at
+        tag = ((0x9E37 + 0x1235 * (at // size)) & ((1 << size) - 1)) << at
         made += [(~block, tag)] + [(~block, tag ^ f) for f in FLIPS if not f & block]
     return [tuple(x - (1 << 64) if x >= 1 << 63 else x for x in (keep & ((1 << 64) - 1), flip)) for keep, flip in made]
 
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each row of a to each row of b; rows of uint64 words."""
+    out = np.zeros((len(a), len(b)), dtype=np.uint16)
+    for w in range(a.shape[1]):
+        out += np.bitwise_count(a[:, None, w] ^ b[None, :, w])
+    return out
+
+
 def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The smallest row that each of n rows reaches over the links a-b."""
     label = np.arange(n)
@@ -89,104 +114,213 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _links(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links among distinct fingerprints that connect whatever is within RADIUS: all of them up to PAIRS_MOST rows. Beyond, one side emits its
-    single flips, the other also the double flips within a half of the word, as two of any three bits share a half."""
-    n = len(fps)
-    if n <= PAIRS_MOST:
-        a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= RADIUS, 1))
-        return a, b
-    flips = np.array([0, *FLIPS], dtype=np.uint64)
-    keys, owner = (fps[:, None] ^ flips[None, :]).ravel(), np.repeat(np.arange(n), len(flips))
-    order = np.argsort(keys, kind="stable")
-    keys, owner = keys[order], owner[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    heads = owner[first]
-    a, b = [np.repeat(heads, np.diff(np.append(first, len(keys))))], [owner]
-    keys = keys[first]
-    for half in (range(32), range(32, 64)):
-        for i in half:
-            twice = np.array([FLIPS[i] | FLIPS[j] for j in half if j > i], dtype=np.uint64)
-            asked = (fps[:, None] ^ twice[None, :]).ravel()
-            at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-            hit = np.flatnonzero(keys[at] == asked)
-            a.append(heads[at[hit]])
-            b.append(hit // max(1, len(twice)))
-    return np.concatenate(a), np.concatenate(b)
-
-
-def key_edges(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of whole runs of equal keys: keys are sorted."""
+def classes(rows: np.ndarray, radius: int) -> np.ndarray:
+    """The first row that each row reaches over links of at most radius bits: exact, in memory in proportion to the rows."""
+    n = len(rows)
+    if n <= MATRIX_ROWS:
+        a, b = np.nonzero(np.triu(distances(rows, rows) <= radius, 1))
+        return local_components(n, a, b)
+    label, left = np.arange(n), np.arange(n)
+    while len(left):
+        root, left = left[0], left[1:]
+        front = np.array([root])
+        while len(front) and len(left):
+            part, front = front[:64], front[64:]
+            near = (distances(rows[part], rows[left]) <= radius).any(axis=0)
+            label[left[near]] = root
+            front, left = np.concatenate([front, left[near]]), left[~near]
+    return label
+
+
+def key_edges(keys: np.ndarray, rows: np.ndarray, radius: int, most: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (first words) of whole runs of equal keys; keys are sorted. A run of more than most rows gives an edge from each row to itself instead."""
     change = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     sizes = np.diff(np.append(change, len(keys)))
     pair = change[sizes == 2]
-    near = np.bitwise_count(fps[pair] ^ fps[pair + 1]) <= RADIUS
-    us, vs = [fps[pair][near]], [fps[pair + 1][near]]
+    near = np.bitwise_count(rows[pair] ^ rows[pair + 1]).sum(axis=1) <= radius
+    us, vs = [rows[pair, 0][near]], [rows[pair + 1, 0][near]]
     for at, size in zip(change[sizes > 2], sizes[sizes > 2]):
-        own = np.unique(fps[at : at + size])
-        a, b = _links(own)
-        label = local_components(len(own), a, b)
+        own = rows[at : at + size]
+        if most is not None and size > most:
+            us.append(own[:, 0])
+            vs.append(own[:, 0])
+            continue
+        label = classes(own, radius)
         moved = np.flatnonzero(label != np.arange(len(own)))
-        us.append(own[label[moved]])
-        vs.append(own[moved])
+        us.append(own[label[moved], 0])
+        vs.append(own[moved, 0])
     return np.concatenate(us), np.concatenate(vs)
 
 
-def _collide(batches):
-    """Edges from rows (key, fp) that are sorted by key; the last key of a batch waits for the next batch."""
-    keys, fps = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64)
+def collide(radius: int, most: int | None, step: int = 1 << 16, chained: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Edges (u, v) from rows (key, words of the fingerprint) sorted by key. The last key of a batch waits for the next one, unless it has more than most rows: then its rows are passed on one by one, as edges
+    from each to itself, or, if chained, compared with the key's first row only."""
 
-    def made(k, f):
-        u, v = key_edges(k, f)
+    def made(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    for batch in batches:
-        keys = np.concatenate([keys, np.asarray(batch.column(0))])
-        fps = np.concatenate([fps, np.asarray(batch.column(1)).view(np.uint64)])
-        if len(keys) >= 1 << 18:
-            cut = int(np.searchsorted(keys, keys[-1]))
-            if cut:
-                yield made(keys[:cut], fps[:cut])
-                keys, fps = keys[cut:].copy(), fps[cut:].copy()
-    if len(keys):
-        yield made(keys, fps)
+    def passed(rows: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
+        if not chained:
+            return made(rows[:, 0].copy(), rows[:, 0].copy())
+        near = rows[distances(first[None], rows)[0] <= radius, 0]
+        return made(np.full(len(near), first[0]), near.copy())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = rows = over = first = None
+        for batch in batches:
+            k = np.asarray(batch.column(0))
+            r = np.stack([np.asarray(c) for c in batch.columns[1:]], axis=1).view(np.uint64)
+            if over is not None:
+                n = int(np.searchsorted(k, over, side="right"))
+                if n:
+                    yield passed(r[:n], first)
+                k, r = k[n:], r[n:]
+                if not len(k):
+                    continue
+                over = None
+            keys, rows = (k, r) if keys is None or not len(keys) else (np.concatenate([keys, k]), np.concatenate([rows, r]))
+            if len(keys) >= step:
+                cut = int(np.searchsorted(keys, keys[-1]))
+                if cut:
+                    yield made(*key_edges(keys[:cut], rows[:cut], radius, None if chained else most))
+                    keys, rows = keys[cut:].copy(), rows[cut:].copy()
+                if most is not None and len(keys) > most:
+                    over, first = keys[-1], rows[0]
+                    yield passed(rows, first)
+                    keys = rows = None
+        if keys is not None and len(keys):
+            yield made(*key_edges(keys, rows, radius, None if chained else most))
+
+    return run
 
 
 def fingerprint_edges(nodes: DataFrame, fp_col: str = "fp") -> DataFrame:
     """Edges (u, v) that connect the distinct fingerprints of nodes exactly as all links within RADIUS do."""
-    variants = F.array(*[F.col("fp").bitwiseAND(F.lit(keep)).bitwiseXOR(F.lit(flip)) for keep, flip in ball_keys()])
-    emitted = nodes.select(F.col(fp_col).alias("fp")).select(F.explode(variants).alias("key"), "fp")
-    return emitted.repartition("key").sortWithinPartitions("key").mapInArrow(_collide, "u long, v long")
+
+    def met(fps: DataFrame, size: int, most: int | None) -> DataFrame:
+        variants = F.array(*[F.col("fp").bitwiseAND(F.lit(keep)).bitwiseXOR(F.lit(flip)) for keep, flip in ball_keys(size)])
+        return fps.select(F.explode(variants).alias("key"), "fp").repartition("key").sortWithinPartitions("key").mapInArrow(collide(RADIUS, most), "u long, v long")
+
+    found = materialize(met(nodes.select(F.col(fp_col).alias("fp")), BLOCK, KEY_MOST), "met")
+    crowded = found.where("u = v").select(F.col("u").alias("fp")).distinct()
+    return found.where("u <> v") if crowded.isEmpty() else found.where("u <> v").unionByName(met(crowded, FINE, None))
+
+
+def table_bits(n: int) -> int:
+    """Bits of a table, so that among n fingerprints a key has STRANGERS rows or fewer by chance."""
+    return next(b for b in range(12, 64) if n * (b + 1) / 2**b <= STRANGERS)
+
+
+def table_count(bits: int) -> int:
+    """Tables that a pair of similarity SIMILAR needs to meet in one of them with probability MEET."""
+    p = sum(math.comb(bits, k) * ERROR**k * (1 - ERROR) ** (bits - k) for k in range(TABLE_RADIUS + 1))
+    return max(1, math.ceil(math.log(1 - MEET) / math.log(1 - p)))
+
+
+def wide_fingerprints(texts: list[bytes], words: int, width: int = WIDE_SHINGLE) -> np.ndarray:
+    """SimHash of each text's set of shingles, with words of 64 bits, each made of another mix of the shingles' XXH64."""
+    out = np.zeros((len(texts), words), dtype=np.uint64)
+    salts = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for i, text in enumerate(texts):
+        hashes = np.unique(np.array(shingle_hashes(text, width), dtype="<u8"))
+        counts = np.zeros(64 * words, dtype=np.int64)
+        for at in range(0, len(hashes), 1 << 13):
+            mixed = mix(hashes[at : at + (1 << 13), None] + salts)
+            counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
+        if len(hashes):
+            out[i] = np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
+    return out
+
+
+def _emit(words: int, bits: int, tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, the VERIFY words) of every table: the table's bits of the other words, and all single flips."""
+    order = np.random.default_rng(bits).permutation(64 * (words - VERIFY))
+    flips = np.array([0, *[1 << i for i in range(bits)]], dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2048):
+                held = np.stack([np.asarray(c) for c in batch.slice(at, 2048).columns], axis=1)
+                found = np.unpackbits(np.ascontiguousarray(held[:, VERIFY:]).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+                for t in range(tables):
+                    own = found[:, np.take(order, range(t * bits, (t + 1) * bits), mode="wrap")] @ (1 << np.arange(bits, dtype=np.int64))
+                    keys = (own[:, None] ^ flips | t << bits).ravel()
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.repeat(held[:, w], len(flips))) for w in range(VERIFY)]], names=["key", *[f"w{w}" for w in range(VERIFY)]])
+
+    return run
+
+
+def wide_edges(nodes: DataFrame, words: int, bits: int) -> DataFrame:
+    """Edges (u, v) among nodes (w0, w1 ..) that meet in a table and differ in VERIFY_BITS bits or fewer; u and v are first words."""
+    last = bits + STEP_BITS > LAST_BITS
+    rows = "key long, " + ", ".join(f"w{w} long" for w in range(VERIFY))
+    emitted = nodes.select(*[f"w{w}" for w in range(words)]).mapInArrow(_emit(words, bits, table_count(bits)), rows)
+    found = materialize(emitted.repartition("key").sortWithinPartitions("key").mapInArrow(collide(VERIFY_BITS, WIDE_MOST, chained=last), "u long, v long"), "met")
+    crowded = found.where("u = v").select(F.col("u").alias("w0")).distinct()
+    edges = found.where("u <> v")
+    return edges if last or crowded.isEmpty() else edges.unionByName(wide_edges(materialize(nodes.join(crowded, "w0", "left_semi"), "crowded"), words, bits + STEP_BITS))
+
+
+def with_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes (fp and more) with root, the smallest fingerprint that each one reaches over edges."""
+    roots = components(edges)
+    return materialize(nodes.join(roots, nodes["fp"] == roots["node"], "left").select(*nodes.columns, F.coalesce("root", "fp").alias("root")), "placed")
 
 
 def placed_nodes(rows: DataFrame) -> DataFrame:
-    """rows (id long, fp long) -> one row per distinct fingerprint: fp, least (its smallest id), root (its component's smallest fingerprint)."""
-    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = components(fingerprint_edges(nodes))
-    placed = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    return materialize(placed, "placed")
+    """rows (id long, fp long) -> one row per distinct fingerprint: fp, least (its smallest id), n (its rows), root (its component's smallest fingerprint)."""
+    nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n")), "nodes")
+    return with_roots(nodes, fingerprint_edges(nodes))
 
 
 def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: its id, fp (long) and component_id, the smallest id that is reachable over links."""
+    """One row per row of df: its id, fp (long) and component_id, the smallest id that is reachable over links.
+
+    What rows are joined to is written before, so that each join is of two shuffles, of which skew handling splits a hot one.
+    """
     rows = materialize(with_fingerprint(df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("__text")), "__text", "fp", keep=["id"]), "fingerprints")
     placed = placed_nodes(rows)
-    classes = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    labelled = placed.join(classes, "root").select("fp", "component_id")
+    least = materialize(placed.groupBy("root").agg(F.min("least").alias("component_id")), "classes")
+    labelled = materialize(placed.join(least, "root").select("fp", "component_id"), "labelled")
     return rows.join(labelled, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each component: that of its smallest id, then of the smallest fingerprint; among rows that share both, one of them.
+def _first_of_each(held: DataFrame, fp: str, placed: DataFrame, columns: list[str], id_col: str) -> DataFrame:
+    """Columns of held (with a fingerprint fp) for one row of each component of placed: that of its smallest id, then of the smallest fingerprint; among rows that share both, one of them.
 
-    A row is known by its id and fingerprint, as ids may be null or repeat in other components. Rows are written once with their fingerprints, and brought
-    to one per id and fingerprint in each task before they are dealt.
+    A row is known by its id and fingerprint, as ids may be null or repeat in other components. Only rows of components with several rows (and the few that a bitmap takes for such) are shuffled.
     """
-    fp, unknown, number = (free_name(df, n) for n in ("__fp", "__unknown", "__number"))
-    held = materialize(with_fingerprint(df, text_col, fp), "fingerprints")
+    unknown, number = (free_name(held, n) for n in ("__unknown", "__number"))
     own = F.col(f"`{id_col}`").cast("long")
-    placed = placed_nodes(held.select(own.alias("id"), F.col(fp).alias("fp")))
-    chosen = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("unknown"), F.coalesce("least", F.lit(0)).alias("number"), "fp")).alias("c"))
-    keyed = held.withColumns({unknown: own.isNull(), number: F.coalesce(own, F.lit(0))}).dropDuplicates([fp, unknown, number])
-    kept = keyed.join(chosen.select(F.col("c.fp").alias(fp), F.col("c.unknown").alias(unknown), F.col("c.number").alias(number)), [fp, unknown, number], "left_semi")
-    return kept.select(*[f"`{c}`" for c in df.columns])
+    chosen = placed.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("unknown"), F.coalesce("least", F.lit(0)).alias("number"), "fp")).alias("c"), F.sum("n").alias("n"))
+    chosen = materialize(chosen.select("root", F.col("c.fp").alias(fp), F.col("c.unknown").alias(unknown), F.col("c.number").alias(number), "n"), "chosen")
+    several = placed.join(chosen.where("n > 1").select("root"), "root", "left_semi").select(F.col("fp").alias("key"))
+    marks = bitmap(several)
+    alone, rest = split_by(held.withColumns({unknown: own.isNull(), number: F.coalesce(own, F.lit(0))}), fp, marks)
+    _, deciding = split_by(chosen, fp, marks)
+    kept = rest.dropDuplicates([fp, unknown, number]).join(deciding.select(fp, unknown, number), [fp, unknown, number], "left_semi")
+    cols = [f"`{c}`" for c in columns]
+    return alone.select(*cols).unionByName(kept.select(*cols))
+
+
+def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each component of fingerprints within RADIUS bits."""
+    fp = free_name(df, "__fp")
+    held = materialize(with_fingerprint(df, text_col, fp), "fingerprints")
+    placed = placed_nodes(held.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(fp).alias("fp")))
+    return _first_of_each(held, fp, placed, df.columns, id_col)
+
+
+def keep_dissimilar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each component of texts of similarity SIMILAR or more (by wide fingerprints). Texts whose first words of 64 bits are equal are one node."""
+    bits = table_bits(max(1, df.count()))
+    words = VERIFY + math.ceil(table_count(bits) * bits / 64)
+    names = [free_name(df, f"__w{w}") for w in range(words)]
+    step = lambda texts: [pa.array(x) for x in wide_fingerprints(texts.cast(pa.binary()).to_pylist(), words).view(np.int64).T.copy()]
+    held = materialize(add_columns(df, text_col, [(n, T.LongType(), pa.int64()) for n in names], step), "fingerprints")
+    narrow = held.select(F.col(f"`{id_col}`").cast("long").alias("id"), *[F.col(n).alias(f"w{w}") for w, n in enumerate(names)])
+    others = [f"w{w}" for w in range(1, words)]
+    nodes = narrow.groupBy("w0").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min(F.struct(*others)).alias("o"))
+    nodes = materialize(nodes.select("w0", F.col("w0").alias("fp"), "least", "n", *[F.col(f"o.{w}").alias(w) for w in others]), "nodes")
+    placed = with_roots(nodes.select("fp", "least", "n"), wide_edges(nodes, words, bits))
+    return _first_of_each(held, names[0], placed, df.columns, id_col)

@@ -2,9 +2,9 @@
 
 Method. Calls and results are found in a table of turns: an assistant turn that is JSON with tool_calls (id, name, arguments, and after: ids that must come first), and a tool turn that is JSON with
 tool_call_id and content. In a conversation without such turns each user turn is a call of the function reply, whose identifier comes from its conversation and turn, the assistant turn that follows it is its result, and it comes after the
-conversation's first call. An identifier holds within its conversation only: two conversations may both have a call_1. Calls and results are brought to one row per conversation and identifier and hash-joined; arguments are parsed as variants and validated against the schemas; calls get topological levels by taking away, round by round, those
-whose predecessors are all placed; and a call with its result is serialised as canonical JSON (sorted keys, no white space). Joins and aggregates are by conversation and identifier, so a long conversation never meets in one
-task, and rounds are as many as the longest chain of calls.
+conversation's first call. An identifier holds within its conversation only: two conversations may both have a call_1. Calls and results are brought to one row per conversation and identifier and hash-joined; arguments are parsed as variants and validated against the schemas; calls get topological levels by halving the paths between
+them; and a call with its result is serialised as canonical JSON (sorted keys, no white space). Joins and aggregates are by conversation and identifier, so a long conversation never meets in one
+task, and rounds grow with the logarithm of the longest chain of calls.
 
 Cases. Status is the first that holds: orphan (a result without a call in its conversation), duplicate (an identifier of several calls of a conversation; the first turn's counts), cyclic, invalid (arguments that are no JSON object or fail their schema), no_result, ok. Null text is an
 empty turn; null conversations, turns and roles make no calls. Predecessors that don't exist are left out. Repeated rows make a duplicate. Empty tables give empty ones; columns besides conv_id, turn, role and text are
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Functions and their arguments: name -> {argument: type}, a type being one of TYPES with ? if it may be missing.
 SCHEMAS = {"reply": {"after": "string?", "text": "string", "turn": "integer"}}
@@ -56,18 +56,40 @@ def extract(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def levels(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """ids (conv_id, call_id) with level: 0 without predecessors, else one more than the largest of them; null on or behind a cycle. edges: conv_id, call_id, before."""
+    """ids (conv_id, call_id) with level: 0 without predecessors, else one more than the largest of them; null on or behind a cycle. edges: conv_id, call_id, before.
+
+    Paths are halved rather than walked: a row (call, before, w) says that a path of w steps leads from before to the call, and one without before that the call's level is w at least. In each round
+    a row whose `before` is settled becomes such a bound, and one whose `before` has a single predecessor leaps over it; rows to the same call are brought to the longest. So a chain of n calls takes
+    log2(n) rounds, and so do ladders of parallel chains. A path as long as its conversation has calls runs in a circle: it stays as a row from the call to itself.
+    """
     ahead = ["conv_id", "before"]
     edges = edges.join(ids.select("conv_id", F.col("call_id").alias("before")), ahead, "left_semi").join(ids, CALL, "left_semi").distinct()
-    left = materialize(edges.select(*CALL, "before"), "calledges")
-    placed = materialize(ids.join(left.select(*CALL).distinct(), CALL, "left_anti").withColumn("level", F.lit(0)), "level")
-    done, level = placed, 0
-    while not left.isEmpty() and not placed.isEmpty():
-        level += 1
-        rest = materialize(left.join(placed.select("conv_id", F.col("call_id").alias("before")), ahead, "left_anti").select(*CALL, "before"), "calledges")
-        placed = materialize(left.select(*CALL).distinct().join(rest.select(*CALL).distinct(), CALL, "left_anti").withColumn("level", F.lit(level)), "level")
-        done, left = done.unionByName(placed), rest
-    return done
+    sizes = ids.groupBy("conv_id").agg(F.count("*").alias("most"))
+    start = edges.select(*CALL, "before", F.lit(1).cast("long").alias("w")).unionByName(ids.select(*CALL, F.lit(None).cast("string").alias("before"), F.lit(0).cast("long").alias("w")))
+    rows = materialize(start.join(sizes, "conv_id"), "callpaths")
+    seen = None
+    while True:
+        open_rows = F.col("before").isNotNull() & (F.col("before") != F.col("call_id"))
+        now = tuple(rows.agg(F.count_if(open_rows), F.bit_xor(F.xxhash64(*CALL, "before", "w"))).first())
+        if not now[0] or now == seen:
+            break
+        seen = now
+        calls = rows.groupBy(*CALL).agg(
+            F.coalesce(F.max(F.when(F.col("before").isNull(), F.col("w"))), F.lit(0)).alias("base"), F.count("before").alias("n"), F.max(F.when(F.col("before").isNotNull(), F.struct("before", "w"))).alias("only")
+        )
+        calls = materialize(calls.select("conv_id", F.col("call_id").alias("before"), "base", "n", "only"), "callnodes")
+        met = rows.where("before is not null").join(calls, ahead)
+        bound = F.struct(F.lit(None).cast("string").alias("before"), (F.col("w") + F.col("base")).alias("w"))
+        leap = F.when(F.col("n") == 1, F.struct(F.col("only.before").alias("before"), (F.col("w") + F.col("only.w")).alias("w"))).otherwise(F.struct("before", "w"))
+        moved = met.select(*CALL, "most", F.explode(F.when(F.col("n") == 0, F.array(bound)).otherwise(F.array(bound, leap))).alias("x"))
+        circles = (F.col("x.before").isNotNull()) & (F.col("x.w") >= F.col("most"))
+        moved = moved.select(*CALL, F.when(circles, F.col("call_id")).otherwise(F.col("x.before")).alias("before"), F.least("x.w", "most").alias("w"), "most")
+        after = rows.where("before is null").unionByName(moved.select(*rows.columns)).groupBy(*CALL, "before").agg(F.max("w").alias("w"), F.max("most").alias("most"))
+        after = materialize(after, "callpaths")
+        discard(rows)
+        discard(calls)
+        rows = after
+    return rows.groupBy(*CALL).agg(F.when(F.count("before") == 0, F.max("w")).alias("level"))
 
 
 def valid(name: Column, value: Column, schemas: dict[str, dict[str, str]]) -> Column:

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, clean_text, free_name, release, small_batches, text_bytes
+from .common import add_columns, clean_text, free_name, release, text_bytes
 from .wordhash import mix, span_hashes, word_spans
 
 BITS, PREFIXES, DENSITY = 19, (4, 5, 6, 7), (1 / 250, 1 / 60)
@@ -102,9 +102,8 @@ def sample(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic")
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[np.ndarray, np.ndarray, float]:
     """Coordinates with a weight, their weights, and the bias, learnt from labels (doc_id, toxic). The sampled labels are bounded and broadcast, so no text is shuffled."""
-    small_batches(docs.sparkSession)
     texts = docs.select(F.col(f"`{id_col}`").alias("__id"), clean_text(f"`{text_col}`").alias("__t"))
-    rows = texts.join(F.broadcast(sample(labels)), "__id").select("__h", "__t", "__y")
+    rows = texts.join(F.broadcast(sample(labels, id_col)), "__id").select("__h", "__t", "__y")
 
     def extract(texts: pa.Array) -> list[pa.Array]:
         data, offsets = text_bytes(texts)

@@ -8,6 +8,8 @@ import numpy as np
 
 BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(BASE, -1, 1 << 64)
+#: Bytes whose prefix sums are held at a time.
+BLOCK = 1 << 18
 
 
 @lru_cache(maxsize=4)
@@ -44,7 +46,18 @@ def word_spans(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A hash of each span's bytes and length; equal spans have equal hashes wherever they stand."""
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(_INVERSE, len(data) + 1)[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A hash of each span's bytes and length; equal spans have equal hashes wherever they stand. Starts and ends rise. Prefix sums are held for BLOCK bytes at a time, so a long buffer needs no more than its spans."""
+    first, after, shift = (np.zeros(len(starts), dtype=np.uint64) for _ in range(3))
+    carry = np.uint64(0)
+    for at in range(0, len(data) + 1, BLOCK):
+        part = data[at : at + BLOCK]
+        total = np.full(len(part) + 1, carry)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * powers(BASE, len(part)) * np.uint64(pow(BASE, at, 1 << 64)), out=total[1:])
+        total[1:] += carry
+        carry = total[-1]
+        own = slice(*np.searchsorted(starts, (at, at + BLOCK)))
+        first[own] = total[starts[own] - at]
+        shift[own] = powers(_INVERSE, BLOCK)[starts[own] - at] * np.uint64(pow(_INVERSE, at, 1 << 64))
+        own = slice(*np.searchsorted(ends, (at, at + BLOCK)))
+        after[own] = total[ends[own] - at]
+    return mix((after - first) * shift + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))

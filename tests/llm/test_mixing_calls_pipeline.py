@@ -1,6 +1,7 @@
 import hashlib
 import json
 import math
+import random
 import re
 from collections import Counter
 
@@ -8,7 +9,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from asofledger.llm import exact, mixing, pieces, queries, simhash, toolcalls, toxicity
+from asofledger.llm import exact, mixing, pieces, queries, toolcalls, toxicity
+from test_near_and_exact import wide_classes
 
 ROWS = [(i, "w " * (1 + i % 7), "big" if i < 60 else "mid" if i < 80 else None) for i in range(90)] + [(200, "", "empty"), (201, None, "empty"), (None, "a b", "big"), (5, "w w", "big"), (5, "w w", "big")]
 
@@ -94,6 +96,23 @@ def test_calls_are_linked_ordered_validated_and_canonical(spark):
     assert toolcalls.format_calls(df.limit(0)).count() == 0
 
 
+def test_long_chains_ladders_and_circles_get_their_levels(spark):
+    rng = random.Random(3)
+    cases = [
+        (500, [(i, i - 1) for i in range(1, 500)]), (60, [(i, j) for i in range(1, 60) for j in rng.sample(range(i), min(i, 2))]), (7, [(i, (i - 1) % 3) for i in range(7)]), (30, [(i, rng.randrange(30)) for i in range(30) if i % 3]),
+        (100, [(i, i - 1) for i in range(1, 100)] + [(i, i - 3) for i in range(3, 100, 3)]), (6, [(0, 1), (0, 2), (1, 0), (1, 2), (2, 0), (2, 1), (5, 0), (4, 4)]),
+    ]
+    want = {}
+    for c, (n, pairs) in enumerate(cases):
+        placed, before = {}, {i: {u for v, u in pairs if v == i} for i in range(n)}
+        while new := [i for i in range(n) if i not in placed and before[i] <= placed.keys()]:
+            placed |= {i: max((placed[u] + 1 for u in before[i]), default=0) for i in new}
+        want |= {(c, f"c{i}"): placed.get(i) for i in range(n)}
+    ids = spark.createDataFrame(list(want), "conv_id long, call_id string")
+    edges = spark.createDataFrame([(c, f"c{v}", f"c{u}") for c, (_, pairs) in enumerate(cases) for v, u in pairs], "conv_id long, call_id string, before string")
+    assert {(r["conv_id"], r["call_id"]): r["level"] for r in toolcalls.levels(ids, edges).collect()} == want
+
+
 def test_call_ids_hold_within_a_conversation(spark):
     asks = lambda c, text, after=(): (c, 0, "assistant", json.dumps({"tool_calls": [call("call_1", turn=0, text=text), call("call_2", after=after, turn=0, text=text)]}))
     says = lambda c, t, i, text: (c, t, "tool", json.dumps({"tool_call_id": i, "content": text}))
@@ -133,13 +152,7 @@ def test_pipeline_matches_its_stages_by_brute_force(spark, sf):
     for d, t, _ in rows:
         least[norm(t)] = min(d, least.get(norm(t), d))
     rows = [r for r in rows if least[norm(r[1])] == r[0]]
-    fps = simhash.fingerprints([(t or "").encode() for _, t, _ in rows])
-    label = list(range(len(rows)))
-    for i in range(len(rows)):
-        for j in range(i):
-            if bin((int(fps[i]) ^ int(fps[j])) & (2**64 - 1)).count("1") <= 3 and label[i] != label[j]:
-                a, b = sorted((label[i], label[j]))
-                label = [a if x == b else x for x in label]
+    label = wide_classes([r[:2] for r in rows])
     rows = [r for i, r in enumerate(rows) if r[0] == min(rows[j][0] for j in range(len(rows)) if label[j] == label[i])]
     want = mixed(rows, corpus_pipeline.MAX_EPOCHS)
     made = corpus_pipeline.run(spark, sf).collect()

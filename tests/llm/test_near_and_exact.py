@@ -103,16 +103,106 @@ def test_every_distance_up_to_three_shares_a_key():
         assert keys[0] & keys[1]
 
 
+def linked(fps, radius=3):
+    """Brute force: the first of the rows (of one or more words) that each one reaches."""
+    label = list(range(len(fps)))
+    for i in range(len(fps)):
+        for j in np.flatnonzero(np.bitwise_count(fps ^ fps[i]).reshape(len(fps), -1).sum(axis=1) <= radius):
+            a, b = sorted((label[i], label[int(j)]))
+            label = [a if x == b else x for x in label]
+    return label
+
+
 @pytest.mark.parametrize("spread", [12, 20])
-def test_large_keys_keep_all_links(monkeypatch, spread):
+def test_large_groups_keep_all_links(monkeypatch, spread):
     rng = np.random.default_rng(spread)
-    fps = np.unique(rng.integers(0, 1 << spread, 700, dtype=np.int64).astype(np.uint64) << np.uint64(3))
-    a, b = simhash._links(fps)
-    whole = simhash.local_components(len(fps), a, b)
-    monkeypatch.setattr(simhash, "PAIRS_MOST", 2)
-    a, b = simhash._links(fps)
-    assert (np.bitwise_count(fps[a] ^ fps[b]) <= 3).all()
-    assert (simhash.local_components(len(fps), a, b) == whole).all()
+    fps = np.unique(rng.integers(0, 1 << spread, 400, dtype=np.int64).astype(np.uint64) << np.uint64(3))[:, None]
+    want = linked(fps)
+    for most in (2, 100, 1000):
+        monkeypatch.setattr(simhash, "MATRIX_ROWS", most)
+        assert simhash.classes(fps, 3).tolist() == want
+
+
+def test_crowded_keys_are_passed_on_and_keep_all_links(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    fps = np.unique(rng.integers(0, 1 << 16, 600, dtype=np.int64) | rng.choice([0, *[1 << b for b in range(16, 62)]], 600) | 5 << 40)
+    want = linked(fps.view(np.uint64))
+    monkeypatch.setattr(simhash, "KEY_MOST", 20)
+    nodes = spark.createDataFrame([(int(f),) for f in fps], "fp long")
+    root = {r["node"]: r["root"] for r in components(simhash.fingerprint_edges(nodes)).collect()}
+    got = {}
+    for f, w in zip(fps.tolist(), want):
+        assert got.setdefault(w, root.get(f, f)) == root.get(f, f)
+    assert len(set(got.values())) == len(got)
+
+
+def test_no_task_holds_more_of_a_key_than_it_may():
+    """Batches of one key: beyond `most` rows they are passed on as they come."""
+    import pyarrow as pa
+
+    fps = np.arange(5000, dtype=np.int64)
+    batches = [pa.RecordBatch.from_arrays([pa.array(np.full(500, 7)), pa.array(fps[i : i + 500])], names=["key", "fp"]) for i in range(0, 5000, 500)]
+    after = pa.RecordBatch.from_arrays([pa.array([8, 8]), pa.array([1, 3])], names=["key", "fp"])
+    made = list(simhash.collide(3, 600, step=400)([*batches, after]))
+    out = [(u, v) for b in made for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert out == [(i, i) for i in range(5000)] + [(1, 3)]
+    chained = [x for b in simhash.collide(64, 600, step=400, chained=True)([*batches, after]) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert {v for u, v in chained if u == 0} >= set(range(1, 5000))
+
+
+def wide_classes(rows):
+    """Brute force: rows (id, text), linked when two bits or fewer of a table differ, and VERIFY_BITS or fewer of the verifying words."""
+    bits = simhash.table_bits(len(rows))
+    tables = simhash.table_count(bits)
+    words = simhash.VERIFY + -(-tables * bits // 64)
+    fps = simhash.wide_fingerprints([(t or "").encode() for _, t in rows], words)
+    order = np.random.default_rng(bits).permutation(64 * (words - simhash.VERIFY))
+    each = np.unpackbits(np.ascontiguousarray(fps[:, simhash.VERIFY :]).view(np.uint8), axis=1, bitorder="little")
+    label = list(range(len(rows)))
+    for i in range(len(rows)):
+        near = np.bitwise_count(fps[:, : simhash.VERIFY] ^ fps[i, : simhash.VERIFY]).sum(axis=1) <= simhash.VERIFY_BITS
+        met = np.zeros(len(rows), dtype=bool)
+        for t in range(tables):
+            own = each[:, np.take(order, range(t * bits, (t + 1) * bits), mode="wrap")]
+            met |= (own != own[i]).sum(axis=1) <= 2
+        for j in np.flatnonzero(near & met):
+            a, b = sorted((label[i], label[int(j)]))
+            label = [a if x == b else x for x in label]
+    return label
+
+
+def test_similar_texts_leave_one_row_of_each_group(spark, sf):
+    rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    label = wide_classes(rows)
+    least = {x: min(d for (d, _), y in zip(rows, label) if x == y) for x in set(label)}
+    got = simhash.keep_dissimilar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r[0] for r in got.collect()) == sorted(least.values())
+
+
+@pytest.mark.parametrize("most", [1 << 14, 30])
+def test_planted_near_copies_are_met_and_others_stay(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "WIDE_MOST", most)
+    rng = np.random.default_rng(4)
+    draw = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
+    rows, copies = [], {}
+    for i in range(150):
+        words = draw(300)
+        rows.append((10 * i, " ".join(words)))
+        if i < 60:  # 6 words of 300 changed: of the five-word shingles about 0.82 are shared
+            other = list(words)
+            for at in rng.choice(300, 6, replace=False):
+                other[at] = f"x{rng.integers(0, 3000)}"
+            rows.append((10 * i + 1, " ".join(other)))
+            copies[10 * i + 1] = 10 * i
+    whole = draw(300)
+    for k in range(200):  # one large group of near copies
+        other = list(whole)
+        other[int(rng.integers(0, 300))] = f"y{k}"
+        rows.append((100_000 + k, " ".join(other)))
+    kept = {r[0] for r in simhash.keep_dissimilar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {10 * i for i in range(150)} <= kept
+    assert len([c for c in copies if c not in kept]) >= 0.9 * len(copies)
+    assert len([d for d in kept if d >= 100_000]) <= 3
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -120,6 +210,8 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r[0]: r[1] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, **{i: 100 for i in range(100, 160)}, 199: 199, 200: 199}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+    hub = spark.range(1, 100_001).selectExpr("id as u", "cast(0 as long) as v")
+    assert components(hub).where("root = 0").count() == 100_001
 
 
 def test_pieces_match_the_library(spark):
