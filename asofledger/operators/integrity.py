@@ -56,6 +56,23 @@ def require(df: DataFrame, relation: str) -> None:
         raise IntegrityError(", ".join(f"{r['check_name']}: {r['n_broken']} rows" for r in broken))
 
 
+def require_types(df: DataFrame, expected: dict[str, str]) -> None:
+    """Raise unless each named column is there with its type (a prefix such as decimal will do)."""
+    found = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    wrong = [f"{c}: {found.get(c, 'missing')}, not {t}" for c, t in expected.items() if not found.get(c, "").startswith(t)]
+    if wrong:
+        raise IntegrityError("; ".join(wrong))
+
+
+def incomplete_lineage(lineage: DataFrame, canonical: DataFrame, children: list[DataFrame], key: str = "transaction_id") -> DataFrame:
+    """Keys with a part missing or without a whole: of every TRANSFER row of canonical there must be one row in lineage and in each child, and no other. Columns: key, problem."""
+    keys = lambda df: df.select(key)
+    due = keys(canonical.where(F.col("transaction_type") == MODELLED_TYPE))
+    made = [(keys(lineage), "lineage"), *[(keys(c), f"child {i}") for i, c in enumerate(children, 1)]]
+    parts = [due.join(x, key, "left_anti").select(key, F.lit(f"no {name}").alias("problem")) for x, name in made] + [x.join(due, key, "left_anti").select(key, F.lit(f"stray {name}").alias("problem")) for x, name in made]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def core_predictors(features: DataFrame, key: str) -> DataFrame:
     """Key and predictors only: no label, step or other identity."""
     return features.select(key, *CORE_FEATURES)

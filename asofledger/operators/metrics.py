@@ -1,7 +1,7 @@
 """Classification and ranking metrics over (score, label, order columns).
 
-Curves are built from one row per distinct score: counts are summed map-side first, and the cumulative sums over scores are stitched from buckets of the score's range, so neither a
-popular score nor a global order brings all rows to one task.
+Curves are built from one row per distinct score: counts are summed map-side first, distinct scores are dealt by ranges of equal size, and cumulative sums are stitched from the ranges, so neither a
+popular score, nor many scores close together, nor a global order brings all rows to one task.
 """
 
 from __future__ import annotations
@@ -10,11 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..durable import materialize, with_row_number
 from ..schema import REVIEW_BUDGETS
 
-#: Buckets of scores in 0..1 whose totals are cumulated in one place; within a bucket the distinct scores are.
-BUCKETS = 1024
-
 
 def require_scores(scored: DataFrame) -> None:
     """Raise for an empty table, a label other than 0 and 1, or a score that is null, not finite or outside 0..1."""
@@ -25,13 +23,13 @@ def require_scores(scored: DataFrame) -> None:
 
 def by_score(scored: DataFrame) -> DataFrame:
     """Per distinct score: rows and positives (n, p), and those of all scores at least as high (cum_n, cum_p)."""
-    bucket = F.least(F.floor(F.col("score") * BUCKETS), F.lit(BUCKETS - 1)).cast("int")
-    counts = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("p")).withColumn("bucket", bucket)
-    totals = counts.groupBy("bucket").agg(F.sum("n").alias("bn"), F.sum("p").alias("bp"))
-    above = Window.orderBy(F.desc("bucket")).rowsBetween(Window.unboundedPreceding, -1)  # BUCKETS rows at most
-    heads = totals.select("bucket", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("hn"), F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("hp"))
-    inside = Window.partitionBy("bucket").orderBy(F.desc("score"))
-    return counts.join(F.broadcast(heads), "bucket").select("score", "n", "p", (F.sum("n").over(inside) + F.col("hn")).alias("cum_n"), (F.sum("p").over(inside) + F.col("hp")).alias("cum_p"))
+    counts = scored.groupBy("score").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("p"))
+    ranged = materialize(counts.repartitionByRange(F.desc("score")).withColumn("part", F.spark_partition_id()), "scores")
+    totals = ranged.groupBy("part").agg(F.sum("n").alias("bn"), F.sum("p").alias("bp"))
+    above = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    heads = totals.select("part", F.coalesce(F.sum("bn").over(above), F.lit(0)).alias("hn"), F.coalesce(F.sum("bp").over(above), F.lit(0)).alias("hp"))
+    inside = Window.partitionBy("part").orderBy(F.desc("score"))
+    return ranged.join(F.broadcast(heads), "part").select("score", "n", "p", (F.sum("n").over(inside) + F.col("hn")).alias("cum_n"), (F.sum("p").over(inside) + F.col("hp")).alias("cum_p"))
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -78,7 +76,7 @@ def review_budgets(scored: DataFrame, order: list[str], budgets: list[int] = REV
     """Per budget (basis points): the rows reviewed (ceil), frauds captured, precision, recall and lift (null without frauds).
 
     Rows are reviewed by descending score, then order. All of a score's rows above the cut come from cumulative counts; only the rows of the score at which a cut
-    falls are put in order.
+    falls are put in order, by numbers that ranges of them are given in parallel.
     """
     spark = scored.sparkSession
     table = spark.createDataFrame([(b,) for b in budgets], "budget_bp int")
@@ -87,7 +85,9 @@ def review_budgets(scored: DataFrame, order: list[str], budgets: list[int] = REV
     cuts = table.join(F.broadcast(whole)).withColumn("reviewed", F.floor((F.col("total") * F.col("budget_bp") + 9999) / 10000).cast("long"))
     at = curve.join(F.broadcast(cuts), (F.col("cum_n") >= F.col("reviewed")) & (F.col("cum_n") - F.col("n") < F.col("reviewed")))
     at = at.select("budget_bp", "reviewed", "total", "positives", "score", (F.col("cum_p") - F.col("p")).alias("before_p"), (F.col("reviewed") - (F.col("cum_n") - F.col("n"))).alias("wanted"))
-    ties = scored.join(F.broadcast(at.select("score").distinct()), "score").withColumn("place", F.row_number().over(Window.partitionBy("score").orderBy(*order)))
+    tied = with_row_number(scored.join(F.broadcast(at.select("score").distinct()), "score").select("score", "label", *order), ["score", *order], "number", 0)
+    ahead = tied.groupBy("score").agg(F.min("number").alias("first"))  # a row per budget at most
+    ties = tied.join(F.broadcast(ahead), "score").withColumn("place", F.col("number") - F.col("first") + 1)
     inside = F.broadcast(at).join(ties.select(F.col("score").alias("s"), "place", "label"), (F.col("score") == F.col("s")) & (F.col("place") <= F.col("wanted")))
     caught = inside.groupBy("budget_bp", "reviewed", "total", "positives").agg((F.first("before_p") + F.sum(F.col("label").cast("long"))).alias("captured"))
     precision = F.col("captured") / F.col("reviewed")
@@ -95,12 +95,17 @@ def review_budgets(scored: DataFrame, order: list[str], budgets: list[int] = REV
 
 
 def error_examples(scored: DataFrame, threshold: float, order: list[str], keep: list[str], most: int = 3) -> DataFrame:
-    """The most confident false positives and false negatives, most of each (a report). Each task hands on at most its own candidates."""
-    alert = F.col("score") >= threshold
-    group = F.when(alert & (F.col("label") == 0), "false_positive").when(~alert & (F.col("label") == 1), "false_negative")
-    wrong = scored.withColumn("error_group", group).where("error_group is not null").withColumn("confidence", F.when(F.col("error_group") == "false_positive", F.col("score")).otherwise(1 - F.col("score")))
+    """The most confident rows of each group, most of each (a report): false_positive, false_negative, correct_fraud, and high_confidence_wrong, which all wrong rows are in as well.
+
+    Confidence is the score, but one less the score for a false negative, and the larger of both for high_confidence_wrong. Each task hands on at most its own candidates.
+    """
+    alert, one, other = F.col("score") >= threshold, F.col("label") == 1, 1 - F.col("score")
+    wrong = F.array(F.struct(F.when(alert, "false_positive").otherwise("false_negative").alias("g"), F.when(alert, F.col("score")).otherwise(other).alias("c")), F.struct(F.lit("high_confidence_wrong").alias("g"), F.greatest(F.col("score"), other).alias("c")))
+    right = F.array(F.struct(F.lit("correct_fraud").alias("g"), F.col("score").alias("c")))
+    grouped = scored.where(alert | one).select("*", F.explode(F.when(alert & one, right).otherwise(wrong)).alias("x"))
     rank = Window.partitionBy("error_group").orderBy(F.desc("confidence"), *order)
-    return wrong.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= most).select("error_group", "place", "score", *keep)
+    ranked = grouped.withColumns({"error_group": F.col("x.g"), "confidence": F.col("x.c")}).withColumn("place", F.row_number().over(rank))
+    return ranked.where(F.col("place") <= most).select("error_group", "place", "score", *keep)
 
 
 def quartiles(rows: DataFrame, column: str = "amount") -> list[float]:

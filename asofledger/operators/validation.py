@@ -4,46 +4,57 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.decimals import fits, is_plain_decimal
+from ..functions.decimals import fraction_digits, integer_digits, is_plain_decimal
 from ..functions.identity import transaction_id, uuid5
 from ..functions.patterns import is_blank
 from ..schema import CANONICAL_SCHEMA, MONEY, MONEY_COLUMNS, STEP_MOST, TRANSACTION_TYPES
+from .contract import partition_counts
 
 
 class CanonicalValidationError(ValueError):
     """A row that breaks the contract; the message has its number, column and reason."""
 
 
-def _struct(column: str, reason: str) -> Column:
-    return F.struct(F.lit(column).alias("column"), F.lit(reason).alias("reason"))
+_REASONS = [
+    ("row", "wrong number of fields or bad quoting"), ("step", "not an integer"), ("step", "outside 0..2147483647"), ("transactionType", "unknown type"), ("isFraud", "not 0 or 1"), ("initiator", "blank"), ("recipient", "blank"),
+    *[(c, "not a plain decimal") for c in MONEY_COLUMNS], ("amount", "not positive"),
+]
 
 
-def first_error() -> Column:
-    """The first rule that a row of text columns breaks, in the contract's order: struct<column, reason>, or null.
+def broken_rule() -> Column:
+    """Number of the first rule of the contract that a row of text columns breaks, from 1, or 0. A null column breaks the first rule that reads it.
 
-    malformed (boolean, or absent as false) stands for a row of wrong width or quoting and comes first.
+    malformed (boolean) stands for a row of wrong width or quoting and comes first.
     """
     step = F.regexp_replace("step", r"^([+-]?)0+(?=[0-9])", "$1")
     in_range = (F.length(F.regexp_replace(step, r"^[+-]", "")) <= 10) & F.coalesce(F.try_to_number(F.regexp_replace(step, r"^\+", ""), F.lit("S9999999999")).between(0, STEP_MOST), F.lit(False))
-    rules: list[tuple[Column, str, str]] = [
-        (F.col("malformed"), "row", "wrong number of fields or bad quoting"),
-        (~F.col("step").rlike(r"^[+-]?[0-9]+\z"), "step", "not an integer"),
-        (~in_range, "step", "outside 0..2147483647"),
-        (~F.col("transactionType").isin(TRANSACTION_TYPES), "transactionType", "unknown type"),
-        (~F.col("isFraud").isin("0", "1"), "isFraud", "not 0 or 1"),
-        (is_blank(F.col("initiator")), "initiator", "blank"),
-        (is_blank(F.col("recipient")), "recipient", "blank"),
-    ]
-    rules += [(~is_plain_decimal(F.col(c)), c, "not a plain decimal") for c in MONEY_COLUMNS]
-    rules += [(F.col("amount").rlike(r"^-|^\+?[0.]*\z"), "amount", "not positive")]
-    return F.coalesce(*[F.when(F.coalesce(broken, F.lit(True)), _struct(c, why)) for broken, c, why in rules])
+    rules = [
+        F.col("malformed"), ~F.col("step").rlike(r"^[+-]?[0-9]+\z"), ~in_range, ~F.col("transactionType").isin(TRANSACTION_TYPES), ~F.col("isFraud").isin("0", "1"), is_blank(F.col("initiator")), is_blank(F.col("recipient")),
+    ]
+    money = F.transform(F.array(*MONEY_COLUMNS), lambda x: F.coalesce(~is_plain_decimal(x), F.lit(True)))  # one pattern in the plan, not five
+    rest = F.array_position(money, True).cast("int")
+    not_positive = F.coalesce(F.col("amount").rlike(r"^-|^\+?[0.]*\z"), F.lit(True))
+    found = F.when(rest > 0, rest + len(rules)).when(not_positive, F.lit(len(_REASONS))).otherwise(F.lit(0))
+    for number, broken in reversed(list(enumerate(rules, 1))):
+        found = F.when(F.coalesce(broken, F.lit(True)), F.lit(number)).otherwise(found)
+    return found
+
+
+def with_errors(rows: DataFrame) -> DataFrame:
+    """The rows that break a rule, with column e: struct<column, reason> of the first rule that each one breaks.
+
+    The rule number is the argument of a generator, so it is computed once a row; a filter on it would be pushed down and repeat all patterns.
+    """
+    code = broken_rule()
+    reasons = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(why).alias("reason")) for c, why in _REASONS])
+    return rows.select("*", F.explode(F.array_remove(F.array(code), 0)).alias("__code")).withColumn("e", F.element_at(reasons, F.col("__code"))).drop("__code")
 
 
 def errors(rows: DataFrame) -> DataFrame:
     """source_row_number, column and reason of every row that breaks a rule."""
-    found = rows.withColumn("e", first_error()).where("e is not null")
-    return found.select("source_row_number", F.col("e.column").alias("column"), F.col("e.reason").alias("reason"))
+    return with_errors(rows).select("source_row_number", F.col("e.column").alias("column"), F.col("e.reason").alias("reason"))
 
 
 def require_valid(rows: DataFrame) -> None:
@@ -53,24 +64,21 @@ def require_valid(rows: DataFrame) -> None:
         raise CanonicalValidationError(f"CSV row {bad['source_row_number']}, {bad['column']}: {bad['reason']}")
 
 
-def require_exact(rows: DataFrame) -> None:
-    """Raise where money has more digits than the typed relation holds; nothing is ever rounded."""
-    bad = rows.where(~_all_fit()).agg(F.min("source_row_number")).first()[0]
-    if bad is not None:
-        raise CanonicalValidationError(f"CSV row {bad}: money beyond DECIMAL({MONEY.precision}, {MONEY.scale})")
-
-
-def _all_fit() -> Column:
-    good = F.lit(True)
-    for c in MONEY_COLUMNS:
-        good = good & fits(F.col(c), MONEY.scale, MONEY.precision)
-    return good
+def money_type(rows: DataFrame) -> T.DecimalType:
+    """The decimal that holds all money of valid text rows exactly, with two fraction digits at least; nothing is ever rounded. Raises where 38 digits do not do."""
+    text = rows.select(F.explode(F.array(*MONEY_COLUMNS)).alias("t"))
+    whole, part = text.agg(F.max(integer_digits(F.col("t"))), F.max(fraction_digits(F.col("t")))).first()
+    scale = max(MONEY.scale, part or 0)
+    precision = max(MONEY.precision, (whole or 1) + scale)
+    if precision > 38:
+        raise CanonicalValidationError(f"money of {whole} integer and {part} fraction digits needs more than the 38 digits of a decimal")
+    return T.DecimalType(precision, scale)
 
 
-def canonical(rows: DataFrame, artifact_sha256: str) -> DataFrame:
+def canonical(rows: DataFrame, artifact_sha256: str, money_as: T.DecimalType = MONEY) -> DataFrame:
     """Typed rows of valid text rows, with deterministic ids and the source's spelling of money as *_literal."""
     sha = F.lit(artifact_sha256)
-    money = lambda c: F.col(c).try_cast(MONEY)  # noqa: E731  (rows were validated; a plain cast could be evaluated on lines that a filter drops)
+    money = lambda c: F.col(c).try_cast(money_as)  # noqa: E731  (rows were validated; a plain cast could be evaluated on lines that a filter drops)
     made = rows.select(
         transaction_id(sha, F.col("source_row_number")).alias("transaction_id"), uuid5(sha).alias("artifact_id"), F.col("source_row_number").cast("long").alias("source_row_number"), F.col("step").try_cast("int").alias("step"), F.col("transactionType").alias("transaction_type"), money("amount").alias("amount"),
         F.col("initiator").alias("initiator_id"), money("oldBalInitiator").alias("initiator_balance_before"), money("newBalInitiator").alias("initiator_balance_after"),
@@ -98,3 +106,11 @@ def regressions(rows: DataFrame) -> DataFrame:
     """
     before = rows.select((F.col("source_row_number") + 1).alias("source_row_number"), F.col("step").alias("previous_step"))
     return rows.select("source_row_number", "step").join(before, "source_row_number").where("step < previous_step")
+
+
+def reconciled(rows: DataFrame) -> dict:
+    """What a contract holds rows to: counts by label, type and evaluation partition, and step extremes, as numbers by name."""
+    r = reconciliation(rows).first().asDict()
+    parts = {p["evaluation_partition"]: p["n_rows"] for p in partition_counts(rows).collect()}  # three rows at most
+    types = {t: r[f"n_{t.lower()}"] for t in TRANSACTION_TYPES if r[f"n_{t.lower()}"]}
+    return {"row_count": r["n_rows"], "legitimate_count": r["n_legitimate"], "fraud_count": r["n_fraud"], "transaction_type_counts": types, "step_min": r["first_step"], "step_max": r["last_step"], "partitions": parts}

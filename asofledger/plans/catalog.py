@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..durable import materialize, shared_dir, with_row_number
@@ -20,6 +20,7 @@ from ..schema import CANONICAL_SCHEMA, CORE_FEATURES, EVENT_COLUMNS, MONEY_COLUM
 from ..sources import artifact, csv_source
 from ..sources.adapter import SQL_TXN, TOTAL_ORDER, numbered, table, transactions
 from ..streaming import history
+from . import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -56,18 +57,21 @@ _SQL_CURVE = _SQL_SCORED + """, g AS (SELECT score, count(*) AS n, sum(label) AS
     c AS (SELECT *, sum(n) OVER (ORDER BY score DESC) AS cum_n, sum(p) OVER (ORDER BY score DESC) AS cum_p FROM g)"""
 
 
-def _sql_features(columns: str) -> str:
-    prior_i = "OVER (PARTITION BY initiator_id ORDER BY step RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
-    prior_r = "OVER (PARTITION BY recipient_id ORDER BY step RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+def _sql_history() -> str:
+    """TRANSFER rows with their features as h: sums by entity and step, cumulated over the steps before by ROWS frames."""
+    before = lambda entity: f"WINDOW w AS (PARTITION BY {entity} ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return f""", e AS (SELECT *, CASE WHEN row_number() OVER (PARTITION BY initiator_id, recipient_id ORDER BY step, txn_key) = 1 THEN 1 ELSE 0 END AS fresh FROM txn),
-    f AS (SELECT *, count(*) {prior_i} AS initiator_prior_outgoing_count,
-        CAST(coalesce(sum(CASE WHEN transaction_type = 'TRANSFER' THEN 1 ELSE 0 END) {prior_i}, 0) AS BIGINT) AS initiator_prior_outgoing_transfer_count,
-        CAST(coalesce(sum(amount) {prior_i}, 0) AS DOUBLE) AS initiator_prior_outgoing_amount_total, CAST(max(amount) {prior_i} AS DOUBLE) AS initiator_prior_outgoing_amount_max,
-        CAST(coalesce(sum(fresh) {prior_i}, 0) AS BIGINT) AS initiator_prior_distinct_recipient_count, count(*) {prior_r} AS recipient_prior_incoming_count,
-        CAST(coalesce(sum(fresh) {prior_r}, 0) AS BIGINT) AS recipient_prior_distinct_initiator_count FROM e),
-    h AS (SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount), CASE WHEN initiator_prior_outgoing_count > 0 THEN initiator_prior_outgoing_amount_total / initiator_prior_outgoing_count END AS initiator_prior_outgoing_amount_mean
-        FROM f WHERE transaction_type = 'TRANSFER')
-    SELECT {columns} FROM h"""
+    si AS (SELECT initiator_id, step, count(*) AS n, count(*) FILTER (transaction_type = 'TRANSFER') AS t, sum(amount) AS a, max(amount) AS m, sum(fresh) AS d FROM e GROUP BY initiator_id, step),
+    sr AS (SELECT recipient_id, step, count(*) AS n, sum(fresh) AS d FROM e GROUP BY recipient_id, step),
+    pi AS (SELECT initiator_id, step, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS initiator_prior_outgoing_count, CAST(coalesce(sum(t) OVER w, 0) AS BIGINT) AS initiator_prior_outgoing_transfer_count,
+        CAST(coalesce(sum(a) OVER w, 0) AS DOUBLE) AS initiator_prior_outgoing_amount_total, CAST(max(m) OVER w AS DOUBLE) AS initiator_prior_outgoing_amount_max, CAST(coalesce(sum(d) OVER w, 0) AS BIGINT) AS initiator_prior_distinct_recipient_count FROM si {before('initiator_id')}),
+    pr AS (SELECT recipient_id, step, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS recipient_prior_incoming_count, CAST(coalesce(sum(d) OVER w, 0) AS BIGINT) AS recipient_prior_distinct_initiator_count FROM sr {before('recipient_id')}),
+    f AS (SELECT * FROM e JOIN pi USING (initiator_id, step) JOIN pr USING (recipient_id, step) WHERE transaction_type = 'TRANSFER'),
+    h AS (SELECT * REPLACE (CAST(amount AS DOUBLE) AS amount), CASE WHEN initiator_prior_outgoing_count > 0 THEN initiator_prior_outgoing_amount_total / initiator_prior_outgoing_count END AS initiator_prior_outgoing_amount_mean FROM f)"""
+
+
+def _sql_features(columns: str) -> str:
+    return f"{_sql_history()} SELECT {columns} FROM h"
 
 
 _CORE_SQL = _sql_features(", ".join(["txn_key", "step", *CORE_FEATURES]))
@@ -163,9 +167,18 @@ def numeric_characteristics(spark, sf_dir):
 _SQL_ROLES = ", r AS (SELECT 'initiator' AS role, initiator_id AS id, step, is_fraud FROM txn UNION ALL SELECT 'recipient', recipient_id, step, is_fraud FROM txn)"
 
 
-@query("identifier_formats", _SQL_ROLES + " SELECT role, CASE WHEN regexp_full_match(id, '[0-9]+') THEN 'numeric' ELSE 'other' END AS format, count(*) AS n_rows FROM r GROUP BY ALL")
+@query("identifier_formats", """, p AS (SELECT CAST(amount * 100 AS BIGINT) % 7 AS k, initiator_id, recipient_id FROM txn), r AS (SELECT 'initiator' AS role, k FROM p UNION ALL SELECT 'recipient', (k + 3) % 7 FROM p)
+    SELECT role, CASE k WHEN 1 THEN 'NN-7' WHEN 2 THEN 'NN-7-4' WHEN 3 THEN 'LNN-7' WHEN 4 THEN 'digits-digits' WHEN 5 THEN 'other' WHEN 6 THEN 'other' ELSE 'numeric' END AS format, count(*) AS n_rows FROM r GROUP BY ALL""")
 def identifier_formats(spark, sf_dir):
-    return contract.identifier_formats(transactions(spark, sf_dir))
+    """Identifiers dressed in every format by their transaction's cents."""
+    rows = transactions(spark, sf_dir).withColumn("pick", F.expr("cast(amount * 100 as bigint) % 7"))
+
+    def dressed(c: str, k: Column) -> Column:
+        seven = F.lpad(F.col(c), 7, "0")
+        shapes = [F.col(c), F.concat(F.lit("41-"), seven), F.concat(F.lit("41-"), seven, F.lit("-2024")), F.concat(F.lit("C41-"), seven), F.concat(F.col(c), F.lit("-1")), F.concat(F.lit("x"), F.col(c)), F.concat(F.col(c), F.lit("\n"))]
+        return F.element_at(F.array(*shapes), (k + 1).cast("int"))
+
+    return contract.identifier_formats(rows.withColumns({"initiator_id": dressed("initiator_id", F.col("pick")), "recipient_id": dressed("recipient_id", (F.col("pick") + 3) % 7)}))
 
 
 @query("identifier_lengths", _SQL_ROLES + " SELECT role, length(id) AS length, count(*) AS n_rows FROM r GROUP BY ALL")
@@ -212,9 +225,17 @@ def first_examples(spark, sf_dir):
     return audit.first_examples(numbered(transactions(spark, sf_dir)), ["transaction_type", "initiator_id", "step"], "source_row_number")
 
 
-@query("numeric_ranges", " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST(min({c}) AS DOUBLE) AS least, CAST(max({c}) AS DOUBLE) AS largest, CAST(0 AS BIGINT) AS n_invalid, CAST(0 AS BIGINT) AS n_not_finite FROM txn" for c in NUMERIC))
+_SQL_SPOILT = ", ".join(f"CASE CAST(amount * 100 AS BIGINT) % 20 WHEN {k} THEN 'x' WHEN {k + 5} THEN 'NaN' WHEN {k + 10} THEN '-Infinity' WHEN {k + 15} THEN NULL ELSE CAST({c} AS VARCHAR) END AS {c}" for k, c in enumerate(NUMERIC))
+
+
+@query("numeric_ranges", f", v AS (SELECT {_SQL_SPOILT} FROM txn), " + "l AS (" + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {c} AS v FROM v" for c in NUMERIC) + """), d AS (SELECT column_name, try_cast(v AS DOUBLE) AS d FROM l)
+    SELECT column_name, min(d) FILTER (isfinite(d)) AS least, max(d) FILTER (isfinite(d)) AS largest, count(*) FILTER (d IS NULL) AS n_invalid, count(*) FILTER (NOT isfinite(d)) AS n_not_finite FROM d GROUP BY column_name""")
 def numeric_ranges(spark, sf_dir):
-    return audit.numeric_ranges(transactions(spark, sf_dir, True), NUMERIC)
+    """Ranges of columns of text in which some values are no number, not finite or missing."""
+    rows = transactions(spark, sf_dir, True).withColumn("pick", F.expr("cast(amount * 100 as bigint) % 20"))
+    pick = F.col("pick")
+    spoilt = {c: F.when(pick == k, "x").when(pick == k + 5, "NaN").when(pick == k + 10, "-Infinity").when(pick == k + 15, F.lit(None)).otherwise(F.col(c).cast("string")) for k, c in enumerate(NUMERIC)}
+    return audit.numeric_ranges(rows.withColumns(spoilt), NUMERIC)
 
 
 @query("label_counts_grouping_sets", "SELECT CASE WHEN grouping(step) = 0 THEN 'step' WHEN grouping(transaction_type) = 0 THEN 'type' ELSE 'label' END AS level, transaction_type, step, is_fraud, count(*) AS n_rows FROM txn GROUP BY GROUPING SETS ((is_fraud), (transaction_type, is_fraud), (step, is_fraud))")
@@ -227,22 +248,29 @@ def negative_balances(spark, sf_dir):
     return audit.negative_balances(transactions(spark, sf_dir, True))
 
 
+def _unbalanced(rows: DataFrame) -> DataFrame:
+    """Rows of which some recipients get a unit more than their payer gives."""
+    return rows.withColumn("recipient_balance_after", F.col("recipient_balance_after") + F.when(F.expr("cast(amount * 100 as bigint) % 20") == 3, F.lit(1)).otherwise(F.lit(0)))
+
+
 def _sql_patterns(by: str) -> str:
-    def pattern(sign: str) -> str:
-        return f"CASE WHEN {sign}moved = amount THEN 'increase' WHEN {sign}moved = -amount THEN 'decrease' WHEN moved = 0 THEN 'unchanged' ELSE 'other' END"
+    def pattern(party: str) -> str:
+        return f"CASE {party}_balance_after - {party}_balance_before WHEN amount THEN 'increase' WHEN -amount THEN 'decrease' WHEN 0 THEN 'unchanged' ELSE 'other' END"
 
-    return f""", p AS (SELECT transaction_type, is_fraud, 'initiator' AS party, {pattern('-')} AS pattern FROM txn UNION ALL SELECT transaction_type, is_fraud, 'recipient', {pattern('')} FROM txn UNION ALL SELECT transaction_type, is_fraud, 'pair', 'conserved' FROM txn)
+    return f""", u AS (SELECT * REPLACE (recipient_balance_after + CASE WHEN CAST(amount * 100 AS BIGINT) % 20 = 3 THEN 1 ELSE 0 END AS recipient_balance_after) FROM txn),
+    p AS (SELECT transaction_type, is_fraud, 'initiator' AS party, {pattern('initiator')} AS pattern FROM u UNION ALL SELECT transaction_type, is_fraud, 'recipient', {pattern('recipient')} FROM u
+    UNION ALL SELECT transaction_type, is_fraud, 'pair', CASE WHEN initiator_balance_before + recipient_balance_before = initiator_balance_after + recipient_balance_after THEN 'conserved' ELSE 'not conserved' END FROM u)
     SELECT {by}, party, pattern, count(*) AS n_rows FROM p GROUP BY ALL"""
 
 
 @query("balance_patterns_by_type", _sql_patterns("transaction_type"))
 def balance_patterns_by_type(spark, sf_dir):
-    return audit.balance_patterns(transactions(spark, sf_dir, True), "transaction_type")
+    return audit.balance_patterns(_unbalanced(transactions(spark, sf_dir, True)), "transaction_type")
 
 
 @query("balance_patterns_by_label", _sql_patterns("is_fraud"))
 def balance_patterns_by_label(spark, sf_dir):
-    return audit.balance_patterns(transactions(spark, sf_dir, True), "is_fraud")
+    return audit.balance_patterns(_unbalanced(transactions(spark, sf_dir, True)), "is_fraud")
 
 
 _SQL_ENTITY = _SQL_ROLES + ", a AS (SELECT role, id AS entity, count(*) AS n_rows, min(step) AS first_step, max(step) AS last_step, min(step) < max(step) AS multi_step, count(*) FILTER (is_fraud = 1) AS n_fraud, count(*) FILTER (is_fraud = 0) AS n_legitimate FROM r GROUP BY ALL)"
@@ -308,11 +336,11 @@ def reconciliation(spark, sf_dir):
 
 def _dirty(spark, sf_dir) -> DataFrame:
     """Source rows as text in which the transaction's cents pick a fault for some, so that every rule has rows that break it."""
-    rows = transactions(spark, sf_dir, True)
-    pick = F.expr("cast(amount * 100 as bigint) % 20")
+    rows = transactions(spark, sf_dir, True).withColumn("pick", F.expr("cast(amount * 100 as bigint) % 20"))
+    pick = F.col("pick")
     text = lambda c: F.col(c).cast("string")
     return rows.select(
-        "txn_key", (pick == 0).alias("malformed"), F.when(pick == 1, "x1").when(pick == 2, "99999999999").otherwise(text("step")).alias("step"), F.when(pick == 3, F.lower("transaction_type")).otherwise(F.col("transaction_type")).alias("transactionType"),
+        "txn_key", "pick", (pick == 0).alias("malformed"), F.when(pick == 1, "x1").when(pick == 2, "99999999999").otherwise(text("step")).alias("step"), F.when(pick == 3, F.lower("transaction_type")).otherwise(F.col("transaction_type")).alias("transactionType"),
         F.when(pick == 4, "1e3").when(pick == 5, "-0.00").when(pick == 6, F.concat(text("amount"), F.lit("\n"))).otherwise(text("amount")).alias("amount"), F.when(pick == 7, " \u2003").otherwise(F.col("initiator_id")).alias("initiator"),
         F.when(pick == 8, "+1.").otherwise(text("initiator_balance_before")).alias("oldBalInitiator"), F.when(pick == 9, "").otherwise(text("initiator_balance_after")).alias("newBalInitiator"), F.when(pick == 10, "").otherwise(F.col("recipient_id")).alias("recipient"),
         F.when(pick == 11, ".5").otherwise(text("recipient_balance_before")).alias("oldBalRecipient"), F.when(pick == 12, "NaN").otherwise(text("recipient_balance_after")).alias("newBalRecipient"), F.when(pick == 13, "2").otherwise(text("is_fraud")).alias("isFraud"),
@@ -325,8 +353,7 @@ def _dirty(spark, sf_dir) -> DataFrame:
       CASE k WHEN 0 THEN 'wrong number of fields or bad quoting' WHEN 1 THEN 'not an integer' WHEN 2 THEN 'outside 0..2147483647' WHEN 3 THEN 'unknown type' WHEN 5 THEN 'not positive' WHEN 7 THEN 'blank' WHEN 10 THEN 'blank' WHEN 13 THEN 'not 0 or 1' ELSE 'not a plain decimal' END AS reason
     FROM p WHERE k <= 13""")
 def row_validation_errors(spark, sf_dir):
-    found = _dirty(spark, sf_dir).withColumn("e", validation.first_error()).where("e is not null")
-    return found.select("txn_key", F.col("e.column").alias("error_column"), F.col("e.reason").alias("reason"))
+    return validation.with_errors(_dirty(spark, sf_dir)).select("txn_key", F.col("e.column").alias("error_column"), F.col("e.reason").alias("reason"))
 
 
 @query("numeric_tokens", "SELECT txn_key, CAST(amount AS DOUBLE) AS value, CASE WHEN amount = 0 THEN '0' ELSE rtrim(rtrim(CAST(amount AS VARCHAR), '0'), '.') END AS token FROM txn")
@@ -335,22 +362,94 @@ def numeric_tokens(spark, sf_dir):
     return transactions(spark, sf_dir).select("txn_key", F.col("amount").cast("double").alias("value"), decimals.numeric_token(text).alias("token"))
 
 
-_ROUND_TRIP = ", ".join(["step", "transaction_type", "initiator_id", "recipient_id", "is_fraud", "CAST(amount AS DOUBLE) AS amount", *[f"CAST({c} AS DOUBLE) AS {c}" for c in audit.BALANCES]])
+_ROUND_TRIP = ", ".join(["step", "transaction_type", "initiator_id || CASE CAST(amount * 100 AS BIGINT) % 5 WHEN 0 THEN ', \"x\"' WHEN 1 THEN ' ' ELSE '' END AS initiator_id", "recipient_id", "is_fraud", "CAST(amount AS DOUBLE) AS amount", *[f"CAST({c} AS DOUBLE) AS {c}" for c in audit.BALANCES]])
 
 
 @query("canonical_csv_round_trip", f", o AS (SELECT *, 1 + row_number() OVER (ORDER BY step, txn_key) AS source_row_number FROM txn) SELECT source_row_number, {_ROUND_TRIP} FROM o")
 def canonical_csv_round_trip(spark, sf_dir):
-    """Transactions written as source records in order (many files, so without a header), and read back by the strict reader and the typed projection."""
-    rows = numbered(transactions(spark, sf_dir, True))
-    spelt = rows.withColumns({f"{s}_literal": F.col(c).cast("string") for s, c in zip(MONEY_COLUMNS, ["amount", *audit.BALANCES])})
-    path = f"{shared_dir(spark)}/source-{uuid.uuid4().hex}"
-    ordered = artifact.source_rows(spelt.repartitionByRange("source_row_number").sortWithinPartitions("source_row_number"))
-    ordered.select(F.concat_ws(",", *SOURCE_COLUMNS).alias("value")).write.text(path)
-    lines = csv_source.read_lines_strict(spark, csv_source.numbered_lines(spark, path).withColumn("line_number", F.col("line_number") + 1))
-    made = validation.canonical(lines, ARTIFACT)
+    """Transactions written as source files in order (some identifiers with commas, quotes and spaces), and read back by the strict reader and the typed projection."""
+    made = validation.canonical(csv_source.read_strict(spark, _source_files(spark, sf_dir)), ARTIFACT)
     return _doubles(made, "amount", *audit.BALANCES).select("source_row_number", "step", "transaction_type", "initiator_id", "recipient_id", "is_fraud", "amount", *audit.BALANCES)
 
 
+def _source_files(spark, sf_dir) -> str:
+    rows = numbered(transactions(spark, sf_dir, True)).withColumn("pick", F.expr("cast(amount * 100 as bigint) % 5"))
+    dressed = F.concat("initiator_id", F.when(F.col("pick") == 0, ', "x"').when(F.col("pick") == 1, " ").otherwise(""))
+    spelt = rows.withColumns({f"{s}_literal": F.col(c).cast("string") for s, c in zip(MONEY_COLUMNS, ["amount", *audit.BALANCES])} | {"initiator_id": dressed})
+    path = f"{shared_dir(spark)}/source-{uuid.uuid4().hex}/files"
+    artifact.write_csv(spelt, path)
+    return path
+
+
+@query("canonical_pipeline", "SELECT transaction_type, evaluation_partition, count(*) AS n_rows, CAST(sum(amount) AS DOUBLE) AS total, CAST(min(source_row_number) AS BIGINT) AS first_row FROM (SELECT *, 1 + row_number() OVER (ORDER BY step, txn_key) AS source_row_number, CASE WHEN step <= 95 THEN 'train' WHEN step <= 119 THEN 'validation' ELSE 'test' END AS evaluation_partition FROM txn) GROUP BY ALL")
+def canonical_pipeline(spark, sf_dir):
+    """Source files verified, typed, written, read back, held against a contract and published; what was published, by type and partition."""
+    source = _source_files(spark, sf_dir)
+    rows = transactions(spark, sf_dir)
+    expected = validation.reconciled(rows.withColumn("source_row_number", F.monotonically_increasing_id()))
+    target = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}/run"
+    pipelines.canonical_pipeline(spark, source, target, contract=artifact.ArtifactContract(**expected))
+    held = spark.read.parquet(f"{target}/canonical")
+    return held.groupBy("transaction_type", evaluation_partition(F.col("step")).alias("evaluation_partition")).agg(F.count("*").alias("n_rows"), F.sum("amount").cast("double").alias("total"), F.min("source_row_number").alias("first_row"))
+
+
+@query("source_header", "SELECT CAST(place - 1 AS INTEGER) AS place, column_name FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in SOURCE_COLUMNS) + "]) AS column_name, generate_subscripts([" + ", ".join(f"'{c}'" for c in SOURCE_COLUMNS) + "], 1) AS place)")
+def source_header(spark, sf_dir):
+    """The header that inspection finds in source files written from the transactions."""
+    report = csv_source.inspect_csv(spark, _source_files(spark, sf_dir))
+    return spark.createDataFrame(list(enumerate(report.columns)), "place int, column_name string")
+
+
+@query("permissive_scan", ", p AS (SELECT CAST(amount * 100 AS BIGINT) % 20 AS k, is_fraud FROM txn) SELECT k = 0 AS malformed, count(*) AS n_rows, count(*) FILTER (k <> 0 AND is_fraud = 1) AS n_fraud FROM p GROUP BY 1")
+def permissive_scan(spark, sf_dir):
+    """Source lines of which some lack their last two fields, scanned permissively: rows by whether their width is wrong."""
+    rows = transactions(spark, sf_dir, True).withColumn("pick", F.expr("cast(amount * 100 as bigint) % 20"))
+    text = [F.col(c).cast("string") for c in ("step", "transaction_type", "amount", "initiator_id", "initiator_balance_before", "initiator_balance_after", "recipient_id", "recipient_balance_before", "recipient_balance_after", "is_fraud")]
+    lines = rows.select(F.when(F.col("pick") == 0, F.concat_ws(",", *text[:-2])).otherwise(F.concat_ws(",", *text)).alias("value"))
+    path = f"{shared_dir(spark)}/lines-{uuid.uuid4().hex}"
+    lines.select(F.col("value")).write.option("header", False).text(path)
+    scanned = csv_source.scan_permissive(spark, path, tuple(SOURCE_COLUMNS), header=False)
+    return scanned.groupBy("malformed").agg(F.count("*").alias("n_rows"), F.count_if(~F.col("malformed") & (F.col("isFraud") == "1")).alias("n_fraud"))
+
+
+@query("file_sha256", """, s AS (SELECT step, count(*) AS n, count(*) FILTER (is_fraud = 1) AS f FROM txn WHERE transaction_type = 'TRANSFER' GROUP BY step)
+    SELECT sha256(string_agg(step || ',' || n || ',' || f, chr(10) ORDER BY step) || chr(10)) AS sha256, CAST(count(*) AS BIGINT) AS n_lines FROM s""")
+def file_sha256(spark, sf_dir):
+    """SHA-256 of a file's bytes: TRANSFER rows and frauds by step, a line per step."""
+    steps = contract.transfer_step_summary(transactions(spark, sf_dir))
+    path = f"{shared_dir(spark)}/steps-{uuid.uuid4().hex}"
+    steps.orderBy("step").select(F.concat_ws(",", "step", "eligible", "fraud").alias("value")).coalesce(1).write.text(path)  # a line per step
+    found = artifact.fingerprint(spark, path)
+    return spark.read.text(path).agg(F.count("*").alias("n_lines")).select(F.lit(found.digest).alias("sha256"), "n_lines")
+
+
+@query("step_summary_file", "SELECT step, count(*) AS eligible, count(*) FILTER (is_fraud = 1) AS fraud, count(*) FILTER (is_fraud = 0) AS legitimate FROM txn WHERE transaction_type = 'TRANSFER' GROUP BY step")
+def step_summary_file(spark, sf_dir):
+    """The step summary as written to a CSV file and read again."""
+    path = f"{shared_dir(spark)}/summary-{uuid.uuid4().hex}"
+    contract.write_step_summary(transactions(spark, sf_dir), path)
+    return spark.read.csv(path, header=True, schema="step int, eligible long, fraud long, legitimate long, fraud_rate_percent string").drop("fraud_rate_percent")
+
+
+@query("lineage_completeness", ", t AS (SELECT txn_key, CAST(amount * 100 AS BIGINT) % 20 AS k FROM txn WHERE transaction_type = 'TRANSFER') SELECT problem, count(*) AS n_rows FROM (SELECT CASE k WHEN 0 THEN 'no lineage' WHEN 1 THEN 'no child 1' WHEN 2 THEN 'no child 2' END AS problem FROM t WHERE k <= 2 UNION ALL SELECT 'stray child 2' FROM txn WHERE transaction_type = 'DEBIT') GROUP BY problem")
+def lineage_completeness(spark, sf_dir):
+    """Feature relations from which some rows were taken away and to which some were added: what is missing or stray."""
+    rows = transactions(spark, sf_dir).withColumn("pick", F.expr("cast(amount * 100 as bigint) % 20"))
+    sent = contract.eligible(rows)
+    other = sent.where("pick <> 2").select("txn_key").unionByName(rows.where("transaction_type = 'DEBIT'").select("txn_key"))
+    return integrity.incomplete_lineage(sent.where("pick <> 0"), rows, [sent.where("pick <> 1"), other], "txn_key").groupBy("problem").agg(F.count("*").alias("n_rows"))
+
+
+@query("tier_matrix", f"{_sql_features(', '.join(['txn_key', *[f'coalesce(CAST({c} AS DOUBLE), -1) AS {c}' for c in CORE_FEATURES]]))}")
+def tier_matrix(spark, sf_dir):
+    """The core tier's vectors, taken apart again; what they have as NaN is -1 here."""
+    from pyspark.ml.functions import vector_to_array
+
+    made = features.features_by_rollup(transactions(spark, sf_dir), ["txn_key"])
+    cells = modelling.tier_matrix(made, "core", "txn_key").select("txn_key", vector_to_array("vector").alias("v"))
+    return cells.select("txn_key", *[F.when(F.isnan(F.col("v")[i]), F.lit(-1.0)).otherwise(F.col("v")[i]).alias(c) for i, c in enumerate(CORE_FEATURES)])
+
+
 @query("core_predictors", _sql_features(", ".join(["txn_key", *CORE_FEATURES])))
 def core_predictors(spark, sf_dir):
     made = features.features_by_rollup(transactions(spark, sf_dir), ["txn_key"])
@@ -369,11 +468,28 @@ def transaction_target(spark, sf_dir):
     return contract.eligible(transactions(spark, sf_dir)).select("txn_key", "is_fraud")
 
 
-@query("constraint_violations", "SELECT check_name, CAST(0 AS BIGINT) AS n_broken FROM (VALUES " + ", ".join(f"('{r}.{n}')" for r, named in (("canonical", ("row_number", "step", "type", "amount", "initiator", "recipient", "label")), ("lineage", ("type", "window")), ("core", ("transfers", "distinct_recipients", "distinct_initiators", "cold_total", "cold_mean", "cold_max"))) for n in named) + ") x(check_name)")
+_SQL_BROKEN = """, b AS (SELECT *, CAST(amount * 100 AS BIGINT) % 20 AS k FROM txn), t AS (SELECT * FROM b WHERE transaction_type = 'TRANSFER'), c AS (SELECT k, initiator_prior_outgoing_count AS n, initiator_prior_outgoing_transfer_count + CASE WHEN k = 8 THEN 100000 ELSE 0 END AS t, initiator_prior_distinct_recipient_count AS dr,
+      recipient_prior_incoming_count AS rn, recipient_prior_distinct_initiator_count + CASE WHEN k = 9 THEN 100000 ELSE 0 END AS di, CASE WHEN k = 10 THEN 0 ELSE initiator_prior_outgoing_amount_total END AS total, CASE WHEN k = 11 THEN NULL ELSE initiator_prior_outgoing_amount_mean END AS mean, CASE WHEN k = 12 THEN 1 ELSE initiator_prior_outgoing_amount_max END AS most FROM x)
+    SELECT 'canonical.row_number' AS check_name, count(*) FILTER (k = 0) AS n_broken FROM b UNION ALL SELECT 'canonical.step', count(*) FILTER (k = 1 OR step < 0) FROM b UNION ALL SELECT 'canonical.type', count(*) FILTER (k = 2) FROM b UNION ALL SELECT 'canonical.amount', count(*) FILTER (k = 3 OR amount <= 0) FROM b
+    UNION ALL SELECT 'canonical.initiator', count(*) FILTER (k = 4) FROM b UNION ALL SELECT 'canonical.recipient', count(*) FILTER (k = 5) FROM b UNION ALL SELECT 'canonical.label', count(*) FILTER (k = 6) FROM b UNION ALL SELECT 'lineage.type', count(*) FILTER (k = 6) FROM t UNION ALL SELECT 'lineage.window', count(*) FILTER (k = 7 AND step NOT BETWEEN 96 AND 119) FROM t
+    UNION ALL SELECT 'core.transfers', count(*) FILTER (t > n) FROM c UNION ALL SELECT 'core.distinct_recipients', count(*) FILTER (dr > n) FROM c UNION ALL SELECT 'core.distinct_initiators', count(*) FILTER (di > rn) FROM c
+    UNION ALL SELECT 'core.cold_total', count(*) FILTER ((n = 0) <> (total = 0)) FROM c UNION ALL SELECT 'core.cold_mean', count(*) FILTER ((n = 0) <> (mean IS NULL)) FROM c UNION ALL SELECT 'core.cold_max', count(*) FILTER ((n = 0) <> (most IS NULL)) FROM c"""
+
+
+@query("constraint_violations", _sql_history() + ", x AS (SELECT *, CAST(round(amount * 100) AS BIGINT) % 20 AS k FROM h)" + _SQL_BROKEN)
 def constraint_violations(spark, sf_dir):
-    rows = numbered(transactions(spark, sf_dir))
-    core = features.features_by_rollup(rows, ["txn_key"]).withColumn("evaluation_partition", evaluation_partition(F.col("step")))
-    return integrity.violations(rows, "canonical").unionByName(integrity.violations(core, "lineage")).unionByName(integrity.violations(core, "core"))
+    """Counts of rows that break each constraint, of relations in which the transaction's cents pick a fault for some rows."""
+    rows = numbered(transactions(spark, sf_dir)).withColumn("pick", F.expr("cast(amount * 100 as bigint) % 20"))
+    spoil = lambda k, c, bad: F.when(F.col("pick") == k, F.lit(bad)).otherwise(F.col(c)).alias(c)
+    spoilt = rows.select(spoil(0, "source_row_number", 1), spoil(1, "step", -1), spoil(2, "transaction_type", "LOAN"), spoil(3, "amount", 0), spoil(4, "initiator_id", ""), spoil(5, "recipient_id", ""), spoil(6, "is_fraud", 2))
+    core = features.features_by_rollup(rows, ["txn_key", "pick"]).withColumn("evaluation_partition", evaluation_partition(F.col("step")))
+    lineage = core.select(spoil(6, "transaction_type", "PAYMENT"), "step", spoil(7, "evaluation_partition", "validation"))
+    shift = lambda k, c: (F.col(c) + F.when(F.col("pick") == k, F.lit(100_000)).otherwise(F.lit(0))).alias(c)
+    core = core.select(
+        "initiator_prior_outgoing_count", "recipient_prior_incoming_count", "initiator_prior_distinct_recipient_count", shift(8, "initiator_prior_outgoing_transfer_count"), shift(9, "recipient_prior_distinct_initiator_count"), spoil(10, "initiator_prior_outgoing_amount_total", 0),
+        spoil(11, "initiator_prior_outgoing_amount_mean", None), spoil(12, "initiator_prior_outgoing_amount_max", 1),
+    )
+    return integrity.violations(spoilt, "canonical").unionByName(integrity.violations(lineage, "lineage")).unionByName(integrity.violations(core, "core"))
 
 
 @query("fk_orphans", "SELECT initiator_id FROM (SELECT DISTINCT initiator_id FROM txn) c WHERE initiator_id NOT IN (SELECT recipient_id FROM txn)")
@@ -387,10 +503,13 @@ def repeated_keys(spark, sf_dir):
     return integrity.repeated_keys(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), ["l_orderkey", "l_linenumber"])
 
 
-@query("read_back_difference", "SELECT step, initiator_id, recipient_id, 'first' AS only_in FROM txn WHERE step >= 120 AND transaction_type = 'TRANSFER'")
+@query("read_back_difference", """, a AS (SELECT step, initiator_id, recipient_id FROM txn WHERE transaction_type = 'TRANSFER'), b AS (SELECT CASE WHEN step >= 120 THEN step + 1 ELSE step END AS step, initiator_id, recipient_id FROM a UNION ALL SELECT * FROM a WHERE step = 96)
+    SELECT *, 'first' AS only_in FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'second' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)""")
 def read_back_difference(spark, sf_dir):
+    """What a table and a changed copy of it (later steps moved, rows of one step twice) do not share."""
     rows = contract.eligible(transactions(spark, sf_dir)).select("step", "initiator_id", "recipient_id")
-    return integrity.difference(rows, rows.where("step < 120"))
+    changed = rows.withColumn("step", F.when(F.col("step") >= 120, F.col("step") + 1).otherwise(F.col("step"))).unionByName(rows.where("step = 96"))
+    return integrity.difference(rows, changed)
 
 
 _RATIO = lambda a, b: f"CASE WHEN {b} = 0 THEN 0.0::DOUBLE ELSE CAST({a} AS DOUBLE) / {b} END"
@@ -430,8 +549,9 @@ def review_budgets(spark, sf_dir):
     return metrics.review_budgets(scored(spark, sf_dir), TOTAL_ORDER)
 
 
-@query("error_top3", f""", {_SQL_SCORED}, e AS (SELECT *, CASE WHEN score >= 0.5 AND label = 0 THEN 'false_positive' WHEN score < 0.5 AND label = 1 THEN 'false_negative' END AS error_group, CASE WHEN score >= 0.5 THEN score ELSE 1 - score END AS confidence FROM s),
-    r AS (SELECT error_group, CAST(row_number() OVER (PARTITION BY error_group ORDER BY confidence DESC, step, txn_key) AS INTEGER) AS place, score, txn_key FROM e WHERE error_group IS NOT NULL) SELECT * FROM r WHERE place <= 3""")
+@query("error_top3", f""", {_SQL_SCORED}, e AS (SELECT *, CASE WHEN score >= 0.5 AND label = 0 THEN 'false_positive' WHEN score < 0.5 AND label = 1 THEN 'false_negative' WHEN score >= 0.5 THEN 'correct_fraud' END AS error_group, CASE WHEN score >= 0.5 THEN score ELSE 1 - score END AS confidence FROM s),
+    a AS (SELECT * FROM e WHERE error_group IS NOT NULL UNION ALL SELECT * REPLACE ('high_confidence_wrong' AS error_group, greatest(score, 1 - score) AS confidence) FROM e WHERE error_group LIKE 'false%'),
+    r AS (SELECT error_group, CAST(row_number() OVER (PARTITION BY error_group ORDER BY confidence DESC, step, txn_key) AS INTEGER) AS place, score, txn_key FROM a) SELECT * FROM r WHERE place <= 3""")
 def error_top3(spark, sf_dir):
     return metrics.error_examples(scored(spark, sf_dir), THRESHOLD, TOTAL_ORDER, ["txn_key"])
 
@@ -470,8 +590,10 @@ def model_test_scores(spark, sf_dir):
     return fitted.score(data.where("evaluation_partition = 'test'")).select("txn_key", "label", F.round("score", 6).alias("score"))
 
 
-_EVENT_SQL = """WITH e AS (SELECT event_id, CAST(floor(epoch(ts) / 3600) AS INTEGER) AS step, CAST(user_id AS VARCHAR) AS entity, value AS amount FROM events WHERE value > 0)
-    SELECT event_id, step, entity, count(*) OVER w AS prior_count, round(coalesce(sum(amount) OVER w, 0), 6) AS prior_total, max(amount) OVER w AS prior_max FROM e WINDOW w AS (PARTITION BY entity ORDER BY step RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+_EVENT_SQL = """WITH e AS (SELECT event_id, CAST(floor(epoch(ts) / 3600) AS INTEGER) AS step, CAST(user_id AS VARCHAR) AS entity, value AS amount FROM events WHERE value > 0),
+    s AS (SELECT entity, step, count(*) AS n, sum(amount) AS total, max(amount) AS most FROM e GROUP BY entity, step),
+    p AS (SELECT entity, step, CAST(coalesce(sum(n) OVER w, 0) AS BIGINT) AS prior_count, round(coalesce(sum(total) OVER w, 0), 6) AS prior_total, max(most) OVER w AS prior_max FROM s WINDOW w AS (PARTITION BY entity ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+    SELECT event_id, step, entity, prior_count, prior_total, prior_max FROM e JOIN p USING (entity, step)"""
 
 
 def _rounded(df: DataFrame) -> DataFrame:

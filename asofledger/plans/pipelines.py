@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..durable import exists
+from ..functions.identity import code_identity
 from ..functions.patterns import evaluation_partition
 from ..operators import features, integrity, metrics, modelling, validation
 from ..operators.contract import partition_counts
@@ -19,15 +20,16 @@ def read_canonical(spark: SparkSession, path: str, artifact_sha256: str) -> Data
     """Strictly read, validated and typed rows; raises for the first row that breaks a rule, before anything is derived."""
     rows = csv_source.read_strict(spark, path)
     validation.require_valid(rows)
-    validation.require_exact(rows)
-    return validation.canonical(rows, artifact_sha256)
+    return validation.canonical(rows, artifact_sha256, validation.money_type(rows))
 
 
-def canonical_pipeline(spark: SparkSession, source: str, target: str, digest: str | None = None) -> dict:
-    """Verify the source, type its rows, write them, read them back, reconcile, and publish all of it or nothing."""
+def canonical_pipeline(spark: SparkSession, source: str, target: str, digest: str | None = None, contract: artifact.ArtifactContract | None = None) -> dict:
+    """Verify the source, type its rows, write them, read them back, hold them against the contract, and publish all of it or nothing."""
+    artifact.require_apart(spark, source, target)
+    contract = contract or artifact.ArtifactContract(sha256=digest)
 
     def produce(staging: str) -> dict:
-        with artifact.verified_source(spark, source, digest) as found:
+        with artifact.verified_source(spark, source, contract=contract) as found:
             rows = read_canonical(spark, source, found.digest)
             rows.write.parquet(f"{staging}/canonical")
             written = spark.read.parquet(f"{staging}/canonical")
@@ -38,7 +40,9 @@ def canonical_pipeline(spark: SparkSession, source: str, target: str, digest: st
             counts = validation.reconciliation(written).first().asDict()
             if not counts["contiguous"] and counts["n_rows"]:
                 raise integrity.IntegrityError("row numbers are not contiguous")
-        return {"source": artifact.as_facts(found), "counts": counts}
+            observed = validation.reconciled(written)
+            contract.require(**observed)
+        return {"source": artifact.as_facts(found), "counts": counts, "observed": observed, "code": code_identity()}
 
     return artifact.publish(spark, target, produce)
 

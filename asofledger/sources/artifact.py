@@ -1,11 +1,12 @@
 """Verified sources and atomic sinks.
 
-An artifact's fingerprint is taken from its lines in parallel (count, characters, and an order-free combination of line hashes with their numbers) together with the store's own listing (length and
-modification time of each file). It is compared before and after use, so a source that changed meanwhile is refused.
+An artifact is known by the SHA-256 of its bytes. Files of a folder are hashed in parallel, whole files as rows; a file beyond WHOLE_BYTES is hashed as a stream, in memory of one block. The digest and the store's own listing
+(name, length and modification time of each file) are compared before and after use, so a source that changed meanwhile is refused, and both are held against a contract where one is given.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -17,16 +18,45 @@ from pyspark.sql import functions as F
 from ..durable import exists, filesystem, rename
 from ..operators.integrity import IntegrityError, difference
 from ..schema import MONEY_COLUMNS, SOURCE_COLUMNS
-from .csv_source import numbered_lines
+
+
+#: Files up to this size are hashed as rows, larger ones as streams.
+WHOLE_BYTES = 1 << 28
 
 
 @dataclass(frozen=True)
 class Fingerprint:
     files: tuple[tuple[str, int, int], ...]
-    lines: int
-    characters: int
     digest: str
 
+    @property
+    def size(self) -> int:
+        return sum(length for _, length, _ in self.files)
+
+
+@dataclass(frozen=True)
+class ArtifactContract:
+    """What an approved artifact must be: its file's name, size and SHA-256, and what its rows add up to. None is not asked for."""
+
+    filename: str | None = None
+    byte_size: int | None = None
+    sha256: str | None = None
+    row_count: int | None = None
+    legitimate_count: int | None = None
+    fraud_count: int | None = None
+    transaction_type_counts: dict[str, int] | None = None
+    step_min: int | None = None
+    step_max: int | None = None
+    partitions: dict[str, int] | None = None
+
+    def differences(self, **observed) -> dict[str, tuple]:
+        """Expected and observed value of each named field that differs."""
+        return {k: (getattr(self, k), v) for k, v in observed.items() if getattr(self, k) is not None and getattr(self, k) != v}
+
+    def require(self, **observed) -> None:
+        if wrong := self.differences(**observed):
+            raise IntegrityError("; ".join(f"{k}: expected {a}, observed {b}" for k, (a, b) in sorted(wrong.items())))
+
 
 def listing(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
     """Name, length and modification time of each file of a path."""
@@ -34,23 +64,44 @@ def listing(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
     return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(where) if s.isFile() and s.getPath().getName()[0] not in "._"))
 
 
+def _stream_digest(spark: SparkSession, path: str) -> str:
+    fs, where = filesystem(spark, path)
+    jvm = spark._jvm
+    digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
+    stream = jvm.java.security.DigestInputStream(fs.open(where), digest)
+    try:
+        stream.transferTo(jvm.java.io.OutputStream.nullOutputStream())
+    finally:
+        stream.close()
+    return bytes(digest.digest()).hex()
+
+
+def file_digests(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Name and SHA-256 of each file of a path: a short row per file goes to the driver."""
+    files = listing(spark, path)
+    small = spark.read.format("binaryFile").load(path).where(F.col("length") <= WHOLE_BYTES).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    fs, where = filesystem(spark, path)
+    alone = fs.getFileStatus(where).isFile()
+    large = [(name, _stream_digest(spark, path if alone else f"{path.rstrip('/')}/{name}")) for name, length, _ in files if length > WHOLE_BYTES]
+    return sorted([(name, large_digest) for name, large_digest in large] + ([(files[0][0], small.first()["sha256"])] if alone and not large else [tuple(r) for r in small.collect()] if not alone else []))
+
+
 def fingerprint(spark: SparkSession, path: str) -> Fingerprint:
-    """Sensitive to every character and to the order of lines; three numbers go to the driver."""
-    hashed = F.xxhash64("line_number", "value")
-    n, chars, x, s = numbered_lines(spark, path).agg(F.count("*"), F.coalesce(F.sum(F.char_length("value")), F.lit(0)), F.coalesce(F.bit_xor(hashed), F.lit(0)), F.coalesce(F.sum(hashed.cast("decimal(20,0)")), F.lit(0))).first()
-    return Fingerprint(listing(spark, path), n, chars, f"{x & (2**64 - 1):016x}-{int(s)}")
+    """The SHA-256 of a file; of several files that of the lines `sha256  name`, in the order of names."""
+    found = file_digests(spark, path)
+    digest = found[0][1] if len(found) == 1 else hashlib.sha256("".join(f"{sha}  {name}\n" for name, sha in found).encode()).hexdigest()
+    return Fingerprint(listing(spark, path), digest)
 
 
 class verified_source:  # noqa: N801
-    """Context of a source that must equal an expected digest (if one is given) and not change while it is used."""
+    """Context of a source that must meet a contract or an expected digest (if one is given) and not change while it is used."""
 
-    def __init__(self, spark: SparkSession, path: str, digest: str | None = None):
-        self.spark, self.path, self.digest = spark, path, digest
+    def __init__(self, spark: SparkSession, path: str, digest: str | None = None, contract: ArtifactContract | None = None):
+        self.spark, self.path, self.contract = spark, path, contract or ArtifactContract(sha256=digest)
 
     def __enter__(self) -> Fingerprint:
         self.before = fingerprint(self.spark, self.path)
-        if self.digest is not None and self.before.digest != self.digest:
-            raise IntegrityError(f"{self.path} has digest {self.before.digest}, not {self.digest}")
+        self.contract.require(filename=self.path.rstrip("/").rpartition("/")[2], byte_size=self.before.size, sha256=self.before.digest)
         return self.before
 
     def __exit__(self, kind, error, trace) -> None:
@@ -58,6 +109,17 @@ class verified_source:  # noqa: N801
             raise IntegrityError(f"{self.path} changed while it was read")
 
 
+def require_apart(spark: SparkSession, source: str, target: str) -> None:
+    """Raise if target is the source, holds it, or lies in the source or in the source's folder."""
+    def whole(path: str) -> str:
+        fs, where = filesystem(spark, path.rstrip("/"))
+        return fs.makeQualified(where).toString()
+
+    a, b = whole(source), whole(target)
+    if a == b or a.startswith(f"{b}/") or b.startswith(f"{a}/") or b.startswith(f"{a.rpartition('/')[0]}/"):
+        raise ValueError(f"{target} must not be, hold or lie beside {source}")
+
+
 def write_text(spark: SparkSession, path: str, text: str) -> None:
     """A new small file; an existing one is never overwritten."""
     fs, where = filesystem(spark, path)
@@ -85,7 +147,7 @@ def source_rows(rows: DataFrame) -> DataFrame:
 def write_csv(rows: DataFrame, path: str, order: str = "source_row_number") -> None:
     """Source columns as CSV, range-partitioned in source order, minimal quoting; the folder must not exist."""
     ordered = rows.repartitionByRange(order).sortWithinPartitions(order)
-    source_rows(ordered).write.csv(path, header=True, escape='"', mode="errorifexists", emptyValue="")
+    source_rows(ordered).write.csv(path, header=True, escape='"', mode="errorifexists", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def publish(spark: SparkSession, target: str, produce: Callable[[str], dict]) -> dict:
@@ -113,9 +175,14 @@ def publish(spark: SparkSession, target: str, produce: Callable[[str], dict]) ->
 
 
 def verify_read_back(written: DataFrame, expected: DataFrame) -> None:
-    """Raise unless both hold the same rows as often."""
-    if not difference(written, expected).isEmpty():
-        raise IntegrityError("rows read back differ from the rows written")
+    """Raise unless both hold the same rows as often: counts and two independent sums of row hashes are compared, and rows only where these differ."""
+    def sums(df: DataFrame) -> tuple:
+        row = F.struct(*[f"`{c}`" for c in sorted(df.columns)])
+        return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(row).cast("decimal(20,0)")), F.lit(0)), F.coalesce(F.sum(F.conv(F.substring(F.md5(F.to_json(row, {"ignoreNullFields": "false"})), 1, 15), 16, 10).cast("decimal(20,0)")), F.lit(0))).first())
+
+    if sums(written) != sums(expected):
+        shown = difference(written, expected).limit(1).collect()
+        raise IntegrityError(f"rows read back differ from the rows written, as in {shown}")
 
 
 def as_facts(found: Fingerprint) -> dict:

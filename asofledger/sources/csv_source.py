@@ -1,8 +1,8 @@
 """Delimited sources: header inspection, permissive scan, and the strict scan of the contract.
 
-The strict scan reads lines in parallel and numbers them by file, block and place in the block, so a file of any size splits. A line is checked against the grammar of a record with the contract's number of
-fields before any field is taken: unbalanced or stray quotes, a wrong width, an empty line, a byte order mark and bytes that are no UTF-8 all make a row malformed. A record that spans lines is malformed
-too: such files do not split, so they are refused rather than read by one task.
+The strict scan reads lines in parallel and numbers them by file, block and place in the block, so files of any size split and nothing is copied. A line is checked against the grammar of a record with the contract's number of
+fields before any field is taken: unbalanced or stray quotes, a wrong width, an empty line, a byte order mark and bytes that are no UTF-8 all make a row malformed. Where some line has an odd number of
+quotes, records may span lines, which no reader can split: then each file is cut into records by one task, files in parallel, and a file beyond WHOLE_BYTES is refused.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from pyspark.sql.window import Window
 from ..durable import filesystem, materialize
 from ..schema import SOURCE_COLUMNS
 
-FIELD = r'(?:"(?:[^"]|"")*"|[^",\r\n]*)'
+FIELD = r'(?:"(?:[^"]++|"")*+"|[^",\r\n]*+)'
+#: Bytes of a file whose records span lines; one task holds such a file.
+WHOLE_BYTES = 1 << 28
 
 
 class CsvSchemaError(ValueError):
@@ -53,22 +55,46 @@ def inspect_csv(spark: SparkSession, path: str, required: list[str] = SOURCE_COL
     return CsvSchemaReport(path, tuple(names), tuple(n for n in names if n not in required))
 
 
-def read_permissive(spark: SparkSession, path: str, required: list[str] = SOURCE_COLUMNS) -> DataFrame:
-    """All columns as text, plus malformed: whether the row's width differs from the header's. Extra columns stay."""
-    report = inspect_csv(spark, path, required)
-    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in report.columns], T.StructField("_corrupt", T.StringType())])
-    rows = spark.read.option("columnPruning", False).csv(path, schema=schema, header=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True, emptyValue="", nullValue="\x00")  # pruned rows would hide their width
+def scan_permissive(spark: SparkSession, path: str, columns: tuple[str, ...], header: bool = True) -> DataFrame:
+    """The columns as text, plus malformed: whether a row has more or fewer fields."""
+    schema = T.StructType([*[T.StructField(c, T.StringType()) for c in columns], T.StructField("_corrupt", T.StringType())])
+    rows = spark.read.option("columnPruning", False).csv(path, schema=schema, header=header, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt", enforceSchema=True, emptyValue="", nullValue="\x00")  # pruned rows would hide their width
     return rows.withColumn("malformed", F.col("_corrupt").isNotNull()).drop("_corrupt")
 
 
+def read_permissive(spark: SparkSession, path: str, required: list[str] = SOURCE_COLUMNS) -> DataFrame:
+    """All columns of a file with a header as text, plus malformed: whether the row's width differs from the header's. Extra columns stay."""
+    return scan_permissive(spark, path, inspect_csv(spark, path, required).columns)
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value and line_number (1 is the first) of each line, in the order of files, blocks and lines; numbered without bringing lines together."""
-    place = F.monotonically_increasing_id()
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), place.alias("p"))
-    held = materialize(lines, "lines")
-    before = F.sum("n").over(Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1))  # a row per block
-    blocks = held.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("p").alias("first")).select("f", "b", "first", F.coalesce(before, F.lit(0)).alias("before"))
-    return held.join(blocks, ["f", "b"]).select("value", (F.col("before") + F.col("p") - F.col("first") + 1).cast("long").alias("line_number"))
+    """value, line_number (1 is the first) and head (whether it is its file's first line) of each line, in the order of files, blocks and lines.
+
+    Lines are numbered without bringing them together and without a copy: one pass counts the lines of each block, the other adds the counts of the blocks before (a row per block). Both read the same splits.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("p"))
+    order = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = materialize(lines.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("p").alias("first")), "blocks").select("f", "b", "first", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
+    opening = Window.partitionBy("f")
+    blocks = blocks.withColumn("file_before", F.min("before").over(opening))
+    number = F.col("before") + F.col("p") - F.col("first")
+    return lines.join(blocks, ["f", "b"]).select("value", (number + 1).cast("long").alias("line_number"), (number == F.col("file_before")).alias("head"))
+
+
+def _has_multiline(spark: SparkSession, path: str) -> bool:
+    return not spark.read.text(path).where(F.regexp_count("value", F.lit('"')) % 2 == 1).isEmpty()
+
+
+def numbered_records(spark: SparkSession, path: str) -> DataFrame:
+    """value, line_number and head as numbered_lines() has them, of records that may span lines: files in parallel, each in one task. What is no record is taken line by line."""
+    sizes = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
+    if sizes > WHOLE_BYTES:
+        raise CsvSchemaError(f"{path}: a file of {sizes} bytes has quotes that span lines; {WHOLE_BYTES} is the most")
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("f"))
+    record = rf"(?s)\G(?!\z)((?:{FIELD}(?:,{FIELD})*+(?=\r?\n|\z)|[^\n]*+))(?:\r?\n|\z)"
+    rows = files.select("f", F.posexplode(F.regexp_extract_all("value", F.lit(record), F.lit(1))).alias("i", "value"))
+    counts = rows.groupBy("f").agg(F.count("*").alias("n")).select("f", F.coalesce(F.sum("n").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    return rows.join(counts, "f").select("value", (F.col("before") + F.col("i") + 1).cast("long").alias("line_number"), (F.col("i") == 0).alias("head"))
 
 
 def _starts_with_mark(spark: SparkSession, path: str) -> bool:
@@ -84,17 +110,25 @@ def _starts_with_mark(spark: SparkSession, path: str) -> bool:
 
 def read_lines_strict(spark: SparkSession, lines: DataFrame, columns: list[str] = SOURCE_COLUMNS) -> DataFrame:
     """Text columns, source_row_number and malformed of lines (value, line_number) that hold one record each."""
-    record = rf"^{FIELD}(?:,{FIELD}){{{len(columns) - 1}}}\z"
+    record = rf"^{FIELD}(?:,{FIELD}){{{len(columns) - 1}}}+\z"
     good = F.col("value").rlike(record) & F.is_valid_utf8("value")
-    found = F.regexp_extract_all("value", F.lit(rf"(?:^|,)({FIELD})"), F.lit(1))
+    found = F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(rf",({FIELD})"), F.lit(1))
     fields = F.transform(found, lambda x: F.when(x.startswith('"'), F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), '""', '"')).otherwise(x))
     made = lines.select(F.col("line_number").alias("source_row_number"), (~good).alias("malformed"), F.when(good, fields).alias("x"))
     return made.select("source_row_number", "malformed", *[F.col("x")[i].alias(c) for i, c in enumerate(columns)])
 
 
 def read_strict(spark: SparkSession, path: str, columns: list[str] = SOURCE_COLUMNS) -> DataFrame:
-    """Text columns, source_row_number (2 for the row after the header) and malformed; raises if the header is not exactly columns."""
-    line = _first_line(spark, path)
-    if line is None or line != ",".join(columns) or _starts_with_mark(spark, path):
-        raise CsvSchemaError(f"{path}: row 1: the header must be exactly {','.join(columns)}")
-    return read_lines_strict(spark, numbered_lines(spark, path).where("line_number > 1"), columns)
+    """Text columns, source_row_number (2 for the row after the header) and malformed; raises if the header of the file, or of any file of a folder, is not exactly columns."""
+    line, header = _first_line(spark, path), ",".join(columns)
+    if line is None or line != header or _starts_with_mark(spark, path):
+        raise CsvSchemaError(f"{path}: row 1: the header must be exactly {header}")
+    lines = numbered_records(spark, path) if _has_multiline(spark, path) else numbered_lines(spark, path)
+    heads = lines.where("head").agg(F.count("*"), F.count_if(F.col("value") != header)).first()
+    if heads[1]:
+        raise CsvSchemaError(f"{path}: {heads[1]} of {heads[0]} files have another header than {header}")
+    if heads[0] == 1:
+        return read_lines_strict(spark, lines.where("not head"), columns)
+    ahead = materialize(lines.where("head").select(F.col("line_number").alias("at")), "heads").select("at", F.row_number().over(Window.orderBy("at")).alias("k"), F.lead("at").over(Window.orderBy("at")).alias("next"))  # a row per file
+    rows = lines.where("not head").join(ahead, (F.col("line_number") > F.col("at")) & (F.col("next").isNull() | (F.col("line_number") < F.col("next"))))
+    return read_lines_strict(spark, rows.select("value", (F.col("line_number") - F.col("k") + 1).alias("line_number")), columns)

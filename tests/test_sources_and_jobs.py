@@ -24,24 +24,25 @@ ROWS = [
 
 
 def write(path, lines, end="\n"):
+    path.parent.mkdir(exist_ok=True)
     path.write_bytes((end.join(lines) + end).encode() if isinstance(lines, list) else lines)
     return str(path)
 
 
 @pytest.mark.parametrize("end", ["\n", "\r\n"])
 def test_strict_source_to_published_rows(spark, tmp_path, end):
-    source = write(tmp_path / "in.csv", [HEADER, *ROWS], end)
-    facts = pipelines.canonical_pipeline(spark, source, str(tmp_path / "out"))
+    source = write(tmp_path / "in/in.csv", [HEADER, *ROWS], end)
+    facts = pipelines.canonical_pipeline(spark, source, str(tmp_path / "runs/out"))
     assert facts["counts"]["n_rows"] == 6 and facts["counts"]["n_transfer"] == 4 and facts["counts"]["contiguous"]
-    rows = {r["source_row_number"]: r for r in spark.read.parquet(str(tmp_path / "out/canonical")).collect()}
+    rows = {r["source_row_number"]: r for r in spark.read.parquet(str(tmp_path / "runs/out/canonical")).collect()}
     assert sorted(rows) == [2, 3, 4, 5, 6, 7]
     assert rows[2]["initiator_id"] == " 001 " and rows[4]["recipient_id"] == 'B,"x' and rows[3]["amount_literal"] == "+0002.00" and rows[3]["amount"] == Decimal("2.00")
-    assert json.loads((tmp_path / "out/manifest.json").read_text())["counts"] == facts["counts"]
+    assert json.loads((tmp_path / "runs/out/manifest.json").read_text())["counts"] == facts["counts"]
     with pytest.raises(FileExistsError):
-        pipelines.canonical_pipeline(spark, source, str(tmp_path / "out"))
-    loaded = pipelines.load_features(spark, str(tmp_path / "out"), str(tmp_path / "features"))
+        pipelines.canonical_pipeline(spark, source, str(tmp_path / "runs/out"))
+    loaded = pipelines.load_features(spark, str(tmp_path / "runs/out"), str(tmp_path / "features"))
     assert loaded["rows"] == 4 and loaded["partitions"] == {"train": 2, "validation": 1, "test": 1} and loaded["status"] == "loaded"
-    assert pipelines.load_features(spark, str(tmp_path / "out"), str(tmp_path / "features"))["status"] == "verified_existing"
+    assert pipelines.load_features(spark, str(tmp_path / "runs/out"), str(tmp_path / "features"))["status"] == "verified_existing"
     made = spark.read.parquet(str(tmp_path / "features/features")).orderBy("source_row_number").collect()
     assert [r["initiator_prior_outgoing_count"] for r in made] == [0, 1, 2, 4]
 
@@ -49,7 +50,7 @@ def test_strict_source_to_published_rows(spark, tmp_path, end):
 @pytest.mark.parametrize("header", ["", HEADER.upper(), "﻿" + HEADER, HEADER + ",x", HEADER.replace("step,", ""), " " + HEADER, HEADER.replace(",", ", ")])
 def test_headers_that_are_not_exact_are_refused(spark, tmp_path, header):
     with pytest.raises(csv_source.CsvSchemaError):
-        csv_source.read_strict(spark, write(tmp_path / "in.csv", [header, ROWS[0]]))
+        csv_source.read_strict(spark, write(tmp_path / "in/in.csv", [header, ROWS[0]]))
 
 
 BAD = [
@@ -62,11 +63,11 @@ BAD = [
 def test_bad_fields_name_their_row_and_column(spark, tmp_path, column, value):
     fields = dict(zip(SOURCE_COLUMNS, ["1", "TRANSFER", "1", "A", "1", "0", "B", "0", "1", "0"]))
     line = ",".join(f'"{v}"' if "," in v else v for v in (fields | {column: value}).values())
-    source = write(tmp_path / "in.csv", [HEADER, ROWS[0], line, line])
+    source = write(tmp_path / "in/in.csv", [HEADER, ROWS[0], line, line])
     with pytest.raises(validation.CanonicalValidationError, match=f"CSV row 3, {column}: "):
-        pipelines.canonical_pipeline(spark, source, str(tmp_path / "out"))
-    left = [p for p in os.listdir(tmp_path) if p.startswith(".out.incomplete")]
-    assert not (tmp_path / "out").exists() and json.loads((tmp_path / left[0] / "failure.json").read_text())["error"] == "CanonicalValidationError"
+        pipelines.canonical_pipeline(spark, source, str(tmp_path / "runs/out"))
+    left = [p for p in os.listdir(tmp_path / "runs") if p.startswith(".out.incomplete")]
+    assert not (tmp_path / "runs/out").exists() and json.loads((tmp_path / "runs" / left[0] / "failure.json").read_text())["error"] == "CanonicalValidationError"
 
 
 @pytest.mark.parametrize("line", ["", "1,2", ROWS[0] + ",x", ROWS[0].replace('" 001 "', '"B"x'), ROWS[0].replace('" 001 "', '"open'), b"0,TRANSFER,1,\xff,1,1,B,1,1,0"])
@@ -77,28 +78,83 @@ def test_malformed_lines_are_refused(spark, tmp_path, line):
         pipelines.read_canonical(spark, str(source), "0" * 64)
 
 
-def test_wide_money_and_regressions_are_refused(spark, tmp_path):
-    wide = write(tmp_path / "wide.csv", [HEADER, ROWS[0].replace("1.00", "1.001")])
-    with pytest.raises(validation.CanonicalValidationError, match="CSV row 2: money"):
-        pipelines.read_canonical(spark, wide, "0" * 64)
-    back = write(tmp_path / "back.csv", [HEADER, ROWS[2], ROWS[0]])
+def test_money_keeps_all_digits_and_regressions_are_refused(spark, tmp_path):
+    wide = write(tmp_path / "wide.csv", [HEADER, ROWS[0].replace("1.00", "+0001.200"), ROWS[1].replace("5.5", "-0.00"), ROWS[2].replace(",9,6,", ",123456789012345678901234567890.125,6,")])
+    rows = {r["source_row_number"]: r for r in pipelines.read_canonical(spark, wide, "0" * 64).collect()}
+    assert rows[2]["amount"] == Decimal("1.2") and rows[2]["amount_literal"] == "+0001.200" and rows[3]["oldBalInitiator_literal"] == "-0.00"
+    assert rows[4]["initiator_balance_before"] == Decimal("123456789012345678901234567890.125")
+    with pytest.raises(validation.CanonicalValidationError, match="38 digits"):
+        pipelines.read_canonical(spark, write(tmp_path / "wider.csv", [HEADER, ROWS[0].replace("1.00", "1" * 30 + "." + "1" * 9)]), "0" * 64)
+    back = write(tmp_path / "in/back.csv", [HEADER, ROWS[2], ROWS[0]])
     with pytest.raises(integrity.IntegrityError, match="below the step"):
-        pipelines.canonical_pipeline(spark, back, str(tmp_path / "out"))
+        pipelines.canonical_pipeline(spark, back, str(tmp_path / "runs/out"))
 
 
-def test_sources_are_verified(spark, tmp_path):
-    source = write(tmp_path / "in.csv", [HEADER, *ROWS])
-    with artifact.verified_source(spark, source) as found:
+def test_sources_are_verified_by_sha256(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    source = write(tmp_path / "in/in.csv", [HEADER, *ROWS])
+    sha = hashlib.sha256((tmp_path / "in/in.csv").read_bytes()).hexdigest()
+    with artifact.verified_source(spark, source, sha) as found:
         pass
-    assert found.lines == 7
-    with pytest.raises(integrity.IntegrityError), artifact.verified_source(spark, source, "other"):
+    assert found.digest == sha and found.size == (tmp_path / "in/in.csv").stat().st_size
+    monkeypatch.setattr(artifact, "WHOLE_BYTES", 10)
+    assert artifact.fingerprint(spark, source) == found
+    (tmp_path / "many").mkdir()
+    write(tmp_path / "many/b.csv", [HEADER])
+    write(tmp_path / "many/a.csv", [ROWS[0]])
+    assert [n for n, _ in artifact.file_digests(spark, str(tmp_path / "many"))] == ["a.csv", "b.csv"]
+    with pytest.raises(integrity.IntegrityError, match="sha256"), artifact.verified_source(spark, source, "other"):
         pass
     with pytest.raises(integrity.IntegrityError, match="changed"), artifact.verified_source(spark, source):
-        write(tmp_path / "in.csv", [HEADER, *ROWS[::-1]])
+        write(tmp_path / "in/in.csv", [HEADER, *ROWS[::-1]])
+
+
+def test_ids_of_published_rows_come_from_the_file(spark, tmp_path):
+    import hashlib
+    import uuid
+
+    source = write(tmp_path / "in/in.csv", [HEADER, *ROWS])
+    sha = hashlib.sha256((tmp_path / "in/in.csv").read_bytes()).hexdigest()
+    pipelines.canonical_pipeline(spark, source, str(tmp_path / "runs/out"))
+    space = uuid.UUID("e42d9db1-0152-5973-b3b0-6df189dc50e4")
+    for r in spark.read.parquet(str(tmp_path / "runs/out/canonical")).collect():
+        assert r["transaction_id"] == str(uuid.uuid5(space, f"{sha}:{r['source_row_number']}")) and r["artifact_id"] == str(uuid.uuid5(space, sha))
+
+
+KNOWN = {"filename": "in.csv", "row_count": 6, "legitimate_count": 4, "fraud_count": 2, "transaction_type_counts": {"PAYMENT": 2, "TRANSFER": 4}, "step_min": 0, "step_max": 120, "partitions": {"train": 2, "validation": 1, "test": 1}}
+
+
+def test_contracts_are_held(spark, tmp_path):
+    source = write(tmp_path / "in/in.csv", [HEADER, *ROWS])
+    facts = pipelines.canonical_pipeline(spark, source, str(tmp_path / "runs/out"), contract=artifact.ArtifactContract(**KNOWN))
+    assert facts["observed"] == {k: v for k, v in KNOWN.items() if k != "filename"} and len(facts["code"]) == 64
+    for name, other in {"filename": "x.csv", "byte_size": 1, "row_count": 5, "fraud_count": 3, "transaction_type_counts": {"TRANSFER": 6}, "step_max": 143, "partitions": {"train": 4}}.items():
+        with pytest.raises(integrity.IntegrityError, match=name):
+            pipelines.canonical_pipeline(spark, source, str(tmp_path / f"runs/{name}"), contract=artifact.ArtifactContract(**(KNOWN | {name: other})))
+        assert not (tmp_path / f"runs/{name}").exists()
+    for target in (source, str(tmp_path), str(tmp_path / "in/beside"), f"{source}/in"):
+        with pytest.raises(ValueError, match="must not"):
+            pipelines.canonical_pipeline(spark, source, target)
+
+
+def test_records_that_span_lines_and_folders_of_files(spark, tmp_path):
+    odd = ROWS[1].replace("\"B';--\"", '"line\none, ""two"""')
+    source = write(tmp_path / "in/in.csv", [HEADER, ROWS[0], odd, ROWS[2]], "\r\n")
+    got = csv_source.read_strict(spark, source).orderBy("source_row_number").collect()
+    assert [(r["source_row_number"], r["malformed"]) for r in got] == [(2, False), (3, False), (4, False)] and got[1]["initiator"] == 'line\none, "two"' and got[2]["recipient"] == 'B,"x'
+    (tmp_path / "many").mkdir()
+    for name, lines in {"a.csv": [HEADER, ROWS[0], odd], "b.csv": [HEADER], "c.csv": [HEADER, ROWS[2], ROWS[3]]}.items():
+        write(tmp_path / "many" / name, lines)
+    rows = csv_source.read_strict(spark, str(tmp_path / "many")).orderBy("source_row_number").collect()
+    assert [(r["source_row_number"], r["step"], r["malformed"]) for r in rows] == [(2, "0", False), (3, "0", False), (4, "95", False), (5, "96", False)]
+    write(tmp_path / "many/d.csv", ["step", "1"])
+    with pytest.raises(csv_source.CsvSchemaError, match="another header"):
+        csv_source.read_strict(spark, str(tmp_path / "many"))
 
 
 def test_inspection_and_permissive_scan(spark, tmp_path):
-    source = write(tmp_path / "in.csv", ["﻿ a , b,c", '1,"x, y",3', "1,2"])
+    source = write(tmp_path / "in/in.csv", ["﻿ a , b,c", '1,"x, y",3', "1,2"])
     report = csv_source.inspect_csv(spark, source, ["a", "b"])
     assert report.columns == ("a", "b", "c") and report.extra_columns == ("c",)
     assert sorted(tuple(r) for r in csv_source.read_permissive(spark, source, ["a", "b"]).select("a", "b", "malformed").collect()) == [("1", "2", True), ("1", "x, y", False)]
@@ -223,14 +279,14 @@ def test_commands_reports_and_store(spark, tmp_path, capsys):
     from asofledger.operators import features
     from asofledger.plans import store
 
-    source = write(tmp_path / "in.csv", [HEADER, *ROWS])
+    source = write(tmp_path / "in/in.csv", [HEADER, *ROWS])
     at = lambda name: str(tmp_path / name)
-    assert main(["canonical", source, at("c")]) == 0 and main(["audit", source, at("audit.json")]) == 0 and main(["contract", source, at("contract.json")]) == 0 and main(["features", at("c"), at("features.json")]) == 0
-    assert main(["canonical", source, at("c")]) == 1 and capsys.readouterr().err.startswith("FileExistsError: ")
+    assert main(["canonical", source, at("runs/c")]) == 0 and main(["audit", source, at("audit.json")]) == 0 and main(["contract", source, at("contract.json")]) == 0 and main(["features", at("runs/c"), at("features.json")]) == 0
+    assert main(["canonical", source, at("runs/c")]) == 1 and capsys.readouterr().err.startswith("FileExistsError: ")
     audited, known, made = (json.loads((tmp_path / f"{n}.json").read_text()) for n in ("audit", "contract", "features"))
     assert audited["rows"][0]["n_rows"] == 6 and audited["out_of_order"] == 0 and {r["transaction_type"]: r["n_rows"] for r in known["populations"]} == {"ALL": 6, "TRANSFER": 4, "PAYMENT": 2}
     assert made["features"]["rows"] == 4 and made["state"] == {"initiators": 2, "recipients": 3, "pairs": 3} and all(r["n_broken"] == 0 for r in made["broken"])
-    rows = spark.read.parquet(at("c/canonical"))
+    rows = spark.read.parquet(at("runs/c/canonical"))
     features_ = features.features_by_rollup(rows, ["transaction_id", "initiator_balance_before", "recipient_balance_before"])
     spark.sql("DROP DATABASE IF EXISTS ledger_test CASCADE")
     store.store(spark, "ledger_test", rows, features_)
