@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -81,15 +82,17 @@ class ChunkTable:
         """Row of each distinct chunk, after segmenting those not met before."""
         if len(self.rows) > TABLE_CHUNKS:
             self.clear()
-        words = chunks.to_pylist()
-        new = [w for w in words if w not in self.rows]
-        if new:
-            self.rows.update(zip(new, range(len(self.rows), len(self.rows) + len(new))))
+        words = chunks.to_numpy(zero_copy_only=False).tolist()
+        rows = np.fromiter(map(self.rows.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        missing = np.flatnonzero(rows < 0)
+        if len(missing):
+            new = [words[i] for i in missing.tolist()]
+            rows[missing] = np.arange(len(self.rows), len(self.rows) + len(new))
+            self.rows.update(zip(new, rows[missing].tolist()))
             ids, lengths = self.segment(new) if self.split else self.whole(new)
             self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(lengths)])
             self.flat = np.concatenate([self.flat, ids])
-        rows = self.rows
-        return np.fromiter((rows[w] for w in words), dtype=np.int64, count=len(words))
+        return rows
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, and their n + 1 offsets."""
@@ -138,6 +141,20 @@ def encode(df: DataFrame, model_file: str, text_col: str = "text", ids_col: str
     return add_columns(df, text_col, [(ids_col, T.ArrayType(T.IntegerType()), pa.list_(pa.int32()))], lambda texts: [encode_batch(texts, model_file, state)], keep)
 
 
+def id_lists(ids: pa.Array) -> list[list[int]]:
+    """The lists of an array of lists; null ones are empty."""
+    whole = ids.offsets.to_numpy()
+    flat = ids.values.to_numpy(zero_copy_only=False)[whole[0] : whole[-1]].tolist()
+    lists = [flat[a:b] for a, b in zip((whole[:-1] - whole[0]).tolist(), (whole[1:] - whole[0]).tolist())]
+    return [x if there else [] for x, there in zip(lists, ids.is_valid().to_pylist())] if ids.null_count else lists
+
+
+def decode_batch(ids: pa.Array, model_file: str) -> pa.Array:
+    """The texts of lists of ids."""
+    lists = id_lists(ids)
+    return pa.array(processor(model_file).decode(lists, num_threads=1) if lists else [], pa.string())
+
+
 def decode(df: DataFrame, model_file: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
     """df with text_col: the text of ids_col; null ids count as none and give ''. Ids outside the vocabulary raise."""
     kept = [c for c in df.columns if c.lower() != text_col.lower()]
@@ -145,13 +162,10 @@ def decode(df: DataFrame, model_file: str, ids_col: str = "ids", text_col: str =
     schema = T.StructType([*given.schema.fields, T.StructField(text_col, T.StringType())])
 
     def run(batches):
-        sp = processor(model_file)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                lists = [x or [] for x in part.column(part.schema.get_field_index(ids_col)).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(sp.decode(lists, num_threads=1) if lists else [], pa.string())], names=[*kept, text_col])
-            lists = None
+                yield pa.RecordBatch.from_arrays([*part.columns, decode_batch(part.column(part.schema.get_field_index(ids_col)), model_file)], names=[*kept, text_col])
             release()
 
     return given.mapInArrow(run, schema)
@@ -165,7 +179,13 @@ def ids_digest(ids: pa.Array) -> pa.Array:
 
 
 def round_trip_digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of df: id_col, n_tokens, ids_sha256, decoded_sha256, by encode() and decode()."""
-    digest = F.arrow_udf(ids_digest, "string")
-    both = decode(encode(df, model_file, text_col, "ids", keep=[id_col]), model_file, "ids", "decoded")
-    return both.select(id_col, F.size("ids").cast("long").alias("n_tokens"), digest("ids").alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+    """One row per row of df: id_col, n_tokens, ids_sha256, decoded_sha256, by encode_batch() and decode_batch() in one pass, so that ids never leave the task."""
+    state: dict = {}
+
+    def step(texts: pa.Array) -> list[pa.Array]:
+        ids = encode_batch(texts, model_file, state)
+        decoded = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decode_batch(ids, model_file).to_pylist()], pa.string())
+        return [pa.array(np.diff(ids.offsets.to_numpy()), pa.int64()), ids_digest(ids), decoded]
+
+    fields = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]
+    return add_columns(df, text_col, fields, step, keep=[id_col])
