@@ -57,6 +57,8 @@ def evaluation_partition(step: Column) -> Column:
 
 
 def inferred_kind(text: Column) -> Column:
-    """integer, number or string: what Python's int() and float() would take, by a pattern (no underscores, ASCII digits)."""
-    t = F.trim(text)
-    return F.when(t.rlike(r"^[+-]?[0-9]+\z"), "integer").when(t.rlike(r"(?i)^[+-]?(?:[0-9]+\.?[0-9]*(?:e[+-]?[0-9]+)?|\.[0-9]+(?:e[+-]?[0-9]+)?|inf|infinity|nan)\z"), "number").otherwise("string")
+    """integer, number or string: what Python's int() and float() take: any script's digits, single underscores between digits, white space around."""
+    bare = F.regexp_replace(text, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    n = r"\p{Nd}(?:_?\p{Nd})*+"
+    number = rf"(?i)^[+-]?(?:(?:{n}\.?(?:{n})?|\.{n})(?:e[+-]?{n})?|inf|infinity|nan)\z"
+    return F.when(bare.rlike(rf"^[+-]?{n}\z"), "integer").when(bare.rlike(number), "number").otherwise("string")

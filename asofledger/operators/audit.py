@@ -19,6 +19,12 @@ def row_counts_duplicates(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows.groupBy(key.alias("k")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_distinct"), F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("n_duplicates"))
 
 
+def source_quality(rows: DataFrame) -> DataFrame:
+    """One row of text rows with malformed: all rows, malformed ones, and well-formed ones whose step is no integer."""
+    step = inferred_kind(F.coalesce(F.col("step"), F.lit("")))
+    return rows.agg(F.count("*").alias("n_rows"), F.count_if("malformed").alias("malformed_rows"), F.count_if(~F.col("malformed") & (step != "integer")).alias("invalid_step_rows"))
+
+
 def _long(rows: DataFrame, columns: list[str], *more: str) -> DataFrame:
     """One row per row and column: column_name, value as text, and the columns more."""
     return rows.select(*more, F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select(*more, "x.*")
@@ -99,13 +105,13 @@ def _entities(rows: DataFrame) -> DataFrame:
 
 def entity_activity(rows: DataFrame) -> DataFrame:
     """Per role and entity: rows, first and last step, whether it acts in several steps, rows by label."""
-    return _entities(rows).groupBy("role", "entity").agg(F.count("*").alias("n_rows"), F.min("step").alias("first_step"), F.max("step").alias("last_step"), (F.min("step") < F.max("step")).alias("multi_step"), F.count_if(F.col("is_fraud") == 1).alias("n_fraud"), F.count_if(F.col("is_fraud") == 0).alias("n_legitimate"))
+    return _entities(rows).groupBy("role", "entity").agg(F.count("*").alias("n_rows"), F.min("step").alias("first_step"), F.max("step").alias("last_step"), (F.min("step") < F.max("step")).alias("multi_step"), F.count_if(F.col("is_fraud") == 1).alias("n_fraud"), F.count_if(F.col("is_fraud") == 0).alias("n_legitimate"), F.count_if(~F.coalesce(F.col("is_fraud").isin(0, 1), F.lit(False))).alias("n_unexpected"))
 
 
 def entity_label_profile(rows: DataFrame) -> DataFrame:
     """Per role: entities, those with several rows or steps, and by which labels they have."""
     f, l = F.col("n_fraud") > 0, F.col("n_legitimate") > 0  # noqa: E741
-    return entity_activity(rows).groupBy("role").agg(F.count("*").alias("entities"), F.count_if(F.col("n_rows") > 1).alias("multi_row"), F.count_if("multi_step").alias("multi_step"), F.count_if(l & ~f).alias("legitimate_only"), F.count_if(f & ~l).alias("fraud_only"), F.count_if(f & l).alias("mixed"))
+    return entity_activity(rows).groupBy("role").agg(F.count("*").alias("entities"), F.count_if(F.col("n_rows") > 1).alias("multi_row"), F.count_if("multi_step").alias("multi_step"), F.count_if(l & ~f).alias("legitimate_only"), F.count_if(f & ~l).alias("fraud_only"), F.count_if(f & l).alias("mixed"), F.count_if(F.col("n_unexpected") > 0).alias("unexpected"))
 
 
 def role_overlap(rows: DataFrame) -> DataFrame:

@@ -56,6 +56,14 @@ def average_precision(scored: DataFrame) -> DataFrame:
     return by_score(scored).agg(F.when(F.sum("p") > 0, F.sum(F.col("p") * F.col("cum_p") / F.col("cum_n")) / F.sum("p")).alias("average_precision"))
 
 
+def grouped_average_precision(scored: DataFrame, groups: list[str]) -> DataFrame:
+    """Average precision of each of many small groups of rows; a group's distinct scores meet in one task."""
+    counts = scored.groupBy(*groups, "score").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("p"))
+    above = Window.partitionBy(*groups).orderBy(F.desc("score"))
+    curve = counts.withColumns({"cum_n": F.sum("n").over(above), "cum_p": F.sum("p").over(above)})
+    return curve.groupBy(*groups).agg(F.when(F.sum("p") > 0, F.sum(F.col("p") * F.col("cum_p") / F.col("cum_n")) / F.sum("p")).alias("average_precision"))
+
+
 def roc_auc(scored: DataFrame) -> DataFrame:
     """Area under the ROC curve, ties counting half; null with one class."""
     neg = F.col("n") - F.col("p")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
@@ -11,11 +12,19 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..durable import materialize, with_row_number
 from ..functions.patterns import evaluation_partition
 from ..schema import CORE_FEATURES, ENHANCED_FEATURES, NULLABLE_FEATURES
 from . import metrics
 
 SEED = 904
+MAX_ITERATIONS = 1000
+#: Validation rows that importance is measured on, at most.
+IMPORTANCE_ROWS = 10_000
+
+
+class ConvergenceError(RuntimeError):
+    """A model whose fit did not end by itself."""
 
 
 @dataclass(frozen=True)
@@ -25,7 +34,7 @@ class Spec:
     kind: str
 
 
-SPECS = [Spec("core_logistic", tuple(CORE_FEATURES), "logistic"), Spec("core_boosting", tuple(CORE_FEATURES), "boosting"), Spec("enhanced_logistic", tuple(ENHANCED_FEATURES), "logistic"), Spec("enhanced_boosting", tuple(ENHANCED_FEATURES), "boosting")]
+SPECS = [Spec("prevalence", tuple(CORE_FEATURES), "baseline"), Spec("core_logistic", tuple(CORE_FEATURES), "logistic"), Spec("core_boosting", tuple(CORE_FEATURES), "boosting"), Spec("enhanced_logistic", tuple(ENHANCED_FEATURES), "logistic"), Spec("enhanced_boosting", tuple(ENHANCED_FEATURES), "boosting")]
 
 
 def model_data(features: DataFrame) -> DataFrame:
@@ -67,12 +76,17 @@ class Fitted:
     """A fitted model that scores any rows of the same columns."""
 
     def __init__(self, spec: Spec, train: DataFrame):
+        """Raises ConvergenceError where a logistic model is not done after MAX_ITERATIONS."""
         self.spec = spec
-        if spec.kind == "logistic":
+        if spec.kind == "baseline":
+            self.rate = float(train.agg(F.avg(F.col("label").cast("double"))).first()[0] or 0.0)
+        elif spec.kind == "logistic":
             self.medians, self.scales = prepare(train, spec.columns)
             n = train.count()
             # L2 with C = 1 over sums of losses is regParam = 1 / n over their mean
-            self.model = LogisticRegression(labelCol="label", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-8).fit(standardised(train, spec.columns, self.medians, self.scales))
+            self.model = LogisticRegression(labelCol="label", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=MAX_ITERATIONS, tol=1e-8).fit(standardised(train, spec.columns, self.medians, self.scales))
+            if self.model.summary.totalIterations >= MAX_ITERATIONS:
+                raise ConvergenceError(f"{spec.name} is not done after {MAX_ITERATIONS} iterations")
         else:
             flags = [c for c in spec.columns if c in NULLABLE_FEATURES]
             filled = [f"{c}__filled" for c in flags]
@@ -83,7 +97,13 @@ class Fitted:
     def _flagged(self, df: DataFrame) -> DataFrame:
         return df.withColumns({f"{c}__null": F.col(c).isNull().cast("double") for c in self.spec.columns if c in NULLABLE_FEATURES})
 
+    def coefficients(self) -> dict[str, float]:
+        """A logistic model's coefficients of the standardised columns."""
+        return dict(zip(self.spec.columns, map(float, self.model.coefficients)))
+
     def score(self, df: DataFrame) -> DataFrame:
+        if self.spec.kind == "baseline":
+            return df.select(*[c for c in df.columns if c not in self.spec.columns], F.lit(self.rate).alias("score"))
         ready = standardised(df, self.spec.columns, self.medians, self.scales) if self.spec.kind == "logistic" else self._flagged(df)
         made = self.model.transform(ready).select(*[c for c in df.columns if c not in self.spec.columns], vector_to_array("probability")[1].alias("score"))
         return made
@@ -110,21 +130,39 @@ def evaluate(scored: DataFrame, threshold: float) -> DataFrame:
     return metrics.threshold_metrics(scored, threshold).join(metrics.average_precision(scored)).join(metrics.roc_auc(scored))
 
 
-def permuted(scored_from: DataFrame, column: str, key: str, seed: int = SEED) -> DataFrame:
-    """Rows with one column permuted: values are dealt to keys by the order of a seeded hash, both sides numbered in parallel."""
-    from ..durable import with_row_number
+def permuted(rows: DataFrame, columns: list[str], key: str, repeats: int = 3, seed: int = SEED) -> DataFrame:
+    """All rows once for each column and repeat, with that column's values dealt to them by the order of a seeded hash of the key, and once as they are (column null). Adds column and repeat.
 
-    rows = with_row_number(scored_from, [key], "__a", 0)
-    values = with_row_number(scored_from.select(F.col(column).alias("__v"), F.xxhash64(F.lit(seed), key).alias("__h"), F.col(key).alias("__k")), ["__h", "__k"], "__a", 0)
-    return rows.drop(column).join(values.select("__a", F.col("__v").alias(column)), "__a").drop("__a")
+    Both sides are numbered in parallel, once for all columns.
+    """
+    held = materialize(rows, "permuted")
+    ordered = with_row_number(held, [key], "__a", 0)
+    values = [with_row_number(held.select(*[F.col(c).alias(f"__v{i}") for i, c in enumerate(columns)], F.xxhash64(F.lit(seed + r), key).alias("__h"), F.col(key).alias("__k")), ["__h", "__k"], "__a", 0).withColumn("repeat", F.lit(r)) for r in range(repeats)]
+    both = materialize(ordered.join(reduce(DataFrame.unionByName, values).drop("__h", "__k"), "__a"), "dealt")
+    others = [c for c in held.columns if c not in columns]
+    tall = [both.select(*others, *[F.col(f"__v{i}" if c == d else d).alias(d) for d in columns], F.lit(c).alias("column"), "repeat") for i, c in enumerate(columns)]
+    return reduce(DataFrame.unionByName, tall, held.select(*others, *columns, F.lit(None).cast("string").alias("column"), F.lit(-1).alias("repeat")))
 
 
 def permutation_importance(fitted: Fitted, rows: DataFrame, key: str, repeats: int = 3) -> list[tuple[str, float, float]]:
-    """(column, mean and population deviation of the AP lost) by column; numbers only."""
-    base = metrics.average_precision(fitted.score(rows)).first()[0] or 0.0
-    out = []
-    for column in fitted.spec.columns:
-        lost = [base - (metrics.average_precision(fitted.score(permuted(rows, column, key, SEED + r))).first()[0] or 0.0) for r in range(repeats)]
+    """(column, mean and population deviation of the AP lost) by column. rows are a bounded sample: all permutations are scored in one pass, and each one's curve is one group."""
+    columns = list(fitted.spec.columns)
+    scored = materialize(fitted.score(permuted(rows.select(key, "label", *columns), columns, key, repeats)), "permutations")
+    found = {(r["column"], r["repeat"]): r["average_precision"] or 0.0 for r in metrics.grouped_average_precision(scored, ["column", "repeat"]).collect()}  # a row per column and repeat
+    base, out = found[None, -1], []
+    for c in columns:
+        lost = [base - found[c, r] for r in range(repeats)]
         mean = sum(lost) / repeats
-        out.append((column, mean, (sum((x - mean) ** 2 for x in lost) / repeats) ** 0.5))
+        out.append((c, mean, (sum((x - mean) ** 2 for x in lost) / repeats) ** 0.5))
+    return out
+
+
+def explain(models: list[Fitted], validation: DataFrame, key: str) -> dict[str, dict]:
+    """Standardised coefficients of the logistic models, and the AP that the boosting models lose on a sample of validation rows when a column is permuted."""
+    sample, out = materialize(sample_rows(validation, IMPORTANCE_ROWS, key=key), "sample"), {}
+    for fitted in models:
+        if fitted.spec.kind == "logistic":
+            out[fitted.spec.name] = {"standardised_coefficients": fitted.coefficients()}
+        elif fitted.spec.kind == "boosting":
+            out[fitted.spec.name] = {"validation_ap_decrease": {c: {"mean": m, "deviation": d} for c, m, d in permutation_importance(fitted, sample, key)}}
     return out

@@ -14,13 +14,13 @@ from pyspark.sql import functions as F
 from ..durable import materialize, shared_dir, with_row_number
 from ..functions import decimals
 from ..functions.identity import transaction_id, uuid5
-from ..functions.patterns import evaluation_partition
+from ..functions.patterns import evaluation_partition, inferred_kind
 from ..operators import audit, contract, features, integrity, metrics, modelling, validation
 from ..schema import CANONICAL_SCHEMA, CORE_FEATURES, EVENT_COLUMNS, MONEY_COLUMNS, SOURCE_COLUMNS
 from ..sources import artifact, csv_source
 from ..sources.adapter import SQL_TXN, TOTAL_ORDER, numbered, table, transactions
 from ..streaming import history
-from . import pipelines
+from . import pipelines, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -273,17 +273,23 @@ def balance_patterns_by_label(spark, sf_dir):
     return audit.balance_patterns(_unbalanced(transactions(spark, sf_dir, True)), "is_fraud")
 
 
-_SQL_ENTITY = _SQL_ROLES + ", a AS (SELECT role, id AS entity, count(*) AS n_rows, min(step) AS first_step, max(step) AS last_step, min(step) < max(step) AS multi_step, count(*) FILTER (is_fraud = 1) AS n_fraud, count(*) FILTER (is_fraud = 0) AS n_legitimate FROM r GROUP BY ALL)"
+_SQL_ENTITY = ", r AS (SELECT 'initiator' AS role, initiator_id AS id, step, is_fraud FROM l UNION ALL SELECT 'recipient', recipient_id, step, is_fraud FROM l)"
+_SQL_ENTITY = ", l AS (SELECT * REPLACE (CASE WHEN CAST(amount * 100 AS BIGINT) % 20 = 0 THEN 2 ELSE is_fraud END AS is_fraud) FROM txn)" + _SQL_ENTITY + ", a AS (SELECT role, id AS entity, count(*) AS n_rows, min(step) AS first_step, max(step) AS last_step, min(step) < max(step) AS multi_step, count(*) FILTER (is_fraud = 1) AS n_fraud, count(*) FILTER (is_fraud = 0) AS n_legitimate, count(*) FILTER (is_fraud NOT IN (0, 1)) AS n_unexpected FROM r GROUP BY ALL)"
+
+
+def _odd_labels(rows: DataFrame) -> DataFrame:
+    """Rows of which some have a label other than 0 and 1."""
+    return rows.withColumn("is_fraud", F.when(F.expr("cast(amount * 100 as bigint) % 20 = 0"), 2).otherwise(F.col("is_fraud")))
 
 
 @query("entity_activity", _SQL_ENTITY + " SELECT * FROM a")
 def entity_activity(spark, sf_dir):
-    return audit.entity_activity(transactions(spark, sf_dir))
+    return audit.entity_activity(_odd_labels(transactions(spark, sf_dir)))
 
 
-@query("entity_label_profile", _SQL_ENTITY + " SELECT role, count(*) AS entities, count(*) FILTER (n_rows > 1) AS multi_row, count(*) FILTER (multi_step) AS multi_step, count(*) FILTER (n_fraud = 0) AS legitimate_only, count(*) FILTER (n_legitimate = 0) AS fraud_only, count(*) FILTER (n_fraud > 0 AND n_legitimate > 0) AS mixed FROM a GROUP BY role")
+@query("entity_label_profile", _SQL_ENTITY + " SELECT role, count(*) AS entities, count(*) FILTER (n_rows > 1) AS multi_row, count(*) FILTER (multi_step) AS multi_step, count(*) FILTER (n_fraud = 0) AS legitimate_only, count(*) FILTER (n_legitimate = 0) AS fraud_only, count(*) FILTER (n_fraud > 0 AND n_legitimate > 0) AS mixed, count(*) FILTER (n_unexpected > 0) AS unexpected FROM a GROUP BY role")
 def entity_label_profile(spark, sf_dir):
-    return audit.entity_label_profile(transactions(spark, sf_dir))
+    return audit.entity_label_profile(_odd_labels(transactions(spark, sf_dir)))
 
 
 @query("role_overlap_intersect", "SELECT initiator_id AS entity FROM txn INTERSECT SELECT recipient_id FROM txn")
@@ -356,6 +362,36 @@ def row_validation_errors(spark, sf_dir):
     return validation.with_errors(_dirty(spark, sf_dir)).select("txn_key", F.col("e.column").alias("error_column"), F.col("e.reason").alias("reason"))
 
 
+@query("source_quality", ", p AS (SELECT CAST(amount * 100 AS BIGINT) % 20 AS k FROM txn) SELECT count(*) AS n_rows, count(*) FILTER (k = 0) AS malformed_rows, count(*) FILTER (k = 1) AS invalid_step_rows FROM p")
+def source_quality(spark, sf_dir):
+    return audit.source_quality(_dirty(spark, sf_dir))
+
+
+@query("inferred_kinds", """, p AS (SELECT CAST(amount * 100 AS BIGINT) % 9 AS k FROM txn) SELECT CASE WHEN k IN (0, 1, 2, 3) THEN 'integer' WHEN k IN (4, 5, 6) THEN 'number' ELSE 'string' END AS kind, count(*) AS n_rows FROM p GROUP BY 1""")
+def inferred_kinds(spark, sf_dir):
+    """Steps spelt in ways that are an integer, a number or neither."""
+    step = F.col("step").cast("string")
+    shapes = [step, F.concat(F.lit(" +1_0"), step, F.lit("\u2003")), F.concat(F.lit("\u0663"), step), F.concat(F.lit("-0"), step), F.concat(step, F.lit(".")), F.concat(F.lit("."), step, F.lit("e+1_0")), F.lit("-Infinity"), F.concat(F.lit("1__"), step), F.concat(step, F.lit("_"))]
+    kind = inferred_kind(F.element_at(F.array(*shapes), (F.expr("cast(amount * 100 as bigint) % 9") + 1).cast("int")))
+    return transactions(spark, sf_dir).select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n_rows"))
+
+
+@query("catalog_views", """, t AS (SELECT * FROM txn WHERE transaction_type = 'TRANSFER') SELECT count(*) AS n_core, count(*) AS n_enhanced, count(*) AS n_target, CAST(sum(is_fraud) AS BIGINT) AS n_fraud, CAST(sum(initiator_balance_before) AS DOUBLE) AS balances, 'verified_existing' AS reload FROM t""")
+def catalog_views(spark, sf_dir):
+    """The relations stored as catalog tables, loaded a second time, and read through their views; the database is dropped again."""
+    rows = numbered(transactions(spark, sf_dir, True)).drop("score").withColumnRenamed("txn_key", "transaction_id")
+    made = features.features_by_rollup(rows, ["transaction_id", "initiator_balance_before", "recipient_balance_before"])
+    rows, made = materialize(rows, "canonical"), materialize(made, "features")
+    name = f"ledger_{uuid.uuid4().hex[:12]}"
+    store.store(spark, name, rows, made)
+    again = store.store(spark, name, rows, made)
+    core, enhanced, target = (spark.table(f"{name}.{v}") for v in ("core_predictors", "enhanced_predictors", "transaction_target"))
+    sums = enhanced.agg(F.count("*").alias("n_enhanced"), F.sum("initiator_balance_before").cast("double").alias("balances")).join(core.agg(F.count("*").alias("n_core"))).join(target.agg(F.count("*").alias("n_target"), F.sum("is_fraud").cast("long").alias("n_fraud")))
+    out = materialize(sums.withColumn("reload", F.lit(again)), "views")
+    spark.sql(f"DROP DATABASE {name} CASCADE")
+    return out
+
+
 @query("numeric_tokens", "SELECT txn_key, CAST(amount AS DOUBLE) AS value, CASE WHEN amount = 0 THEN '0' ELSE rtrim(rtrim(CAST(amount AS VARCHAR), '0'), '.') END AS token FROM txn")
 def numeric_tokens(spark, sf_dir):
     text = F.concat(F.lit("+00"), F.col("amount").cast("string"), F.lit("0"))
@@ -586,7 +622,7 @@ def model_test_scores(spark, sf_dir):
     """Each test row's score by the logistic model of the enhanced features, fitted on train."""
     made = features.features_by_rollup(transactions(spark, sf_dir, True), ["txn_key", "initiator_balance_before", "recipient_balance_before", "is_fraud"])
     data = materialize(modelling.model_data(made), "model")
-    fitted = modelling.Fitted(modelling.SPECS[2], data.where("evaluation_partition = 'train'"))
+    fitted = modelling.Fitted(next(s for s in modelling.SPECS if s.name == "enhanced_logistic"), data.where("evaluation_partition = 'train'"))
     return fitted.score(data.where("evaluation_partition = 'test'")).select("txn_key", "label", F.round("score", 6).alias("score"))
 
 

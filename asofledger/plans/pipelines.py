@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import exists
+from ..durable import exists, materialize
 from ..functions.identity import code_identity
 from ..functions.patterns import evaluation_partition
 from ..operators import features, integrity, metrics, modelling, validation
@@ -74,31 +74,30 @@ def load_features(spark: SparkSession, canonical: str, target: str) -> dict:
 
 
 def run_modelling(spark: SparkSession, feature_rows: DataFrame, target: str, specs: list[modelling.Spec] = modelling.SPECS, order: tuple[str, ...] = ("step", "txn_key")) -> dict:
-    """Fit and select on train and validation, write the selection, and only then score test."""
-    data = modelling.model_data(feature_rows)
+    """Fit, select and explain on train and validation, write the selection, and only then score test. Code that changes meanwhile is refused."""
+    identity = code_identity()
+    data = materialize(modelling.model_data(feature_rows), "model")
     part = lambda name: data.where(F.col("evaluation_partition") == name)
     train, validation_rows = part("train"), part("validation")
-    amounts = train.select("amount")
     made, best = modelling.fit_and_select(train, validation_rows, specs)
-    edges = metrics.quartiles(amounts)
-    selection = {"models": [{"name": m.spec.name, "validation_ap": ap, "threshold": t} for m, ap, t in made], "selected": made[best][0].spec.name, "amount_quartiles": edges}
-    baseline_rate = train.agg(F.avg(F.col("label").cast("double"))).first()[0]
+    edges = metrics.quartiles(train.select("amount"))
+    known = modelling.explain([m for m, _, _ in made], validation_rows, order[-1])
+    selection = {"models": [{"name": m.spec.name, "columns": list(m.spec.columns), "validation_ap": ap, "threshold": t} for m, ap, t in made], "selected": made[best][0].spec.name, "amount_quartiles": edges, "seed": modelling.SEED, "code": identity}
 
     def produce(staging: str) -> dict:
+        if code_identity() != identity:
+            raise integrity.IntegrityError("the code changed before test rows were scored")
         artifact.write_text(spark, f"{staging}/selection.json", artifact.stable_json(selection))
         test, report = part("test"), {}
-        report["prevalence"] = modelling.evaluate(test.withColumn("score", F.lit(baseline_rate)), 0.0).first().asDict()
         for fitted, _, threshold in made:
-            report[fitted.spec.name] = modelling.evaluate(fitted.score(test), threshold).first().asDict()
+            scored = materialize(fitted.score(test), "scored")
+            report[fitted.spec.name] = {"at_threshold": modelling.evaluate(scored, threshold).first().asDict(), "at_half": modelling.evaluate(scored, 0.5).first().asDict()}
         chosen, _, threshold = made[best]
-        scored = chosen.score(test.withColumn("amount_value", F.col("amount")))
-        scored.write.parquet(f"{staging}/test_scores")
+        chosen.score(test.withColumn("amount_value", F.col("amount"))).write.parquet(f"{staging}/test_scores")
         held = spark.read.parquet(f"{staging}/test_scores")
         return {
-            "selection": selection, "test": report, "review_budgets": [r.asDict() for r in metrics.review_budgets(held, list(order)).orderBy("budget_bp").collect()],
+            "selection": selection, "explained": known, "test": report, "review_budgets": [r.asDict() for r in metrics.review_budgets(held, list(order)).orderBy("budget_bp").collect()],
             "slices": [r.asDict() for r in metrics.slice_metrics(held, edges, threshold, "amount_value").orderBy("band").collect()], "errors": [r.asDict() for r in metrics.error_examples(held, threshold, list(order), [order[-1]]).orderBy("error_group", "place").collect()],
         }
 
     return artifact.publish(spark, target, produce)
-
-

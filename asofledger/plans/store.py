@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.identity import code_identity
 from ..functions.patterns import evaluation_partition
 from ..operators import integrity
 from ..schema import CORE_FEATURES
@@ -37,24 +38,52 @@ def apply_schema(spark: SparkSession, database: str) -> None:
     spark.createDataFrame([(VERSION, checksum())], "version int, sha256 string").coalesce(1).write.saveAsTable(f"{database}.schema_migration")
 
 
-def store(spark: SparkSession, database: str, canonical: DataFrame, features: DataFrame) -> None:
-    """Write canonical rows and features (with transaction_id, step and balances) as tables once, check their keys, and create the views."""
+def _sums(df: DataFrame) -> tuple[int, int]:
+    """Rows and an order-free hash of them."""
+    n, x = df.agg(F.count("*"), F.coalesce(F.bit_xor(F.xxhash64(*sorted(df.columns))), F.lit(0))).first()
+    return n, x
+
+
+def relations(canonical: DataFrame, features: DataFrame) -> dict[str, DataFrame]:
+    """The stored tables of canonical rows and features (with transaction_id, step and balances)."""
+    made = features.withColumn("evaluation_partition", evaluation_partition(F.col("step")))
+    return {
+        "canonical_transaction": canonical, "feature_lineage": made.select("transaction_id", "step", "transaction_type", "evaluation_partition"), "core_feature": made.select("transaction_id", *CORE_FEATURES),
+        "enhanced_feature": made.select("transaction_id", "initiator_balance_before", "recipient_balance_before"),
+    }
+
+
+def store(spark: SparkSession, database: str, canonical: DataFrame, features: DataFrame) -> str:
+    """Write canonical rows and features as tables once, check their keys and that each TRANSFER row has all its parts, read them back, and create the views: loaded.
+
+    A repeated load writes nothing: it verifies that the same rows would result from the same code (verified_existing) and raises otherwise.
+    """
     apply_schema(spark, database)
+    wanted, read = relations(canonical, features), lambda name: spark.table(f"{database}.{name}")
     if spark.catalog.tableExists(f"{database}.completed_load"):
-        raise integrity.IntegrityError(f"{database} holds a completed load")
-    canonical.write.mode("overwrite").saveAsTable(f"{database}.canonical_transaction")
-    made = features.withColumn("evaluation_partition", evaluation_partition(F.col("step")))
-    made.select("transaction_id", "step", "transaction_type", "evaluation_partition").write.mode("overwrite").partitionBy("evaluation_partition").saveAsTable(f"{database}.feature_lineage")
-    made.select("transaction_id", *CORE_FEATURES).write.mode("overwrite").saveAsTable(f"{database}.core_feature")
-    made.select("transaction_id", "initiator_balance_before", "recipient_balance_before").write.mode("overwrite").saveAsTable(f"{database}.enhanced_feature")
-    read = lambda name: spark.table(f"{database}.{name}")
+        held = {r["table_name"]: (r["n_rows"], r["hash"], r["code"]) for r in read("completed_load").collect()}  # a row per table
+        new = {name: (*_sums(df), code_identity()) for name, df in wanted.items()}
+        if held != new:
+            raise integrity.IntegrityError(f"{database} holds another load: {sorted(n for n in new if held.get(n) != new[n])}")
+        if changed := [name for name, (n, x, _) in held.items() if _sums(read(name)) != (n, x)]:
+            raise integrity.IntegrityError(f"stored rows of {changed} are not those that were loaded")
+        return "verified_existing"
+    expected = {}
+    for name, df in wanted.items():
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy("evaluation_partition") if name == "feature_lineage" else writer).saveAsTable(f"{database}.{name}")
+        expected[name] = _sums(df)
+        if _sums(read(name).select(*df.columns)) != expected[name]:
+            raise integrity.IntegrityError(f"{database}.{name} read back differs from the rows written")
     for child, parent in (("feature_lineage", "canonical_transaction"), ("core_feature", "feature_lineage"), ("enhanced_feature", "core_feature")):
         if not integrity.orphans(read(child), read(parent), ["transaction_id"]).isEmpty() or not integrity.repeated_keys(read(child), ["transaction_id"]).isEmpty():
             raise integrity.IntegrityError(f"{database}.{child} has orphans or repeated keys")
+    if not integrity.incomplete_lineage(read("feature_lineage"), read("canonical_transaction"), [read("core_feature"), read("enhanced_feature")]).isEmpty():
+        raise integrity.IntegrityError(f"{database} has TRANSFER rows without all their features")
     for name, text in VIEWS.items():
         spark.sql(f"CREATE OR REPLACE VIEW {database}.{name} AS {text.format(db=database)}")
-    counts = [(name, read(name).count()) for name in ("canonical_transaction", "feature_lineage", "core_feature", "enhanced_feature")]
-    spark.createDataFrame(counts, "table_name string, n_rows long").coalesce(1).write.saveAsTable(f"{database}.completed_load")
+    spark.createDataFrame([(name, n, x, code_identity()) for name, (n, x) in expected.items()], "table_name string, n_rows long, hash long, code string").coalesce(1).write.saveAsTable(f"{database}.completed_load")
+    return "loaded"
 
 
 def write_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str], batch: int = 1000) -> None:

@@ -27,19 +27,28 @@ def events_as_transactions(events: DataFrame) -> DataFrame:
 def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """One entity's rows of a batch, by step."""
     step, n, total, most, p_n, p_total, p_most = state.get if state.exists else (-1, 0, 0.0, None, 0, 0.0, None)
-    rows = pd.concat(list(frames)).sort_values(["step", "event_id"], kind="stable")
-    if len(rows) and int(rows["step"].iloc[0]) < step:
-        raise ValueError(f"chronological regression: entity {key[0]}, step {int(rows['step'].iloc[0])} after {step}")
     larger = lambda a, b: b if a is None else a if b is None else max(a, b)
-    out = []
-    for now, part in rows.groupby("step", sort=True):
+    sums: dict[int, tuple[int, float, float]] = {}
+    held = []
+    for frame in frames:  # narrow frames are held, as a step's rows may come in any of them; what they add up to is a row per step
+        held.append(frame[["event_id", "step"]])
+        for now, part in frame.groupby("step"):
+            k, t, m = sums.get(int(now), (0, 0.0, None))
+            sums[int(now)] = (k + len(part), t + float(part["amount"].sum()), larger(m, float(part["amount"].max())))
+    if sums and min(sums) < step:
+        raise ValueError(f"chronological regression: entity {key[0]}, step {min(sums)} after {step}")
+    prior = {}
+    for now in sorted(sums):
         if now > step:
             n, total, most, p_n, p_total, p_most = n + p_n, total + p_total, larger(most, p_most), 0, 0.0, None
-            step = int(now)
-        out.append(pd.DataFrame({"event_id": part["event_id"], "step": step, "entity": key[0], "prior_count": n, "prior_total": total, "prior_max": most}))
-        p_n, p_total, p_most = p_n + len(part), p_total + float(part["amount"].sum()), larger(p_most, float(part["amount"].max()))
+            step = now
+        prior[now] = (n, total, most)
+        k, t, m = sums[now]
+        p_n, p_total, p_most = p_n + k, p_total + t, larger(p_most, m)
+    for frame in held:
+        seen = [prior[int(s)] for s in frame["step"]]
+        yield pd.DataFrame({"event_id": frame["event_id"], "step": frame["step"].astype("int32"), "entity": key[0], "prior_count": [x[0] for x in seen], "prior_total": [x[1] for x in seen], "prior_max": pd.array([x[2] for x in seen], dtype="Float64")})
     state.update((step, n, total, most, p_n, p_total, p_most))
-    yield from out
 
 
 def stream_features(rows: DataFrame) -> DataFrame:
@@ -47,11 +56,20 @@ def stream_features(rows: DataFrame) -> DataFrame:
     return rows.groupBy("entity").applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def run_available(spark: SparkSession, folder: str, schema, checkpoint: str, target: str) -> DataFrame:
-    """Run the stream over all files of a folder and read what it wrote."""
+def diagnostics(query) -> dict[str, int]:
+    """What a stream's last progress says of its state: entities held, entities updated, bytes, and rows read."""
+    last = query.lastProgress or {}
+    operators = last.get("stateOperators") or [{}]
+    return {"entities": sum(o.get("numRowsTotal", 0) for o in operators), "updated": sum(o.get("numRowsUpdated", 0) for o in operators), "bytes": sum(o.get("memoryUsedBytes", 0) for o in operators), "rows": last.get("numInputRows", 0)}
+
+
+def run_available(spark: SparkSession, folder: str, schema, checkpoint: str, target: str, report: dict | None = None) -> DataFrame:
+    """Run the stream over all files of a folder and read what it wrote; its state's diagnostics go to report."""
     source = spark.readStream.schema(schema).parquet(folder)
     query = stream_features(events_as_transactions(source)).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", target).trigger(availableNow=True).start()
     query.awaitTermination()
+    if report is not None:
+        report.update(diagnostics(query))
     return spark.read.schema(OUTPUT).parquet(target)
 
 

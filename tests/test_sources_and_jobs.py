@@ -129,7 +129,10 @@ def test_contracts_are_held(spark, tmp_path):
     source = write(tmp_path / "in/in.csv", [HEADER, *ROWS])
     facts = pipelines.canonical_pipeline(spark, source, str(tmp_path / "runs/out"), contract=artifact.ArtifactContract(**KNOWN))
     assert facts["observed"] == {k: v for k, v in KNOWN.items() if k != "filename"} and len(facts["code"]) == 64
-    for name, other in {"filename": "x.csv", "byte_size": 1, "row_count": 5, "fraud_count": 3, "transaction_type_counts": {"TRANSFER": 6}, "step_max": 143, "partitions": {"train": 4}}.items():
+    for name, other in {"filename": "x.csv", "byte_size": 1, "sha256": "0", "row_count": 5, "fraud_count": 3, "transaction_type_counts": {"TRANSFER": 6}, "step_max": 143, "partitions": {"train": 4}}.items():
+        held = artifact.ArtifactContract(**(KNOWN | {name: other}))
+        assert list(held.differences(**(KNOWN | {"byte_size": 2, "sha256": "1"}))) == [name]
+    for name, other in {"byte_size": 1, "partitions": {"train": 4}}.items():
         with pytest.raises(integrity.IntegrityError, match=name):
             pipelines.canonical_pipeline(spark, source, str(tmp_path / f"runs/{name}"), contract=artifact.ArtifactContract(**(KNOWN | {name: other})))
         assert not (tmp_path / f"runs/{name}").exists()
@@ -226,21 +229,42 @@ def test_modelling_selects_before_it_sees_test(spark, sf, tmp_path):
     from asofledger.plans.catalog import QUERIES
 
     rows = QUERIES["pit_enhanced_features"](spark, sf)
-    facts = pipelines.run_modelling(spark, rows, str(tmp_path / "model"), [modelling.SPECS[0], modelling.SPECS[2]])
-    assert facts["selection"]["selected"] in {"core_logistic", "enhanced_logistic"} and {"prevalence", "core_logistic"} <= set(facts["test"])
-    assert facts["test"]["prevalence"]["roc_auc"] == 0.5 and [b["budget_bp"] for b in facts["review_budgets"]] == [50, 100, 200, 500, 1000]
+    facts = pipelines.run_modelling(spark, rows, str(tmp_path / "model"), [s for s in modelling.SPECS if s.kind != "boosting"])
+    assert facts["selection"]["selected"] in {"prevalence", "core_logistic", "enhanced_logistic"} and list(facts["test"]) == ["prevalence", "core_logistic", "enhanced_logistic"]
+    assert facts["test"]["prevalence"]["at_half"]["roc_auc"] == 0.5 and [b["budget_bp"] for b in facts["review_budgets"]] == [50, 100, 200, 500, 1000]
+    assert len(facts["explained"]["enhanced_logistic"]["standardised_coefficients"]) == 11 and "prevalence" not in facts["explained"]
     assert json.loads((tmp_path / "model/selection.json").read_text()) == facts["selection"]
 
 
+def test_fits_that_do_not_end_are_refused(spark, monkeypatch):
+    rows = spark.createDataFrame([(float(k % 5), float(k % 3), int(k % 5 > 2 or k % 7 == 0)) for k in range(60)], "a double, b double, label int")
+    monkeypatch.setattr(modelling, "MAX_ITERATIONS", 1)
+    with pytest.raises(modelling.ConvergenceError):
+        modelling.Fitted(modelling.Spec("x", ("a", "b"), "logistic"), rows)
+
+
 def test_boosting_is_fitted_in_full(spark):
     trees = modelling.boosting()
     assert (trees.getMaxIter(), trees.getMaxBins(), trees.getStepSize(), trees.getMinInstancesPerNode()) == (100, 255, 0.1, 50)
 
 
-def test_permutation_keeps_the_values(spark):
-    df = scores(spark, [(k / 50, k % 2) for k in range(50)])
-    made = modelling.permuted(df, "score", "k").collect()
-    assert sorted(r["score"] for r in made) == [k / 50 for k in range(50)] and any(r["score"] != r["k"] / 50 for r in made)
+def test_importance_is_that_of_permuted_columns(spark):
+    rows = spark.createDataFrame([(k, k % 2, k % 2 + k % 7 / 10, float(k % 11)) for k in range(200)], "k long, label int, good double, noise double")
+    made = modelling.permuted(rows, ["good", "noise"], "k", 2).collect()
+    assert len(made) == 5 * 200
+    for column, repeat in (("good", 0), ("good", 1), ("noise", 0)):
+        own = {r["k"]: r for r in made if (r["column"], r["repeat"]) == (column, repeat)}
+        other = "noise" if column == "good" else "good"
+        assert sorted(r[column] for r in own.values()) == sorted(r[column] for r in rows.collect()) and all(own[r["k"]][other] == r[other] for r in rows.collect()) and any(own[r["k"]][column] != r[column] for r in rows.collect())
+
+    class Plain:
+        spec = modelling.Spec("plain", ("good", "noise"), "logistic")
+
+        def score(self, df):
+            return df.select("k", "label", "column", "repeat", (F.col("good") / 2).alias("score"))
+
+    (_, lost, _), (_, none, spread) = modelling.permutation_importance(Plain(), rows, "k")
+    assert lost > 0.2 and none == pytest.approx(0) and spread == pytest.approx(0)
 
 
 def test_matrix_sample_and_step_summary(spark, sf, tmp_path):
@@ -264,8 +288,10 @@ def test_stream_equals_batch_and_refuses_regressions(spark, tmp_path):
     rows = [(k, k % 3, datetime(2024, 1, 1, k // 4 % 24), "x", float(k % 7), "{}") for k in range(90)]
     df = spark.createDataFrame(sorted(rows, key=lambda r: r[2]), schema)
     df.where("hour(ts) < 9").write.parquet(str(tmp_path / "in"))
-    run = lambda: history.run_available(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "c"), str(tmp_path / "out"))
+    report = {}
+    run = lambda: history.run_available(spark, str(tmp_path / "in"), df.schema, str(tmp_path / "c"), str(tmp_path / "out"), report)
     run()
+    assert report["entities"] == 3 and report["bytes"] > 0
     df.where("hour(ts) >= 9").write.mode("append").parquet(str(tmp_path / "in"))
     got = sorted(map(tuple, run().collect()))
     assert got == sorted(map(tuple, history.batch_features(history.events_as_transactions(df)).select("event_id", "step", "entity", "prior_count", "prior_total", "prior_max").collect()))
@@ -291,6 +317,10 @@ def test_commands_reports_and_store(spark, tmp_path, capsys):
     spark.sql("DROP DATABASE IF EXISTS ledger_test CASCADE")
     store.store(spark, "ledger_test", rows, features_)
     assert spark.table("ledger_test.enhanced_predictors").count() == 4 and "is_fraud" not in spark.table("ledger_test.core_predictors").columns
-    with pytest.raises(integrity.IntegrityError):
-        store.store(spark, "ledger_test", rows, features_)
+    assert store.store(spark, "ledger_test", rows, features_) == "verified_existing"
+    with pytest.raises(integrity.IntegrityError, match="another load"):
+        store.store(spark, "ledger_test", rows, features_.where("initiator_prior_outgoing_count > 0"))
+    with pytest.raises(integrity.IntegrityError, match="without all their features"):
+        store.store(spark, "ledger_other", rows, features_.where("initiator_prior_outgoing_count > 0"))
+    spark.sql("DROP DATABASE ledger_other CASCADE")
     spark.sql("DROP DATABASE ledger_test CASCADE")
