@@ -59,14 +59,13 @@ def levels(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """ids (conv_id, call_id) with level: 0 without predecessors, else one more than the largest of them; null on or behind a cycle. edges: conv_id, call_id, before.
 
     Paths are halved rather than walked: a row (call, before, w) says that a path of w steps leads from before to the call, and one without before that the call's level is w at least. In each round
-    a row whose `before` is settled becomes such a bound, and one whose `before` has a single predecessor leaps over it; rows to the same call are brought to the longest. So a chain of n calls takes
+    a row whose `before` is settled (it has no such rows, so its level is 0, or bounds only) becomes such a bound, and one whose `before` has a single predecessor leaps over it; rows to the same call are brought to the longest. So a chain of n calls takes
     log2(n) rounds, and so do ladders of parallel chains. A path as long as its conversation has calls runs in a circle: it stays as a row from the call to itself.
     """
     ahead = ["conv_id", "before"]
     edges = edges.join(ids.select("conv_id", F.col("call_id").alias("before")), ahead, "left_semi").join(ids, CALL, "left_semi").distinct()
-    sizes = ids.groupBy("conv_id").agg(F.count("*").alias("most"))
-    start = edges.select(*CALL, "before", F.lit(1).cast("long").alias("w")).unionByName(ids.select(*CALL, F.lit(None).cast("string").alias("before"), F.lit(0).cast("long").alias("w")))
-    rows = materialize(start.join(sizes, "conv_id"), "callpaths")
+    sizes = ids.join(edges.select("conv_id").distinct(), "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("most"))
+    rows = materialize(edges.select(*CALL, "before", F.lit(1).cast("long").alias("w")).join(sizes, "conv_id"), "callpaths")
     seen = None
     while True:
         open_rows = F.col("before").isNotNull() & (F.col("before") != F.col("call_id"))
@@ -78,7 +77,7 @@ def levels(ids: DataFrame, edges: DataFrame) -> DataFrame:
             F.coalesce(F.max(F.when(F.col("before").isNull(), F.col("w"))), F.lit(0)).alias("base"), F.count("before").alias("n"), F.max(F.when(F.col("before").isNotNull(), F.struct("before", "w"))).alias("only")
         )
         calls = materialize(calls.select("conv_id", F.col("call_id").alias("before"), "base", "n", "only"), "callnodes")
-        met = rows.where("before is not null").join(calls, ahead)
+        met = rows.where("before is not null").join(calls, ahead, "left").withColumns({"base": F.coalesce("base", F.lit(0)), "n": F.coalesce("n", F.lit(0))})
         bound = F.struct(F.lit(None).cast("string").alias("before"), (F.col("w") + F.col("base")).alias("w"))
         leap = F.when(F.col("n") == 1, F.struct(F.col("only.before").alias("before"), (F.col("w") + F.col("only.w")).alias("w"))).otherwise(F.struct("before", "w"))
         moved = met.select(*CALL, "most", F.explode(F.when(F.col("n") == 0, F.array(bound)).otherwise(F.array(bound, leap))).alias("x"))
@@ -89,7 +88,8 @@ def levels(ids: DataFrame, edges: DataFrame) -> DataFrame:
         discard(rows)
         discard(calls)
         rows = after
-    return rows.groupBy(*CALL).agg(F.when(F.count("before") == 0, F.max("w")).alias("level"))
+    made = rows.groupBy(*CALL).agg(F.when(F.count("before") == 0, F.max("w")).alias("level"), F.lit(True).alias("behind"))
+    return ids.join(made, CALL, "left").select(*CALL, F.when(F.col("behind"), F.col("level")).otherwise(F.lit(0)).alias("level"))
 
 
 def valid(name: Column, value: Column, schemas: dict[str, dict[str, str]]) -> Column:
