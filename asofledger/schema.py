@@ -23,25 +23,26 @@ def _field(name: str, kind: T.DataType, role: str) -> T.StructField:
     return T.StructField(name, kind, True, {"role": role})
 
 
-#: The typed relation; a column's role says whether a model may see it.
+# Names and order of the typed relation's columns. A column's role says whether a model may see it: not its identity, time, label or what is known only after the event.
 CANONICAL_SCHEMA = T.StructType(
     [
-        _field("transaction_id", T.StringType(), "lineage"),
-        _field("artifact_id", T.StringType(), "lineage"),
-        _field("source_row_number", T.LongType(), "lineage"),
-        _field("step", T.IntegerType(), "temporal_metadata"),
-        _field("transaction_type", T.StringType(), "source"),
-        _field("amount", MONEY, "source"),
-        _field("initiator_id", T.StringType(), "entity_key"),
-        _field("initiator_balance_before", MONEY, "source"),
-        _field("initiator_balance_after", MONEY, "post_event_not_predictive"),
-        _field("recipient_id", T.StringType(), "entity_key"),
-        _field("recipient_balance_before", MONEY, "source"),
-        _field("recipient_balance_after", MONEY, "post_event_not_predictive"),
-        _field("is_fraud", T.IntegerType(), "target_not_predictive"),
+        _field("transaction_id", T.StringType(), "identity"),
+        _field("artifact_id", T.StringType(), "identity"),
+        _field("source_row_number", T.LongType(), "identity"),
+        _field("step", T.IntegerType(), "time"),
+        _field("transaction_type", T.StringType(), "value"),
+        _field("amount", MONEY, "value"),
+        _field("initiator_id", T.StringType(), "party"),
+        _field("initiator_balance_before", MONEY, "value"),
+        _field("initiator_balance_after", MONEY, "after_event"),
+        _field("recipient_id", T.StringType(), "party"),
+        _field("recipient_balance_before", MONEY, "value"),
+        _field("recipient_balance_after", MONEY, "after_event"),
+        _field("is_fraud", T.IntegerType(), "label"),
     ]
 )
 
+# What history may read, and the names and order of the features.
 EVENT_COLUMNS = ["step", "transaction_type", "amount", "initiator_id", "recipient_id"]
 CORE_FEATURES = [
     "amount",
