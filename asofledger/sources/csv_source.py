@@ -67,34 +67,39 @@ def read_permissive(spark: SparkSession, path: str, required: list[str] = SOURCE
     return scan_permissive(spark, path, inspect_csv(spark, path, required).columns)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """value, line_number (1 is the first) and head (whether it is its file's first line) of each line, in the order of files, blocks and lines.
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("p"))
 
-    Lines are numbered without bringing them together and without a copy: one pass counts the lines of each block, the other adds the counts of the blocks before (a row per block). Both read the same splits.
-    """
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("p"))
-    order = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = materialize(lines.groupBy("f", "b").agg(F.count("*").alias("n"), F.min("p").alias("first")), "blocks").select("f", "b", "first", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("before"))
-    opening = Window.partitionBy("f")
-    blocks = blocks.withColumn("file_before", F.min("before").over(opening))
-    number = F.col("before") + F.col("p") - F.col("first")
-    return lines.join(blocks, ["f", "b"]).select("value", (number + 1).cast("long").alias("line_number"), (number == F.col("file_before")).alias("head"))
+
+def _blocks(spark: SparkSession, path: str) -> DataFrame:
+    """A row per block of a path's files, by one pass: f and b (file and place), n (lines), first (its first line's id), head (that line), odd (lines with an odd number of quotes), before (lines of the blocks before) and
+    file_number (1 for the first file)."""
+    counted = _lines(spark, path).groupBy("f", "b").agg(F.count("*").alias("n"), F.min("p").alias("first"), F.min_by("value", "p").alias("head"), F.count_if(F.regexp_count("value", F.lit('"')) % 2 == 1).alias("odd"))
+    order = Window.orderBy("f", "b")
+    return materialize(counted, "blocks").withColumns({"before": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "file_number": F.sum((F.col("b") == 0).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
 
 
-def _has_multiline(spark: SparkSession, path: str) -> bool:
-    return not spark.read.text(path).where(F.regexp_count("value", F.lit('"')) % 2 == 1).isEmpty()
+def numbered_lines(spark: SparkSession, path: str, blocks: DataFrame | None = None) -> DataFrame:
+    """value, line_number (1 is the first), head (whether it is its file's first line) and file_number of each line, in the order of files, blocks and lines.
+
+    Lines are numbered without bringing them together and without a copy: one pass counts the lines of each block, the other adds the counts of the blocks before (a row per block). Both read the same splits.
+    """
+    known = (blocks if blocks is not None else _blocks(spark, path)).select("f", "b", "first", "before", "file_number")
+    place = F.col("p") - F.col("first")
+    return _lines(spark, path).join(known, ["f", "b"]).select("value", (F.col("before") + place + 1).cast("long").alias("line_number"), ((F.col("b") == 0) & (place == 0)).alias("head"), "file_number")
 
 
 def numbered_records(spark: SparkSession, path: str) -> DataFrame:
-    """value, line_number and head as numbered_lines() has them, of records that may span lines: files in parallel, each in one task. What is no record is taken line by line."""
+    """value, line_number, head and file_number as numbered_lines() has them, of records that may span lines: files in parallel, each in one task. What is no record is taken line by line."""
     sizes = spark.read.format("binaryFile").load(path).agg(F.max("length")).first()[0] or 0
     if sizes > WHOLE_BYTES:
         raise CsvSchemaError(f"{path}: a file of {sizes} bytes has quotes that span lines; {WHOLE_BYTES} is the most")
     files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("f"))
     record = rf"(?s)\G(?!\z)((?:{FIELD}(?:,{FIELD})*+(?=\r?\n|\z)|[^\n]*+))(?:\r?\n|\z)"
     rows = files.select("f", F.posexplode(F.regexp_extract_all("value", F.lit(record), F.lit(1))).alias("i", "value"))
-    counts = rows.groupBy("f").agg(F.count("*").alias("n")).select("f", F.coalesce(F.sum("n").over(Window.orderBy("f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.join(counts, "f").select("value", (F.col("before") + F.col("i") + 1).cast("long").alias("line_number"), (F.col("i") == 0).alias("head"))
+    order = Window.orderBy("f")
+    counts = rows.groupBy("f").agg(F.count("*").alias("n")).select("f", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.row_number().over(order).alias("file_number"))
+    return rows.join(counts, "f").select("value", (F.col("before") + F.col("i") + 1).cast("long").alias("line_number"), (F.col("i") == 0).alias("head"), "file_number")
 
 
 def _starts_with_mark(spark: SparkSession, path: str) -> bool:
@@ -123,12 +128,12 @@ def read_strict(spark: SparkSession, path: str, columns: list[str] = SOURCE_COLU
     line, header = _first_line(spark, path), ",".join(columns)
     if line is None or line != header or _starts_with_mark(spark, path):
         raise CsvSchemaError(f"{path}: row 1: the header must be exactly {header}")
-    lines = numbered_records(spark, path) if _has_multiline(spark, path) else numbered_lines(spark, path)
-    heads = lines.where("head").agg(F.count("*"), F.count_if(F.col("value") != header)).first()
-    if heads[1]:
-        raise CsvSchemaError(f"{path}: {heads[1]} of {heads[0]} files have another header than {header}")
-    if heads[0] == 1:
-        return read_lines_strict(spark, lines.where("not head"), columns)
-    ahead = materialize(lines.where("head").select(F.col("line_number").alias("at")), "heads").select("at", F.row_number().over(Window.orderBy("at")).alias("k"), F.lead("at").over(Window.orderBy("at")).alias("next"))  # a row per file
-    rows = lines.where("not head").join(ahead, (F.col("line_number") > F.col("at")) & (F.col("next").isNull() | (F.col("line_number") < F.col("next"))))
-    return read_lines_strict(spark, rows.select("value", (F.col("line_number") - F.col("k") + 1).alias("line_number")), columns)
+    blocks = _blocks(spark, path)
+    spans = blocks.agg(F.sum("odd")).first()[0]
+    lines = numbered_records(spark, path) if spans else numbered_lines(spark, path, blocks)
+    heads = lines.where("head").select("value") if spans else blocks.where("b = 0").select(F.col("head").alias("value"))
+    files, wrong = heads.agg(F.count("*"), F.count_if(F.col("value") != header)).first()
+    if wrong:
+        raise CsvSchemaError(f"{path}: {wrong} of {files} files have another header than {header}")
+    rows = lines.where("not head")
+    return read_lines_strict(spark, rows.select("value", (F.col("line_number") - F.col("file_number") + 1).alias("line_number")), columns)
