@@ -15,6 +15,8 @@ beyond three of 64. There a fingerprint has more words of 64 bits: VERIFY of the
 TABLE_RADIUS = 2 of these bits; colliding pairs are verified by counting the bits of the VERIFY words, of which VERIFY_BITS may differ. The bits of a table grow with the logarithm of the number of rows, so that
 strangers in a key stay about as many at any size; the number of tables follows from them, so that a pair of similarity SIMILAR meets with probability MEET. Keys of more than WIDE_MOST rows
 are passed on to tables with STEP_BITS more bits, with their own number of tables, until LAST_BITS. There, rows of a key agree in almost all bits, and each is compared with the key's first row.
+So few bits let in pairs well below SIMILAR. Texts of components with several nodes therefore get EXACT words, of which EXACT_BITS bits may differ, and all pairs of a component are compared anew by these,
+so that a group falls apart where its links were chance. Components of more than WIDE_MOST nodes are compared by tables as before, verified by the EXACT words.
 
 Cases. Null or empty texts have fingerprint zero and are linked like any other; fewer than SHINGLE words are one shingle. Null ids never become a
 component's id unless all its ids are null. Repeated rows get the same row each; empty tables give empty ones; extra columns are left alone. Texts are one row whatever their length.
@@ -46,7 +48,9 @@ MATRIX_ROWS = 256
 WIDE_SHINGLE, SIMILAR, MEET, TABLE_RADIUS, STRANGERS = 5, 0.8, 0.95, 2, 200
 ERROR = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
 #: Words of a wide fingerprint that verify pairs, and how many of their bits may differ: at similarity SIMILAR 19 are expected, with a deviation of 4.
-VERIFY, VERIFY_BITS = 2, 25
+VERIFY, VERIFY_BITS = 2, 29
+#: The same of the second comparison: at similarity SIMILAR 116 are expected, with a deviation of 10; at 0.7 they are 147.
+EXACT, EXACT_BITS = 12, 136
 WIDE_MOST, STEP_BITS, LAST_BITS = 1 << 14, 10, 56
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FLIPS = [1 << i for i in range(64)]
@@ -232,33 +236,53 @@ def wide_fingerprints(texts: list[bytes], words: int, width: int = WIDE_SHINGLE)
     return out
 
 
-def _emit(words: int, bits: int, tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (key, the VERIFY words) of every table: the table's bits of the other words, and all single flips."""
-    order = np.random.default_rng(bits).permutation(64 * (words - VERIFY))
+def _emit(words: int, bits: int, tables: int, verify: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (key, the first `verify` words) of every table: the table's bits of the other words, and all single flips."""
+    order = np.random.default_rng(bits).permutation(64 * (words - verify))
     flips = np.array([0, *[1 << i for i in range(bits)]], dtype=np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2048):
                 held = np.stack([np.asarray(c) for c in batch.slice(at, 2048).columns], axis=1)
-                found = np.unpackbits(np.ascontiguousarray(held[:, VERIFY:]).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
+                found = np.unpackbits(np.ascontiguousarray(held[:, verify:]).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
                 for t in range(tables):
                     own = found[:, np.take(order, range(t * bits, (t + 1) * bits), mode="wrap")] @ (1 << np.arange(bits, dtype=np.int64))
                     keys = (own[:, None] ^ flips | t << bits).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.repeat(held[:, w], len(flips))) for w in range(VERIFY)]], names=["key", *[f"w{w}" for w in range(VERIFY)]])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.repeat(held[:, w], len(flips))) for w in range(verify)]], names=["key", *[f"w{w}" for w in range(verify)]])
 
     return run
 
 
-def wide_edges(nodes: DataFrame, words: int, bits: int) -> DataFrame:
-    """Edges (u, v) among nodes (w0, w1 ..) that meet in a table and differ in VERIFY_BITS bits or fewer; u and v are first words."""
+def keyed_edges(rows: DataFrame, radius: int, most: int | None, chained: bool = False) -> DataFrame:
+    """Edges of rows (key, words) within each key, as collide() gives them."""
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(collide(radius, most, chained=chained), "u long, v long")
+
+
+def wide_edges(nodes: DataFrame, words: int, bits: int, verify: int, radius: int) -> DataFrame:
+    """Edges (u, v) among nodes (w0, w1 ..) that meet in a table and differ in at most radius bits of the first `verify` words; u and v are first words."""
     last = bits + STEP_BITS > LAST_BITS
-    rows = "key long, " + ", ".join(f"w{w} long" for w in range(VERIFY))
-    emitted = nodes.select(*[f"w{w}" for w in range(words)]).mapInArrow(_emit(words, bits, table_count(bits)), rows)
-    found = materialize(emitted.repartition("key").sortWithinPartitions("key").mapInArrow(collide(VERIFY_BITS, WIDE_MOST, chained=last), "u long, v long"), "met")
+    rows = "key long, " + ", ".join(f"w{w} long" for w in range(verify))
+    emitted = nodes.select(*[f"w{w}" for w in range(words)]).mapInArrow(_emit(words, bits, table_count(bits), verify), rows)
+    found = materialize(keyed_edges(emitted, radius, WIDE_MOST, last), "met")
     crowded = found.where("u = v").select(F.col("u").alias("w0")).distinct()
     edges = found.where("u <> v")
-    return edges if last or crowded.isEmpty() else edges.unionByName(wide_edges(materialize(nodes.join(crowded, "w0", "left_semi"), "crowded"), words, bits + STEP_BITS))
+    return edges if last or crowded.isEmpty() else edges.unionByName(wide_edges(materialize(nodes.join(crowded, "w0", "left_semi"), "crowded"), words, bits + STEP_BITS, verify, radius))
+
+
+def exact_edges(texts: DataFrame, placed: DataFrame, words: int, bits: int) -> DataFrame:
+    """Edges (u, v) by EXACT words within the components of placed (fp, root). texts: w0 and text of all rows; only those of components with several nodes are read by Python, and none is shuffled."""
+    sizes = materialize(placed.groupBy("root").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
+    open_ = materialize(placed.join(sizes, "root").select(F.col("fp").alias("w0"), "root", "size"), "open")
+    _, read = split_by(texts, "w0", bitmap(open_.select(F.col("w0").alias("key"))))
+    more = [f"w{w}" for w in range(1, words)]
+    step = lambda part: [pa.array(x) for x in wide_fingerprints(part.cast(pa.binary()).to_pylist(), words)[:, 1:].view(np.int64).T.copy()]
+    made = add_columns(read, "text", [(n, T.LongType(), pa.int64()) for n in more], step, keep=["w0"])
+    made = made.groupBy("w0").agg(F.min(F.struct(*more)).alias("o")).join(open_, "w0")
+    nodes = materialize(made.select("w0", *[F.col(f"o.{n}").alias(n) for n in more], "root", "size"), "exact")
+    small = nodes.where(F.col("size") <= WIDE_MOST).select(F.col("root").alias("key"), *[f"w{w}" for w in range(EXACT)])
+    edges, large = keyed_edges(small, EXACT_BITS, None), nodes.where(F.col("size") > WIDE_MOST)
+    return edges if large.isEmpty() else edges.unionByName(wide_edges(large, words, bits, EXACT, EXACT_BITS))
 
 
 def with_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -314,7 +338,8 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 def keep_dissimilar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with one row of each component of texts of similarity SIMILAR or more (by wide fingerprints). Texts whose first words of 64 bits are equal are one node."""
     bits = table_bits(max(1, df.count()))
-    words = VERIFY + math.ceil(table_count(bits) * bits / 64)
+    tables = math.ceil(table_count(bits) * bits / 64)
+    words = VERIFY + tables
     names = [free_name(df, f"__w{w}") for w in range(words)]
     step = lambda texts: [pa.array(x) for x in wide_fingerprints(texts.cast(pa.binary()).to_pylist(), words).view(np.int64).T.copy()]
     held = materialize(add_columns(df, text_col, [(n, T.LongType(), pa.int64()) for n in names], step), "fingerprints")
@@ -322,5 +347,7 @@ def keep_dissimilar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     others = [f"w{w}" for w in range(1, words)]
     nodes = narrow.groupBy("w0").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min(F.struct(*others)).alias("o"))
     nodes = materialize(nodes.select("w0", F.col("w0").alias("fp"), "least", "n", *[F.col(f"o.{w}").alias(w) for w in others]), "nodes")
-    placed = with_roots(nodes.select("fp", "least", "n"), wide_edges(nodes, words, bits))
+    found = with_roots(nodes.select("fp", "least", "n"), wide_edges(nodes, words, bits, VERIFY, VERIFY_BITS))
+    texts = held.select(F.col(names[0]).alias("w0"), F.col(f"`{text_col}`").alias("text"))
+    placed = with_roots(found.drop("root"), exact_edges(texts, found, EXACT + tables, bits))
     return _first_of_each(held, names[0], placed, df.columns, id_col)

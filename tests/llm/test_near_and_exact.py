@@ -151,7 +151,7 @@ def test_no_task_holds_more_of_a_key_than_it_may():
 
 
 def wide_classes(rows):
-    """Brute force: rows (id, text), linked when two bits or fewer of a table differ, and VERIFY_BITS or fewer of the verifying words."""
+    """Brute force: rows (id, text), linked when two bits or fewer of a table differ, and VERIFY_BITS or fewer of the verifying words; then anew within these classes by the EXACT words."""
     bits = simhash.table_bits(len(rows))
     tables = simhash.table_count(bits)
     words = simhash.VERIFY + -(-tables * bits // 64)
@@ -168,6 +168,12 @@ def wide_classes(rows):
         for j in np.flatnonzero(near & met):
             a, b = sorted((label[i], label[int(j)]))
             label = [a if x == b else x for x in label]
+    rough, label = np.array(label), list(range(len(rows)))
+    fps = simhash.wide_fingerprints([(t or "").encode() for _, t in rows], simhash.EXACT)
+    for i in range(len(rows)):
+        for j in np.flatnonzero((np.bitwise_count(fps ^ fps[i]).sum(axis=1) <= simhash.EXACT_BITS) & (rough == rough[i])):
+            a, b = sorted((label[i], label[int(j)]))
+            label = [a if x == b else x for x in label]
     return label
 
 
