@@ -16,7 +16,7 @@ TABLE_RADIUS = 2 of these bits; colliding pairs are verified by counting the bit
 strangers in a key stay about as many at any size; the number of tables follows from them, so that a pair of similarity SIMILAR meets with probability MEET. Keys of more than WIDE_MOST rows
 are passed on to tables with STEP_BITS more bits, with their own number of tables, until LAST_BITS. There, rows of a key agree in almost all bits, and each is compared with the key's first row.
 So few bits let in pairs well below SIMILAR. Texts of components with several nodes therefore get EXACT words, of which EXACT_BITS bits may differ, and all pairs of a component are compared anew by these,
-so that a group falls apart where its links were chance. Components of more than WIDE_MOST nodes are compared by tables as before, verified by the EXACT words.
+so that a group falls apart where its links were chance: a component is cut into parts of about PART nodes, and every two parts meet in a key. Components of more than WIDE_MOST nodes are compared by tables as before, verified by the EXACT words.
 
 Cases. Null or empty texts have fingerprint zero and are linked like any other; fewer than SHINGLE words are one shingle. Null ids never become a
 component's id unless all its ids are null. Repeated rows get the same row each; empty tables give empty ones; extra columns are left alone. Texts are one row whatever their length.
@@ -51,6 +51,8 @@ ERROR = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
 VERIFY, VERIFY_BITS = 2, 29
 #: The same of the second comparison: at similarity SIMILAR 116 are expected, with a deviation of 10; at 0.7 they are 147.
 EXACT, EXACT_BITS = 12, 136
+#: Nodes of a component's part; every two parts of a component meet in a key of their own, so a key has about twice as many rows.
+PART = 512
 WIDE_MOST, STEP_BITS, LAST_BITS = 1 << 14, 10, 56
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FLIPS = [1 << i for i in range(64)]
@@ -280,7 +282,9 @@ def exact_edges(texts: DataFrame, placed: DataFrame, words: int, bits: int) -> D
     made = add_columns(read, "text", [(n, T.LongType(), pa.int64()) for n in more], step, keep=["w0"])
     made = made.groupBy("w0").agg(F.min(F.struct(*more)).alias("o")).join(open_, "w0")
     nodes = materialize(made.select("w0", *[F.col(f"o.{n}").alias(n) for n in more], "root", "size"), "exact")
-    small = nodes.where(F.col("size") <= WIDE_MOST).select(F.col("root").alias("key"), *[f"w{w}" for w in range(EXACT)])
+    parts = F.ceil(F.col("size") / PART)
+    small = nodes.where(F.col("size") <= WIDE_MOST).withColumn("part", F.pmod(F.xxhash64("w0"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    small = small.select(F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("key"), *[f"w{w}" for w in range(EXACT)])
     edges, large = keyed_edges(small, EXACT_BITS, None), nodes.where(F.col("size") > WIDE_MOST)
     return edges if large.isEmpty() else edges.unionByName(wide_edges(large, words, bits, EXACT, EXACT_BITS))
 

@@ -188,6 +188,7 @@ def test_similar_texts_leave_one_row_of_each_group(spark, sf):
 @pytest.mark.parametrize("most", [1 << 14, 30])
 def test_planted_near_copies_are_met_and_others_stay(spark, monkeypatch, most):
     monkeypatch.setattr(simhash, "WIDE_MOST", most)
+    monkeypatch.setattr(simhash, "PART", 40)
     rng = np.random.default_rng(4)
     draw = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
     rows, copies = [], {}
