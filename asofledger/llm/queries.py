@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact, htmltext, licenses, mixing, pieces, quality, secrets, simhash, toolcalls, toxicity
+from . import exact, htmltext, interaction, licenses, mixing, pieces, quality, secrets, simhash, toolcalls, toxicity, warc, whitening
 from .common import table
 
 
@@ -72,8 +72,26 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(table(spark, sf_dir, "pages"), keep=["page_id", "url"]).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each finite vector's whitened value on the four leading components; rows with a null or non-finite vector are dropped, repeated rows give their rows each."""
+    made = whitening.whiten(table(spark, sf_dir, "embeddings"), keep=["vec_id"])
+    return made.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as WARC records, read back and assembled: payload length and digest, response or revisit, and the page that a revisit refers to. Null html is an empty payload; repeated rows give a row each."""
+    made = warc.round_trip(table(spark, sf_dir, "pages"))
+    return made.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of five filters removes from each language's documents at each step of every order. Null text is empty, null lang is ''."""
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_sentencepiece, op2_secrets, op3_licenses, op4_exact_dedup, op5_mixing, op6_toolcalls, op7_toxicity, op8_simhash, op9_quality, op10_html)
+    f.__name__: f
+    for f in (op1_sentencepiece, op2_secrets, op3_licenses, op4_exact_dedup, op5_mixing, op6_toolcalls, op7_toxicity, op8_simhash, op9_quality, op10_html, op11_whitening, op12_warc, op13_interaction)
 }
 
 def _op9_sql() -> str:
@@ -134,4 +152,23 @@ SQL: dict[str, str] = {
                '{"arguments":{' || coalesce('"after":' || to_json(earlier) || ',', '') || '"text":' || to_json(text) || ',"turn":' || turn || '},"id":' || to_json(call_id) || ',"name":"reply","result":'
                || CASE WHEN answered THEN to_json(coalesce(answer, '')) ELSE 'null' END || '}' AS message FROM u""",
     "op9_quality": _op9_sql(),
+    "op12_warc": rf"""
+        WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+        s AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS x, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+        r AS (SELECT *, payload_bytes >= {warc.LEAST_BYTES} AND first IS DISTINCT FROM page_id AS again FROM s)
+        SELECT page_id, payload_bytes, array_to_string(list_transform(range(0, 32), lambda i: substr('{warc.BASE32}', 1 + CAST((CAST('0x' || substr(x, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest,
+               CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to FROM r""",
+    "op13_interaction": rf"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id),
+        f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, CAST(len(w) < {interaction.LEAST_WORDS} AS INTEGER) + 2 * CAST(100 * len(list_distinct(w)) < {interaction.DISTINCT_PERCENT} * len(w) AS INTEGER)
+                     + 4 * CAST(100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > {interaction.UPPER_PERCENT} * length(t) AS INTEGER) + 8 * CAST(regexp_matches(t, '[#$%&*|]') AS INTEGER) + 16 * CAST(coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS INTEGER) AS fails
+              FROM d LEFT JOIN l USING (doc_id)),
+        m AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS g, count(*) FILTER (toxic) AS x FROM f GROUP BY ALL),
+        c AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+        o AS (SELECT a.letter || b.letter || c3.letter || d4.letter || e.letter AS filter_order FROM c a, c b, c c3, c d4, c e WHERE a.bit + b.bit + c3.bit + d4.bit + e.bit = 31 AND a.bit | b.bit | c3.bit | d4.bit | e.bit = 31),
+        s AS (SELECT filter_order, CAST(step AS INTEGER) AS step, bit, CAST(coalesce((SELECT sum(k.bit) FROM c k WHERE contains(substr(filter_order, 1, step - 1), k.letter)), 0) AS INTEGER) AS before FROM o, range(1, 6) r(step), c WHERE c.letter = substr(filter_order, step, 1)),
+        q AS (SELECT part, filter_order, step, bit, coalesce(sum(n) FILTER (fails & (before | bit) = 0), 0) AS kept, coalesce(sum(n) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS removed, coalesce(sum(n) FILTER (fails & before <> 0 AND fails & bit <> 0), 0) AS redundant,
+                     coalesce(sum(n) FILTER (fails = bit), 0) AS unique_fails, coalesce(sum(g) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS good_lost, coalesce(sum(x) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS toxic_lost FROM m, s GROUP BY ALL)
+        SELECT part, filter_order, step, {', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in ('kept', 'removed', 'redundant', 'unique_fails', 'good_lost', 'toxic_lost'))}, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM q""",
 }
