@@ -313,7 +313,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.join(labelled, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
-def _first_of_each(held: DataFrame, fp: str, placed: DataFrame, columns: list[str], id_col: str) -> DataFrame:
+def first_of_each(held: DataFrame, fp: str, placed: DataFrame, columns: list[str], id_col: str) -> DataFrame:
     """Columns of held (with a fingerprint fp) for one row of each component of placed: that of its smallest id, then of the smallest fingerprint; among rows that share both, one of them.
 
     A row is known by its id and fingerprint, as ids may be null or repeat in other components. Only rows of components with several rows (and the few that a bitmap takes for such) are shuffled.
@@ -336,7 +336,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     fp = free_name(df, "__fp")
     held = materialize(with_fingerprint(df, text_col, fp), "fingerprints")
     placed = placed_nodes(held.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(fp).alias("fp")))
-    return _first_of_each(held, fp, placed, df.columns, id_col)
+    return first_of_each(held, fp, placed, df.columns, id_col)
 
 
 def keep_dissimilar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,4 +354,4 @@ def keep_dissimilar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     found = with_roots(nodes.select("fp", "least", "n"), wide_edges(nodes, words, bits, VERIFY, VERIFY_BITS))
     texts = held.select(F.col(names[0]).alias("w0"), F.col(f"`{text_col}`").alias("text"))
     placed = with_roots(found.drop("root"), exact_edges(texts, found, EXACT + tables, bits))
-    return _first_of_each(held, names[0], placed, df.columns, id_col)
+    return first_of_each(held, names[0], placed, df.columns, id_col)

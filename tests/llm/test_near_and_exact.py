@@ -1,11 +1,12 @@
 import hashlib
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 
-from asofledger.llm import exact, pieces, queries, simhash
+from asofledger.llm import exact, pieces, queries, similar, simhash
 from asofledger.llm.components import components
 
 ROWS = [
@@ -146,70 +147,106 @@ def test_no_task_holds_more_of_a_key_than_it_may():
     made = list(simhash.collide(3, 600, step=400)([*batches, after]))
     out = [(u, v) for b in made for u, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
     assert out == [(i, i) for i in range(5000)] + [(1, 3)]
-    chained = [x for b in simhash.collide(64, 600, step=400, chained=True)([*batches, after]) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
-    assert {v for u, v in chained if u == 0} >= set(range(1, 5000))
-
-
-def wide_classes(rows):
-    """Brute force: rows (id, text), linked when two bits or fewer of a table differ, and VERIFY_BITS or fewer of the verifying words; then anew within these classes by the EXACT words."""
-    bits = simhash.table_bits(len(rows))
-    tables = simhash.table_count(bits)
-    words = simhash.VERIFY + -(-tables * bits // 64)
-    fps = simhash.wide_fingerprints([(t or "").encode() for _, t in rows], words)
-    order = np.random.default_rng(bits).permutation(64 * (words - simhash.VERIFY))
-    each = np.unpackbits(np.ascontiguousarray(fps[:, simhash.VERIFY :]).view(np.uint8), axis=1, bitorder="little")
+
+
+def shingles(text):
+    """The set of a text's runs of five words, or its words if it has fewer."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in (text or "").encode()))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def similar_links(rows):
+    """Brute force: pairs of rows (id, text) whose shingle sets have a Jaccard similarity of 0.8 or more, or are equal."""
+    sets, holders, pairs = [shingles(t) for _, t in rows], {}, []
+    for i, own in enumerate(sets):
+        common = Counter(j for s in own for j in holders.get(s, ()))
+        pairs += [(j, i) for j, n in common.items() if 5 * n >= 4 * (len(own) + len(sets[j]) - n)]
+        pairs += [] if own else [(j, i) for j in range(i) if not sets[j]]
+        for s in own:
+            holders.setdefault(s, []).append(i)
+    return pairs
+
+
+def similar_classes(rows):
+    """Brute force: the first row that each row reaches over similar_links()."""
     label = list(range(len(rows)))
-    for i in range(len(rows)):
-        near = np.bitwise_count(fps[:, : simhash.VERIFY] ^ fps[i, : simhash.VERIFY]).sum(axis=1) <= simhash.VERIFY_BITS
-        met = np.zeros(len(rows), dtype=bool)
-        for t in range(tables):
-            own = each[:, np.take(order, range(t * bits, (t + 1) * bits), mode="wrap")]
-            met |= (own != own[i]).sum(axis=1) <= 2
-        for j in np.flatnonzero(near & met):
-            a, b = sorted((label[i], label[int(j)]))
-            label = [a if x == b else x for x in label]
-    rough, label = np.array(label), list(range(len(rows)))
-    fps = simhash.wide_fingerprints([(t or "").encode() for _, t in rows], simhash.EXACT)
-    for i in range(len(rows)):
-        for j in np.flatnonzero((np.bitwise_count(fps ^ fps[i]).sum(axis=1) <= simhash.EXACT_BITS) & (rough == rough[i])):
-            a, b = sorted((label[i], label[int(j)]))
-            label = [a if x == b else x for x in label]
+    for i, j in similar_links(rows):
+        a, b = sorted((label[i], label[j]))
+        label = [a if x == b else x for x in label]
     return label
 
 
 def test_similar_texts_leave_one_row_of_each_group(spark, sf):
     rows = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
-    label = wide_classes(rows)
-    least = {x: min(d for (d, _), y in zip(rows, label) if x == y) for x in set(label)}
-    got = simhash.keep_dissimilar(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert sorted(r[0] for r in got.collect()) == sorted(least.values())
+    label = similar_classes(rows)
+    least = {min(d for (d, _), y in zip(rows, label) if x == y) for x in set(label)}
+    got = similar.keep_dissimilar(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r[0] for r in got.collect()} == least
+
+
+def changed(rng, words, n, mark):
+    other = list(words)
+    for at in rng.choice(len(words), n, replace=False):
+        other[at] = f"{mark}{rng.integers(0, 10**6)}"
+    return " ".join(other)
 
 
-@pytest.mark.parametrize("most", [1 << 14, 30])
-def test_planted_near_copies_are_met_and_others_stay(spark, monkeypatch, most):
-    monkeypatch.setattr(simhash, "WIDE_MOST", most)
-    monkeypatch.setattr(simhash, "PART", 40)
+@pytest.mark.parametrize(("most", "last", "part", "pivots"), [(1 << 14, 48, 512, 3), (30, 48, 40, 3), (30, 12, 40, 1), (8, 30, 16, 2)])
+def test_planted_near_copies_are_met_and_others_stay(spark, monkeypatch, most, last, part, pivots):
+    """Against true similarities: pairs just above 0.8 and just below it, one large close group, one large loose one, one of texts below 0.8, with small keys, few levels and small parts as well."""
+    for name, value in {"KEY_MOST": most, "LAST_BITS": last, "PART": part, "PIVOTS": pivots}.items():
+        monkeypatch.setattr(similar, name, value)
     rng = np.random.default_rng(4)
     draw = lambda n: [f"w{x}" for x in rng.integers(0, 3000, n)]
-    rows, copies = [], {}
-    for i in range(150):
+    rows = []
+    for i in range(120):
         words = draw(300)
         rows.append((10 * i, " ".join(words)))
-        if i < 60:  # 6 words of 300 changed: of the five-word shingles about 0.82 are shared
-            other = list(words)
-            for at in rng.choice(300, 6, replace=False):
-                other[at] = f"x{rng.integers(0, 3000)}"
-            rows.append((10 * i + 1, " ".join(other)))
-            copies[10 * i + 1] = 10 * i
-    whole = draw(300)
-    for k in range(200):  # one large group of near copies
-        other = list(whole)
-        other[int(rng.integers(0, 300))] = f"y{k}"
-        rows.append((100_000 + k, " ".join(other)))
-    kept = {r[0] for r in simhash.keep_dissimilar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {10 * i for i in range(150)} <= kept
-    assert len([c for c in copies if c not in kept]) >= 0.9 * len(copies)
-    assert len([d for d in kept if d >= 100_000]) <= 3
+        if i < 80:  # of the shingles 0.82 are shared, or 0.76
+            rows.append((10 * i + 1, changed(rng, words, 6 if i < 60 else 9, "x")))
+    for base, n, size in ((100_000, 1, 150), (200_000, 4, 100), (300_000, 11, 100)):
+        words = draw(300)
+        rows += [(base, " ".join(words)), *[(base + k, changed(rng, words, n, "y")) for k in range(1, size)]]
+    rows += [(400_000, None), (400_001, ""), (400_002, "one two"), (400_003, "One  TWO"), (400_004, "one two"), (None, rows[0][1])]
+    links = similar_links(rows)
+    label = similar_classes(rows)
+    ids = [d for d, _ in rows]
+    least = {x: min(ids[i] for i in range(len(rows)) if label[i] == x and ids[i] is not None) for x in set(label)}
+    assert 0.7 < len({label[i] for i in range(len(rows)) if 300_000 <= (ids[i] or 0) < 400_000}) / 100
+    got = [r[0] for r in similar.keep_dissimilar(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(got) == len(set(got)) and None not in got
+    assert set(least.values()) <= set(got)  # nothing goes but for a text that it is connected to
+    still = [p for p in links if ids[p[0]] in got and ids[p[1]] in got]
+    pairs = [p for p in links if (ids[p[0]] or 0) < 100_000]
+    assert len([p for p in still if p in pairs]) <= 0.1 * len(pairs) and len(still) <= 0.02 * len(links)
+
+
+def test_links_of_sets_equal_brute_force():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**63, 40).astype(np.uint64)
+    sets = [np.unique(rng.choice(base, rng.integers(0, 40), replace=False)) for _ in range(60)] + [base[:0]]
+    near = lambda a, b: len(np.intersect1d(a, b)) >= similar.SIMILAR * len(np.union1d(a, b)) - 1e-9 and len(np.intersect1d(a, b)) > 0
+    a, b = similar.similar_pairs(sets[:20], sets)
+    assert sorted(zip(a.tolist(), b.tolist())) == [(i, j) for i in range(20) for j in range(61) if near(sets[i], sets[j])]
+    label = list(range(61))
+    for i in range(61):
+        for j in range(i):
+            if near(sets[i], sets[j]):
+                x, y = sorted((label[i], label[j]))
+                label = [x if k == y else k for k in label]
+    assert similar.set_classes(sets).tolist() == label
+
+
+def test_crowded_keys_are_handed_on_row_by_row():
+    import pyarrow as pa
+
+    def batch(keys, nodes):
+        return pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype=np.int64)) for c in (keys, nodes, [0] * len(keys), [0] * len(keys))], names=["key", "node", "w0", "w1"])
+
+    batches = [batch([1, 1, 7], [50, 51, 0]), *[batch([7] * 500, range(a, a + 500)) for a in range(1, 2001, 500)], batch([8, 8, 9], [1, 3, 4])]
+    out = lambda last: [x for b in similar._met(600, last)(iter(batches)) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+    assert out(False) == [(50, 51), *[(i, i) for i in range(2001)], (1, 3)]
+    assert out(True) == [(50, 51), *[(0, i) for i in range(2001)], (1, 3)]
 
 
 def test_components_of_a_chain_and_a_star(spark):
