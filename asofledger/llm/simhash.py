@@ -10,21 +10,12 @@ A key of more than KEY_MOST rows is not searched where it is: its fingerprints a
 (1 + 64 - FINE) * 2 ** FINE = 14,592 rows. The same argument holds for these, so nothing is lost, and no task holds more than that many rows of a key.
 A key gives a spanning star for each of its components rather than all pairs.
 
-Method (keep_dissimilar). Texts whose shingles of WIDE_SHINGLE words have a Jaccard similarity of SIMILAR differ in a share ERROR of their fingerprint bits (the angle of their shingle vectors), which is far
-beyond three of 64. There a fingerprint has more words of 64 bits: VERIFY of them verify, the others make tables. A table takes `bits` of them, and every fingerprint emits all variants within half of radius
-TABLE_RADIUS = 2 of these bits; colliding pairs are verified by counting the bits of the VERIFY words, of which VERIFY_BITS may differ. The bits of a table grow with the logarithm of the number of rows, so that
-strangers in a key stay about as many at any size; the number of tables follows from them, so that a pair of similarity SIMILAR meets with probability MEET. Keys of more than WIDE_MOST rows
-are passed on to tables with STEP_BITS more bits, with their own number of tables, until LAST_BITS. There, rows of a key agree in almost all bits, and each is compared with the key's first row.
-So few bits let in pairs well below SIMILAR. Texts of components with several nodes therefore get EXACT words, of which EXACT_BITS bits may differ, and all pairs of a component are compared anew by these,
-so that a group falls apart where its links were chance: a component is cut into parts of about PART nodes, and every two parts meet in a key. Components of more than WIDE_MOST nodes are compared by tables as before, verified by the EXACT words.
-
 Cases. Null or empty texts have fingerprint zero and are linked like any other; fewer than SHINGLE words are one shingle. Null ids never become a
 component's id unless all its ids are null. Repeated rows get the same row each; empty tables give empty ones; extra columns are left alone. Texts are one row whatever their length.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,7 +27,6 @@ from pyspark.sql import types as T
 
 from .common import add_columns, bitmap, free_name, materialize, split_by
 from .components import components
-from .wordhash import mix
 
 SHINGLE, SEED, RADIUS, BLOCK = 3, 42, 3, 16
 FINE = 8
@@ -45,15 +35,6 @@ KEY_MOST = 2048
 #: Rows up to which a group's pairs are compared at once; larger groups are searched from row to row.
 MATRIX_ROWS = 256
 
-WIDE_SHINGLE, SIMILAR, MEET, TABLE_RADIUS, STRANGERS = 5, 0.8, 0.95, 2, 200
-ERROR = math.acos(2 * SIMILAR / (1 + SIMILAR)) / math.pi
-#: Words of a wide fingerprint that verify pairs, and how many of their bits may differ: at similarity SIMILAR 19 are expected, with a deviation of 4.
-VERIFY, VERIFY_BITS = 2, 29
-#: The same of the second comparison: at similarity SIMILAR 116 are expected, with a deviation of 10; at 0.7 they are 147.
-EXACT, EXACT_BITS = 12, 136
-#: Nodes of a component's part; every two parts of a component meet in a key of their own, so a key has about twice as many rows.
-PART = 512
-WIDE_MOST, STEP_BITS, LAST_BITS = 1 << 14, 10, 56
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 FLIPS = [1 << i for i in range(64)]
 
@@ -158,28 +139,24 @@ def key_edges(keys: np.ndarray, rows: np.ndarray, radius: int, most: int | None)
     return np.concatenate(us), np.concatenate(vs)
 
 
-def collide(radius: int, most: int | None, step: int = 1 << 16, chained: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Edges (u, v) from rows (key, words of the fingerprint) sorted by key. The last key of a batch waits for the next one, unless it has more than most rows: then its rows are passed on one by one, as edges
-    from each to itself, or, if chained, compared with the key's first row only."""
+def collide(radius: int, most: int | None, step: int = 1 << 16) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Edges (u, v) from rows (key, fp) sorted by key. The last key of a batch waits for the next one, unless it has more than most rows: then its rows are passed on one by one, as edges from each to itself."""
 
     def made(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], names=["u", "v"])
 
-    def passed(rows: np.ndarray, first: np.ndarray) -> pa.RecordBatch:
-        if not chained:
-            return made(rows[:, 0].copy(), rows[:, 0].copy())
-        near = rows[distances(first[None], rows)[0] <= radius, 0]
-        return made(np.full(len(near), first[0]), near.copy())
+    def passed(rows: np.ndarray) -> pa.RecordBatch:
+        return made(rows[:, 0].copy(), rows[:, 0].copy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = rows = over = first = None
+        keys = rows = over = None
         for batch in batches:
             k = np.asarray(batch.column(0))
             r = np.stack([np.asarray(c) for c in batch.columns[1:]], axis=1).view(np.uint64)
             if over is not None:
                 n = int(np.searchsorted(k, over, side="right"))
                 if n:
-                    yield passed(r[:n], first)
+                    yield passed(r[:n])
                 k, r = k[n:], r[n:]
                 if not len(k):
                     continue
@@ -188,14 +165,14 @@ def collide(radius: int, most: int | None, step: int = 1 << 16, chained: bool =
             if len(keys) >= step:
                 cut = int(np.searchsorted(keys, keys[-1]))
                 if cut:
-                    yield made(*key_edges(keys[:cut], rows[:cut], radius, None if chained else most))
+                    yield made(*key_edges(keys[:cut], rows[:cut], radius, most))
                     keys, rows = keys[cut:].copy(), rows[cut:].copy()
                 if most is not None and len(keys) > most:
-                    over, first = keys[-1], rows[0]
-                    yield passed(rows, first)
+                    over = keys[-1]
+                    yield passed(rows)
                     keys = rows = None
         if keys is not None and len(keys):
-            yield made(*key_edges(keys, rows, radius, None if chained else most))
+            yield made(*key_edges(keys, rows, radius, most))
 
     return run
 
@@ -212,83 +189,6 @@ def fingerprint_edges(nodes: DataFrame, fp_col: str = "fp") -> DataFrame:
     return found.where("u <> v") if crowded.isEmpty() else found.where("u <> v").unionByName(met(crowded, FINE, None))
 
 
-def table_bits(n: int) -> int:
-    """Bits of a table, so that among n fingerprints a key has STRANGERS rows or fewer by chance."""
-    return next(b for b in range(12, 64) if n * (b + 1) / 2**b <= STRANGERS)
-
-
-def table_count(bits: int) -> int:
-    """Tables that a pair of similarity SIMILAR needs to meet in one of them with probability MEET."""
-    p = sum(math.comb(bits, k) * ERROR**k * (1 - ERROR) ** (bits - k) for k in range(TABLE_RADIUS + 1))
-    return max(1, math.ceil(math.log(1 - MEET) / math.log(1 - p)))
-
-
-def wide_fingerprints(texts: list[bytes], words: int, width: int = WIDE_SHINGLE) -> np.ndarray:
-    """SimHash of each text's set of shingles, with words of 64 bits, each made of another mix of the shingles' XXH64."""
-    out = np.zeros((len(texts), words), dtype=np.uint64)
-    salts = np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for i, text in enumerate(texts):
-        hashes = np.unique(np.array(shingle_hashes(text, width), dtype="<u8"))
-        counts = np.zeros(64 * words, dtype=np.int64)
-        for at in range(0, len(hashes), 1 << 13):
-            mixed = mix(hashes[at : at + (1 << 13), None] + salts)
-            counts += np.unpackbits(mixed.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-        if len(hashes):
-            out[i] = np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")
-    return out
-
-
-def _emit(words: int, bits: int, tables: int, verify: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Rows (key, the first `verify` words) of every table: the table's bits of the other words, and all single flips."""
-    order = np.random.default_rng(bits).permutation(64 * (words - verify))
-    flips = np.array([0, *[1 << i for i in range(bits)]], dtype=np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                held = np.stack([np.asarray(c) for c in batch.slice(at, 2048).columns], axis=1)
-                found = np.unpackbits(np.ascontiguousarray(held[:, verify:]).view(np.uint8), axis=1, bitorder="little").astype(np.int64)
-                for t in range(tables):
-                    own = found[:, np.take(order, range(t * bits, (t + 1) * bits), mode="wrap")] @ (1 << np.arange(bits, dtype=np.int64))
-                    keys = (own[:, None] ^ flips | t << bits).ravel()
-                    yield pa.RecordBatch.from_arrays([pa.array(keys), *[pa.array(np.repeat(held[:, w], len(flips))) for w in range(verify)]], names=["key", *[f"w{w}" for w in range(verify)]])
-
-    return run
-
-
-def keyed_edges(rows: DataFrame, radius: int, most: int | None, chained: bool = False) -> DataFrame:
-    """Edges of rows (key, words) within each key, as collide() gives them."""
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(collide(radius, most, chained=chained), "u long, v long")
-
-
-def wide_edges(nodes: DataFrame, words: int, bits: int, verify: int, radius: int) -> DataFrame:
-    """Edges (u, v) among nodes (w0, w1 ..) that meet in a table and differ in at most radius bits of the first `verify` words; u and v are first words."""
-    last = bits + STEP_BITS > LAST_BITS
-    rows = "key long, " + ", ".join(f"w{w} long" for w in range(verify))
-    emitted = nodes.select(*[f"w{w}" for w in range(words)]).mapInArrow(_emit(words, bits, table_count(bits), verify), rows)
-    found = materialize(keyed_edges(emitted, radius, WIDE_MOST, last), "met")
-    crowded = found.where("u = v").select(F.col("u").alias("w0")).distinct()
-    edges = found.where("u <> v")
-    return edges if last or crowded.isEmpty() else edges.unionByName(wide_edges(materialize(nodes.join(crowded, "w0", "left_semi"), "crowded"), words, bits + STEP_BITS, verify, radius))
-
-
-def exact_edges(texts: DataFrame, placed: DataFrame, words: int, bits: int) -> DataFrame:
-    """Edges (u, v) by EXACT words within the components of placed (fp, root). texts: w0 and text of all rows; only those of components with several nodes are read by Python, and none is shuffled."""
-    sizes = materialize(placed.groupBy("root").agg(F.count("*").alias("size")).where("size > 1"), "sizes")
-    open_ = materialize(placed.join(sizes, "root").select(F.col("fp").alias("w0"), "root", "size"), "open")
-    _, read = split_by(texts, "w0", bitmap(open_.select(F.col("w0").alias("key"))))
-    more = [f"w{w}" for w in range(1, words)]
-    step = lambda part: [pa.array(x) for x in wide_fingerprints(part.cast(pa.binary()).to_pylist(), words)[:, 1:].view(np.int64).T.copy()]
-    made = add_columns(read, "text", [(n, T.LongType(), pa.int64()) for n in more], step, keep=["w0"])
-    made = made.groupBy("w0").agg(F.min(F.struct(*more)).alias("o")).join(open_, "w0")
-    nodes = materialize(made.select("w0", *[F.col(f"o.{n}").alias(n) for n in more], "root", "size"), "exact")
-    parts = F.ceil(F.col("size") / PART)
-    small = nodes.where(F.col("size") <= WIDE_MOST).withColumn("part", F.pmod(F.xxhash64("w0"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
-    small = small.select(F.xxhash64("root", F.least("part", "other"), F.greatest("part", "other")).alias("key"), *[f"w{w}" for w in range(EXACT)])
-    edges, large = keyed_edges(small, EXACT_BITS, None), nodes.where(F.col("size") > WIDE_MOST)
-    return edges if large.isEmpty() else edges.unionByName(wide_edges(large, words, bits, EXACT, EXACT_BITS))
-
-
 def with_roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (fp and more) with root, the smallest fingerprint that each one reaches over edges."""
     roots = components(edges)
@@ -337,21 +237,3 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     held = materialize(with_fingerprint(df, text_col, fp), "fingerprints")
     placed = placed_nodes(held.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(fp).alias("fp")))
     return first_of_each(held, fp, placed, df.columns, id_col)
-
-
-def keep_dissimilar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each component of texts of similarity SIMILAR or more (by wide fingerprints). Texts whose first words of 64 bits are equal are one node."""
-    bits = table_bits(max(1, df.count()))
-    tables = math.ceil(table_count(bits) * bits / 64)
-    words = VERIFY + tables
-    names = [free_name(df, f"__w{w}") for w in range(words)]
-    step = lambda texts: [pa.array(x) for x in wide_fingerprints(texts.cast(pa.binary()).to_pylist(), words).view(np.int64).T.copy()]
-    held = materialize(add_columns(df, text_col, [(n, T.LongType(), pa.int64()) for n in names], step), "fingerprints")
-    narrow = held.select(F.col(f"`{id_col}`").cast("long").alias("id"), *[F.col(n).alias(f"w{w}") for w, n in enumerate(names)])
-    others = [f"w{w}" for w in range(1, words)]
-    nodes = narrow.groupBy("w0").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.min(F.struct(*others)).alias("o"))
-    nodes = materialize(nodes.select("w0", F.col("w0").alias("fp"), "least", "n", *[F.col(f"o.{w}").alias(w) for w in others]), "nodes")
-    found = with_roots(nodes.select("fp", "least", "n"), wide_edges(nodes, words, bits, VERIFY, VERIFY_BITS))
-    texts = held.select(F.col(names[0]).alias("w0"), F.col(f"`{text_col}`").alias("text"))
-    placed = with_roots(found.drop("root"), exact_edges(texts, found, EXACT + tables, bits))
-    return first_of_each(held, names[0], placed, df.columns, id_col)

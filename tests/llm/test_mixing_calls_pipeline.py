@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from asofledger.llm import exact, mixing, pieces, queries, toolcalls, toxicity
-from test_near_and_exact import wide_classes
+from test_near_and_exact import similar_classes
 
 ROWS = [(i, "w " * (1 + i % 7), "big" if i < 60 else "mid" if i < 80 else None) for i in range(90)] + [(200, "", "empty"), (201, None, "empty"), (None, "a b", "big"), (5, "w w", "big"), (5, "w w", "big")]
 
@@ -152,7 +152,7 @@ def test_pipeline_matches_its_stages_by_brute_force(spark, sf):
     for d, t, _ in rows:
         least[norm(t)] = min(d, least.get(norm(t), d))
     rows = [r for r in rows if least[norm(r[1])] == r[0]]
-    label = wide_classes([r[:2] for r in rows])
+    label = similar_classes([r[:2] for r in rows])
     rows = [r for i, r in enumerate(rows) if r[0] == min(rows[j][0] for j in range(len(rows)) if label[j] == label[i])]
     want = mixed(rows, corpus_pipeline.MAX_EPOCHS)
     made = corpus_pipeline.run(spark, sf).collect()
