@@ -1,13 +1,9 @@
-"""Exact decimal arithmetic."""
+"""Plain decimals as text."""
 
 from __future__ import annotations
 
-import decimal
-
-import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Significant digits of means and rates, rounded half to even.
 PRECISION = 28
@@ -28,35 +24,8 @@ def fraction_digits(text: Column) -> Column:
     return F.length(F.regexp_extract(text, r"\.([0-9]+)\z", 1))
 
 
-def fits(text: Column, scale: int, precision: int = 38) -> Column:
-    """Whether a plain decimal is held exactly by DECIMAL(precision, scale)."""
-    return (fraction_digits(text) <= scale) & (integer_digits(text) <= precision - scale)
-
-
 def numeric_token(text: Column) -> Column:
     """One spelling for equal plain decimals: no plus sign, leading zeros, trailing fraction zeros or negative zero."""
     bare = F.regexp_replace(F.regexp_replace(text, r"^([+-]?)0+(?=[0-9])", "$1"), r"^\+", "")
     short = F.regexp_replace(F.regexp_replace(bare, r"(\.[0-9]*?)0+\z", "$1"), r"\.\z", "")
     return F.regexp_replace(short, r"^-0\z", "0")
-
-
-def _quotient(totals: pa.Array, counts: pa.Array) -> pa.Array:
-    context = decimal.Context(prec=PRECISION, rounding=decimal.ROUND_HALF_EVEN, traps=[decimal.InvalidOperation, decimal.DivisionByZero])
-    pairs = zip(totals.to_pylist(), counts.to_pylist())
-    return pa.array([None if t is None or not n else str(context.divide(decimal.Decimal(t), decimal.Decimal(n))) for t, n in pairs], pa.string())
-
-
-exact_quotient = F.arrow_udf(_quotient, T.StringType())
-
-
-def exact_mean(total: Column, count: Column) -> Column:
-    """total / count to PRECISION digits as text; null for a count of 0. Spark's decimal division has a fixed scale, which can't."""
-    return exact_quotient(total.cast("string"), count.cast("long"))
-
-
-def exact_sum_text(values: list[decimal.Decimal]) -> decimal.Decimal:
-    """A sum that never rounds, for amounts of any width."""
-    with decimal.localcontext() as context:
-        context.prec = decimal.MAX_PREC
-        context.Emax, context.Emin = decimal.MAX_EMAX, decimal.MIN_EMIN
-        return sum(values, decimal.Decimal(0))

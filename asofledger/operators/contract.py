@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.decimals import exact_quotient, fraction_digits, integer_digits
+from ..functions.decimals import fraction_digits, integer_digits
 from ..functions.patterns import evaluation_partition, identifier_format
+from ..functions.wide import with_quotient
 from ..schema import MODELLED_TYPE
 
 
@@ -21,8 +22,9 @@ def _counts():
 def transfer_step_summary(rows: DataFrame, exact: bool = False) -> DataFrame:
     """Per step: eligible rows, frauds, legitimate ones and the fraud rate in percent (with exact, 28 digits as text)."""
     made = eligible(rows).groupBy("step").agg(*_counts())
-    rate = exact_quotient((F.col("fraud") * 100).cast("string"), F.col("eligible")) if exact else 100.0 * F.col("fraud") / F.col("eligible")
-    return made.withColumn("fraud_rate_percent", rate)
+    if exact:
+        return with_quotient(made, "fraud_rate_percent", F.col("fraud") * 100, F.col("eligible"))
+    return made.withColumn("fraud_rate_percent", 100.0 * F.col("fraud") / F.col("eligible"))
 
 
 def population_totals(rows: DataFrame) -> DataFrame:

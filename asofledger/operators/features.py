@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..durable import materialize
-from ..functions.decimals import exact_mean
+from ..functions.wide import with_quotient
 from ..schema import EVENT_COLUMNS, MODELLED_TYPE
 
 #: Before the current step, whatever its distance.
@@ -25,8 +25,9 @@ def behavioural(rows: DataFrame, keep: list[str]) -> DataFrame:
 
 def _with_mean(df: DataFrame, exact: bool) -> DataFrame:
     total, count = F.col("initiator_prior_outgoing_amount_total"), F.col("initiator_prior_outgoing_count")
-    mean = exact_mean(total, count) if exact else F.when(count > 0, total.cast("double") / count)
-    return df.withColumn("initiator_prior_outgoing_amount_mean", mean)
+    if exact:
+        return with_quotient(df, "initiator_prior_outgoing_amount_mean", total, count)
+    return df.withColumn("initiator_prior_outgoing_amount_mean", F.when(count > 0, total.cast("double") / count))
 
 
 def features_by_range(rows: DataFrame, keep: list[str], exact: bool = False) -> DataFrame:
@@ -50,16 +51,34 @@ def features_by_range(rows: DataFrame, keep: list[str], exact: bool = False) ->
     return _with_mean(made.where(is_transfer()).drop("first_seen"), exact)
 
 
-def _rollup(moves: DataFrame, first_seen: DataFrame, entity: str, amounts: bool) -> DataFrame:
-    """One row per (entity, step) with what the entity did before that step."""
+def summed_moves(events: DataFrame) -> DataFrame:
+    """Behavioural rows summed map-side to one per pair and step."""
+    return events.groupBy("initiator_id", "recipient_id", "step").agg(F.count("*").alias("n"), F.sum(is_transfer().cast("long")).alias("transfers"), F.sum("amount").alias("total"), F.max("amount").alias("most"))
+
+
+def step_sums(moves: DataFrame, first_seen: DataFrame, entity: str) -> DataFrame:
+    """One row per (entity, step): n, transfers, total, most, and fresh, the pairs that meet there for the first time."""
     zero = F.lit(0).cast("long")
     steps = moves.groupBy(entity, "step").agg(F.sum("n").alias("n"), F.sum("transfers").alias("transfers"), F.sum("total").alias("total"), F.max("most").alias("most")).withColumn("fresh", zero)
     firsts = first_seen.groupBy(entity, "step").agg(F.count("*").alias("fresh"))
     firsts = firsts.select(entity, "step", zero.alias("n"), zero.alias("transfers"), F.lit(None).cast(steps.schema["total"].dataType).alias("total"), F.lit(None).cast(steps.schema["most"].dataType).alias("most"), "fresh")
-    merged = steps.unionByName(firsts).groupBy(entity, "step").agg(*[F.sum(c).alias(c) for c in ("n", "transfers", "total", "fresh")], F.max("most").alias("most"))
+    return steps.unionByName(firsts).groupBy(entity, "step").agg(*[F.sum(c).alias(c) for c in ("n", "transfers", "total", "fresh")], F.max("most").alias("most"))
+
+
+def with_prior(steps: DataFrame, entity: str) -> DataFrame:
+    """Rows per (entity, step) with prior_n, prior_transfers, prior_total, prior_fresh and prior_most: what the entity did before that step."""
     before = Window.partitionBy(entity).orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
-    sums = {c: F.coalesce(F.sum(c).over(before), F.lit(0)) for c in (("n", "transfers", "total", "fresh") if amounts else ("n", "fresh"))}
-    return merged.select(entity, "step", *[v.alias(f"prior_{k}") for k, v in sums.items()], *([F.max("most").over(before).alias("prior_most")] if amounts else []))
+    return steps.withColumns({f"prior_{c}": F.coalesce(F.sum(c).over(before), F.lit(0)) for c in ("n", "transfers", "total", "fresh")} | {"prior_most": F.max("most").over(before)})
+
+
+def emitted(events: DataFrame, initiators: DataFrame, recipients: DataFrame, exact: bool = False) -> DataFrame:
+    """TRANSFER rows with their features, from prior sums per (initiator, step) and per (recipient, step)."""
+    sent = initiators.select(
+        "initiator_id", "step", F.col("prior_n").alias("initiator_prior_outgoing_count"), F.col("prior_transfers").alias("initiator_prior_outgoing_transfer_count"), F.col("prior_total").alias("initiator_prior_outgoing_amount_total"),
+        F.col("prior_most").alias("initiator_prior_outgoing_amount_max"), F.col("prior_fresh").alias("initiator_prior_distinct_recipient_count"),
+    )
+    got = recipients.select("recipient_id", "step", F.col("prior_n").alias("recipient_prior_incoming_count"), F.col("prior_fresh").alias("recipient_prior_distinct_initiator_count"))
+    return _with_mean(events.where(is_transfer()).join(sent, ["initiator_id", "step"]).join(got, ["recipient_id", "step"]), exact)
 
 
 def features_by_rollup(rows: DataFrame, keep: list[str], exact: bool = False) -> DataFrame:
@@ -69,16 +88,10 @@ def features_by_rollup(rows: DataFrame, keep: list[str], exact: bool = False) ->
     cheap as any other; TRANSFER rows meet their rollups in equi-joins that AQE can split.
     """
     events = behavioural(rows, keep)
-    moves = events.groupBy("initiator_id", "recipient_id", "step").agg(F.count("*").alias("n"), F.sum(is_transfer().cast("long")).alias("transfers"), F.sum("amount").alias("total"), F.max("amount").alias("most"))
-    moves = materialize(moves, "moves")
+    moves = materialize(summed_moves(events), "moves")
     first_seen = moves.groupBy("initiator_id", "recipient_id").agg(F.min("step").alias("step"))
-    sent = _rollup(moves, first_seen, "initiator_id", True).select(
-        "initiator_id", "step", F.col("prior_n").alias("initiator_prior_outgoing_count"), F.col("prior_transfers").alias("initiator_prior_outgoing_transfer_count"), F.col("prior_total").alias("initiator_prior_outgoing_amount_total"),
-        F.col("prior_most").alias("initiator_prior_outgoing_amount_max"), F.col("prior_fresh").alias("initiator_prior_distinct_recipient_count"),
-    )
-    got = _rollup(moves, first_seen, "recipient_id", False).select("recipient_id", "step", F.col("prior_n").alias("recipient_prior_incoming_count"), F.col("prior_fresh").alias("recipient_prior_distinct_initiator_count"))
-    made = events.where(is_transfer()).join(sent, ["initiator_id", "step"]).join(got, ["recipient_id", "step"])
-    return _with_mean(made, exact)
+    sent, got = (with_prior(step_sums(moves, first_seen, entity), entity) for entity in ("initiator_id", "recipient_id"))
+    return emitted(events, sent, got, exact)
 
 
 def features_by_theta_join(rows: DataFrame, keep: list[str]) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..durable import materialize, with_row_number
 from ..schema import REVIEW_BUDGETS
+from .quantiles import quantiles
 
 
 def require_scores(scored: DataFrame) -> None:
@@ -117,8 +118,11 @@ def error_examples(scored: DataFrame, threshold: float, order: list[str], keep:
 
 
 def quartiles(rows: DataFrame, column: str = "amount") -> list[float]:
-    """The quartiles of a column, by linear interpolation: three numbers go to the driver."""
-    return [float(x) for x in rows.agg(F.percentile(F.col(column).cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).first()[0]]
+    """The quartiles of a column, by linear interpolation: three numbers go to the driver. Raises for a column without values."""
+    found = quantiles(rows, [column], [0.25, 0.5, 0.75])[column]
+    if found[0] is None:
+        raise ValueError(f"{column} has no values")
+    return found
 
 
 def slice_metrics(scored: DataFrame, edges: list[float], threshold: float, column: str = "amount") -> DataFrame:

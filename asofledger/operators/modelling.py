@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import Imputer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +16,7 @@ from ..durable import materialize, with_row_number
 from ..functions.patterns import evaluation_partition
 from ..schema import CORE_FEATURES, ENHANCED_FEATURES, NULLABLE_FEATURES
 from . import metrics
+from .quantiles import quantiles
 
 SEED = 904
 MAX_ITERATIONS = 1000
@@ -56,8 +57,7 @@ def sample_rows(rows: DataFrame, most: int = 10_000, seed: int = SEED, key: str
 
 def prepare(train: DataFrame, columns: tuple[str, ...]) -> tuple[dict[str, float], dict[str, tuple[float, float]]]:
     """Medians (exact, interpolated; 0 for a column without values) and population mean and deviation after filling, from train only: a row of numbers."""
-    medians = train.agg(*[F.percentile(c, 0.5).alias(c) for c in columns]).first().asDict()
-    medians = {c: 0.0 if v is None else float(v) for c, v in medians.items()}
+    medians = {c: 0.0 if v is None else v for c, (v,) in quantiles(train, list(columns), [0.5]).items()}
     filled = train.fillna(medians)
     moments = filled.agg(*[F.avg(c).alias(f"{c}__m") for c in columns], *[F.stddev_pop(c).alias(f"{c}__s") for c in columns]).first()
     return medians, {c: (moments[f"{c}__m"], moments[f"{c}__s"] or 1.0) for c in columns}
@@ -89,13 +89,14 @@ class Fitted:
                 raise ConvergenceError(f"{spec.name} is not done after {MAX_ITERATIONS} iterations")
         else:
             flags = [c for c in spec.columns if c in NULLABLE_FEATURES]
-            filled = [f"{c}__filled" for c in flags]
-            stages = [Imputer(strategy="median", inputCols=flags, outputCols=filled, relativeError=0.0)] if flags else []
-            inputs = [f"{c}__filled" if c in flags else c for c in spec.columns] + [f"{c}__null" for c in flags]
-            self.model: PipelineModel = Pipeline(stages=[*stages, VectorAssembler(inputCols=inputs, outputCol="features"), boosting()]).fit(self._flagged(train))
+            self.medians = {c: 0.0 if v is None else v for c, (v,) in quantiles(train, flags, [0.5]).items()} if flags else {}
+            inputs = [*spec.columns, *[f"{c}__null" for c in flags]]
+            self.model: PipelineModel = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), boosting()]).fit(self._flagged(train))
 
     def _flagged(self, df: DataFrame) -> DataFrame:
-        return df.withColumns({f"{c}__null": F.col(c).isNull().cast("double") for c in self.spec.columns if c in NULLABLE_FEATURES})
+        """Missing values become the median of train and a flag, as Spark's trees have no branch for them."""
+        flagged = df.withColumns({f"{c}__null": F.col(c).isNull().cast("double") for c in self.spec.columns if c in NULLABLE_FEATURES})
+        return flagged.fillna(self.medians) if self.medians else flagged
 
     def coefficients(self) -> dict[str, float]:
         """A logistic model's coefficients of the standardised columns."""

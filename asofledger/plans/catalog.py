@@ -15,11 +15,14 @@ from ..durable import materialize, shared_dir, with_row_number
 from ..functions import decimals
 from ..functions.identity import transaction_id, uuid5
 from ..functions.patterns import evaluation_partition, inferred_kind
+from ..functions.wide import exact_sums
 from ..operators import audit, contract, features, integrity, metrics, modelling, validation
+from ..operators.digest import ordered_digest, row_text
+from ..operators.quantiles import quantiles
 from ..schema import CANONICAL_SCHEMA, CORE_FEATURES, EVENT_COLUMNS, MONEY_COLUMNS, SOURCE_COLUMNS
 from ..sources import artifact, csv_source
 from ..sources.adapter import SQL_TXN, TOTAL_ORDER, numbered, table, transactions
-from ..streaming import history
+from ..streaming import history, ledger
 from . import pipelines, store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,12 +104,68 @@ def theta_join(spark, sf_dir):
     return _doubles(made, *_FEATURE_DOUBLES[1:]).drop("amount", "initiator_id", "recipient_id", "transaction_type")
 
 
-@query("exact_mean_28_digits")
+def _sql_quotient(total: str, count: str, scale: int, source: str) -> str:
+    """CTEs up to z: source's rows with quotient, total (a whole number of 10 ** -scale units) over count to 28 digits, half to even, as text."""
+    ten = "100000000000000::HUGEINT"
+    return f""", q0 AS (SELECT *, CAST({total} AS HUGEINT) AS u, CAST(nullif({count}, 0) AS HUGEINT) AS n FROM {source}), q1 AS (SELECT *, u // n AS i, (u % n) * {ten} AS x1 FROM q0), q2 AS (SELECT *, (x1 % n) * {ten} AS x2 FROM q1), q3 AS (SELECT *, (x2 % n) * {ten} AS x3 FROM q2),
+    q4 AS (SELECT *, lpad(CAST(x1 // n AS VARCHAR), 14, '0') || lpad(CAST(x2 // n AS VARCHAR), 14, '0') || lpad(CAST(x3 // n AS VARCHAR), 14, '0') AS f, x3 % n = 0 AS whole FROM q3), q5 AS (SELECT *, CASE WHEN whole THEN rtrim(f, '0') ELSE f END AS g FROM q4),
+    q6 AS (SELECT *, ltrim(CAST(i AS VARCHAR) || g, '0') AS d FROM q5), q7 AS (SELECT *, substr(d, 29) AS rest, greatest(length(d) - 28, 0) AS cut FROM q6),
+    q8 AS (SELECT *, CASE WHEN cut > 0 THEN CAST(CAST(substr(d, 1, 28) AS HUGEINT) + CASE WHEN rest[1] > '5' OR (rest[1] = '5' AND (NOT whole OR regexp_matches(rest[2:], '[1-9]') OR CAST(substr(d, 28, 1) AS INTEGER) % 2 = 1)) THEN 1 ELSE 0 END AS VARCHAR) ELSE d END AS k FROM q7),
+    q9 AS (SELECT *, length(k) - ({scale} + length(g) - cut) AS p FROM q8),
+    z AS (SELECT *, CASE WHEN n IS NULL THEN NULL WHEN d = '' THEN '{"0." + "0" * scale if scale else "0"}' WHEN p >= length(k) THEN k WHEN p > 0 THEN substr(k, 1, p) || '.' || substr(k, p + 1) ELSE '0.' || repeat('0', -p) || k END AS quotient FROM q9)"""
+
+
+@query("exact_mean_28_digits", _sql_history() + _sql_quotient("round(initiator_prior_outgoing_amount_total * 100)", "initiator_prior_outgoing_count", 2, "h") + " SELECT txn_key, quotient AS mean_28_digits FROM z")
 def exact_mean(spark, sf_dir):
     made = features.features_by_rollup(transactions(spark, sf_dir), ["txn_key"], exact=True)
     return made.select("txn_key", F.col("initiator_prior_outgoing_amount_mean").alias("mean_28_digits"))
 
 
+def _streamed(spark, sf_dir) -> str:
+    """The transactions as four arrivals of files, each streamed as it comes, in one work folder, which is returned."""
+    work = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    rows = materialize(transactions(spark, sf_dir).select("txn_key", *EVENT_COLUMNS), "arrivals")
+    for band in range(4):
+        rows.where(F.least(F.floor(F.col("step") / 36), F.lit(3)) == band).write.parquet(f"{work}/in/{band}")
+        ledger.run_available(spark.readStream.schema(rows.schema).parquet(f"{work}/in/*"), work, ["txn_key"])
+    return work
+
+
+@query("pit_stream_features", _CORE_SQL)
+def pit_stream_features(spark, sf_dir):
+    """The nine features of both roles over a stream of four arrivals, staged by epoch and published at the end."""
+    work = _streamed(spark, sf_dir)
+    return _doubles(ledger.publish(spark, work, f"{work}/published/features"), *_FEATURE_DOUBLES).select("txn_key", "step", *CORE_FEATURES)
+
+
+@query("stream_state_statistics", "SELECT count(DISTINCT initiator_id) AS initiators, count(DISTINCT recipient_id) AS recipients, count(DISTINCT (initiator_id, recipient_id)) AS pairs, CAST(max(step) AS BIGINT) AS last_step FROM txn")
+def stream_state_statistics(spark, sf_dir):
+    """What the stream's state holds after its last epoch."""
+    found = ledger.statistics(spark, _streamed(spark, sf_dir))
+    return spark.createDataFrame([tuple(found[c] for c in ("initiators", "recipients", "pairs", "last_step"))], "initiators long, recipients long, pairs long, last_step long")
+
+
+_SQL_DIGEST = " ".join(f", l{i + 1} AS (SELECT k >> 10 AS k, sha256(string_agg(h, '' ORDER BY k)) AS h FROM l{i} GROUP BY k >> 10)" for i in range(4))
+
+
+@query("ordered_digest", ", o AS (SELECT *, 1 + row_number() OVER (ORDER BY step, txn_key) AS source_row_number, CAST(amount * 100 AS BIGINT) AS cents FROM txn), l0 AS (SELECT source_row_number AS k, sha256(concat_ws(chr(31), " + ", ".join(f"'=' || {c}" for c in ("source_row_number", "txn_key", "step", "transaction_type", "cents", "initiator_id", "recipient_id")) + f")) AS h FROM o){_SQL_DIGEST} SELECT h AS sha256 FROM l4")
+def ordered_rows_digest(spark, sf_dir):
+    """The digest of the transactions in source order."""
+    rows = numbered(transactions(spark, sf_dir)).withColumn("cents", (F.col("amount") * 100).cast("long"))
+    return ordered_digest(rows, "source_row_number", row_text("source_row_number", "txn_key", "step", "transaction_type", "cents", "initiator_id", "recipient_id"))
+
+
+@query("exact_sums_beyond_38_digits", """, w AS (SELECT transaction_type, CAST(CAST(amount * 100 AS BIGINT) || lpad(initiator_id, 12, '0') || lpad(recipient_id, 12, '0') AS HUGEINT) AS whole, CAST(amount * 100 AS HUGEINT) * 1000003 + 1 AS part FROM txn),
+    s AS (SELECT transaction_type, sum(part) AS p, sum(whole) AS w FROM w GROUP BY transaction_type) SELECT transaction_type, CAST(w + p // 100000000000000000000::HUGEINT AS VARCHAR) || '.' || lpad(CAST(p % 100000000000000000000::HUGEINT AS VARCHAR), 20, '0') AS total FROM s""")
+def exact_sums_beyond_38_digits(spark, sf_dir):
+    """Sums of amounts of some thirty integer and twenty fraction digits, by type."""
+    rows = transactions(spark, sf_dir)
+    cents = (F.col("amount") * 100).cast("long")
+    part = F.lpad((cents.cast("decimal(20,0)") * 1000003 + 1).cast("decimal(38,0)").cast("string"), 20, "0")
+    text = F.concat(cents.cast("string"), F.lpad("initiator_id", 12, "0"), F.lpad("recipient_id", 12, "0"), F.lit("."), part)
+    return exact_sums(rows.select("transaction_type", text.alias("t")), ["transaction_type"], "t", "total")
+
+
 @query("feature_null_zero_counts", _sql_features("""count(*) AS n_rows, count(*) - count(initiator_prior_outgoing_amount_mean) AS null_mean, count(*) - count(initiator_prior_outgoing_amount_max) AS null_max,
     count(*) FILTER (initiator_prior_outgoing_count = 0) AS zero_outgoing, count(*) FILTER (recipient_prior_incoming_count = 0) AS zero_incoming, count(*) FILTER (initiator_prior_outgoing_transfer_count = 0) AS zero_transfers"""))
 def feature_null_zero_counts(spark, sf_dir):
@@ -148,7 +207,7 @@ def transfer_step_summary(spark, sf_dir):
     return contract.transfer_step_summary(transactions(spark, sf_dir))
 
 
-@query("fraud_rate_28_digits")
+@query("fraud_rate_28_digits", ", b AS (SELECT step, count(*) AS eligible, count(*) FILTER (is_fraud = 1) AS fraud, count(*) FILTER (is_fraud = 0) AS legitimate FROM txn WHERE transaction_type = 'TRANSFER' GROUP BY step)" + _sql_quotient("100 * fraud", "eligible", 0, "b") + " SELECT step, eligible, fraud, legitimate, quotient AS fraud_rate_percent FROM z")
 def fraud_rate_exact(spark, sf_dir):
     return contract.transfer_step_summary(transactions(spark, sf_dir), exact=True)
 
@@ -408,15 +467,27 @@ def canonical_csv_round_trip(spark, sf_dir):
     return _doubles(made, "amount", *audit.BALANCES).select("source_row_number", "step", "transaction_type", "initiator_id", "recipient_id", "is_fraud", "amount", *audit.BALANCES)
 
 
-def _source_files(spark, sf_dir) -> str:
-    rows = numbered(transactions(spark, sf_dir, True)).withColumn("pick", F.expr("cast(amount * 100 as bigint) % 5"))
-    dressed = F.concat("initiator_id", F.when(F.col("pick") == 0, ', "x"').when(F.col("pick") == 1, " ").otherwise(""))
+def _source_files(spark, sf_dir, rows: DataFrame | None = None, dressed: Column | None = None) -> str:
+    """Source files of the transactions in order, with dressed as initiators (or some with commas, quotes and spaces)."""
+    if rows is None:
+        rows = numbered(transactions(spark, sf_dir, True)).withColumn("pick", F.expr("cast(amount * 100 as bigint) % 5"))
+        dressed = F.concat("initiator_id", F.when(F.col("pick") == 0, ', "x"').when(F.col("pick") == 1, " ").otherwise(""))
     spelt = rows.withColumns({f"{s}_literal": F.col(c).cast("string") for s, c in zip(MONEY_COLUMNS, ["amount", *audit.BALANCES])} | {"initiator_id": dressed})
     path = f"{shared_dir(spark)}/source-{uuid.uuid4().hex}/files"
     artifact.write_csv(spelt, path)
     return path
 
 
+@query("multiline_csv_round_trip", """, o AS (SELECT *, 1 + row_number() OVER (ORDER BY step, txn_key) AS source_row_number, CAST(amount * 100 AS BIGINT) % 5 AS k FROM txn)
+    SELECT source_row_number, step, initiator_id || CASE k WHEN 0 THEN chr(10) || 'of "x",' WHEN 1 THEN chr(13) || chr(10) || chr(10) ELSE '' END AS initiator_id, recipient_id, CAST(amount AS DOUBLE) AS amount FROM o""")
+def multiline_csv_round_trip(spark, sf_dir):
+    """Source files of which two rows in five span lines, read back by the strict reader: blocks cut by the parity of their quotes."""
+    rows = numbered(transactions(spark, sf_dir, True)).withColumn("pick", F.expr("cast(amount * 100 as bigint) % 5"))
+    dressed = F.concat("initiator_id", F.when(F.col("pick") == 0, '\nof "x",').when(F.col("pick") == 1, "\r\n\n").otherwise(""))
+    made = validation.canonical(csv_source.read_strict(spark, _source_files(spark, sf_dir, rows, dressed)), ARTIFACT)
+    return _doubles(made, "amount").select("source_row_number", "step", "initiator_id", "recipient_id", "amount")
+
+
 @query("canonical_pipeline", "SELECT transaction_type, evaluation_partition, count(*) AS n_rows, CAST(sum(amount) AS DOUBLE) AS total, CAST(min(source_row_number) AS BIGINT) AS first_row FROM (SELECT *, 1 + row_number() OVER (ORDER BY step, txn_key) AS source_row_number, CASE WHEN step <= 95 THEN 'train' WHEN step <= 119 THEN 'validation' ELSE 'test' END AS evaluation_partition FROM txn) GROUP BY ALL")
 def canonical_pipeline(spark, sf_dir):
     """Source files verified, typed, written, read back, held against a contract and published; what was published, by type and partition."""
@@ -594,9 +665,19 @@ def error_top3(spark, sf_dir):
 
 @query("amount_quartiles", "SELECT quantile_cont(CAST(amount AS DOUBLE), 0.25) AS q1, quantile_cont(CAST(amount AS DOUBLE), 0.5) AS q2, quantile_cont(CAST(amount AS DOUBLE), 0.75) AS q3 FROM txn WHERE transaction_type = 'TRANSFER' AND step <= 95")
 def amount_quartiles(spark, sf_dir):
-    train = contract.eligible(transactions(spark, sf_dir)).where("step <= 95")
-    q = F.percentile(F.col("amount").cast("double"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return train.agg(q.alias("q")).select(*[F.col("q")[i].alias(f"q{i + 1}") for i in range(3)])
+    train = contract.eligible(transactions(spark, sf_dir)).where("step <= 95").select("amount")
+    return spark.createDataFrame([tuple(metrics.quartiles(materialize(train, "amounts")))], "q1 double, q2 double, q3 double")
+
+
+_MEDIANS = [c for c in CORE_FEATURES if c != "amount"]
+
+
+@query("feature_medians", f"{_sql_history()}, t AS (SELECT * FROM h WHERE step <= 95) " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median FROM t" for c in _MEDIANS))
+def feature_medians(spark, sf_dir):
+    """The exact median of each history feature over train: what missing values are filled with."""
+    made = features.features_by_rollup(transactions(spark, sf_dir).where("step <= 95"), ["txn_key"])
+    found = quantiles(materialize(made.select(*_MEDIANS), "medians"), _MEDIANS, [0.5])
+    return spark.createDataFrame([(c, v[0]) for c, v in found.items()], "column_name string, median double")
 
 
 @query("amount_quartile_slices", f""", {_SQL_SCORED}, q AS (SELECT quantile_cont(CAST(amount AS DOUBLE), [0.25, 0.5, 0.75]) AS q FROM s WHERE step <= 95),
@@ -605,7 +686,7 @@ def amount_quartiles(spark, sf_dir):
     SELECT band, n_rows, positives, {_RATIO('tp', 'alerts')} AS precision, {_RATIO('tp', 'positives')} AS recall, {_RATIO('(2 * tp)', '(alerts + positives)')} AS f1, brier FROM m""")
 def amount_quartile_slices(spark, sf_dir):
     rows = scored(spark, sf_dir, "amount")
-    edges = metrics.quartiles(rows.where("step <= 95"))
+    edges = metrics.quartiles(materialize(rows.where("step <= 95").select("amount"), "amounts"))
     return metrics.slice_metrics(rows.where("step >= 120"), edges, THRESHOLD).withColumn("brier", F.round("brier", 9))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import audit, contract, features, integrity, validation
+from ..operators.digest import ordered_digest, row_text
 
 
 def _rows(df: DataFrame, *order: str) -> list[dict]:
@@ -33,8 +34,9 @@ def contract_report(rows: DataFrame) -> dict:
 
 
 def feature_report(rows: DataFrame) -> dict:
-    """What the feature relation of canonical rows holds: counts, nulls, zeros, state sizes and an order-free digest."""
-    made = features.features_by_rollup(rows, ["transaction_id"])
+    """What the feature relation of canonical rows holds: counts, nulls, zeros, state sizes and the digest of its rows in source order."""
+    made = features.features_by_rollup(rows, ["transaction_id", "source_row_number"])
     numbers = [c for c in made.columns if c.startswith(("initiator_prior", "recipient_prior"))]
-    row = made.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in numbers], *[F.count_if(F.col(c) == 0).alias(f"zero_{c}") for c in numbers], F.bit_xor(F.xxhash64(*sorted(made.columns))).alias("digest"))
-    return {"features": row.first().asDict(), "state": features.state_statistics(rows).first().asDict(), "broken": _rows(integrity.violations(made, "core"), "check_name")}
+    row = made.agg(F.count("*").alias("rows"), *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in numbers], *[F.count_if(F.col(c) == 0).alias(f"zero_{c}") for c in numbers])
+    digest = ordered_digest(made, "source_row_number", row_text(*sorted(made.columns))).first()["sha256"]
+    return {"features": row.first().asDict() | {"digest": digest}, "state": features.state_statistics(rows).first().asDict(), "broken": _rows(integrity.violations(made, "core"), "check_name")}
