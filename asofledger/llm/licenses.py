@@ -2,8 +2,8 @@
 
 Method. A text becomes its words (lower-case A-Z, digits, letters and non-ASCII characters), joined by single spaces. Each notice of NOTICES may hold up to one edit (insertion, deletion or
 substitution of a character) per EDIT_EVERY characters. By the pigeonhole principle, a notice with at most k edits holds one of k + 1 parts of it unchanged, so the parts are
-searched exactly, all at once, by one automaton over the whole text; only around their hits, where enough of the notice's trigrams stand, does the regex library (beyond REGEX_EDITS, bit-vector distances) match the notice with at most k errors, which verifies
-the edits and gives the span. Hits that stand close together are verified as one stretch, best match first, then what lies before and behind it. Base places (a phrase's
+searched exactly, all at once, by one automaton over the whole text; only around their hits, where enough of the notice's trigrams stand, does the regex library (beyond REGEX_EDITS, bit-vector distances alone) match the notice with at most k errors, which verifies
+the edits and gives the span. Hits that stand close together are verified as one stretch: one pass of bit vectors says where matches may end and with how many edits, the regex library then sees a window of the notice's length for each, best first. Base places (a phrase's
 words standing consecutively) are found by the same automaton.
 
 Cases. Null text counts as empty and has no words. Repeated rows are scanned each; very long texts are one row; empty tables give empty ones; columns named like an output are replaced.
@@ -45,7 +45,7 @@ NOTICES = [
     ("warranty", "this software is provided as is without warranty of any kind"),
     ("reserved", "all rights reserved"),
 ]
-#: REGEX_EDITS is the most edits that the regex library is asked for: its time grows steeply with them, and more are met by distances in bits.
+#: REGEX_EDITS is the most edits that the regex library is asked for: its time grows steeply with them, and more are met by bit vectors alone.
 EDIT_EVERY, REGEX_EDITS = 10, 6
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else (c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256))
@@ -81,10 +81,10 @@ def automaton():
     return made
 
 
-@lru_cache(maxsize=64)
-def pattern(i: int):
-    notice = NOTICES[i][1]
-    return regex.compile(rf"(?b)(?:{regex.escape(notice)}){{e<={min(edits(notice), REGEX_EDITS)}}}")
+@lru_cache(maxsize=256)
+def pattern(i: int, k: int):
+    """The notice with at most k edits, the best match first."""
+    return regex.compile(rf"(?b)(?:{regex.escape(NOTICES[i][1])}){{e<={k}}}")
 
 
 @lru_cache(maxsize=64)
@@ -131,32 +131,41 @@ def distances(notice: str, text: str, anywhere: bool) -> list[int]:
     return out
 
 
-def nearest(text: str, a: int, b: int, i: int) -> tuple[int, int, int] | None:
-    """Start, end and edits of the notice's best match in text[a:b], if it has few enough edits."""
-    if not plausible(text, a, b, i):
-        return None
+def span(text: str, a: int, end: int, i: int, k: int) -> tuple[int, int, int] | None:
+    """Start, end and edits of the notice's match with k edits in text[a:end], as the regex library has it; beyond REGEX_EDITS by distances from the end."""
+    if k <= REGEX_EDITS:
+        m = pattern(i, k).search(text, a, end)
+        return (m.start(), m.end(), sum(m.fuzzy_counts)) if m else None
     notice = NOTICES[i][1]
-    if m := pattern(i).search(text, a, b):
-        return m.start(), m.end(), sum(m.fuzzy_counts)
-    if edits(notice) <= REGEX_EDITS:
-        return None
-    ends = distances(notice, text[a:b], True)
-    k = min(ends)
-    if k > edits(notice):
-        return None
-    end = a + ends.index(k) + 1
     lengths = [at + 1 for at, d in enumerate(distances(notice[::-1], text[a:end][::-1], False)) if d == k]
-    return end - min(lengths, key=lambda n: abs(n - len(notice))), end, k
+    return (end - min(lengths, key=lambda n: abs(n - len(notice))), end, k) if lengths else None
 
 
 def verified(text: str, a: int, b: int, i: int) -> list[tuple[int, int, int]]:
-    """Start, end and edits of the notice's matches in text[a:b]: the best one, and those of the parts before and behind it."""
+    """Start, end and edits of the notice's matches in text[a:b]: those with the fewest edits first, the first of equals, none over another; then those of the parts in between.
+
+    One pass finds the fewest edits of a match that ends at each place, and the regex library is asked only for windows of the notice's length and its edits, so time grows with the text: a part is searched again only where a match
+    was over one that is taken, and then needs more edits.
+    """
+    notice, most = NOTICES[i][1], edits(NOTICES[i][1])
+    least, longest = len(notice) - most, len(notice) + most
     found, todo = [], [(a, b)]
     while todo:
         a, b = todo.pop()
-        if m := nearest(text, a, b, i):
-            found.append(m)
-            todo += [(a, m[0]), (m[1], b)]
+        if b - a < least or not plausible(text, a, b, i):
+            continue
+        taken, own = bytearray(b - a), []
+        for k, end in sorted((k, at + 1) for at, k in enumerate(distances(notice, text[a:b], True)) if k <= most):
+            if 1 in taken[max(0, end - least) : end]:
+                continue
+            m = span(text, a + max(0, end - longest), a + end, i, k)
+            if m and 1 not in taken[m[0] - a : m[1] - a]:
+                taken[m[0] - a : m[1] - a] = b"\x01" * (m[1] - m[0])
+                own.append(m)
+        own.sort()
+        found += own
+        if own:
+            todo += list(zip([a, *[m[1] for m in own]], [*[m[0] for m in own], b]))
     return found
 
 

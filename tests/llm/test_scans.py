@@ -1,10 +1,12 @@
 import hashlib
 import math
+import random
 import re
 import time
 import tracemalloc
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +96,75 @@ def test_secrets_follow_constants_and_annotations():
     assert named('private_key: Optional[dict[str, list[str]]] | None | SomeTypeNameThatGoesOnAndOnAndOn = "Qw8rT7yUkL5mPPz1"') == ["Qw8rT7yUkL5mPPz1"]
 
 
+KEY = "q7Rx2LmPz9TkVw4BnY"
+FORMS = [
+    f'passphrase = "{KEY}"', f'config["db_passphrase"] = "{KEY}"', f"os.environ['PRIVATE_KEY'] = '{KEY}'", f'passphrase = """{KEY}"""', f"passphrase: >\n  {KEY}\nnext: 1", f'<add key="privateKey" value="{KEY}"/>', f'passphrase = ("{KEY}")', f'passphrase =\n    "{KEY}"',
+    f'passphrase = "{KEY[:9]}\\\n{KEY[9:]}"', f'passphrase = "{KEY[:9]}" \\\n  "{KEY[9:]}"', f'private_key: ["{KEY}"]', f'{{"credential": {{"value": "{KEY}"}}}}', f'passphrase = new String("{KEY}")', f'{{"credential": {{"type": "x", "value": "{KEY}"}}}}', f"credential:\n  value: {KEY}\n",
+    f"passphrase = b'{KEY}'", f'passphrase = ("{KEY[:9]}"\n   "{KEY[9:]}")', f'const passphrase: string = "{KEY}"', f"private_key: |\n  {KEY[:9]}\n  {KEY[9:]}\n", f'passphrase = "{KEY[:9]}" +\n  "{KEY[9:]}"', f':private_key => "{KEY}"', f'{{"cfg": {{"passphrase": "{KEY}", "value": 3}}}}',
+]
+
+
+@pytest.mark.parametrize("text", FORMS)
+def test_secrets_are_found_in_every_form(text):
+    """Subscripts, attributes, blocks, brackets, continuations, next lines and members; spans hold the literals and nothing else."""
+    found = "".join(text[a:b] for k, a, b in secrets.spans(text) if k == "named")
+    assert found.replace("\\\n", "") == KEY
+
+
+@pytest.mark.parametrize("text", ['passphrase = os.getenv("DB_PASSPHRASE_KEY_1")', 'credential:\n  name: AbCdEf12345678', f"passphrase:\n{KEY} other", f'passphrase = "a",\n"{KEY}": 3', f'<add key="colour" value="{KEY}"/>', f'{{"colour": {{"value": "{KEY}"}}}}', f"colour: >\n  {KEY}\n"])
+def test_secrets_leave_other_forms_alone(text):
+    assert [x for x in secrets.spans(text) if x[0] == "named"] == []
+
+
+HOSTILE = {
+    "triple": 'p = """' * 20_000, "two triples": "p = \'\'\'\"\"\"" * 20_000, "objects": '{"a": {' * 30_000, "members": '{"a": ' + '{"b": "c", ' * 30_000, "pairs": '{"a": {' + '"b": 1, ' * 40_000, "elements": '<a key="x" ' * 30_000, "attributes": "<a " + 'key="x" ' * 30_000 + ">", "lines": "a =\n" * 60_000,
+    "blocks": "a: >\n b\n" * 30_000, "block": "a: >\n" + " b: >\n" * 30_000, "brackets": "a = " + "(" * 200_000, "joins": "a = " + '"x" +\n' * 40_000, "adjacent": "a = " + '"x"\n' * 40_000, "continued": 'a = "' + "\\\n" * 100_000, "nested": "a:\n value: " * 30_000, "calls": "a = new b(" * 30_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_secret_forms_take_time_in_proportion(name):
+    begin = time.process_time()
+    secrets.spans(HOSTILE[name])
+    assert time.process_time() - begin < 4
+
+
+def test_joined_counts_keep_their_shares_at_any_size():
+    """Constants that grow beyond any double: shares as exact integers have them."""
+    text = 'a0 = "Qw8rT7yUkL5m"\na1 = "Zx9"\n' + "".join(f"a{i} = a{i - 1} + a{i - 2}\n" for i in range(2, 3000)) + "api_key = a2999\n"
+    assert [text[a:b] for k, a, b in secrets.spans(text) if k == "named"] == ["Qw8rT7yUkL5m", "Zx9"]
+    one, two = secrets.Joined.of("aab"), secrets.Joined.of("bbbc")
+    exact = {"a": 2, "b": 1}, {"b": 3, "c": 1}
+    for _ in range(1500):
+        one, two, exact = two, secrets.Joined(dict(one.counts), False, one.scale), (exact[1], {c: exact[0].get(c, 0) + exact[1].get(c, 0) for c in "abc"})
+        two.add(one)
+    whole, total = sum(exact[1].values()), sum(two.counts.values())
+    assert all(two.counts[c] / total == pytest.approx(float(Fraction(exact[1][c], whole)), rel=1e-9) for c in "abc") and two.scale > 0
+
+
+def test_licences_in_proportion_and_like_an_unseeded_search():
+    begin = time.process_time()
+    edited = "redistributon and use in source and binary forms with or without modification are permited "
+    assert len(licenses.search((edited * 4000).strip())) == 4000
+    assert len(licenses.search(("al rights reserved " * 16_000).strip())) == 16_000
+    assert time.process_time() - begin < 12
+    rng = random.Random(11)
+    for _ in range(30):
+        parts = []
+        for _ in range(rng.randint(1, 9)):
+            _, notice = rng.choice(licenses.NOTICES)
+            shown = list(notice)
+            for _ in range(rng.randint(0, licenses.edits(notice) + 1)):
+                shown[rng.randrange(len(shown))] = rng.choice(["", "q", "zz"])
+            parts += ["".join(shown), "lorem " * rng.randint(0, 3)]
+        text = licenses.words(" ".join(parts))
+        got = [x for x in licenses.search(text) if not x[4]]
+        want = []
+        for i, (label, _) in enumerate(licenses.NOTICES):
+            want += [(label, k) for _, _, k in licenses.verified(f" {text} ", 0, len(text) + 2, i)]
+        assert sorted((x[0], x[3]) for x in got) == sorted(want)
+
+
 def test_secrets_query_matches_brute_force(spark, sf):
     texts = dict(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect())
     for r in queries.op2_secrets(spark, sf).collect():
