@@ -1,7 +1,8 @@
 """Secret scans by assignment-aware lexing.
 
 Method. Whole texts are lexed into assignments as source and configuration files write them (name = "..", name: '..', name := .., "name" => .., export NAME=.., name: Type = ..,
-<name>..</name> and --name=..). Constants are propagated: a name that stands on the right of a later assignment, also inside a concatenation with + or . or an
+<name>..</name>, <x key="name" value=".."/>, --name=.., and map["name"] = ..). The right side may be in brackets or a constructor of text, on the next line, in three quotes, continued by a backslash, a YAML block of indented lines,
+or an object or mapping that holds it as its value ({"name": {"value": ..}}). Constants are propagated: a name that stands on the right of a later assignment, also inside a concatenation with + or . or an
 interpolation ${NAME}, refers to its latest assignment and brings all literals that reach that one. A literal is scored by the sensitivity of the target name's parts (api_key, privateKey, DB-PASSWORD) and by the
 length, alphabet and entropy of what the assignment joins; placeholders score nothing. Where the score is LEAST ** 2 or more, all literals that reach the assignment give a span of kind named, unless a base span
 covers them. References are kept as references, and what a chain of them joins is summed up as counts of characters, so time and memory follow the text's length however constants are joined.
@@ -34,10 +35,24 @@ HEX = re.compile(r"[0-9a-f]+")
 HEX_LONG = re.compile(r"[0-9a-f]{16}")
 
 #: A pair: a name, an operator, and the right side's terms up to the end of the statement.
-PAIR = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][\w.-]*+)["']?[\x20\t]*(?::[\x20\t]*+[A-Za-z_][\w\[\],.|\x20\t]*+(?==[^=]))?(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?=["'`A-Za-z0-9$+/_-])""", re.A)
+PAIR = re.compile(r"""(?<![\w.-])["']?([A-Za-z_][\w.-]*+)["']?[\x20\t]*\]?[\x20\t]*(?::[\x20\t]*+[A-Za-z_][\w\[\],.|\x20\t]*+(?==[^=]))?(?::=|=>|=(?!=)|:(?![:/]))[\x20\t]*(?=["'`A-Za-z0-9$+/_\-(\[{|>\\\r\n])""", re.A)
+# Members that hold the value of the name above them, and constructors that only wrap a text.
+VALUE = "(?:value|val|default|data|content|literal|string|text)"
+WRAP = r"(?:new[\x20\t]++[A-Za-z_][\w.]*+|(?:str|String|string|bytes|SecretStr|SecureString|Buffer\.from|base64\.b64decode|b64decode))\("
+NEXT = r"\\?\r?\n[\x20\t]*+"
+#: What may stand between the operator and the first term: a member of an object or mapping, the end of the line, brackets.
+MEMBER = rf"""\{{\s*+(?:["']?(?!{VALUE}\b)\w++["']?[\x20\t]*+[:=]>?[\x20\t]*+(?:"[^"\n]*+"|'[^'\n]*+'|[\w.]++)\s*+,\s*+)*+["']?{VALUE}["']?[\x20\t]*+[:=]>?[\x20\t]*+|\r?\n[\x20\t]++{VALUE}[\x20\t]*+:[\x20\t]++"""
+LEAD = re.compile(rf"""({MEMBER})?(?:{NEXT}(?=["'`(\[]))?(?:(?:{WRAP}|[(\[])[\x20\t]*+){{0,3}}+(?:{NEXT}(?=["'`]))?""", re.A)
+#: A YAML block: its indicator, and lines that are indented.
+FOLDED = re.compile(r"[|>][-+0-9]*+[\x20\t]*+\r?\n((?:[\x20\t]++[^\n]*+(?:\n|\Z))++)", re.A)
+ELEMENT = re.compile(r"<[A-Za-z][^<>]*+>", re.A)
+ATTRIBUTE = re.compile(r"""([A-Za-z_][\w:.-]*+)[\x20\t]*+=[\x20\t]*+(?:"([^"]*+)"|'([^']*+)')""", re.A)
 TAG = re.compile(r"<([A-Za-z_][\w.-]*+)>([^<>\s]{8,}+)</\1>", re.A)
-TERM = re.compile(r""""((?:[^"\\\n]|\\.)*+)"|'((?:[^'\\\n]|\\.)*+)'|`([^`\n]*)`|([A-Za-z0-9+/_.=$-]+)""", re.A)
-JOIN = re.compile(r"[\x20\t]*[+.][\x20\t]*(?=[\"'`A-Za-z_])", re.A)
+_PREFIX = """(?:[bBrRuUfF]{1,2}(?=["']))?"""
+TERM = re.compile(_PREFIX + r"""(?:\"{3}((?:[^"\\]|\\(?s:.)|"(?!""))*+)"{3}|'{3}((?:[^'\\]|\\(?s:.)|'(?!''))*+)'{3}|"((?:[^"\\\n]|\\\r?\n|\\.)*+)"|'((?:[^'\\\n]|\\\r?\n|\\.)*+)'|`([^`\n]*+)`)|([A-Za-z0-9+/_.=$-]+)""", re.A)
+BARE = 6
+#: What joins two terms: + or . (the next one on the same line, or a line on), a backslash at the end of the line, or nothing but a line end between quoted terms.
+JOIN = re.compile(rf"""[\x20\t]*+(?:[+.][\x20\t]*+(?:{NEXT})?(?=["'`A-Za-z_])|\\\r?\n[\x20\t]*+(?:[+.][\x20\t]*+)?(?=["'`])|{NEXT}(?:[+.][\x20\t]*+)?(?=["'`](?![\w.-]++["'][\x20\t]*+[:=])))""", re.A)
 INNER = re.compile(r"\$\{?([A-Za-z_]\w*)\}?", re.A)
 PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+", re.A)
 
@@ -47,8 +62,8 @@ SENSITIVE_PAIRS = {"api key": 1.0, "access key": 1.0, "private key": 1.0, "secre
 #: Words of up to five letters stand in long random keys by chance, so they count only where no letter or digit adjoins them.
 PLACEHOLDER = re.compile(r"change_?me|example|placeholder|<[^<>\n]*>|^\$|\.\.\.|(?<![A-Z0-9])(?:your[_-]|(?:dummy|x{4,}|todo|none|null|true|false)(?![A-Z0-9]))", re.I | re.A)
 LEAST, LITERAL_LEAST = 0.6, 8
-#: Beyond so many characters the counts of joined literals are scaled down; shares and so scores stay.
-MOST_COUNTED = 1 << 20
+#: Counts of joined literals are doubles; beyond 2 ** HALVED they go on as multiples of it, which changes no share.
+HALVED = 512
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -73,11 +88,18 @@ def assignments(text: str) -> list[Assignment]:
     at = 0
     while m := PAIR.search(text, at):
         made, at = Assignment(m[1]), m.end()
-        while t := TERM.match(text, at):
+        lead = LEAD.match(text, at)
+        if folded := FOLDED.match(text, at):
+            made.places, at = block_lines(text, *folded.span(1)), folded.end()
+        else:
+            at = lead.end()
+        while not folded and (t := TERM.match(text, at)):
             at = t.end()
-            group = next((g for g in (1, 2, 3) if t.start(g) >= 0), 4)
+            group = next((g for g in range(1, BARE) if t.start(g) >= 0), BARE)
             word = t[group]
-            inner = [known[word]] if group == 4 and word in known else [known[x] for x in INNER.findall(word) if x in known]
+            if group == BARE and text.startswith("(", at):  # a call, whose result no text shows
+                break
+            inner = [known[word]] if group == BARE and word in known else [known[x] for x in INNER.findall(word) if x in known]
             made.refs += inner
             if not inner:
                 made.places.append(t.span(group))
@@ -85,37 +107,61 @@ def assignments(text: str) -> list[Assignment]:
             if not j:
                 break
             at = j.end()
-        at = max(at, m.end())
+        at = m.end() if lead[1] else max(at, m.end())  # an object's members are assignments of their own
         made.refs = list(dict.fromkeys(made.refs))
         known[made.name] = len(found)
         found.append(made)
     found += [Assignment(m[1], [m.span(2)]) for m in TAG.finditer(text)]
+    for element in ELEMENT.finditer(text) if "value" in text else ():
+        given = {m[1].lower(): m for m in ATTRIBUTE.finditer(text, *element.span())}
+        if value := given.get("value"):
+            group = 2 if value.start(2) >= 0 else 3
+            found += [Assignment(given[n][2] or given[n][3] or "", [value.span(group)]) for n in ("key", "name", "id") if n in given]
     return found
 
 
+def block_lines(text: str, a: int, b: int) -> list[tuple[int, int]]:
+    """Places of what is on the lines of text[a:b] that are indented as far as the first one."""
+    out, at, indent = [], a, None
+    for line in text[a:b].splitlines(keepends=True):
+        bare = line.strip()
+        own = len(line) - len(line.lstrip())
+        indent = own if indent is None else indent
+        if bare and own < indent:
+            break
+        if bare:
+            out.append((at + own, at + own + len(bare)))
+        at += len(line)
+    return out
+
+
 @dataclass
 class Joined:
-    """What literals look like when they are joined: how often each character occurs, and whether a placeholder or a space rules them out."""
+    """What literals look like when they are joined: how often each character occurs (times 2 ** scale), and whether a placeholder or a space rules them out."""
 
-    counts: Counter
+    counts: dict[str, float]
     ruled_out: bool
+    scale: int = 0
 
     @staticmethod
     def of(value: str) -> Joined:
-        return Joined(Counter(value), " " in value or bool(PLACEHOLDER.search(value)))
+        value = value.replace("\\\r\n", "").replace("\\\n", "")
+        return Joined({c: float(n) for c, n in Counter(value).items()}, " " in value or bool(PLACEHOLDER.search(value)))
 
     def add(self, other: Joined) -> None:
-        self.counts.update(other.counts)
         self.ruled_out |= other.ruled_out
-        if (total := self.counts.total()) > MOST_COUNTED:  # only shares matter by then
-            self.counts = Counter({c: max(1, n * (MOST_COUNTED // 2) // total) for c, n in self.counts.items()})
+        ours, theirs = (math.ldexp(1.0, min(0, d)) if d > -1074 else 0.0 for d in (self.scale - other.scale, other.scale - self.scale))
+        self.scale = max(self.scale, other.scale)
+        self.counts = {c: self.counts.get(c, 0.0) * ours + other.counts.get(c, 0.0) * theirs for c in self.counts.keys() | other.counts.keys()}
+        if sum(self.counts.values()) > math.ldexp(1.0, HALVED):
+            self.counts, self.scale = {c: math.ldexp(n, -HALVED) for c, n in self.counts.items()}, self.scale + HALVED
 
     def score(self) -> float:
         """0 to 1: how far this looks like key material."""
-        total = self.counts.total()
-        if total < LITERAL_LEAST or self.ruled_out:
+        total = math.fsum(self.counts.values())
+        if not self.scale and total < LITERAL_LEAST or self.ruled_out:
             return 0.0
-        entropy = -sum(n / total * math.log2(n / total) for n in self.counts.values())
+        entropy = -math.fsum(n / total * math.log2(n / total) for n in self.counts.values() if n)
         kinds = sum(any(f(c) for c in self.counts) for f in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
         return min(1.0, entropy / 4) * (0.55 + 0.15 * kinds if kinds > 1 else 0.4)
 
