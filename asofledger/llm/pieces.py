@@ -178,14 +178,30 @@ def ids_digest(ids: pa.Array) -> pa.Array:
     return pa.array([hashlib.sha256(flat[a:b].tobytes()).hexdigest() for a, b in zip(offsets[:-1], offsets[1:])], pa.string())
 
 
+def decoded_digest(ids: pa.Array, model_file: str) -> pa.Array:
+    """Lowercase hex SHA-256 of each list's decoded text."""
+    return pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decode_batch(ids, model_file).to_pylist()], pa.string())
+
+
+def round_trip(df: DataFrame, model_file: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """df (or its columns keep) with ids_col, n_tokens and decoded_sha256, by encode_batch() and decode_batch() in one pass: one Python worker a task holds the vocabulary."""
+    state: dict = {}
+
+    def step(texts: pa.Array) -> list[pa.Array]:
+        ids = encode_batch(texts, model_file, state)
+        return [ids, pa.array(np.diff(ids.offsets.to_numpy()), pa.int64()), decoded_digest(ids, model_file)]
+
+    fields = [(ids_col, T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), ("n_tokens", T.LongType(), pa.int64()), ("decoded_sha256", T.StringType(), pa.string())]
+    return add_columns(df, text_col, fields, step, keep)
+
+
 def round_trip_digests(df: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: id_col, n_tokens, ids_sha256, decoded_sha256, by encode_batch() and decode_batch() in one pass, so that ids never leave the task."""
     state: dict = {}
 
     def step(texts: pa.Array) -> list[pa.Array]:
         ids = encode_batch(texts, model_file, state)
-        decoded = pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decode_batch(ids, model_file).to_pylist()], pa.string())
-        return [pa.array(np.diff(ids.offsets.to_numpy()), pa.int64()), ids_digest(ids), decoded]
+        return [pa.array(np.diff(ids.offsets.to_numpy()), pa.int64()), ids_digest(ids), decoded_digest(ids, model_file)]
 
     fields = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]
     return add_columns(df, text_col, fields, step, keep=[id_col])

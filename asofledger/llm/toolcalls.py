@@ -4,7 +4,7 @@ Method. Calls and results are found in a table of turns: an assistant turn that
 tool_call_id and content. In a conversation without such turns each user turn is a call of the function reply, whose identifier comes from its conversation and turn, the assistant turn that follows it is its result, and it comes after the
 conversation's first call. An identifier holds within its conversation only: two conversations may both have a call_1. Calls and results are brought to one row per conversation and identifier and hash-joined; arguments are parsed as variants and validated against the schemas; calls get topological levels by halving the paths between
 them; and a call with its result is serialised as canonical JSON (sorted keys, no white space). Joins and aggregates are by conversation and identifier, so a long conversation never meets in one
-task, and rounds grow with the logarithm of the longest chain of calls.
+task. Rounds grow with the logarithm of a chain whose calls have one predecessor each; where calls have several, each of these waits for them, so rounds are as many as such calls stand one behind the other (255 for 256 calls that each come after the two before).
 
 Cases. Status is the first that holds: orphan (a result without a call in its conversation), duplicate (an identifier of several calls of a conversation; the first turn's counts), cyclic, invalid (arguments that are no JSON object or fail their schema), no_result, ok. Null text is an
 empty turn; null conversations, turns and roles make no calls. Predecessors that don't exist are left out. Repeated rows make a duplicate. Empty tables give empty ones; columns besides conv_id, turn, role and text are
@@ -60,7 +60,7 @@ def levels(ids: DataFrame, edges: DataFrame) -> DataFrame:
 
     Paths are halved rather than walked: a row (call, before, w) says that a path of w steps leads from before to the call, and one without before that the call's level is w at least. In each round
     a row whose `before` is settled (it has no such rows, so its level is 0, or bounds only) becomes such a bound, and one whose `before` has a single predecessor leaps over it; rows to the same call are brought to the longest. So a chain of n calls takes
-    log2(n) rounds, and so do ladders of parallel chains. A path as long as its conversation has calls runs in a circle: it stays as a row from the call to itself.
+    log2(n) rounds, and so do ladders of parallel chains; where a call has several predecessors, those behind it wait until it is settled, a round for each such call on the longest path. A path as long as its conversation has calls runs in a circle: it stays as a row from the call to itself.
     """
     ahead = ["conv_id", "before"]
     edges = edges.join(ids.select("conv_id", F.col("call_id").alias("before")), ahead, "left_semi").join(ids, CALL, "left_semi").distinct()
