@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..durable import materialize, with_row_number
 from ..functions.patterns import evaluation_partition
-from ..schema import CORE_FEATURES, ENHANCED_FEATURES, NULLABLE_FEATURES
+from ..schema import CORE_FEATURES, ENHANCED_FEATURES, NULLABLE_FEATURES, PARTITIONS
 from . import metrics
+from .integrity import IntegrityError
 from .quantiles import quantiles
 
 SEED = 904
@@ -43,6 +44,23 @@ def model_data(features: DataFrame) -> DataFrame:
     return features.select("*", evaluation_partition(F.col("step")).alias("evaluation_partition"), F.col("is_fraud").cast("int").alias("label")).withColumns({c: F.col(c).cast("double") for c in ENHANCED_FEATURES if c in features.columns})
 
 
+def require_model_data(data: DataFrame, partitions: dict[str, int] | None = None) -> dict:
+    """What a model is about to see, as facts; raises for rows that it must not: other partition sizes than approved ones (or an empty partition), labels other than 0 and 1, missing values of features that always have one, and infinities that a conversion to double left."""
+    given = [c for c in ENHANCED_FEATURES if c in data.columns]
+    infinite = [F.count_if(F.abs(c) == float("inf")).alias(f"infinite_{c}") for c in given]
+    nulls = [F.count_if(F.col(c).isNull() | F.isnan(c)).alias(f"null_{c}") for c in given]
+    parts = [F.count_if(F.col("evaluation_partition") == p).alias(p) for p, _, _ in PARTITIONS]
+    seen = data.agg(F.count("*").alias("rows"), F.count_if(~F.coalesce(F.col("label").isin(0, 1), F.lit(False))).alias("labels"), *parts, *nulls, *infinite).first().asDict()
+    sizes = {p: seen[p] for p, _, _ in PARTITIONS}
+    wrong = [f"partition {p}: {n} rows" + (f", not {partitions[p]}" if partitions else "") for p, n in sizes.items() if (n != partitions.get(p) if partitions else not n)]
+    wrong += [f"{seen['labels']} labels other than 0 and 1"] * bool(seen["labels"])
+    wrong += [f"{seen[f'null_{c}']} missing values of {c}" for c in given if seen[f"null_{c}"] and c not in NULLABLE_FEATURES]
+    wrong += [f"{seen[f'infinite_{c}']} infinities of {c}" for c in given if seen[f"infinite_{c}"]]
+    if wrong:
+        raise IntegrityError("; ".join(wrong))
+    return {"rows": seen["rows"], "partitions": sizes, "missing": {c: seen[f"null_{c}"] for c in given}, "features": given, "matrix_bytes": 8 * len(given) * seen["rows"]}
+
+
 def tier_matrix(features: DataFrame, tier: str, key: str) -> DataFrame:
     """Key and the vector of a tier's columns (core: 9, enhanced: 11) in their order; nulls become NaN."""
     columns = {"core": CORE_FEATURES, "enhanced": ENHANCED_FEATURES}[tier]

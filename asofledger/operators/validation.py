@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,6 +14,7 @@ from ..functions.identity import transaction_id, uuid5
 from ..functions.patterns import is_blank
 from ..schema import CANONICAL_SCHEMA, MONEY, MONEY_COLUMNS, STEP_MOST, TRANSACTION_TYPES
 from .contract import partition_counts
+from .integrity import IntegrityError
 
 
 class CanonicalValidationError(ValueError):
@@ -57,22 +61,38 @@ def errors(rows: DataFrame) -> DataFrame:
     return with_errors(rows).select("source_row_number", F.col("e.column").alias("column"), F.col("e.reason").alias("reason"))
 
 
-def require_valid(rows: DataFrame) -> None:
-    """Raise for the rejected row with the smallest number; only that row goes to the driver."""
-    bad = errors(rows).agg(F.min(F.struct("source_row_number", "column", "reason")).alias("e")).first()["e"]
-    if bad is not None:
-        raise CanonicalValidationError(f"CSV row {bad['source_row_number']}, {bad['column']}: {bad['reason']}")
+def _as_read(step: str, kind: str, initiator: str, recipient: str, label: str, money: list[str]) -> Column:
+    """What a row is known by, in text rows and typed ones alike: its number, parties, money as it is spelt, and the values of step and label."""
+    given = {"n": F.col("source_row_number").cast("long"), "s": F.col(step).try_cast("int"), "t": F.col(kind), "i": F.col(initiator), "r": F.col(recipient), "f": F.col(label).try_cast("int")} | {f"m{i}": F.col(c) for i, c in enumerate(money)}
+    return F.struct(*[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in given.items()])
 
 
-def money_type(rows: DataFrame) -> T.DecimalType:
-    """The decimal that holds all money of valid text rows exactly, with two fraction digits at least; nothing is ever rounded. Raises where 38 digits do not do."""
-    text = rows.select(F.explode(F.array(*MONEY_COLUMNS)).alias("t"))
-    whole, part = text.agg(F.max(integer_digits(F.col("t"))), F.max(fraction_digits(F.col("t")))).first()
+def checked(rows: DataFrame, sums: Callable[[Column], list[Column]] | None = None) -> tuple[T.DecimalType, tuple]:
+    """Raise for the rejected row with the smallest number; else the decimal that holds all money exactly, with two fraction digits at least, so that nothing is ever rounded, and sums of the rows as they were read. One pass: a row goes to the driver. Raises where 38 digits do not do."""
+    # a generator, so that the rule is computed once a row
+    seen = rows.select("source_row_number", F.explode(F.array(broken_rule())).alias("code"), F.array(*MONEY_COLUMNS).alias("m"), _as_read("step", "transactionType", "initiator", "recipient", "isFraud", MONEY_COLUMNS).alias("as_read"))
+    widest = lambda digits: F.max(F.array_max(F.transform("m", digits)))
+    found = seen.agg(F.min(F.when(F.col("code") > 0, F.struct("source_row_number", "code"))).alias("e"), widest(integer_digits).alias("whole"), widest(fraction_digits).alias("part"), *(sums(F.col("as_read")) if sums else [])).first()
+    if bad := found["e"]:
+        column, reason = _REASONS[bad["code"] - 1]
+        raise CanonicalValidationError(f"CSV row {bad['source_row_number']}, {column}: {reason}")
+    whole, part = found["whole"], found["part"]
     scale = max(MONEY.scale, part or 0)
     precision = max(MONEY.precision, (whole or 1) + scale)
     if precision > 38:
         raise CanonicalValidationError(f"money of {whole} integer and {part} fraction digits needs more than the 38 digits of a decimal")
-    return T.DecimalType(precision, scale)
+    return T.DecimalType(precision, scale), tuple(found)[3:]
+
+
+def require_as_read(written: DataFrame, artifact_sha256: str, sums: Callable[[Column], list[Column]], expected: tuple) -> None:
+    """Raise unless typed rows are the text rows whose sums checked() gave: numbers, parties, labels and spelling by the sums, and in each row money that is what its spelling says, and the identifier of its number."""
+    money = dict(zip(["amount", "initiator_balance_before", "initiator_balance_after", "recipient_balance_before", "recipient_balance_after"], MONEY_COLUMNS))
+    same = [F.col(c).eqNullSafe(F.col(f"{text}_literal").try_cast(written.schema[c].dataType)) for c, text in money.items()]
+    same.append(F.col("transaction_id").eqNullSafe(transaction_id(F.lit(artifact_sha256), F.col("source_row_number"))))
+    row = _as_read("step", "transaction_type", "initiator_id", "recipient_id", "is_fraud", [f"{c}_literal" for c in MONEY_COLUMNS])
+    different, *found = written.agg(F.count_if(~reduce(lambda a, b: a & b, same)), *sums(row)).first()
+    if different or tuple(found) != expected:
+        raise IntegrityError(f"rows read back differ from the source: {different} in money or identifiers, sums {found}, not {list(expected)}")
 
 
 def canonical(rows: DataFrame, artifact_sha256: str, money_as: T.DecimalType = MONEY) -> DataFrame:
@@ -108,9 +128,9 @@ def regressions(rows: DataFrame) -> DataFrame:
     return rows.select("source_row_number", "step").join(before, "source_row_number").where("step < previous_step")
 
 
-def reconciled(rows: DataFrame) -> dict:
-    """What a contract holds rows to: counts by label, type and evaluation partition, and step extremes, as numbers by name."""
-    r = reconciliation(rows).first().asDict()
+def reconciled(rows: DataFrame, counts: dict | None = None) -> dict:
+    """What a contract holds rows to: counts by label, type and evaluation partition, and step extremes, as numbers by name. counts: their reconciliation, if it is known."""
+    r = counts or reconciliation(rows).first().asDict()
     parts = {p["evaluation_partition"]: p["n_rows"] for p in partition_counts(rows).collect()}  # three rows at most
     types = {t: r[f"n_{t.lower()}"] for t in TRANSACTION_TYPES if r[f"n_{t.lower()}"]}
     return {"row_count": r["n_rows"], "legitimate_count": r["n_legitimate"], "fraud_count": r["n_fraud"], "transaction_type_counts": types, "step_min": r["first_step"], "step_max": r["last_step"], "partitions": parts}

@@ -19,8 +19,7 @@ from ..sources import artifact, csv_source
 def read_canonical(spark: SparkSession, path: str, artifact_sha256: str) -> DataFrame:
     """Strictly read, validated and typed rows; raises for the first row that breaks a rule, before anything is derived."""
     rows = csv_source.read_strict(spark, path)
-    validation.require_valid(rows)
-    return validation.canonical(rows, artifact_sha256, validation.money_type(rows))
+    return validation.canonical(rows, artifact_sha256, validation.checked(rows)[0])
 
 
 def canonical_pipeline(spark: SparkSession, source: str, target: str, digest: str | None = None, contract: artifact.ArtifactContract | None = None) -> dict:
@@ -30,17 +29,18 @@ def canonical_pipeline(spark: SparkSession, source: str, target: str, digest: st
 
     def produce(staging: str) -> dict:
         with artifact.verified_source(spark, source, contract=contract) as found:
-            rows = read_canonical(spark, source, found.digest)
-            rows.write.parquet(f"{staging}/canonical")
+            text = csv_source.read_strict(spark, source)
+            money, sums = validation.checked(text, artifact.row_sums)
+            validation.canonical(text, found.digest, money).write.parquet(f"{staging}/canonical")
             written = spark.read.parquet(f"{staging}/canonical")
-            artifact.verify_read_back(written, rows)
+            validation.require_as_read(written, found.digest, artifact.row_sums, sums)
             if not validation.regressions(written).isEmpty():
                 raise integrity.IntegrityError("a step is below the step before it")
             integrity.require(written, "canonical")
             counts = validation.reconciliation(written).first().asDict()
             if not counts["contiguous"] and counts["n_rows"]:
                 raise integrity.IntegrityError("row numbers are not contiguous")
-            observed = validation.reconciled(written)
+            observed = validation.reconciled(written, counts)
             contract.require(**observed)
         return {"source": artifact.as_facts(found), "counts": counts, "observed": observed, "code": code_identity()}
 
@@ -50,6 +50,7 @@ def canonical_pipeline(spark: SparkSession, source: str, target: str, digest: st
 def load_features(spark: SparkSession, canonical: str, target: str) -> dict:
     """Derive, check and publish the feature relations; a repeated load verifies that the same rows would result."""
     rows = spark.read.parquet(f"{canonical}/canonical")
+    integrity.require_types(rows, {"transaction_id": "string", "source_row_number": "bigint", "step": "int", "transaction_type": "string", "amount": "decimal", "initiator_id": "string", "recipient_id": "string", "is_fraud": "int"})
     made = features.features_by_rollup(rows, ["transaction_id", "source_row_number", "is_fraud", "initiator_balance_before", "recipient_balance_before"])
     made = made.withColumn("evaluation_partition", evaluation_partition(F.col("step")))
     identity = made.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*sorted(made.columns))).alias("x"))
@@ -73,10 +74,11 @@ def load_features(spark: SparkSession, canonical: str, target: str) -> dict:
     return artifact.publish(spark, target, produce) | {"status": "loaded"}
 
 
-def run_modelling(spark: SparkSession, feature_rows: DataFrame, target: str, specs: list[modelling.Spec] = modelling.SPECS, order: tuple[str, ...] = ("step", "txn_key")) -> dict:
-    """Fit, select and explain on train and validation, write the selection, and only then score test. Code that changes meanwhile is refused."""
+def run_modelling(spark: SparkSession, feature_rows: DataFrame, target: str, specs: list[modelling.Spec] = modelling.SPECS, order: tuple[str, ...] = ("step", "txn_key"), partitions: dict[str, int] | None = None) -> dict:
+    """Refuse data that no model may see (partitions: their approved row counts), fit, select and explain on train and validation, write the selection, and only then score test. Code that changes meanwhile is refused."""
     identity = code_identity()
     data = materialize(modelling.model_data(feature_rows), "model")
+    population = modelling.require_model_data(data, partitions)
     part = lambda name: data.where(F.col("evaluation_partition") == name)
     train, validation_rows = part("train"), part("validation")
     made, best = modelling.fit_and_select(train, validation_rows, specs)
@@ -96,7 +98,7 @@ def run_modelling(spark: SparkSession, feature_rows: DataFrame, target: str, spe
         chosen.score(test.withColumn("amount_value", F.col("amount"))).write.parquet(f"{staging}/test_scores")
         held = spark.read.parquet(f"{staging}/test_scores")
         return {
-            "selection": selection, "explained": known, "test": report, "review_budgets": [r.asDict() for r in metrics.review_budgets(held, list(order)).orderBy("budget_bp").collect()],
+            "selection": selection, "population": population, "explained": known, "test": report, "review_budgets": [r.asDict() for r in metrics.review_budgets(held, list(order)).orderBy("budget_bp").collect()],
             "slices": [r.asDict() for r in metrics.slice_metrics(held, edges, threshold, "amount_value").orderBy("band").collect()], "errors": [r.asDict() for r in metrics.error_examples(held, threshold, list(order), [order[-1]]).orderBy("error_group", "place").collect()],
         }
 

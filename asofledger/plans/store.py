@@ -6,13 +6,16 @@ import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.identity import code_identity
 from ..functions.patterns import evaluation_partition
 from ..operators import integrity
 from ..schema import CORE_FEATURES
 
-VERSION = 1
+VERSION = 2
+#: Canonical rows of a bucket (some 200 MB). All tables of a load have as many buckets by transaction_id, a file each, and are joined without a shuffle.
+BUCKET_ROWS = 1 << 21
 VIEWS = {
     "core_predictors": f"SELECT transaction_id, {', '.join(CORE_FEATURES)} FROM {{db}}.core_feature",
     "enhanced_predictors": f"SELECT transaction_id, {', '.join(CORE_FEATURES)}, initiator_balance_before, recipient_balance_before FROM {{db}}.core_feature JOIN {{db}}.enhanced_feature USING (transaction_id)",
@@ -68,9 +71,9 @@ def store(spark: SparkSession, database: str, canonical: DataFrame, features: Da
         if changed := [name for name, (n, x, _) in held.items() if _sums(read(name)) != (n, x)]:
             raise integrity.IntegrityError(f"stored rows of {changed} are not those that were loaded")
         return "verified_existing"
-    expected = {}
+    expected, buckets = {}, max(1, -(-canonical.count() // BUCKET_ROWS))
     for name, df in wanted.items():
-        writer = df.write.mode("overwrite")
+        writer = df.repartition(buckets, "transaction_id").write.mode("overwrite").bucketBy(buckets, "transaction_id").sortBy("transaction_id")
         (writer.partitionBy("evaluation_partition") if name == "feature_lineage" else writer).saveAsTable(f"{database}.{name}")
         expected[name] = _sums(df)
         if _sums(read(name).select(*df.columns)) != expected[name]:
@@ -86,6 +89,27 @@ def store(spark: SparkSession, database: str, canonical: DataFrame, features: Da
     return "loaded"
 
 
+def read_back(spark: SparkSession, database: str) -> DataFrame:
+    """Each feature row with its lineage and canonical row, matched bucket by bucket: sides of the same buckets need no exchange."""
+    lineage, core, canonical = (spark.table(f"{database}.{n}").hint("merge") for n in ("feature_lineage", "core_feature", "canonical_transaction"))
+    there = canonical.select("transaction_id", "source_row_number", "is_fraud", F.col("amount").alias("canonical_amount"), F.col("step").alias("canonical_step"))
+    return core.join(lineage, "transaction_id").join(there, "transaction_id")
+
+
+def export(spark: SparkSession, database: str, url: str, properties: dict[str, str], digits: int = 31) -> dict[str, int]:
+    """Append the stored relations to tables of another database, read them there again, and raise unless all rows are the same: rows by table. digits: the most that its decimals have; wider columns are cast to that, which raises for a value that needs more."""
+    counts = {}
+    for name in ("canonical_transaction", "feature_lineage", "core_feature", "enhanced_feature"):
+        rows = spark.table(f"{database}.{name}")
+        narrow = [F.col(f.name).cast(T.DecimalType(digits, f.dataType.scale)) if isinstance(f.dataType, T.DecimalType) and f.dataType.precision > digits else F.col(f.name) for f in rows.schema.fields]
+        write_jdbc(rows.select(*[c.alias(n) for c, n in zip(narrow, rows.columns)]), url, name, properties)
+        held = read_jdbc(spark, url, name, properties).select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in rows.schema.fields])
+        if (seen := _sums(held)) != _sums(rows):
+            raise integrity.IntegrityError(f"{name} read from {url} differs from the rows written")
+        counts[name] = seen[0]
+    return counts
+
+
 def write_jdbc(df: DataFrame, url: str, name: str, properties: dict[str, str], batch: int = 1000) -> None:
     """Append df to a table of another database, batch rows at a time."""
     if not 1 <= batch <= 10_000:

@@ -16,8 +16,6 @@ MODELLED_TYPE = "TRANSFER"
 STEP_MOST = 2**31 - 1
 MONEY = T.DecimalType(18, 2)
 
-SOURCE_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in SOURCE_COLUMNS])
-
 
 def _field(name: str, kind: T.DataType, role: str) -> T.StructField:
     return T.StructField(name, kind, True, {"role": role})
@@ -58,6 +56,3 @@ CORE_FEATURES = [
 ENHANCED_FEATURES = [*CORE_FEATURES, "initiator_balance_before", "recipient_balance_before"]
 NULLABLE_FEATURES = ["initiator_prior_outgoing_amount_mean", "initiator_prior_outgoing_amount_max"]
 
-
-def columns_with_role(role: str) -> list[str]:
-    return [f.name for f in CANONICAL_SCHEMA.fields if f.metadata["role"] == role]

@@ -12,7 +12,7 @@ import uuid
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..durable import exists, filesystem, rename
@@ -174,15 +174,19 @@ def publish(spark: SparkSession, target: str, produce: Callable[[str], dict]) ->
     return facts
 
 
+def row_sums(row: Column) -> list[Column]:
+    """A count and two independent sums of hashes of rows (structs), which the same rows share in any order."""
+    return [
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64(row).cast("decimal(20,0)")), F.lit(0)).alias("x"),
+        F.coalesce(F.sum(F.conv(F.substring(F.md5(F.to_json(row, {"ignoreNullFields": "false"})), 1, 15), 16, 10).cast("decimal(20,0)")), F.lit(0)).alias("y"),
+    ]
+
+
 def verify_read_back(written: DataFrame, expected: DataFrame) -> None:
     """Raise unless both hold the same rows as often: counts and two independent sums of row hashes are compared, and rows only where these differ."""
-    def sums(df: DataFrame) -> tuple:
-        row = F.struct(*[f"`{c}`" for c in sorted(df.columns)])
-        return tuple(df.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64(row).cast("decimal(20,0)")), F.lit(0)), F.coalesce(F.sum(F.conv(F.substring(F.md5(F.to_json(row, {"ignoreNullFields": "false"})), 1, 15), 16, 10).cast("decimal(20,0)")), F.lit(0))).first())
-
+    sums = lambda df: tuple(df.agg(*row_sums(F.struct(*[f"`{c}`" for c in sorted(df.columns)]))).first())
     if sums(written) != sums(expected):
-        shown = difference(written, expected).limit(1).collect()
-        raise IntegrityError(f"rows read back differ from the rows written, as in {shown}")
+        raise IntegrityError(f"rows read back differ from the rows written, as in {difference(written, expected).limit(1).collect()}")
 
 
 def as_facts(found: Fingerprint) -> dict:
