@@ -89,9 +89,19 @@ def op13_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op2_secrets, which SQL can express."""
+    return op2_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+def licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op3_licenses, which SQL can express."""
+    return op3_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_sentencepiece, op2_secrets, op3_licenses, op4_exact_dedup, op5_mixing, op6_toolcalls, op7_toxicity, op8_simhash, op9_quality, op10_html, op11_whitening, op12_warc, op13_interaction)
+    for f in (op1_sentencepiece, op2_secrets, op3_licenses, op4_exact_dedup, op5_mixing, op6_toolcalls, op7_toxicity, op8_simhash, op9_quality, op10_html, op11_whitening, op12_warc, op13_interaction, secrets_base, licenses_base)
 }
 
 def _op9_sql() -> str:
@@ -124,7 +134,35 @@ def _op9_sql() -> str:
                NOT base_failed AND (n_words < {q.CHARS_WORDS} OR char_distance <= {q.CHARS_FAR} + {q.CHARS_NOISE} / sqrt(n_words)) AND (n_words < {q.WORDS_WORDS} OR word_distance <= {q.WORDS_FAR} + {q.WORDS_NOISE} / sqrt(n_words)) AS kept FROM f"""
 
 
+def _secrets_sql() -> str:
+    """Places of the base patterns: what stands between a pattern's matches, and the matches, add up to them."""
+    either = lambda word: "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)  # noqa: E731  (the engine's own case folding knows letters beyond ASCII)
+    assign = f"({'|'.join(map(either, ('password', 'passwd', 'secret', 'token', 'api_?key')))})[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)"
+    kinds = {"assign": (assign, 2, 12), "access": ("(AKIA[A-Z0-9]+)", 1, 18), "hex": ("([0-9a-f]+)", 1, 16)}
+    parts = " UNION ALL ".join(
+        f"""SELECT k, '{kind}' AS kind, {place} AS place, length(g) >= {least} AS counts, s - length(m) AS a, s AS b FROM (SELECT k, m, g, sum(length(m) + length(gap)) OVER (PARTITION BY k ORDER BY i) AS s FROM
+        (SELECT k, unnest(m) AS m, unnest(g) AS g, unnest(gaps[1:len(m)]) AS gap, generate_subscripts(m, 1) AS i FROM (SELECT k, regexp_extract_all(t, '{pattern}') AS m, regexp_extract_all(t, '{pattern}', {group}) AS g, string_split_regex(t, '{pattern}') AS gaps FROM d)))"""
+        for place, (kind, (pattern, group, least)) in enumerate(kinds.items())
+    )
+    counts = ", ".join(f"coalesce(count(*) FILTER (kind = '{kind}'), 0) AS n_{kind}" for kind in kinds)
+    return f"""WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents), p AS ({parts}), f AS (SELECT k, {counts}, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place) AS spans FROM p WHERE counts GROUP BY k)
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN f USING (k)"""
+
+
+def _licenses_sql() -> str:
+    """Places of each phrase: the words at an index and behind it."""
+    upper, lower = "".join(map(chr, range(65, 91))), "".join(map(chr, range(97, 123)))
+    places = {label: " AND ".join(f"w[i + {j}] = '{word}'" for j, word in enumerate(phrase.split(), 1)) for phrase, label in licenses.PHRASES.items()}
+    lists = ", ".join(f"list_filter(range(0, len(w)), lambda i: {test}) AS p_{label}" for label, test in places.items())
+    every = "list_concat(" + ", list_concat(".join(f"p_{label}" for label in list(places)[:-1]) + f", p_{list(places)[-1]}" + ")" * (len(places) - 1)
+    labels = " || ".join(f"CASE WHEN len(p_{label}) > 0 THEN ',{label}' ELSE '' END" for label in sorted(places))
+    return rf"""WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents), p AS (SELECT doc_id, w, {lists} FROM d), a AS (SELECT *, {every} AS p FROM p)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(p) AS BIGINT) AS n_base, list_min(p) AS first_word, list_max(p) AS last_word, ltrim({labels}, ',') AS base_labels FROM a"""
+
+
 SQL: dict[str, str] = {
+    "secrets_base": _secrets_sql(),
+    "licenses_base": _licenses_sql(),
     "op4_exact_dedup": r"""
         WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
         SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -22,7 +22,7 @@ def rows_of(df):
     return sorted(map(tuple, df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("name", ["op12_warc", "op13_interaction"])
+@pytest.mark.parametrize("name", ["op12_warc", "op13_interaction", "secrets_base", "licenses_base"])
 def test_queries_equal_sql(spark, sf, name):
     con = duckdb.connect()
     for path in glob(f"{sf}/*.parquet"):
