@@ -36,9 +36,9 @@ def _value_counts(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def column_profile(rows: DataFrame, columns: list[str]) -> DataFrame:
     """Per column: rows, blanks, distinct values (null beyond DISTINCT_MOST), inferred kind. Values are counted map-side first."""
-    counts = _value_counts(rows, columns)
-    blank = F.coalesce(is_blank(F.col("value")), F.lit(True))
-    kind = inferred_kind(F.col("value"))
+    # generators, so that the patterns are matched once a value
+    counts = _value_counts(rows, columns).select("column_name", "n", F.explode(F.array(F.struct(F.coalesce(is_blank(F.col("value")), F.lit(True)).alias("blank"), inferred_kind(F.col("value")).alias("kind")))).alias("v"))
+    blank, kind = F.col("v.blank"), F.col("v.kind")
     made = counts.groupBy("column_name").agg(
         F.sum("n").alias("n_rows"), F.sum(F.when(blank, F.col("n")).otherwise(0)).alias("n_blank"), F.count_if(~blank).alias("n_distinct"),
         F.when(F.bool_and(F.when(~blank, kind == "integer")), "integer").when(F.bool_and(F.when(~blank, kind != "string")), "number").otherwise("string").alias("kind"),
