@@ -28,7 +28,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.command in ("audit", "contract"):
             with artifact.verified_source(spark, a.source) as found:
                 rows = materialize(pipelines.read_canonical(spark, a.source, found.digest), "canonical")
-                report = (reports.audit_report if a.command == "audit" else reports.contract_report)(rows)
+                report = (reports.audit_report if a.command == "audit" else reports.contract_report)(rows, f"{a.report}.tables")
             artifact.write_text(spark, a.report, artifact.stable_json(report | {"source": artifact.as_facts(found)}, default=str))
         elif a.command == "canonical":
             pipelines.canonical_pipeline(spark, a.source, a.target, a.digest)

@@ -738,11 +738,11 @@ def event_history_batch(spark, sf_dir):
 
 @query("event_history_stream")
 def event_history_stream(spark, sf_dir):
-    """The events as a stream through keyed state; every file is read once, and the query ends when none is left."""
+    """The events as a stream; every file is read once, and the query ends when none is left."""
     events = table(spark, sf_dir, "events")
     own = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     events.write.parquet(f"{own}/in")
-    return _rounded(history.run_available(spark, f"{own}/in", events.schema, f"{own}/checkpoint", f"{own}/out"))
+    return _rounded(history.run_available(spark, f"{own}/in", events.schema, f"{own}/work"))
 
 
 SQL["event_history_batch"] = SQL["event_history_stream"] = _EVENT_SQL

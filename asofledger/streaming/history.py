@@ -1,21 +1,18 @@
-"""Strict-prior-step history over a stream, by keyed state.
+"""Strict-prior-step history of one role over a stream of events: what each event's entity did before its step.
 
-Each entity's state has what is committed (all steps before the one at hand) and what is pending (that step). A row of a later step commits the pending
-part first, so rows of one step never see each other. A row of an earlier step than the state's raises and ends the query, unlike a watermark, which
-would drop it. The epoch's rows appear only with its commit, and a failed epoch is replayed from the checkpoint.
+The stream is the ledger's: an epoch's events are summed per entity and step before they meet the state, which commits a step only when a later one comes, and prior sums are joined back to the events. So an entity with a third of all events sends the state a row per step.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.window import Window
+
+from ..schema import MODELLED_TYPE
+from . import ledger
 
-OUTPUT = "event_id long, step int, entity string, prior_count long, prior_total double, prior_max double"
-STATE = "step int, n long, total double, most double, p_n long, p_total double, p_most double"
+RESULT = ["event_id", "step", "entity", "prior_count", "prior_total", "prior_max"]
 
 
 def events_as_transactions(events: DataFrame) -> DataFrame:
@@ -24,60 +21,21 @@ def events_as_transactions(events: DataFrame) -> DataFrame:
     return events.where(F.col("value") > 0).select("event_id", step.alias("step"), F.col("user_id").cast("string").alias("entity"), F.col("value").cast("double").alias("amount"))
 
 
-def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One entity's rows of a batch, by step."""
-    step, n, total, most, p_n, p_total, p_most = state.get if state.exists else (-1, 0, 0.0, None, 0, 0.0, None)
-    larger = lambda a, b: b if a is None else a if b is None else max(a, b)
-    sums: dict[int, tuple[int, float, float]] = {}
-    held = []
-    for frame in frames:  # narrow frames are held, as a step's rows may come in any of them; what they add up to is a row per step
-        held.append(frame[["event_id", "step"]])
-        for now, part in frame.groupby("step"):
-            k, t, m = sums.get(int(now), (0, 0.0, None))
-            sums[int(now)] = (k + len(part), t + float(part["amount"].sum()), larger(m, float(part["amount"].max())))
-    if sums and min(sums) < step:
-        raise ValueError(f"chronological regression: entity {key[0]}, step {min(sums)} after {step}")
-    prior = {}
-    for now in sorted(sums):
-        if now > step:
-            n, total, most, p_n, p_total, p_most = n + p_n, total + p_total, larger(most, p_most), 0, 0.0, None
-            step = now
-        prior[now] = (n, total, most)
-        k, t, m = sums[now]
-        p_n, p_total, p_most = p_n + k, p_total + t, larger(p_most, m)
-    for frame in held:
-        seen = [prior[int(s)] for s in frame["step"]]
-        yield pd.DataFrame({"event_id": frame["event_id"], "step": frame["step"].astype("int32"), "entity": key[0], "prior_count": [x[0] for x in seen], "prior_total": [x[1] for x in seen], "prior_max": pd.array([x[2] for x in seen], dtype="Float64")})
-    state.update((step, n, total, most, p_n, p_total, p_most))
-
-
-def stream_features(rows: DataFrame) -> DataFrame:
-    """Prior count, total and largest amount of each row's entity, for a stream (or a table) of events_as_transactions() rows."""
-    return rows.groupBy("entity").applyInPandasWithState(advance, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
-
-
-def diagnostics(query) -> dict[str, int]:
-    """What a stream's last progress says of its state: entities held, entities updated, bytes, and rows read."""
-    last = query.lastProgress or {}
-    operators = last.get("stateOperators") or [{}]
-    return {"entities": sum(o.get("numRowsTotal", 0) for o in operators), "updated": sum(o.get("numRowsUpdated", 0) for o in operators), "bytes": sum(o.get("memoryUsedBytes", 0) for o in operators), "rows": last.get("numInputRows", 0)}
-
-
-def run_available(spark: SparkSession, folder: str, schema, checkpoint: str, target: str, report: dict | None = None) -> DataFrame:
-    """Run the stream over all files of a folder and read what it wrote; its state's diagnostics go to report."""
-    source = spark.readStream.schema(schema).parquet(folder)
-    query = stream_features(events_as_transactions(source)).writeStream.format("parquet").option("checkpointLocation", checkpoint).option("path", target).trigger(availableNow=True).start()
-    query.awaitTermination()
+def run_available(spark: SparkSession, folder: str, schema, work: str, report: dict | None = None) -> DataFrame:
+    """Stream all event files that a folder has now, and read the rows that all runs over this work folder have made. What the run read and what the state holds then goes to report."""
+    events = events_as_transactions(spark.readStream.schema(schema).parquet(folder))
+    stream = events.select("event_id", "step", F.lit(MODELLED_TYPE).alias("transaction_type"), "amount", F.col("entity").alias("initiator_id"), F.col("entity").alias("recipient_id"))
+    progress = ledger.run_available(stream, work, ["event_id"])
     if report is not None:
-        report.update(diagnostics(query))
-    return spark.read.schema(OUTPUT).parquet(target)
+        held = ledger.statistics(spark, work)
+        report.update(progress | {"entities": held["initiators"], "last_step": held["last_step"]})
+    made = spark.read.parquet(f"{work}/staged")
+    return made.select("event_id", "step", F.col("initiator_id").alias("entity"), F.col("initiator_prior_outgoing_count").alias("prior_count"), F.col("initiator_prior_outgoing_amount_total").alias("prior_total"), F.col("initiator_prior_outgoing_amount_max").alias("prior_max"))
 
 
 def batch_features(rows: DataFrame) -> DataFrame:
     """The same columns in one batch: sums per entity and step, cumulated over the steps before."""
-    from pyspark.sql.window import Window
-
     steps = rows.groupBy("entity", "step").agg(F.count("*").alias("n"), F.sum("amount").alias("total"), F.max("amount").alias("most"))
     before = Window.partitionBy("entity").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
     prior = steps.select("entity", "step", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("prior_count"), F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("prior_total"), F.max("most").over(before).alias("prior_max"))
-    return rows.join(prior, ["entity", "step"]).select("event_id", "step", "entity", "prior_count", "prior_total", "prior_max")
+    return rows.join(prior, ["entity", "step"]).select(*RESULT)

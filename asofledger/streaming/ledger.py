@@ -88,11 +88,11 @@ def _entities(steps: DataFrame, entity: str, work: str, epoch: int) -> DataFrame
     return priors
 
 
-def process(batch: DataFrame, epoch: int, work: str, keep: list[str], exact: bool = False) -> None:
-    """One epoch: the batch's TRANSFER rows with their features are staged, and the state is carried on."""
+def process(batch: DataFrame, epoch: int, work: str, keep: list[str], exact: bool = False) -> int:
+    """One epoch: the batch's TRANSFER rows with their features are staged, and the state is carried on. Its number of rows."""
     spark = batch.sparkSession
     moves = materialize(summed_moves(behavioural(batch, keep)), "moves")
-    first, last = moves.agg(F.min("step"), F.max("step")).first()
+    first, last, n = moves.agg(F.min("step"), F.max("step"), F.sum("n")).first()
     clock = _clock(spark, work, epoch)
     if first is not None and first < clock:
         raise ValueError(f"chronological regression: step {first} after step {clock}")
@@ -111,18 +111,22 @@ def process(batch: DataFrame, epoch: int, work: str, keep: list[str], exact: boo
     fs, where = filesystem(spark, f"{work}/clock/{epoch:012d}")
     fs.delete(where, True)
     write_text(spark, f"{work}/clock/{epoch:012d}", json.dumps({"step": clock if last is None else max(clock, last)}))
+    return n or 0
 
 
-def run_available(stream: DataFrame, work: str, keep: list[str], exact: bool = False, after: Callable[[int], None] | None = None) -> None:
-    """Process all that a streaming DataFrame has now, from where the work folder's checkpoint says. after is called with each epoch's number before it is committed."""
+def run_available(stream: DataFrame, work: str, keep: list[str], exact: bool = False, after: Callable[[int], None] | None = None) -> dict[str, int]:
+    """Process all that a streaming DataFrame has now, from where the work folder's checkpoint says: the epochs of this run, and the rows that it read. after is called with each epoch's number before it is committed."""
+
+    counts = []
 
     def step(batch: DataFrame, epoch: int) -> None:
-        process(batch, epoch, work, keep, exact)
+        counts.append(process(batch, epoch, work, keep, exact))
         if after is not None:
             after(epoch)
 
     query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
+    return {"epochs": len(counts), "rows": sum(counts)}
 
 
 def publish(spark: SparkSession, work: str, target: str) -> DataFrame:
