@@ -1,12 +1,11 @@
-"""Chronological model evaluation with Spark ML: fit on train, select on validation, touch test once."""
+"""Chronological model evaluation with Spark ML and own trees: fit on train, select on validation, touch test once."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -16,6 +15,7 @@ from ..durable import materialize, with_row_number
 from ..functions.patterns import evaluation_partition
 from ..schema import CORE_FEATURES, ENHANCED_FEATURES, NULLABLE_FEATURES, PARTITIONS
 from . import metrics
+from .boosting import Boosting
 from .integrity import IntegrityError
 from .quantiles import quantiles
 
@@ -86,8 +86,8 @@ def standardised(df: DataFrame, columns: tuple[str, ...], medians: dict[str, flo
     return VectorAssembler(inputCols=list(columns), outputCol="features").transform(ready)
 
 
-def boosting() -> GBTClassifier:
-    return GBTClassifier(labelCol="label", maxIter=100, stepSize=0.1, maxDepth=4, minInstancesPerNode=50, maxBins=255, seed=SEED)
+def boosting() -> Boosting:
+    return Boosting(iterations=100, leaves=15, least_rows=50, rate=0.1, l2=1.0, bins=255)
 
 
 class Fitted:
@@ -106,15 +106,7 @@ class Fitted:
             if self.model.summary.totalIterations >= MAX_ITERATIONS:
                 raise ConvergenceError(f"{spec.name} is not done after {MAX_ITERATIONS} iterations")
         else:
-            flags = [c for c in spec.columns if c in NULLABLE_FEATURES]
-            self.medians = {c: 0.0 if v is None else v for c, (v,) in quantiles(train, flags, [0.5]).items()} if flags else {}
-            inputs = [*spec.columns, *[f"{c}__null" for c in flags]]
-            self.model: PipelineModel = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), boosting()]).fit(self._flagged(train))
-
-    def _flagged(self, df: DataFrame) -> DataFrame:
-        """Missing values become the median of train and a flag, as Spark's trees have no branch for them."""
-        flagged = df.withColumns({f"{c}__null": F.col(c).isNull().cast("double") for c in self.spec.columns if c in NULLABLE_FEATURES})
-        return flagged.fillna(self.medians) if self.medians else flagged
+            self.model = boosting().fit(train, list(spec.columns))
 
     def coefficients(self) -> dict[str, float]:
         """A logistic model's coefficients of the standardised columns."""
@@ -123,9 +115,10 @@ class Fitted:
     def score(self, df: DataFrame) -> DataFrame:
         if self.spec.kind == "baseline":
             return df.select(*[c for c in df.columns if c not in self.spec.columns], F.lit(self.rate).alias("score"))
-        ready = standardised(df, self.spec.columns, self.medians, self.scales) if self.spec.kind == "logistic" else self._flagged(df)
-        made = self.model.transform(ready).select(*[c for c in df.columns if c not in self.spec.columns], vector_to_array("probability")[1].alias("score"))
-        return made
+        kept = [c for c in df.columns if c not in self.spec.columns]
+        if self.spec.kind == "boosting":
+            return self.model.score(df, list(self.spec.columns)).select(*kept, "score")
+        return self.model.transform(standardised(df, self.spec.columns, self.medians, self.scales)).select(*kept, vector_to_array("probability")[1].alias("score"))
 
 
 def fit_and_select(train: DataFrame, validation: DataFrame, specs: list[Spec] = SPECS) -> tuple[list[tuple[Fitted, float, float]], int]:

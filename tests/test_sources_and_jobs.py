@@ -245,7 +245,7 @@ def test_fits_that_do_not_end_are_refused(spark, monkeypatch):
 
 def test_boosting_is_fitted_in_full(spark):
     trees = modelling.boosting()
-    assert (trees.getMaxIter(), trees.getMaxBins(), trees.getStepSize(), trees.getMinInstancesPerNode()) == (100, 255, 0.1, 50)
+    assert (trees.iterations, trees.leaves, trees.least_rows, trees.rate, trees.l2, trees.bins) == (100, 15, 50, 0.1, 1.0, 255)
 
 
 def test_importance_is_that_of_permuted_columns(spark):

@@ -1,12 +1,12 @@
 """Stored relations joined without a shuffle and exported to a database, gates before modelling, and the model job with all five models."""
 
 import json
-from decimal import Decimal
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from asofledger.operators import features, integrity, modelling, validation
+from asofledger.operators import boosting, features, integrity, modelling, validation
 from asofledger.plans import catalog, pipelines, store
 from asofledger.sources import artifact
 from asofledger.sources.adapter import numbered, transactions
@@ -82,7 +82,7 @@ def test_gates_before_modelling(spark):
 
 def test_all_five_models_are_fitted_selected_and_scored(spark, sf, tmp_path, monkeypatch):
     """The whole job, with trees as many as a test has time for; their full number is held by another test."""
-    monkeypatch.setattr(modelling, "boosting", lambda made=modelling.boosting: made().setMaxIter(8))
+    monkeypatch.setattr(modelling, "boosting", lambda: boosting.Boosting(iterations=8))
     rows = catalog.QUERIES["pit_enhanced_features"](spark, sf)
     facts = pipelines.run_modelling(spark, rows, str(tmp_path / "model"))
     names = [s.name for s in modelling.SPECS]
@@ -95,16 +95,65 @@ def test_all_five_models_are_fitted_selected_and_scored(spark, sf, tmp_path, mon
     assert json.loads((tmp_path / "model/selection.json").read_text())["seed"] == modelling.SEED
 
 
-def test_trees_separate_what_lines_cannot(spark):
-    """A checkerboard with missing values: boosting ranks it well, and a row's score does not depend on the others scored with it."""
-    rows = [(float(i % 20), float(i // 20 % 20), None if i % 9 == 0 else Decimal(i % 7), int((i % 20 < 10) != (i // 20 % 20 < 10))) for i in range(2000)]
+def _grown_in_memory(x, y, made, edges):
+    """Brute force of the trees on binned rows: leaves split one after the other, the largest gain first."""
+    prior = np.log(y.mean() / (1 - y.mean()))
+    raw = np.full(len(y), prior)
+    score = lambda g, h: g * g / (h + made.l2)
+    for _ in range(made.iterations):
+        p = 1 / (1 + np.exp(-raw))
+        g, h = p - y, p * (1 - p)
+
+        def best(rows, g=g, h=h):
+            found = (0.0, None)
+            for c in range(x.shape[1]):
+                for b in range(len(edges[c]) + 1):
+                    for missing_left in (False, True):
+                        left = np.where(x[rows, c] == boosting.MISSING, missing_left, x[rows, c] <= b)
+                        a, o = rows[left], rows[~left]
+                        if min(len(a), len(o)) >= made.least_rows:
+                            gain = score(g[a].sum(), h[a].sum()) + score(g[o].sum(), h[o].sum()) - score(g[rows].sum(), h[rows].sum())
+                            if gain > found[0] + 1e-9:
+                                found = (gain, (a, o))
+            return found
+
+        leaves = [(*best(np.arange(len(y))), np.arange(len(y)))]
+        while len(leaves) < made.leaves:
+            i = max(range(len(leaves)), key=lambda k: leaves[k][0])
+            if leaves[i][1] is None:
+                break
+            a, o = leaves.pop(i)[1]
+            leaves += [(*best(a), a), (*best(o), o)]
+        for _, _, rows in leaves:
+            raw[rows] -= made.rate * g[rows].sum() / (h[rows].sum() + made.l2)
+    return 1 / (1 + np.exp(-raw))
+
+
+def test_trees_equal_brute_force(spark):
+    rng = np.random.default_rng(5)
+    values = np.column_stack([rng.integers(0, 6, 400), rng.normal(size=400).round(1), rng.integers(0, 3, 400)]).astype(float)
+    values[rng.random(400) < 0.2, 1] = np.nan
+    y = ((values[:, 0] > 2) ^ (np.nan_to_num(values[:, 1], nan=-9) > 0) ^ (rng.random(400) < 0.1)).astype(float)
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in row], int(t)) for i, (row, t) in enumerate(zip(values, y))], "i int, a double, b double, c double, label int").repartition(3)
+    made = boosting.Boosting(iterations=12, leaves=6, least_rows=15, rate=0.3, bins=12)
+    model = made.fit(df, ["a", "b", "c"])
+    want = _grown_in_memory(boosting._bins(model.edges, list(values.T)), y, made, model.edges)
+    got = {r["i"]: r["score"] for r in model.score(df, ["a", "b", "c"]).collect()}
+    assert [got[i] for i in range(400)] == pytest.approx(want.tolist(), abs=1e-9)
+    assert model.score(df.limit(0), ["a", "b", "c"]).count() == 0
+
+
+def test_trees_rank_as_well_as_the_librarys(spark):
+    """A checkerboard with missing values, against Spark ML's trees with as many iterations."""
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = [(float(i % 20), float(i // 20 % 20), None if i % 9 == 0 else float(i % 7), int((i % 20 < 10) != (i // 20 % 20 < 10))) for i in range(2000)]
     names = ["initiator_prior_outgoing_count", "recipient_prior_incoming_count", "initiator_prior_outgoing_amount_mean"]
-    df = spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in zip([*names, "label"], ["double", "double", "decimal(18,2)", "int"]))).withColumn(names[2], F.col(names[2]).cast("double"))
-    spec = modelling.Spec("trees", tuple(names), "boosting")
-    old, modelling.boosting = modelling.boosting, lambda made=modelling.boosting: made().setMaxIter(5)
-    try:
-        fitted = modelling.Fitted(spec, df)
-    finally:
-        modelling.boosting = old
-    assert modelling.metrics.average_precision(fitted.score(df)).first()[0] > 0.95
-    assert fitted.score(df.limit(3)).count() == 3
+    df = spark.createDataFrame(rows, ", ".join(f"{c} {t}" for c, t in zip([*names, "label"], ["double"] * 3 + ["int"])))
+    scored = boosting.Boosting(iterations=10).fit(df, names).score(df, names)
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(df.fillna(3.0))
+    other = GBTClassifier(labelCol="label", maxIter=10, maxDepth=4, seed=1).fit(vectors).transform(vectors).select("label", vector_to_array("probability")[1].alias("score"))
+    ours, theirs = (modelling.metrics.average_precision(s).first()[0] for s in (scored, other))
+    assert ours > 0.95 and ours >= theirs - 0.01
