@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from asofledger.llm import exact, mixing, pieces, queries, toolcalls, toxicity
+from asofledger.llm.common import materialize
 from test_near_and_exact import similar_classes
 
 ROWS = [(i, "w " * (1 + i % 7), "big" if i < 60 else "mid" if i < 80 else None) for i in range(90)] + [(200, "", "empty"), (201, None, "empty"), (None, "a b", "big"), (5, "w w", "big"), (5, "w w", "big")]
@@ -96,7 +97,10 @@ def test_calls_are_linked_ordered_validated_and_canonical(spark):
     assert toolcalls.format_calls(df.limit(0)).count() == 0
 
 
-def test_long_chains_ladders_and_circles_get_their_levels(spark):
+@pytest.mark.parametrize("in_row", [0, 70])
+def test_long_chains_ladders_and_circles_get_their_levels(spark, monkeypatch, in_row):
+    """By halved paths, by arrays, and some of both."""
+    monkeypatch.setattr(toolcalls, "IN_ROW", in_row)
     rng = random.Random(3)
     cases = [
         (500, [(i, i - 1) for i in range(1, 500)]), (60, [(i, j) for i in range(1, 60) for j in rng.sample(range(i), min(i, 2))]), (7, [(i, (i - 1) % 3) for i in range(7)]), (30, [(i, rng.randrange(30)) for i in range(30) if i % 3]),
@@ -113,6 +117,31 @@ def test_long_chains_ladders_and_circles_get_their_levels(spark):
     assert {(r["conv_id"], r["call_id"]): r["level"] for r in toolcalls.levels(ids, edges).collect()} == want
 
 
+def test_calls_behind_two_predecessors_each_take_no_rounds(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(toolcalls, "materialize", lambda df, tag: written.append(tag) or materialize(df, tag))
+    ids = spark.createDataFrame([(c, f"c{i}") for c in range(3) for i in range(500)], "conv_id long, call_id string")
+    edges = spark.createDataFrame([(c, f"c{i}", f"c{i - d}") for c in range(3) for i in range(1, 500) for d in (1, 2) if i >= d], "conv_id long, call_id string, before string")
+    assert {(r["conv_id"], r["call_id"], r["level"]) for r in toolcalls.levels(ids, edges).collect()} == {(c, f"c{i}", i) for c in range(3) for i in range(500)}
+    assert written == ["calledges"]
+
+
+def test_functions_that_a_conversation_declares(spark):
+    weather = {"name": "weather", "parameters": {"type": "object", "properties": {"place": {"type": "string"}, "days": {"type": "integer"}, "units": {"type": "string", "enum": ["c", "f"]}, "at": {"type": ["number", "null"]}, "tags": {"type": "array"}, "more": {"type": "object"}, "share": {"type": "number"}, "exact": {"type": "boolean"}}, "required": ["place", "days"]}}
+    tools = json.dumps({"tools": [{"type": "function", "function": weather}, {"name": "now"}, {"name": "reply", "parameters": {"properties": {"x": True}}}, {"parameters": {}}, 7, None, {"name": ["x"]}]})
+    given = {
+        "ok": dict(place="p", days=1), "all": dict(place="p", days=1, units="c", at=None, tags=[1], more={"a": {"b": 1}}, share=0.5, exact=True), "whole": dict(place="p", days=1, share=2), "missing": dict(place="p"), "wrong": dict(place="p", days="1"), "other": dict(place="p", days=1, hour=3),
+        "null": dict(place=None, days=1), "list": dict(place="p", days=1, tags={}), "nested": dict(place="p", days=1, more=[1]), "truth": dict(place="p", days=1, exact="true"),
+    }
+    calls = [call(k, name="weather", **v) for k, v in given.items()] + [call("none", name="now"), call("some", name="now", x=1), call("own", name="reply", x=[1]), call("fixed", name="reply", text="t", turn=1), call("unknown", name="nothing"), {"id": "broken", "name": "now", "arguments": "[1"}, {"id": "array", "name": "now", "arguments": "[1]"}, {"id": "nameless", "arguments": "{}"}, {"id": "empty", "name": "now"}, {"id": "under", "type": "function", "function": {"name": "weather", "arguments": '{"days": 2, "place": "q"}'}}]
+    said = json.dumps({"tool_calls": [*calls, 5, {"name": "no id"}]})
+    turns = [(1, 0, "system", tools), (1, 1, "assistant", said), (1, 2, "system", json.dumps({"tools": [{"name": "weather"}]})), (2, 0, "system", 'no "tools" {'), (2, 1, "assistant", said), (3, 0, "system", '{"tools": 5}'), (None, 0, "system", tools), (4, 0, "system", None)]
+    rows = toolcalls.format_calls(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")).collect()
+    good = lambda c: {r["call_id"] for r in rows if r["conv_id"] == c and r["status"] == "no_result"}
+    assert len(rows) == 2 * len(calls) and {r["status"] for r in rows} == {"no_result", "invalid"}
+    assert good(1) == {"ok", "all", "whole", "none", "own", "under"} and good(2) == {"fixed"}
+
+
 def test_call_ids_hold_within_a_conversation(spark):
     asks = lambda c, text, after=(): (c, 0, "assistant", json.dumps({"tool_calls": [call("call_1", turn=0, text=text), call("call_2", after=after, turn=0, text=text)]}))
     says = lambda c, t, i, text: (c, t, "tool", json.dumps({"tool_call_id": i, "content": text}))
