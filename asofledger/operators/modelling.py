@@ -73,12 +73,12 @@ def sample_rows(rows: DataFrame, most: int = 10_000, seed: int = SEED, key: str
     return rows.orderBy(F.xxhash64(F.lit(seed), key), key).limit(most)
 
 
-def prepare(train: DataFrame, columns: tuple[str, ...]) -> tuple[dict[str, float], dict[str, tuple[float, float]]]:
-    """Medians (exact, interpolated; 0 for a column without values) and population mean and deviation after filling, from train only: a row of numbers."""
+def prepare(train: DataFrame, columns: tuple[str, ...]) -> tuple[dict[str, float], dict[str, tuple[float, float]], int]:
+    """Medians (exact, interpolated; 0 for a column without values), population mean and deviation after filling, and the number of rows, from train only."""
     medians = {c: 0.0 if v is None else v for c, (v,) in quantiles(train, list(columns), [0.5]).items()}
     filled = train.fillna(medians)
-    moments = filled.agg(*[F.avg(c).alias(f"{c}__m") for c in columns], *[F.stddev_pop(c).alias(f"{c}__s") for c in columns]).first()
-    return medians, {c: (moments[f"{c}__m"], moments[f"{c}__s"] or 1.0) for c in columns}
+    moments = filled.agg(F.count("*").alias("rows__n"), *[F.avg(c).alias(f"{c}__m") for c in columns], *[F.stddev_pop(c).alias(f"{c}__s") for c in columns]).first()
+    return medians, {c: (moments[f"{c}__m"], moments[f"{c}__s"] or 1.0) for c in columns}, moments["rows__n"]
 
 
 def standardised(df: DataFrame, columns: tuple[str, ...], medians: dict[str, float], scales: dict[str, tuple[float, float]]) -> DataFrame:
@@ -99,8 +99,7 @@ class Fitted:
         if spec.kind == "baseline":
             self.rate = float(train.agg(F.avg(F.col("label").cast("double"))).first()[0] or 0.0)
         elif spec.kind == "logistic":
-            self.medians, self.scales = prepare(train, spec.columns)
-            n = train.count()
+            self.medians, self.scales, n = prepare(train, spec.columns)
             # L2 with C = 1 over sums of losses is regParam = 1 / n over their mean
             self.model = LogisticRegression(labelCol="label", regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=MAX_ITERATIONS, tol=1e-8).fit(standardised(train, spec.columns, self.medians, self.scales))
             if self.model.summary.totalIterations >= MAX_ITERATIONS:

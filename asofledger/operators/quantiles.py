@@ -2,7 +2,7 @@
 
 Each wanted rank has a bracket of two values. A sketch of bounded size (percentile_approx) narrows it: a value is within n / ACCURACY ranks of the one that was asked for, so values asked for at the rank, and a little below and above it, mostly enclose it. One aggregate then counts
 the rows below and at each of these, which says for certain on which side of it the rank lies. Brackets shrink by some thousands at a time, all columns and ranks in the same pass,
-until one holds FEW rows, or rows of one value only; then its distinct values are counted, FEW rows at most. Nulls and NaN are left out. Between two ranks a quantile is interpolated linearly, as percentile() does.
+until one holds FEW rows, or rows of one value only; then its distinct values are counted, FEW rows at most. The first sketch comes from the pass that counts the rows. Nulls and NaN are left out. Between two ranks a quantile is interpolated linearly, as percentile() does.
 """
 
 from __future__ import annotations
@@ -36,11 +36,20 @@ def _within(values: str, rank: Rank) -> F.Column:
     return F.when(F.col(values).between(rank.low, rank.high), F.col(values))
 
 
-def _narrow(rows: DataFrame, open_: list[Rank]) -> None:
-    """Tighter brackets by a sketch of each one's rows, and counts that prove them. The value in the middle is found or left out, so a bracket always loses a value."""
-    shares = [[max(0.0, min(1.0, (r.place - r.below + 0.5) / r.inside + e / ACCURACY)) for e in (-2, 0, 2)] for r in open_]
+def _around(share: float) -> list[float]:
+    """Shares that a sketch is asked for so that its values enclose the one at share."""
+    return [max(0.0, min(1.0, share + e / ACCURACY)) for e in (-2, 0, 2)]
+
+
+def _sketched(rows: DataFrame, open_: list[Rank]) -> list[list[float]]:
+    """Three values of each rank's bracket, by a sketch of the rows in it."""
+    shares = [_around((r.place - r.below + 0.5) / r.inside) for r in open_]
     asked = rows.agg(*[F.percentile_approx(_within(r.column, r), s, ACCURACY).alias(f"q{i}") for i, (r, s) in enumerate(zip(open_, shares))]).first()
-    points = [tuple(map(float, asked[f"q{i}"])) for i in range(len(open_))]
+    return [asked[f"q{i}"] for i in range(len(open_))]
+
+
+def _narrow(rows: DataFrame, open_: list[Rank], points: list[list[float]]) -> None:
+    """Tighter brackets by three values for each, and counts that prove them. A value of a bracket is found or left out, so with one of its own a bracket always loses a value."""
     counts = []
     for i, (r, own) in enumerate(zip(open_, points)):
         counts += [x for k, p in enumerate(own) for x in (F.count_if(F.col(r.column) < p).alias(f"b{i}_{k}"), F.count_if(F.col(r.column) == p).alias(f"e{i}_{k}"))]
@@ -59,11 +68,14 @@ def _narrow(rows: DataFrame, open_: list[Rank]) -> None:
                 r.low, r.below, r.inside = math.nextafter(p, math.inf), before + equal, r.below + r.inside - before - equal
 
 
-def order_statistics(df: DataFrame, places: dict[str, list[int]], bounds: dict[str, tuple[int, float, float]]) -> dict[tuple[str, int], float]:
-    """The values of columns (doubles) at places from 0. bounds: rows, least and largest value of each column."""
+def order_statistics(df: DataFrame, places: dict[str, dict[int, list[float]]], bounds: dict[str, tuple[int, float, float]]) -> dict[tuple[str, int], float]:
+    """The values of columns (doubles) at places from 0, each given with three values about it. bounds: rows, least and largest value of each column."""
     ranks = {(c, p): Rank(c, p, bounds[c][1], bounds[c][2], 0, bounds[c][0]) for c, own in places.items() for p in own}
-    while open_ := [r for r in ranks.values() if not r.found and r.inside > FEW]:
-        _narrow(df, open_)
+    wide = lambda: [r for r in ranks.values() if not r.found and r.inside > FEW]
+    if open_ := wide():
+        _narrow(df, open_, [places[r.column][r.place] for r in open_])
+    while open_ := wide():
+        _narrow(df, open_, _sketched(df, open_))
     few = [r for r in ranks.values() if not r.found]
     if few:
         each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _within(r.column, r).alias("v")) for i, r in enumerate(few)]))
@@ -83,10 +95,11 @@ def quantiles(df: DataFrame, columns: list[str], shares: list[float]) -> dict[st
     cast = lambda c: F.col(f"`{c}`").cast("double")
     names = {c: f"c{i}" for i, c in enumerate(columns)}
     rows = df.select(*[F.when(~F.isnan(cast(c)), cast(c)).alias(n) for c, n in names.items()])
-    seen = rows.agg(*[x for n in names.values() for x in (F.count(n).alias(f"{n}n"), F.min(n).alias(f"{n}l"), F.max(n).alias(f"{n}h"))]).first()
+    asked = [x for s in shares for x in _around(s)]
+    seen = rows.agg(*[x for n in names.values() for x in (F.count(n).alias(f"{n}n"), F.min(n).alias(f"{n}l"), F.max(n).alias(f"{n}h"), F.percentile_approx(n, asked, ACCURACY).alias(f"{n}q"))]).first()
     bounds = {n: (seen[f"{n}n"], seen[f"{n}l"], seen[f"{n}h"]) for n in names.values() if seen[f"{n}n"]}
     at = {n: [s * (b[0] - 1) for s in shares] for n, b in bounds.items()}
-    found = order_statistics(rows, {n: sorted({k for x in own for k in (math.floor(x), math.ceil(x))}) for n, own in at.items()}, bounds)
+    found = order_statistics(rows, {n: {k: seen[f"{n}q"][3 * i : 3 * i + 3] for i, x in enumerate(own) for k in (math.floor(x), math.ceil(x))} for n, own in at.items()}, bounds)
 
     def value(n: str, x: float) -> float:
         low, high = math.floor(x), math.ceil(x)

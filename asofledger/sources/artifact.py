@@ -1,6 +1,6 @@
 """Verified sources and atomic sinks.
 
-An artifact is known by the SHA-256 of its bytes. Files of a folder are hashed in parallel, whole files as rows; a file beyond WHOLE_BYTES is hashed as a stream, in memory of one block. The digest and the store's own listing
+An artifact is known by the SHA-256 of its bytes. Files of a folder are hashed in parallel, whole files as rows; a file beyond WHOLE_BYTES is hashed as a stream in a task of its own, in memory of one block. The digest and the store's own listing
 (name, length and modification time of each file) are compared before and after use, so a source that changed meanwhile is refused, and both are held against a contract where one is given.
 """
 
@@ -20,8 +20,10 @@ from ..operators.integrity import IntegrityError, difference
 from ..schema import MONEY_COLUMNS, SOURCE_COLUMNS
 
 
-#: Files up to this size are hashed as rows, larger ones as streams.
-WHOLE_BYTES = 1 << 28
+#: Files up to this size are hashed as rows, larger ones as streams, BLOCK bytes at a time.
+WHOLE_BYTES, BLOCK = 1 << 28, 1 << 23
+#: Tasks that stream large files, at most; each takes several files where there are more.
+STREAM_TASKS = 10_000
 
 
 @dataclass(frozen=True)
@@ -64,7 +66,26 @@ def listing(spark: SparkSession, path: str) -> tuple[tuple[str, int, int], ...]:
     return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in fs.listStatus(where) if s.isFile() and s.getPath().getName()[0] not in "._"))
 
 
-def _stream_digest(spark: SparkSession, path: str) -> str:
+def _streamed(batches):
+    """uri and SHA-256 of files by Arrow's own file systems; null for one that these can't open or read to its end."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    for batch in batches:
+        for uri, length in zip(*(c.to_pylist() for c in batch.columns)):
+            digest, seen = hashlib.sha256(), 0
+            try:
+                store, path = fs.FileSystem.from_uri(uri)
+                with store.open_input_stream(path, compression=None) as stream:
+                    while block := stream.read(BLOCK):
+                        digest.update(block)
+                        seen += len(block)
+            except (OSError, pa.ArrowException):
+                seen = -1
+            yield pa.RecordBatch.from_pydict({"uri": [uri], "sha256": [digest.hexdigest() if seen == length else None]}, schema=pa.schema([("uri", pa.string()), ("sha256", pa.string())]))
+
+
+def _driver_digest(spark: SparkSession, path: str) -> str:
     fs, where = filesystem(spark, path)
     jvm = spark._jvm
     digest = jvm.java.security.MessageDigest.getInstance("SHA-256")
@@ -76,14 +97,31 @@ def _stream_digest(spark: SparkSession, path: str) -> str:
     return bytes(digest.digest()).hex()
 
 
+def stream_digests(spark: SparkSession, files: dict[str, tuple[str, int]]) -> dict[str, str]:
+    """Name and SHA-256 of large files, given by name as (qualified path, length). Tasks stream them side by side; only a file of a store that the tasks can't open (Arrow knows local files, HDFS, S3 and GCS) is streamed by the driver."""
+    if not files:
+        return {}
+    given = spark.createDataFrame(sorted(files.values()), "uri string, length long").repartition(min(len(files), STREAM_TASKS))
+    found = dict(map(tuple, given.mapInArrow(_streamed, "uri string, sha256 string").collect()))  # a short row per file
+    return {name: found[uri] or _driver_digest(spark, spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(uri)).toString()) for name, (uri, _) in files.items()}
+
+
 def file_digests(spark: SparkSession, path: str) -> list[tuple[str, str]]:
     """Name and SHA-256 of each file of a path: a short row per file goes to the driver."""
-    files = listing(spark, path)
-    small = spark.read.format("binaryFile").load(path).where(F.col("length") <= WHOLE_BYTES).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
     fs, where = filesystem(spark, path)
-    alone = fs.getFileStatus(where).isFile()
-    large = [(name, _stream_digest(spark, path if alone else f"{path.rstrip('/')}/{name}")) for name, length, _ in files if length > WHOLE_BYTES]
-    return sorted([(name, large_digest) for name, large_digest in large] + ([(files[0][0], small.first()["sha256"])] if alone and not large else [tuple(r) for r in small.collect()] if not alone else []))
+    large = {s.getPath().getName(): (_uri(s.getPath()), s.getLen()) for s in fs.listStatus(where) if s.isFile() and s.getPath().getName()[0] not in "._" and s.getLen() > WHOLE_BYTES}
+    if large and fs.getFileStatus(where).isFile():
+        return list(stream_digests(spark, large).items())
+    small = spark.read.format("binaryFile").load(path).where(F.col("length") <= WHOLE_BYTES).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.sha2("content", 256).alias("sha256"))
+    if fs.getFileStatus(where).isFile():
+        return [(where.getName(), small.first()["sha256"])]
+    return sorted([*stream_digests(spark, large).items(), *map(tuple, small.collect())])
+
+
+def _uri(where) -> str:
+    """A path with its characters escaped as in a URI, with file:// for a local one."""
+    text = where.toUri().toASCIIString()
+    return "file://" + text.removeprefix("file:") if text.startswith("file:/") and not text.startswith("file://") else text
 
 
 def fingerprint(spark: SparkSession, path: str) -> Fingerprint:

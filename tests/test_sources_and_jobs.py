@@ -103,7 +103,14 @@ def test_sources_are_verified_by_sha256(spark, tmp_path, monkeypatch):
     (tmp_path / "many").mkdir()
     write(tmp_path / "many/b.csv", [HEADER])
     write(tmp_path / "many/a.csv", [ROWS[0]])
-    assert [n for n, _ in artifact.file_digests(spark, str(tmp_path / "many"))] == ["a.csv", "b.csv"]
+    (tmp_path / "many/a small one%.csv").write_bytes(b"x")
+    (tmp_path / "many/odd name %20 é#?.csv.gz").write_bytes(bytes(range(256)) * 100)  # no gzip file for all its name
+    (tmp_path / "many/_left").write_bytes(b"left out" * 9)
+    want = sorted((f.name, hashlib.sha256(f.read_bytes()).hexdigest()) for f in (tmp_path / "many").iterdir() if f.name != "_left" and f.suffix != ".crc")
+    monkeypatch.setattr(artifact, "_driver_digest", lambda *_: "by the driver")
+    assert artifact.file_digests(spark, str(tmp_path / "many")) == want and artifact.fingerprint(spark, source) == found
+    gone = (tmp_path / "many/gone.csv").as_uri()
+    assert artifact.stream_digests(spark, {"gone.csv": (gone, 5), "short": ((tmp_path / "many/a.csv").as_uri(), 10**6), "other": ("store://x/y", 1)}) == dict.fromkeys(["gone.csv", "short", "other"], "by the driver")
     with pytest.raises(integrity.IntegrityError, match="sha256"), artifact.verified_source(spark, source, "other"):
         pass
     with pytest.raises(integrity.IntegrityError, match="changed"), artifact.verified_source(spark, source):
