@@ -7,7 +7,7 @@ Within a key, pairs that differ in at most VERIFY_BITS of the VERIFY words are c
 Beyond LAST_BITS such a key becomes one group of candidates, unverified, so no pair that met is lost.
 
 Candidates only say where to look. In each of their components all links are decided by the true similarity of the sets, which are sent by the component: a component of up to PART nodes (and PART_HASHES hashes) in one key. In a larger one, up to PIVOTS nodes in turn are compared with all
-others; what is linked to a pivot is connected already, so only the nodes that no pivot reached (and pairs of one of these with any node) are left. Those are dealt in blocks, each block of them against each part of the component.
+others; what is linked to the first one, and to a later one whose links meet these, is connected already, so only the other nodes (and pairs of one of these with any node) are left. Those are dealt in blocks, each block of them against each part of the component.
 So a text goes only if texts of similarity SIMILAR or more connect it to the one that stays, and links are lost only where a pair met in no table or had more than VERIFY_BITS bits apart: with a probability of 0.06 at SIMILAR, falling fast above.
 
 Cases. Null or empty texts have the empty set and are one node, linked to nothing else; fewer than WIDE_SHINGLE words are one shingle. Null ids come last. Repeated rows are one node. Empty tables give empty ones; extra columns are left alone. Texts are one row whatever their length.
@@ -247,17 +247,22 @@ def large_links(large: DataFrame) -> DataFrame:
     placed = large.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
     residents = placed.select(F.col("root"), "part", F.lit(False).alias("visitor"), "node", "hashes")
     keyed = lambda rows, *more: rows.withColumn("key", F.xxhash64("root", "part", *more))
-    left, found = placed.select("root", "node"), []
+    left, found, tried = placed.select("root", "node"), [], None
     for turn in range(PIVOTS):
-        pivots = materialize(left.groupBy("root").agg(F.min("node").alias("node")), "pivots")
+        open_nodes = left if tried is None else left.join(tried, ["root", "node"], "left_anti")
+        pivots = materialize(open_nodes.groupBy("root").agg(F.min("node").alias("node")), "pivots")
         guests = large.join(pivots, ["root", "node"]).withColumn("part", _numbers("parts")).select("root", "part", F.lit(True).alias("visitor"), "node", "hashes")
-        others = residents if not turn else residents.join(left, ["root", "node"], "left_semi")
+        others = residents.join(pivots.select("root"), "root", "left_semi")
         links = materialize(compared(keyed(others.unionByName(guests))), "links")
         found.append(links)
         reached = links.select(F.explode(F.array("u", "v")).alias("node")).unionByName(pivots.select("node")).distinct()
-        left = materialize(left.join(reached, "node", "left_anti").select("root", "node"), "left")
+        star = materialize(placed.select("root", "node").join(reached, "node", "left_semi"), "star")
+        # a star goes only if it meets what the first one has gathered: else its nodes may have links there that its pivot has not
+        gone = star if not turn else star.join(star.join(left, ["root", "node"], "left_anti").select("root").distinct(), "root", "left_semi")
+        left = materialize(left.join(gone, ["root", "node"], "left_anti").select("root", "node"), "left")
         if left.isEmpty():
             break
+        tried = star if tried is None else tried.unionByName(star)
     else:
         blocks = materialize(left.groupBy("root").agg(F.ceil(F.count("*") / PART).cast("long").alias("blocks")), "blocks")
         block = F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))

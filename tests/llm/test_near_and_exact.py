@@ -237,6 +237,30 @@ def test_links_of_sets_equal_brute_force():
     assert similar.set_classes(sets).tolist() == label
 
 
+@pytest.mark.parametrize("pivots", [1, 2, 3, 5])
+def test_links_of_a_large_component_equal_brute_force(spark, monkeypatch, pivots):
+    """Three chains: stars of later pivots are linked to the first one's only by nodes that are no pivots."""
+    monkeypatch.setattr(similar, "PIVOTS", pivots)
+    sets = {}
+    for chain in range(3):
+        words = np.random.default_rng(chain).integers(0, 2**63, 200).astype(np.uint64)
+        for k in (1, 0, 3, 2, 5, 4, 7, 6):  # neighbours share 95 of 105, those two apart 90 of 110
+            sets[1000 * chain + 10 * (k % 2) + k // 2] = np.unique(words[5 * k : 5 * k + 100])
+        sets |= {1000 * chain + 500 + k: np.unique(words[35 + 5 * k : 135 + 5 * k]) for k in range(1, 9)}
+    rows = [(root, node + (0 if root == 5 else 10_000), bytearray(s.tobytes()), 3) for root in (5, 6) for node, s in sets.items()]
+    found = similar.large_links(spark.createDataFrame(rows, "root long, node long, hashes binary, parts long"))
+    got = {r["node"]: r["root"] for r in components(found).collect()}
+    nodes, label = [r[1] for r in rows], {r[1]: r[1] for r in rows}
+    own = {r[1]: set(np.frombuffer(bytes(r[2]), dtype=np.uint64).tolist()) for r in rows}
+    for a in nodes:
+        for b in nodes:
+            if a < b and (a < 10_000) == (b < 10_000) and len(own[a] & own[b]) >= similar.SIMILAR * len(own[a] | own[b]):
+                x, y = sorted((label[a], label[b]))
+                label = {n: x if c == y else c for n, c in label.items()}
+    assert len(set(label.values())) == 6
+    assert {n: got.get(n, n) for n in nodes} == label
+
+
 def test_crowded_keys_are_handed_on_row_by_row():
     import pyarrow as pa
 
