@@ -1,6 +1,6 @@
 """All nine history features over a stream of transactions, for both roles, with state kept as tables and a sink that is published at the clean end.
 
-Each epoch (micro-batch) sums its rows map-side to one per pair and step, so a hub with a third of all rows sends the state one row per step, and joins the prior sums back to the rows in equi-joins that AQE can split. State is three relations in the work folder: `pairs`
+Each epoch (micro-batch) meets its rows by pair, with the pairs of the state, to mark those that are new, and sums them map-side to one per entity and step, so a hub with a third of all rows sends the state one row per step, and joins the prior sums back to the rows in equi-joins that AQE can split. State is three relations in the work folder: `pairs`
 (initiator and recipient that have met, with no order to keep: a pair is appended when it is first seen), and `initiators` and `recipients`, one row per entity with what is committed (all steps before its last one) and what is pending (its last step), so rows of one step never see each
 other, in whatever epochs they come. An epoch appends the rows of the entities that it touched; the newest row of an entity counts, and each COMPACT epochs one folder is written that replaces those before it.
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..durable import exists, filesystem, materialize, rename
-from ..operators.features import behavioural, emitted, step_sums, summed_moves, with_prior
+from ..operators.features import emitted, marked, step_sums, with_prior
 from ..sources.artifact import read_text, write_text
 
 #: Epochs after which the state is written anew in one folder.
@@ -91,23 +91,21 @@ def _entities(steps: DataFrame, entity: str, work: str, epoch: int) -> DataFrame
 def process(batch: DataFrame, epoch: int, work: str, keep: list[str], exact: bool = False) -> int:
     """One epoch: the batch's TRANSFER rows with their features are staged, and the state is carried on. Its number of rows."""
     spark = batch.sparkSession
-    moves = materialize(summed_moves(behavioural(batch, keep)), "moves")
-    first, last, n = moves.agg(F.min("step"), F.max("step"), F.sum("n")).first()
+    whole, met = epoch % COMPACT == COMPACT - 1, _read(spark, f"{work}/pairs", epoch)
+    events = materialize(marked(batch, keep, met=met), "marked")
+    first, last, n = events.agg(F.min("step"), F.max("step"), F.count("*")).first()
     clock = _clock(spark, work, epoch)
     if first is not None and first < clock:
         raise ValueError(f"chronological regression: step {first} after step {clock}")
-    whole, met = epoch % COMPACT == COMPACT - 1, _read(spark, f"{work}/pairs", epoch)
-    fresh = moves.groupBy(*STATE).agg(F.min("step").alias("step"))
-    fresh = materialize(fresh if met is None else fresh.join(met.select(*STATE), list(STATE), "left_anti"), "fresh")
-    pairs = fresh.select(*STATE)
+    pairs = events.where("__fresh = 1").select(*STATE)
     _write(pairs.unionByName(met.select(*STATE)) if whole and met is not None else pairs, f"{work}/pairs", epoch, whole)
     priors = {}
     for entity in STATE:
-        steps = step_sums(moves, fresh, entity)
+        steps = step_sums(events, entity)
         wide = steps.schema["total"].dataType
-        steps = steps.withColumns({"n": F.col("n").cast("long"), "transfers": F.col("transfers").cast("long"), "fresh": F.col("fresh").cast("long"), "total": F.col("total").cast(T.DecimalType(38, wide.scale) if isinstance(wide, T.DecimalType) else wide)})
-        priors[entity] = _entities(steps, entity, work, epoch)
-    emitted(behavioural(batch, keep), priors["initiator_id"], priors["recipient_id"], exact).write.mode("overwrite").parquet(f"{work}/staged/epoch={epoch}")
+        steps = steps.withColumn("total", F.col("total").cast(T.DecimalType(38, wide.scale) if isinstance(wide, T.DecimalType) else wide))
+        priors[entity] = _entities(materialize(steps, "steps"), entity, work, epoch)
+    emitted(events.drop("__fresh"), priors["initiator_id"], priors["recipient_id"], exact).write.mode("overwrite").parquet(f"{work}/staged/epoch={epoch}")
     fs, where = filesystem(spark, f"{work}/clock/{epoch:012d}")
     fs.delete(where, True)
     write_text(spark, f"{work}/clock/{epoch:012d}", json.dumps({"step": clock if last is None else max(clock, last)}))

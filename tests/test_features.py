@@ -16,7 +16,7 @@ from asofledger.operators import audit, digest, features, quantiles
 from asofledger.schema import CORE_FEATURES
 
 SCHEMA = "step int, amount decimal(18,2), initiator_id string, recipient_id string, transaction_type string, k int"
-PLANS = [features.features_by_rollup, features.features_by_range]
+PLANS = [features.features_by_rollup, features.features_by_range, features.history_features]
 
 
 def run(spark, plan, rows):
@@ -152,6 +152,27 @@ def test_numeric_tokens(spark):
     assert {r["t"]: r["v"] for r in got} == texts
 
 
+def test_repeated_rows_stay_apart_and_steps_meet_in_the_theta_join(spark):
+    """Ten equal rows are ten rows; what the theta join joins are an entity's steps, whatever its rows."""
+    rows = [(s, Decimal(1), "A", "B", "TRANSFER", 0) for s in (1, 2, 3) for _ in range(10)]
+    made = features.features_by_theta_join(spark.createDataFrame(rows, SCHEMA), ["k"])
+    counts = sorted(r["initiator_prior_outgoing_count"] for r in made.collect())
+    assert counts == [0] * 10 + [10] * 10 + [20] * 10
+
+
+def test_hubs_choose_the_rollup_and_change_no_result(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(rng.randrange(6), rng.randrange(1, 99), rng.choice("AAB"), rng.choice("WXY"), rng.choice(["TRANSFER", "DEBIT"])) for _ in range(60)]
+    used, want = [], run(spark, features.features_by_range, rows)
+    for name in ("features_by_rollup", "features_by_range"):
+        plan = getattr(features, name)
+        monkeypatch.setattr(features, name, lambda *a, plan=plan, name=name: used.append(name) or plan(*a))
+    for most in (10, 1 << 20):
+        monkeypatch.setattr(features, "HUB", most)
+        assert run(spark, features.history_features, rows) == want
+    assert used == ["features_by_rollup", "features_by_range"]
+
+
 def test_entities_with_unexpected_labels_only_have_neither_label(spark):
     df = spark.createDataFrame([(0, 2, "A", "X"), (1, 2, "A", "X"), (1, 0, "B", "X"), (2, 1, "C", "Y")], "step int, is_fraud int, initiator_id string, recipient_id string")
     cols = ["role", "entities", "multi_row", "multi_step", "legitimate_only", "fraud_only", "mixed", "unexpected"]
