@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import materialize, shared_dir, with_row_number
+from ..durable import exists, filesystem, materialize, rename, shared_dir, with_row_number
 from ..functions import decimals
 from ..functions.identity import transaction_id, uuid5
 from ..functions.patterns import evaluation_partition, inferred_kind
@@ -82,7 +82,7 @@ _CORE_SQL = _sql_features(", ".join(["txn_key", "step", *CORE_FEATURES]))
 
 @query("pit_core_features", _CORE_SQL)
 def pit_core_features(spark, sf_dir):
-    made = features.features_by_rollup(transactions(spark, sf_dir), ["txn_key"])
+    made = features.history_features(transactions(spark, sf_dir), ["txn_key"])
     return _doubles(made, *_FEATURE_DOUBLES).select("txn_key", "step", *CORE_FEATURES)
 
 
@@ -94,14 +94,14 @@ def pit_features_range(spark, sf_dir):
 
 @query("pit_enhanced_features", _sql_features(", ".join(["txn_key", "step", *CORE_FEATURES, "CAST(initiator_balance_before AS DOUBLE) AS initiator_balance_before", "CAST(recipient_balance_before AS DOUBLE) AS recipient_balance_before", "is_fraud"])))
 def pit_enhanced_features(spark, sf_dir):
-    made = features.features_by_rollup(transactions(spark, sf_dir, True), ["txn_key", "initiator_balance_before", "recipient_balance_before", "is_fraud"])
+    made = features.history_features(transactions(spark, sf_dir, True), ["txn_key", "initiator_balance_before", "recipient_balance_before", "is_fraud"])
     return _doubles(made, *_FEATURE_DOUBLES, "initiator_balance_before", "recipient_balance_before").select("txn_key", "step", *CORE_FEATURES, "initiator_balance_before", "recipient_balance_before", "is_fraud")
 
 
 @query("theta_join_oracle", _sql_features("txn_key, step, initiator_prior_outgoing_count, initiator_prior_outgoing_transfer_count, initiator_prior_outgoing_amount_total, initiator_prior_outgoing_amount_max, initiator_prior_distinct_recipient_count, recipient_prior_incoming_count, recipient_prior_distinct_initiator_count"))
 def theta_join(spark, sf_dir):
     made = features.features_by_theta_join(transactions(spark, sf_dir), ["txn_key"])
-    return _doubles(made, *_FEATURE_DOUBLES[1:]).drop("amount", "initiator_id", "recipient_id", "transaction_type")
+    return _doubles(made, *_FEATURE_DOUBLES[1:]).select("txn_key", "step", *[c for c in CORE_FEATURES if c not in ("amount", "initiator_prior_outgoing_amount_mean")])
 
 
 def _sql_quotient(total: str, count: str, scale: int, source: str) -> str:
@@ -117,16 +117,22 @@ def _sql_quotient(total: str, count: str, scale: int, source: str) -> str:
 
 @query("exact_mean_28_digits", _sql_history() + _sql_quotient("round(initiator_prior_outgoing_amount_total * 100)", "initiator_prior_outgoing_count", 2, "h") + " SELECT txn_key, quotient AS mean_28_digits FROM z")
 def exact_mean(spark, sf_dir):
-    made = features.features_by_rollup(transactions(spark, sf_dir), ["txn_key"], exact=True)
+    made = features.history_features(transactions(spark, sf_dir), ["txn_key"], exact=True)
     return made.select("txn_key", F.col("initiator_prior_outgoing_amount_mean").alias("mean_28_digits"))
 
 
 def _streamed(spark, sf_dir) -> str:
     """The transactions as four arrivals of files, each streamed as it comes, in one work folder, which is returned."""
     work = f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
-    rows = materialize(transactions(spark, sf_dir).select("txn_key", *EVENT_COLUMNS), "arrivals")
-    for band in range(4):
-        rows.where(F.least(F.floor(F.col("step") / 36), F.lit(3)) == band).write.parquet(f"{work}/in/{band}")
+    rows = transactions(spark, sf_dir).select("txn_key", *EVENT_COLUMNS)
+    band = F.least(F.floor(F.col("step") / 36), F.lit(3)).cast("int")
+    rows.withColumn("band", band).write.partitionBy("band").parquet(f"{work}/arrivals")
+    filesystem(spark, work)[0].mkdirs(filesystem(spark, f"{work}/in")[1])
+    for k in range(4):
+        if exists(spark, f"{work}/arrivals/band={k}"):
+            rename(spark, f"{work}/arrivals/band={k}", f"{work}/in/{k}")
+        else:
+            rows.limit(0).write.parquet(f"{work}/in/{k}")
         ledger.run_available(spark.readStream.schema(rows.schema).parquet(f"{work}/in/*"), work, ["txn_key"])
     return work
 
@@ -169,7 +175,7 @@ def exact_sums_beyond_38_digits(spark, sf_dir):
 @query("feature_null_zero_counts", _sql_features("""count(*) AS n_rows, count(*) - count(initiator_prior_outgoing_amount_mean) AS null_mean, count(*) - count(initiator_prior_outgoing_amount_max) AS null_max,
     count(*) FILTER (initiator_prior_outgoing_count = 0) AS zero_outgoing, count(*) FILTER (recipient_prior_incoming_count = 0) AS zero_incoming, count(*) FILTER (initiator_prior_outgoing_transfer_count = 0) AS zero_transfers"""))
 def feature_null_zero_counts(spark, sf_dir):
-    made = features.features_by_rollup(transactions(spark, sf_dir), ["txn_key"])
+    made = features.history_features(transactions(spark, sf_dir), ["txn_key"])
     zero = lambda c: F.count_if(F.col(c) == 0)
     null = lambda c: F.count_if(F.col(c).isNull())
     return made.agg(F.count("*").alias("n_rows"), null("initiator_prior_outgoing_amount_mean").alias("null_mean"), null("initiator_prior_outgoing_amount_max").alias("null_max"), zero("initiator_prior_outgoing_count").alias("zero_outgoing"), zero("recipient_prior_incoming_count").alias("zero_incoming"), zero("initiator_prior_outgoing_transfer_count").alias("zero_transfers"))
@@ -438,9 +444,9 @@ def inferred_kinds(spark, sf_dir):
 @query("catalog_views", """, t AS (SELECT * FROM txn WHERE transaction_type = 'TRANSFER') SELECT count(*) AS n_core, count(*) AS n_enhanced, count(*) AS n_target, CAST(sum(is_fraud) AS BIGINT) AS n_fraud, CAST(sum(initiator_balance_before) AS DOUBLE) AS balances, 'verified_existing' AS reload FROM t""")
 def catalog_views(spark, sf_dir):
     """The relations stored as catalog tables, loaded a second time, and read through their views; the database is dropped again."""
-    rows = numbered(transactions(spark, sf_dir, True)).drop("score").withColumnRenamed("txn_key", "transaction_id")
-    made = features.features_by_rollup(rows, ["transaction_id", "initiator_balance_before", "recipient_balance_before"])
-    rows, made = materialize(rows, "canonical"), materialize(made, "features")
+    rows = numbered(transactions(spark, sf_dir, True).drop("score")).withColumnRenamed("txn_key", "transaction_id")
+    made = features.history_features(rows, ["transaction_id", "initiator_balance_before", "recipient_balance_before"])
+    made = materialize(made, "features")
     name = f"ledger_{uuid.uuid4().hex[:12]}"
     store.store(spark, name, rows, made)
     again = store.store(spark, name, rows, made)
@@ -454,10 +460,10 @@ def catalog_views(spark, sf_dir):
 @query("read_back_join", ", t AS (SELECT step, amount, is_fraud FROM txn WHERE transaction_type = 'TRANSFER') SELECT CASE WHEN step <= 95 THEN 'train' WHEN step <= 119 THEN 'validation' ELSE 'test' END AS evaluation_partition, count(*) AS n_rows, CAST(sum(is_fraud) AS BIGINT) AS n_fraud, CAST(sum(amount) AS DOUBLE) AS total, 0::BIGINT AS n_different FROM t GROUP BY 1")
 def read_back_join(spark, sf_dir):
     """Stored features, lineage and canonical rows joined bucket by bucket, by partition: rows, frauds, amounts, and rows whose amounts or steps differ."""
-    rows = numbered(transactions(spark, sf_dir, True)).drop("score").withColumnRenamed("txn_key", "transaction_id")
-    made = features.features_by_rollup(rows, ["transaction_id", "initiator_balance_before", "recipient_balance_before"])
+    rows = numbered(transactions(spark, sf_dir, True).drop("score")).withColumnRenamed("txn_key", "transaction_id")
+    made = features.history_features(rows, ["transaction_id", "initiator_balance_before", "recipient_balance_before"])
     name = f"ledger_{uuid.uuid4().hex[:12]}"
-    store.store(spark, name, materialize(rows, "canonical"), materialize(made, "features"))
+    store.store(spark, name, rows, materialize(made, "features"))
     different = (F.col("amount") != F.col("canonical_amount")) | (F.col("step") != F.col("canonical_step"))
     sums = store.read_back(spark, name).groupBy("evaluation_partition").agg(F.count("*").alias("n_rows"), F.sum("is_fraud").cast("long").alias("n_fraud"), F.sum("canonical_amount").cast("double").alias("total"), F.count_if(different).alias("n_different"))
     out = materialize(sums, "readback")
@@ -481,24 +487,26 @@ def canonical_csv_round_trip(spark, sf_dir):
     return _doubles(made, "amount", *audit.BALANCES).select("source_row_number", "step", "transaction_type", "initiator_id", "recipient_id", "is_fraud", "amount", *audit.BALANCES)
 
 
-def _source_files(spark, sf_dir, rows: DataFrame | None = None, dressed: Column | None = None) -> str:
-    """Source files of the transactions in order, with dressed as initiators (or some with commas, quotes and spaces)."""
-    if rows is None:
-        rows = numbered(transactions(spark, sf_dir, True)).withColumn("pick", F.expr("cast(amount * 100 as bigint) % 5"))
+def _source_files(spark, sf_dir, dressed: Column | None = None) -> str:
+    """Source files of the transactions in order, sorted once, with dressed (by pick) as initiators, or some with commas, quotes and spaces."""
+    if dressed is None:
         dressed = F.concat("initiator_id", F.when(F.col("pick") == 0, ', "x"').when(F.col("pick") == 1, " ").otherwise(""))
-    spelt = rows.withColumns({f"{s}_literal": F.col(c).cast("string") for s, c in zip(MONEY_COLUMNS, ["amount", *audit.BALANCES])} | {"initiator_id": dressed})
     path = f"{shared_dir(spark)}/source-{uuid.uuid4().hex}/files"
-    artifact.write_csv(spelt, path)
+    artifact.write_csv(transactions(spark, sf_dir, True).drop("score"), path, TOTAL_ORDER, lambda rows: _spelt(rows, dressed))
     return path
 
 
+def _spelt(rows: DataFrame, dressed: Column) -> DataFrame:
+    rows = rows.withColumn("pick", F.expr("cast(amount * 100 as bigint) % 5"))
+    return rows.withColumns({f"{s}_literal": F.col(c).cast("string") for s, c in zip(MONEY_COLUMNS, ["amount", *audit.BALANCES])} | {"initiator_id": dressed})
+
+
 @query("multiline_csv_round_trip", """, o AS (SELECT *, 1 + row_number() OVER (ORDER BY step, txn_key) AS source_row_number, CAST(amount * 100 AS BIGINT) % 5 AS k FROM txn)
     SELECT source_row_number, step, initiator_id || CASE k WHEN 0 THEN chr(10) || 'of "x",' WHEN 1 THEN chr(13) || chr(10) || chr(10) ELSE '' END AS initiator_id, recipient_id, CAST(amount AS DOUBLE) AS amount FROM o""")
 def multiline_csv_round_trip(spark, sf_dir):
     """Source files of which two rows in five span lines, read back by the strict reader: blocks cut by the parity of their quotes."""
-    rows = numbered(transactions(spark, sf_dir, True)).withColumn("pick", F.expr("cast(amount * 100 as bigint) % 5"))
     dressed = F.concat("initiator_id", F.when(F.col("pick") == 0, '\nof "x",').when(F.col("pick") == 1, "\r\n\n").otherwise(""))
-    made = validation.canonical(csv_source.read_strict(spark, _source_files(spark, sf_dir, rows, dressed)), ARTIFACT)
+    made = validation.canonical(csv_source.read_strict(spark, _source_files(spark, sf_dir, dressed)), ARTIFACT)
     return _doubles(made, "amount").select("source_row_number", "step", "initiator_id", "recipient_id", "amount")
 
 
@@ -566,22 +574,23 @@ def tier_matrix(spark, sf_dir):
     """The core tier's vectors, taken apart again; what they have as NaN is -1 here."""
     from pyspark.ml.functions import vector_to_array
 
-    made = features.features_by_rollup(transactions(spark, sf_dir), ["txn_key"])
+    made = features.history_features(transactions(spark, sf_dir), ["txn_key"])
     cells = modelling.tier_matrix(made, "core", "txn_key").select("txn_key", vector_to_array("vector").alias("v"))
     return cells.select("txn_key", *[F.when(F.isnan(F.col("v")[i]), F.lit(-1.0)).otherwise(F.col("v")[i]).alias(c) for i, c in enumerate(CORE_FEATURES)])
 
 
 @query("core_predictors", _sql_features(", ".join(["txn_key", *CORE_FEATURES])))
 def core_predictors(spark, sf_dir):
-    made = features.features_by_rollup(transactions(spark, sf_dir), ["txn_key"])
+    made = features.history_features(transactions(spark, sf_dir), ["txn_key"])
     return integrity.core_predictors(_doubles(made, *_FEATURE_DOUBLES), "txn_key")
 
 
 @query("enhanced_predictors", _sql_features(", ".join(["txn_key", *CORE_FEATURES, "CAST(initiator_balance_before AS DOUBLE) AS initiator_balance_before", "CAST(recipient_balance_before AS DOUBLE) AS recipient_balance_before"])))
 def enhanced_predictors(spark, sf_dir):
     rows = transactions(spark, sf_dir, True)
-    made = _doubles(features.features_by_rollup(rows, ["txn_key"]), *_FEATURE_DOUBLES)
-    return integrity.enhanced_predictors(made, _doubles(contract.eligible(rows), "initiator_balance_before", "recipient_balance_before"), "txn_key")
+    made = materialize(features.history_features(rows, ["txn_key", "initiator_balance_before", "recipient_balance_before"]), "features")
+    made = _doubles(made, *_FEATURE_DOUBLES, "initiator_balance_before", "recipient_balance_before")
+    return integrity.enhanced_predictors(made, made.select("txn_key", "initiator_balance_before", "recipient_balance_before"), "txn_key")
 
 
 @query("transaction_target", "SELECT txn_key, is_fraud FROM txn WHERE transaction_type = 'TRANSFER'")
@@ -600,10 +609,10 @@ _SQL_BROKEN = """, b AS (SELECT *, CAST(amount * 100 AS BIGINT) % 20 AS k FROM t
 @query("constraint_violations", _sql_history() + ", x AS (SELECT *, CAST(round(amount * 100) AS BIGINT) % 20 AS k FROM h)" + _SQL_BROKEN)
 def constraint_violations(spark, sf_dir):
     """Counts of rows that break each constraint, of relations in which the transaction's cents pick a fault for some rows."""
-    rows = numbered(transactions(spark, sf_dir)).withColumn("pick", F.expr("cast(amount * 100 as bigint) % 20"))
+    rows = numbered(transactions(spark, sf_dir).drop("score")).withColumn("pick", F.expr("cast(amount * 100 as bigint) % 20"))
     spoil = lambda k, c, bad: F.when(F.col("pick") == k, F.lit(bad)).otherwise(F.col(c)).alias(c)
     spoilt = rows.select(spoil(0, "source_row_number", 1), spoil(1, "step", -1), spoil(2, "transaction_type", "LOAN"), spoil(3, "amount", 0), spoil(4, "initiator_id", ""), spoil(5, "recipient_id", ""), spoil(6, "is_fraud", 2))
-    core = features.features_by_rollup(rows, ["txn_key", "pick"]).withColumn("evaluation_partition", evaluation_partition(F.col("step")))
+    core = materialize(features.history_features(rows, ["pick"]), "core").withColumn("evaluation_partition", evaluation_partition(F.col("step")))
     lineage = core.select(spoil(6, "transaction_type", "PAYMENT"), "step", spoil(7, "evaluation_partition", "validation"))
     shift = lambda k, c: (F.col(c) + F.when(F.col("pick") == k, F.lit(100_000)).otherwise(F.lit(0))).alias(c)
     core = core.select(
@@ -689,7 +698,7 @@ _MEDIANS = [c for c in CORE_FEATURES if c != "amount"]
 @query("feature_medians", f"{_sql_history()}, t AS (SELECT * FROM h WHERE step <= 95) " + " UNION ALL ".join(f"SELECT '{c}' AS column_name, quantile_cont(CAST({c} AS DOUBLE), 0.5) AS median FROM t" for c in _MEDIANS))
 def feature_medians(spark, sf_dir):
     """The exact median of each history feature over train: what missing values are filled with."""
-    made = features.features_by_rollup(transactions(spark, sf_dir).where("step <= 95"), ["txn_key"])
+    made = features.history_features(transactions(spark, sf_dir).where("step <= 95"), ["txn_key"])
     found = quantiles(materialize(made.select(*_MEDIANS), "medians"), _MEDIANS, [0.5])
     return spark.createDataFrame([(c, v[0]) for c, v in found.items()], "column_name string, median double")
 
@@ -715,7 +724,7 @@ def prevalence_baseline(spark, sf_dir):
 @query("model_test_scores")
 def model_test_scores(spark, sf_dir):
     """Each test row's score by the logistic model of the enhanced features, fitted on train."""
-    made = features.features_by_rollup(transactions(spark, sf_dir, True), ["txn_key", "initiator_balance_before", "recipient_balance_before", "is_fraud"])
+    made = features.history_features(transactions(spark, sf_dir, True), ["txn_key", "initiator_balance_before", "recipient_balance_before", "is_fraud"])
     data = materialize(modelling.model_data(made), "model")
     fitted = modelling.Fitted(next(s for s in modelling.SPECS if s.name == "enhanced_logistic"), data.where("evaluation_partition = 'train'"))
     return fitted.score(data.where("evaluation_partition = 'test'")).select("txn_key", "label", F.round("score", 6).alias("score"))

@@ -51,7 +51,7 @@ def load_features(spark: SparkSession, canonical: str, target: str) -> dict:
     """Derive, check and publish the feature relations; a repeated load verifies that the same rows would result."""
     rows = spark.read.parquet(f"{canonical}/canonical")
     integrity.require_types(rows, {"transaction_id": "string", "source_row_number": "bigint", "step": "int", "transaction_type": "string", "amount": "decimal", "initiator_id": "string", "recipient_id": "string", "is_fraud": "int"})
-    made = features.features_by_rollup(rows, ["transaction_id", "source_row_number", "is_fraud", "initiator_balance_before", "recipient_balance_before"])
+    made = features.history_features(rows, ["transaction_id", "source_row_number", "is_fraud", "initiator_balance_before", "recipient_balance_before"])
     made = made.withColumn("evaluation_partition", evaluation_partition(F.col("step")))
     identity = made.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64(*sorted(made.columns))).alias("x"))
     if exists(spark, target):

@@ -73,7 +73,7 @@ def store(spark: SparkSession, database: str, canonical: DataFrame, features: Da
         return "verified_existing"
     expected, buckets = {}, max(1, -(-canonical.count() // BUCKET_ROWS))
     for name, df in wanted.items():
-        writer = df.repartition(buckets, "transaction_id").write.mode("overwrite").bucketBy(buckets, "transaction_id").sortBy("transaction_id")
+        writer = df.repartition(buckets, "transaction_id").write.mode("overwrite").option("compression", "zstd").bucketBy(buckets, "transaction_id").sortBy("transaction_id")
         (writer.partitionBy("evaluation_partition") if name == "feature_lineage" else writer).saveAsTable(f"{database}.{name}")
         expected[name] = _sums(df)
         if _sums(read(name).select(*df.columns)) != expected[name]:

@@ -182,9 +182,12 @@ def source_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f"{c}_literal" if c in MONEY_COLUMNS else names[c]).cast("string").alias(c) for c in SOURCE_COLUMNS])
 
 
-def write_csv(rows: DataFrame, path: str, order: str = "source_row_number") -> None:
-    """Source columns as CSV, range-partitioned in source order, minimal quoting; the folder must not exist."""
-    ordered = rows.repartitionByRange(order).sortWithinPartitions(order)
+def write_csv(rows: DataFrame, path: str, order: str | list[str] = "source_row_number", spell: Callable[[DataFrame], DataFrame] | None = None) -> None:
+    """Source columns as CSV, range-partitioned in source order, minimal quoting; the folder must not exist. spell makes wide columns of the rows once they are in order, so that these are not shuffled."""
+    order = [order] if isinstance(order, str) else order
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    if spell is not None:
+        ordered = spell(ordered)
     source_rows(ordered).write.csv(path, header=True, escape='"', mode="errorifexists", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
