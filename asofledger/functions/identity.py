@@ -14,8 +14,8 @@ from ..schema import NAMESPACE_HEX
 def uuid5(name: Column, namespace_hex: str = NAMESPACE_HEX) -> Column:
     """UUIDv5 of a name, lowercase with hyphens."""
     digest = F.sha1(F.concat(F.unhex(F.lit(namespace_hex)), F.encode(name, "UTF-8")))
-    variant = F.conv(F.substring(digest, 17, 2), 16, 10).cast("int").bitwiseAND(F.lit(63)).bitwiseOR(F.lit(128))
-    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(F.lower(F.hex(variant.cast("long"))), F.substring(digest, 19, 2)), F.substring(digest, 21, 12))
+    variant = F.translate(F.substring(digest, 17, 1), "0123456789abcdef", "89ab" * 4)  # the digit's upper two bits become 10
+    return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
 
 
 def transaction_id(artifact_sha256: Column, row_number: Column) -> Column:

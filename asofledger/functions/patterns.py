@@ -19,7 +19,8 @@ IDENTIFIER_FORMATS = [
 
 
 def is_blank(text: Column) -> Column:
-    return text.rlike(BLANK)
+    printable = (text >= "!") & (text < "\x7f")  # by its first byte; the pattern is for the rest
+    return F.when(printable, F.lit(False)).otherwise(text.rlike(BLANK))
 
 
 def identifier_format(text: Column) -> Column:

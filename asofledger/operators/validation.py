@@ -5,15 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.decimals import fraction_digits, integer_digits, is_plain_decimal
 from ..functions.identity import transaction_id, uuid5
-from ..functions.patterns import is_blank
-from ..schema import CANONICAL_SCHEMA, MONEY, MONEY_COLUMNS, STEP_MOST, TRANSACTION_TYPES
-from .contract import partition_counts
+from ..functions.patterns import evaluation_partition, is_blank
+from ..schema import CANONICAL_SCHEMA, MODELLED_TYPE, MONEY, MONEY_COLUMNS, PARTITIONS, STEP_MOST, TRANSACTION_TYPES
 from .integrity import IntegrityError
 
 
@@ -27,20 +26,25 @@ _REASONS = [
 ]
 
 
-def broken_rule() -> Column:
-    """Number of the first rule of the contract that a row of text columns breaks, from 1, or 0. A null column breaks the first rule that reads it.
+#: Five plain decimals that MONEY holds: almost any row's money, in one pattern.
+_USUAL = r"^[+-]?[0-9]{1,16}+(?:\.[0-9]{1,2}+)?+(?:,[+-]?[0-9]{1,16}+(?:\.[0-9]{1,2}+)?+){4}\z"
+
+
+def broken_rule(unusual: int = 0) -> Column:
+    """Number of the first rule of the contract that a row of text columns breaks, from 1, or 0 (unusual, where the money may not fit the type MONEY). A null column breaks the first rule that reads it.
 
     malformed (boolean) stands for a row of wrong width or quoting and comes first.
     """
-    step = F.regexp_replace("step", r"^([+-]?)0+(?=[0-9])", "$1")
-    in_range = (F.length(F.regexp_replace(step, r"^[+-]", "")) <= 10) & F.coalesce(F.try_to_number(F.regexp_replace(step, r"^\+", ""), F.lit("S9999999999")).between(0, STEP_MOST), F.lit(False))
+    in_range = F.coalesce(F.col("step").try_cast("long").between(0, STEP_MOST), F.lit(False))  # of a text of digits
     rules = [
         F.col("malformed"), ~F.col("step").rlike(r"^[+-]?[0-9]+\z"), ~in_range, ~F.col("transactionType").isin(TRANSACTION_TYPES), ~F.col("isFraud").isin("0", "1"), is_blank(F.col("initiator")), is_blank(F.col("recipient")),
     ]
     money = F.transform(F.array(*MONEY_COLUMNS), lambda x: F.coalesce(~is_plain_decimal(x), F.lit(True)))  # one pattern in the plan, not five
     rest = F.array_position(money, True).cast("int")
+    usual = F.coalesce(F.concat(*[x for c in MONEY_COLUMNS for x in (F.lit(","), F.col(c))][1:]).rlike(_USUAL), F.lit(False))
     not_positive = F.coalesce(F.col("amount").rlike(r"^-|^\+?[0.]*\z"), F.lit(True))
-    found = F.when(rest > 0, rest + len(rules)).when(not_positive, F.lit(len(_REASONS))).otherwise(F.lit(0))
+    positive = lambda otherwise: F.when(not_positive, F.lit(len(_REASONS))).otherwise(F.lit(otherwise))
+    found = F.when(usual, positive(0)).when(rest > 0, rest + len(rules)).otherwise(positive(unusual))
     for number, broken in reversed(list(enumerate(rules, 1))):
         found = F.when(F.coalesce(broken, F.lit(True)), F.lit(number)).otherwise(found)
     return found
@@ -63,25 +67,52 @@ def errors(rows: DataFrame) -> DataFrame:
 
 def _as_read(step: str, kind: str, initiator: str, recipient: str, label: str, money: list[str]) -> Column:
     """What a row is known by, in text rows and typed ones alike: its number, parties, money as it is spelt, and the values of step and label."""
-    given = {"n": F.col("source_row_number").cast("long"), "s": F.col(step).try_cast("int"), "t": F.col(kind), "i": F.col(initiator), "r": F.col(recipient), "f": F.col(label).try_cast("int")} | {f"m{i}": F.col(c) for i, c in enumerate(money)}
-    return F.struct(*[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in given.items()])
+    given = {"t": F.col(kind), "i": F.col(initiator), "r": F.col(recipient)} | {f"m{i}": F.col(c) for i, c in enumerate(money)}
+    numbers = {"n": F.col("source_row_number").cast("long"), "s": F.col(step).try_cast("int"), "f": F.col(label).try_cast("int")}
+    return F.struct(*[F.coalesce(c, F.lit(-1)).alias(n) for n, c in numbers.items()], *[F.coalesce(c, F.lit("")).alias(n) for n, c in given.items()])
+
+
+def _measures(sums: Callable[[Column], list[Column]] | None) -> list[Column]:
+    """Aggregates over rows that have __code and __as_read. The first bad row is a number and not a struct, for which all rows would be sorted."""
+    bad = F.min(F.when(F.col("__code") > 0, F.col("source_row_number") * (len(_REASONS) + 1) + F.col("__code")))
+    return [bad.alias("bad"), F.count_if(F.col("__code") < 0).alias("unusual"), *(sums(F.col("__as_read")) if sums else [])]
+
+
+def _with_code(rows: DataFrame) -> DataFrame:
+    return rows.select("*", broken_rule(-1).alias("__code"), _as_read("step", "transactionType", "initiator", "recipient", "isFraud", MONEY_COLUMNS).alias("__as_read"))
 
 
-def checked(rows: DataFrame, sums: Callable[[Column], list[Column]] | None = None) -> tuple[T.DecimalType, tuple]:
-    """Raise for the rejected row with the smallest number; else the decimal that holds all money exactly, with two fraction digits at least, so that nothing is ever rounded, and sums of the rows as they were read. One pass: a row goes to the driver. Raises where 38 digits do not do."""
-    # a generator, so that the rule is computed once a row
-    seen = rows.select("source_row_number", F.explode(F.array(broken_rule())).alias("code"), F.array(*MONEY_COLUMNS).alias("m"), _as_read("step", "transactionType", "initiator", "recipient", "isFraud", MONEY_COLUMNS).alias("as_read"))
+def _money(rows: DataFrame, found: dict) -> T.DecimalType:
+    """The type of money by the measures found of rows; raises for the first row that breaks a rule."""
+    if found["bad"] is not None:
+        number, code = divmod(found["bad"], len(_REASONS) + 1)
+        column, reason = _REASONS[code - 1]
+        raise CanonicalValidationError(f"CSV row {number}, {column}: {reason}")
+    if not found["unusual"]:
+        return MONEY
     widest = lambda digits: F.max(F.array_max(F.transform("m", digits)))
-    found = seen.agg(F.min(F.when(F.col("code") > 0, F.struct("source_row_number", "code"))).alias("e"), widest(integer_digits).alias("whole"), widest(fraction_digits).alias("part"), *(sums(F.col("as_read")) if sums else [])).first()
-    if bad := found["e"]:
-        column, reason = _REASONS[bad["code"] - 1]
-        raise CanonicalValidationError(f"CSV row {bad['source_row_number']}, {column}: {reason}")
-    whole, part = found["whole"], found["part"]
+    whole, part = rows.select(F.array(*MONEY_COLUMNS).alias("m")).agg(widest(integer_digits), widest(fraction_digits)).first()
     scale = max(MONEY.scale, part or 0)
     precision = max(MONEY.precision, (whole or 1) + scale)
     if precision > 38:
         raise CanonicalValidationError(f"money of {whole} integer and {part} fraction digits needs more than the 38 digits of a decimal")
-    return T.DecimalType(precision, scale), tuple(found)[3:]
+    return T.DecimalType(precision, scale)
+
+
+def checked(rows: DataFrame) -> T.DecimalType:
+    """Raise for the rejected row with the smallest number; else the decimal that holds all money exactly, with two fraction digits at least, so that nothing is ever rounded. One pass, and one more for the digits where MONEY may not do: a row goes to the driver. Raises where 38 digits do not do."""
+    return _money(rows, _with_code(rows).agg(*_measures(None)).first().asDict())
+
+
+def write_checked(rows: DataFrame, artifact_sha256: str, path: str, sums: Callable[[Column], list[Column]]) -> tuple:
+    """Write canonical() rows of text rows and check these in the same pass, as checked() does; sums of the rows as they were read. Where it raises, what was written is of no use; where MONEY does not do, rows are written again."""
+    seen = Observation()
+    canonical(_with_code(rows).observe(seen, *_measures(sums)), artifact_sha256).write.parquet(path)
+    found = seen.get
+    money = _money(rows, found)
+    if money != MONEY:
+        canonical(rows, artifact_sha256, money).write.mode("overwrite").parquet(path)
+    return tuple(v for k, v in found.items() if k not in ("bad", "unusual"))
 
 
 def require_as_read(written: DataFrame, artifact_sha256: str, sums: Callable[[Column], list[Column]], expected: tuple) -> None:
@@ -110,13 +141,39 @@ def canonical(rows: DataFrame, artifact_sha256: str, money_as: T.DecimalType = M
 
 def reconciliation(rows: DataFrame) -> DataFrame:
     """One row: counts by label and type, step extremes, row-number contiguity."""
-    kinds = [F.count_if(F.col("transaction_type") == t).alias(f"n_{t.lower()}") for t in TRANSACTION_TYPES]
-    n, low, high = F.count("*"), F.min("source_row_number"), F.max("source_row_number")
-    return rows.agg(
-        n.alias("n_rows"), F.count_if(F.col("is_fraud") == 1).alias("n_fraud"), F.count_if(F.col("is_fraud") == 0).alias("n_legitimate"), *kinds,
-        F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.count_distinct("step").alias("n_steps"),
-        ((high - low + 1 == n) & (F.count_distinct("source_row_number") == n)).alias("contiguous"),
+    return counted(tallied(rows), rows)
+
+
+def tallied(rows: DataFrame) -> DataFrame:
+    """Number of rows (n), smallest and largest row number (low, high) by step, type and label."""
+    return rows.groupBy("step", "transaction_type", "is_fraud").agg(F.count("*").alias("n"), F.min("source_row_number").alias("low"), F.max("source_row_number").alias("high"))
+
+
+def counted(tallies: DataFrame, rows: DataFrame) -> DataFrame:
+    """The reconciliation of rows from their tallies."""
+    held = lambda column, value: F.coalesce(F.sum(F.when(F.col(column) == value, F.col("n"))), F.lit(0))
+    kinds = [held("transaction_type", t).alias(f"n_{t.lower()}") for t in TRANSACTION_TYPES]
+    sums = tallies.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), held("is_fraud", 1).alias("n_fraud"), held("is_fraud", 0).alias("n_legitimate"), *kinds,
+        F.min("step").alias("first_step"), F.max("step").alias("last_step"), F.count_distinct("step").alias("n_steps"), F.min("low").alias("low"), F.max("high").alias("high"),
     )
+    # distinct numbers as bits of words of 64: rows in order leave their task as a word, not as 64 numbers
+    number = F.col("source_row_number").cast("long")
+    words = rows.groupBy(F.shiftright(number, 6).alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), number.bitwiseAND(F.lit(63)).cast("int"))).alias("bits"))
+    distinct = words.agg(F.coalesce(F.sum(F.bit_count("bits")), F.lit(0)).alias("distinct"))
+    contiguous = (F.col("high") - F.col("low") + 1 == F.col("n_rows")) & (F.col("distinct") == F.col("n_rows"))
+    return sums.crossJoin(distinct).withColumn("contiguous", contiguous).drop("low", "high", "distinct")
+
+
+def steps_fall(tallies: DataFrame) -> bool:
+    """Whether a row's step is below that of the row before, of rows with distinct consecutive numbers, by their tallies.
+
+    If not, each step has a run of numbers for itself, and the run after it belongs to a higher step.
+    """
+    runs = tallies.groupBy("step").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+    after = runs.select(F.col("step").alias("next_step"), F.col("low").alias("next_low"))
+    met = runs.join(after, F.col("high") + 1 == F.col("next_low"), "left")
+    return not met.where((F.col("high") - F.col("low") + 1 != F.col("n")) | (F.col("next_step") < F.col("step"))).isEmpty()
 
 
 def regressions(rows: DataFrame) -> DataFrame:
@@ -128,9 +185,23 @@ def regressions(rows: DataFrame) -> DataFrame:
     return rows.select("source_row_number", "step").join(before, "source_row_number").where("step < previous_step")
 
 
-def reconciled(rows: DataFrame, counts: dict | None = None) -> dict:
-    """What a contract holds rows to: counts by label, type and evaluation partition, and step extremes, as numbers by name. counts: their reconciliation, if it is known."""
-    r = counts or reconciliation(rows).first().asDict()
-    parts = {p["evaluation_partition"]: p["n_rows"] for p in partition_counts(rows).collect()}  # three rows at most
-    types = {t: r[f"n_{t.lower()}"] for t in TRANSACTION_TYPES if r[f"n_{t.lower()}"]}
-    return {"row_count": r["n_rows"], "legitimate_count": r["n_legitimate"], "fraud_count": r["n_fraud"], "transaction_type_counts": types, "step_min": r["first_step"], "step_max": r["last_step"], "partitions": parts}
+def contract_sums(n: Column) -> list[Column]:
+    """What a contract holds rows to, as aggregates over rows (n is 1) or their tallies (n is their number): as_contract() takes their values."""
+    held = lambda ok, name: F.coalesce(F.sum(F.when(ok, n)), F.lit(0)).alias(name)
+    part = F.when(F.col("transaction_type") == MODELLED_TYPE, evaluation_partition(F.col("step")))
+    return [
+        held(F.lit(True), "rows"), held(F.col("is_fraud") == 0, "label 0"), held(F.col("is_fraud") == 1, "label 1"), F.min("step").alias("low"), F.max("step").alias("high"),
+        *[held(F.col("transaction_type") == t, t) for t in TRANSACTION_TYPES], *[held(part == name, name) for name, _, _ in PARTITIONS],
+    ]
+
+
+def as_contract(sums: dict) -> dict:
+    """Values of contract_sums() as a contract names them: counts by label, type and evaluation partition (of TRANSFER rows), and step extremes."""
+    some = lambda names: {k: sums[k] for k in names if sums[k]}
+    parts = some(sorted(name for name, _, _ in PARTITIONS))
+    return {"row_count": sums["rows"], "legitimate_count": sums["label 0"], "fraud_count": sums["label 1"], "transaction_type_counts": some(TRANSACTION_TYPES), "step_min": sums["low"], "step_max": sums["high"], "partitions": parts}
+
+
+def reconciled(rows: DataFrame, n: str | None = None) -> dict:
+    """What a contract holds rows to, as numbers by name; of tallies, n is the column with their numbers of rows."""
+    return as_contract(rows.agg(*contract_sums(F.col(n) if n else F.lit(1))).first().asDict())

@@ -8,7 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..durable import exists, filesystem, materialize, rename, shared_dir, with_row_number
@@ -21,7 +21,7 @@ from ..operators.digest import ordered_digest, row_text
 from ..operators.quantiles import quantiles
 from ..schema import CANONICAL_SCHEMA, CORE_FEATURES, EVENT_COLUMNS, MONEY_COLUMNS, SOURCE_COLUMNS
 from ..sources import artifact, csv_source
-from ..sources.adapter import SQL_TXN, TOTAL_ORDER, numbered, table, transactions
+from ..sources.adapter import SQL_TXN, TOTAL_ORDER, joined, numbered, table, transactions, typed
 from ..streaming import history, ledger
 from . import pipelines, store
 
@@ -487,12 +487,13 @@ def canonical_csv_round_trip(spark, sf_dir):
     return _doubles(made, "amount", *audit.BALANCES).select("source_row_number", "step", "transaction_type", "initiator_id", "recipient_id", "is_fraud", "amount", *audit.BALANCES)
 
 
-def _source_files(spark, sf_dir, dressed: Column | None = None) -> str:
-    """Source files of the transactions in order, sorted once, with dressed (by pick) as initiators, or some with commas, quotes and spaces."""
+def _source_files(spark, sf_dir, dressed: Column | None = None, seen: Observation | None = None) -> str:
+    """Source files of the transactions in order, sorted once, with dressed (by pick) as initiators, or some with commas, quotes and spaces. seen takes what a contract holds the transactions to, before they are spelt."""
     if dressed is None:
         dressed = F.concat("initiator_id", F.when(F.col("pick") == 0, ', "x"').when(F.col("pick") == 1, " ").otherwise(""))
     path = f"{shared_dir(spark)}/source-{uuid.uuid4().hex}/files"
-    artifact.write_csv(transactions(spark, sf_dir, True).drop("score"), path, TOTAL_ORDER, lambda rows: _spelt(rows, dressed))
+    watched = lambda rows: rows.observe(seen, *validation.contract_sums(F.lit(1))) if seen else rows
+    artifact.write_csv(joined(spark, sf_dir, True), path, TOTAL_ORDER, lambda rows: _spelt(watched(typed(rows, True)), dressed))
     return path
 
 
@@ -513,9 +514,9 @@ def multiline_csv_round_trip(spark, sf_dir):
 @query("canonical_pipeline", "SELECT transaction_type, evaluation_partition, count(*) AS n_rows, CAST(sum(amount) AS DOUBLE) AS total, CAST(min(source_row_number) AS BIGINT) AS first_row FROM (SELECT *, 1 + row_number() OVER (ORDER BY step, txn_key) AS source_row_number, CASE WHEN step <= 95 THEN 'train' WHEN step <= 119 THEN 'validation' ELSE 'test' END AS evaluation_partition FROM txn) GROUP BY ALL")
 def canonical_pipeline(spark, sf_dir):
     """Source files verified, typed, written, read back, held against a contract and published; what was published, by type and partition."""
-    source = _source_files(spark, sf_dir)
-    rows = transactions(spark, sf_dir)
-    expected = validation.reconciled(rows.withColumn("source_row_number", F.monotonically_increasing_id()))
+    seen = Observation()
+    source = _source_files(spark, sf_dir, seen=seen)
+    expected = validation.as_contract(seen.get)
     target = f"{shared_dir(spark)}/published-{uuid.uuid4().hex}/run"
     pipelines.canonical_pipeline(spark, source, target, contract=artifact.ArtifactContract(**expected))
     held = spark.read.parquet(f"{target}/canonical")

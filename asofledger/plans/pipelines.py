@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import exists, materialize
+from ..durable import discard, exists, materialize
 from ..functions.identity import code_identity
 from ..functions.patterns import evaluation_partition
 from ..operators import features, integrity, metrics, modelling, validation
@@ -19,7 +19,7 @@ from ..sources import artifact, csv_source
 def read_canonical(spark: SparkSession, path: str, artifact_sha256: str) -> DataFrame:
     """Strictly read, validated and typed rows; raises for the first row that breaks a rule, before anything is derived."""
     rows = csv_source.read_strict(spark, path)
-    return validation.canonical(rows, artifact_sha256, validation.checked(rows)[0])
+    return validation.canonical(rows, artifact_sha256, validation.checked(rows))
 
 
 def canonical_pipeline(spark: SparkSession, source: str, target: str, digest: str | None = None, contract: artifact.ArtifactContract | None = None) -> dict:
@@ -30,17 +30,18 @@ def canonical_pipeline(spark: SparkSession, source: str, target: str, digest: st
     def produce(staging: str) -> dict:
         with artifact.verified_source(spark, source, contract=contract) as found:
             text = csv_source.read_strict(spark, source)
-            money, sums = validation.checked(text, artifact.row_sums)
-            validation.canonical(text, found.digest, money).write.parquet(f"{staging}/canonical")
+            sums = validation.write_checked(text, found.digest, f"{staging}/canonical", artifact.row_sums)
             written = spark.read.parquet(f"{staging}/canonical")
             validation.require_as_read(written, found.digest, artifact.row_sums, sums)
-            if not validation.regressions(written).isEmpty():
-                raise integrity.IntegrityError("a step is below the step before it")
             integrity.require(written, "canonical")
-            counts = validation.reconciliation(written).first().asDict()
+            tallies = materialize(validation.tallied(written), "tallies")
+            counts = validation.counted(tallies, written).first().asDict()
             if not counts["contiguous"] and counts["n_rows"]:
                 raise integrity.IntegrityError("row numbers are not contiguous")
-            observed = validation.reconciled(written, counts)
+            if validation.steps_fall(tallies):
+                raise integrity.IntegrityError("a step is below the step before it")
+            observed = validation.reconciled(tallies, "n")
+            discard(tallies)
             contract.require(**observed)
         return {"source": artifact.as_facts(found), "counts": counts, "observed": observed, "code": code_identity()}
 

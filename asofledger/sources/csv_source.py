@@ -74,10 +74,14 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("p"))
 
 
-def _blocks(spark: SparkSession, path: str) -> DataFrame:
-    """A row per block of a path's files, by one pass: f and b (file and place), n (lines), first (its first line's id), head (that line), odd (lines with an odd number of quotes), before (lines of the blocks before) and
+def _blocks(spark: SparkSession, path: str, header: str = "") -> DataFrame:
+    """A row per block of a path's files, by one pass: f and b (file and place), n (lines), first (its first line's id), headed (whether that line is header), odd (lines with an odd number of quotes), before (lines of the blocks before) and
     file_number (1 for the first file)."""
-    counted = _lines(spark, path).groupBy("f", "b").agg(F.count("*").alias("n"), F.min("p").alias("first"), F.min_by("value", "p").alias("head"), F.count_if(F.regexp_count("value", F.lit('"')) % 2 == 1).alias("odd"))
+    value = F.col("value")
+    quotes = F.length(value) - F.length(F.replace(value, F.lit('"'), F.lit("")))
+    # numbers only: a line as a buffer would have all lines sorted by block
+    counted = _lines(spark, path).groupBy("f", "b").agg(F.count("*").alias("n"), F.min("p").alias("first"), F.min(F.when(value == header, F.col("p"))).alias("at"), F.count_if(value.contains('"') & (quotes % 2 == 1)).alias("odd"))
+    counted = counted.withColumn("headed", F.coalesce(F.col("at") == F.col("first"), F.lit(False))).drop("at")
     order = Window.orderBy("f", "b")
     return materialize(counted, "blocks").withColumns({"before": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "file_number": F.sum((F.col("b") == 0).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, 0))})
 
@@ -191,11 +195,14 @@ def _starts_with_mark(spark: SparkSession, path: str) -> bool:
 
 def read_lines_strict(spark: SparkSession, lines: DataFrame, columns: list[str] = SOURCE_COLUMNS) -> DataFrame:
     """Text columns, source_row_number and malformed of lines (value, line_number) that hold one record each."""
-    record = rf"^{FIELD}(?:,{FIELD}){{{len(columns) - 1}}}+\z"
-    good = F.col("value").rlike(record) & F.is_valid_utf8("value")
-    found = F.regexp_extract_all(F.concat(F.lit(","), "value"), F.lit(rf",({FIELD})"), F.lit(1))
-    fields = F.transform(found, lambda x: F.when(x.startswith('"'), F.regexp_replace(F.substring(x, F.lit(2), F.length(x) - 2), '""', '"')).otherwise(x))
-    made = lines.select(F.col("line_number").alias("source_row_number"), (~good).alias("malformed"), F.when(good, fields).alias("x"))
+    record, value = rf"^{FIELD}(?:,{FIELD}){{{len(columns) - 1}}}+\z", F.col("value")
+    found = F.regexp_extract_all(F.concat(F.lit(","), value), F.lit(rf",({FIELD})"), F.lit(1))
+    quoted = F.when(value.rlike(record), F.transform(found, lambda x: F.when(x.startswith('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('""'), F.lit('"'))).otherwise(x)))
+    # without quotes the grammar asks only for the number of fields, and no pattern is needed
+    plain = F.when(~(value.contains("\r") | value.contains("\n")), F.split(value, ",", -1))
+    cut = lines.select(F.col("line_number").alias("source_row_number"), F.is_valid_utf8(value).alias("valid"), F.when(value.contains('"'), quoted).otherwise(plain).alias("x"))
+    good = F.coalesce(F.col("valid") & (F.size("x") == len(columns)), F.lit(False))
+    made = cut.select("source_row_number", (~good).alias("malformed"), F.when(good, F.col("x")).alias("x"))
     return made.select("source_row_number", "malformed", *[F.col("x")[i].alias(c) for i, c in enumerate(columns)])
 
 
@@ -204,11 +211,11 @@ def read_strict(spark: SparkSession, path: str, columns: list[str] = SOURCE_COLU
     line, header = _first_line(spark, path), ",".join(columns)
     if line is None or line != header or _starts_with_mark(spark, path):
         raise CsvSchemaError(f"{path}: row 1: the header must be exactly {header}")
-    blocks = _blocks(spark, path)
+    blocks = _blocks(spark, path, header)
     spans = blocks.agg(F.sum("odd")).first()[0]
     lines = numbered_records(spark, path, blocks) if spans else numbered_lines(spark, path, blocks)
-    heads = lines.where("head").select("value") if spans else blocks.where("b = 0").select(F.col("head").alias("value"))
-    files, wrong = heads.agg(F.count("*"), F.count_if(F.col("value") != header)).first()
+    heads = lines.where("head").select((F.col("value") == header).alias("headed")) if spans else blocks.where("b = 0").select("headed")
+    files, wrong = heads.agg(F.count("*"), F.count_if(~F.col("headed"))).first()
     if wrong:
         raise CsvSchemaError(f"{path}: {wrong} of {files} files have another header than {header}")
     rows = lines.where("not head")
