@@ -157,8 +157,8 @@ _SQL_DIGEST = " ".join(f", l{i + 1} AS (SELECT k >> 10 AS k, sha256(string_agg(h
 @query("ordered_digest", ", o AS (SELECT *, 1 + row_number() OVER (ORDER BY step, txn_key) AS source_row_number, CAST(amount * 100 AS BIGINT) AS cents FROM txn), l0 AS (SELECT source_row_number AS k, sha256(concat_ws(chr(31), " + ", ".join(f"'=' || {c}" for c in ("source_row_number", "txn_key", "step", "transaction_type", "cents", "initiator_id", "recipient_id")) + f")) AS h FROM o){_SQL_DIGEST} SELECT h AS sha256 FROM l4")
 def ordered_rows_digest(spark, sf_dir):
     """The digest of the transactions in source order."""
-    rows = numbered(transactions(spark, sf_dir)).withColumn("cents", (F.col("amount") * 100).cast("long"))
-    return ordered_digest(rows, "source_row_number", row_text("source_row_number", "txn_key", "step", "transaction_type", "cents", "initiator_id", "recipient_id"))
+    rows = transactions(spark, sf_dir).select(*TOTAL_ORDER, "transaction_type", (F.col("amount") * 100).cast("long").alias("cents"), "initiator_id", "recipient_id")
+    return ordered_digest(numbered(rows), "source_row_number", row_text("source_row_number", "txn_key", "step", "transaction_type", "cents", "initiator_id", "recipient_id"))
 
 
 @query("exact_sums_beyond_38_digits", """, w AS (SELECT transaction_type, CAST(CAST(amount * 100 AS BIGINT) || lpad(initiator_id, 12, '0') || lpad(recipient_id, 12, '0') AS HUGEINT) AS whole, CAST(amount * 100 AS HUGEINT) * 1000003 + 1 AS part FROM txn),

@@ -1,11 +1,13 @@
 """Work that must not grow faster than the tables: plans and parts of the canonical pipeline, the lineage check and the ordered digest, with results by brute force."""
 
+import hashlib
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from asofledger.operators import validation
+from asofledger.operators import digest, validation
 from asofledger.schema import SOURCE_COLUMNS
 from asofledger.sources import artifact, csv_source
 
@@ -56,3 +58,23 @@ def test_sums_of_rows_are_longs_that_differ(spark):
     assert all(t in ("bigint", "int") for _, t in rows.agg(*artifact.row_sums(F.col("r"))).dtypes)
     other = spark.range(100).select(F.struct((F.col("id") % 99).alias("id")).alias("r"))
     assert rows.agg(*artifact.row_sums(F.col("r"))).first() != other.agg(*artifact.row_sums(F.col("r"))).first()
+
+
+def test_nodes_of_rows_in_order_are_made_before_the_shuffle():
+    ks = list(range(2, 5000))
+    hashes = {k: hashlib.sha256(str(k).encode()).digest() for k in ks}
+
+    def batches(order, size):
+        for i in range(0, len(order), size):
+            part = order[i : i + size]
+            yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([hashes[k] for k in part], pa.binary())], names=["k", "h"])
+
+    shuffled = random.Random(1).sample(ks, len(ks))
+    for order, size, whole in [(ks, 700, 3), (ks, 5000, 3), (ks, 1, 3), (ks[3000:] + ks[:3000], 512, 2), (shuffled, 900, 0)]:
+        rows = [tuple(r.values()) for b in digest._nodes_within(batches(order, size)) for r in b.to_pylist()]
+        nodes = {k: h for k, w, h in rows if w}
+        assert len(nodes) == whole
+        for k, h in nodes.items():
+            assert h == hashlib.sha256("".join(hashes[i].hex() for i in range(k << 10, (k + 1) << 10)).encode()).digest()
+        rest = {k: h for k, w, h in rows if not w}
+        assert sorted(rest) == [k for k in ks if k >> 10 not in nodes] and all(hashes[k] == h for k, h in rest.items())
