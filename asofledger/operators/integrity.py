@@ -65,12 +65,18 @@ def require_types(df: DataFrame, expected: dict[str, str]) -> None:
 
 
 def incomplete_lineage(lineage: DataFrame, canonical: DataFrame, children: list[DataFrame], key: str = "transaction_id") -> DataFrame:
-    """Keys with a part missing or without a whole: of every TRANSFER row of canonical there must be one row in lineage and in each child, and no other. Columns: key, problem."""
-    keys = lambda df: df.select(key)
-    due = keys(canonical.where(F.col("transaction_type") == MODELLED_TYPE))
-    made = [(keys(lineage), "lineage"), *[(keys(c), f"child {i}") for i, c in enumerate(children, 1)]]
-    parts = [due.join(x, key, "left_anti").select(key, F.lit(f"no {name}").alias("problem")) for x, name in made] + [x.join(due, key, "left_anti").select(key, F.lit(f"stray {name}").alias("problem")) for x, name in made]
-    return reduce(DataFrame.unionByName, parts)
+    """Keys with a part missing or without a whole: of every TRANSFER row of canonical there must be one row in lineage and in each child, and no other. Columns: key, problem, n_rows (how many rows of the key have it).
+
+    Keys of all relations meet in one grouping, so each relation is shuffled once. A null key meets none.
+    """
+    relations = [canonical.where(F.col("transaction_type") == MODELLED_TYPE), lineage, *children]
+    held = reduce(DataFrame.unionByName, [df.select(key, F.lit(i).alias("__of")) for i, df in enumerate(relations)])
+    counts = held.groupBy(key).agg(*[F.count_if(F.col("__of") == i).alias(f"__n{i}") for i in range(len(relations))])
+    n = lambda i: F.col(f"__n{i}")
+    alone = lambda i, other: F.when((n(other) == 0) | F.col(key).isNull(), n(i)).otherwise(0)
+    names = list(enumerate(["lineage", *[f"child {i}" for i in range(1, len(children) + 1)]], 1))
+    problems = [(f"no {name}", alone(0, i)) for i, name in names] + [(f"stray {name}", alone(i, 0)) for i, name in names]
+    return counts.select(key, F.inline(F.array(*[F.struct(F.lit(p).alias("problem"), m.alias("n_rows")) for p, m in problems]))).where("n_rows > 0")
 
 
 def core_predictors(features: DataFrame, key: str) -> DataFrame:

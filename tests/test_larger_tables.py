@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from asofledger.operators import digest, validation
+from asofledger.operators import digest, integrity, validation
 from asofledger.schema import SOURCE_COLUMNS
 from asofledger.sources import artifact, csv_source
 
@@ -60,6 +61,23 @@ def test_sums_of_rows_are_longs_that_differ(spark):
     assert rows.agg(*artifact.row_sums(F.col("r"))).first() != other.agg(*artifact.row_sums(F.col("r"))).first()
 
 
+def test_incomplete_lineage_shuffles_each_relation_once(spark):
+    random.seed(5)
+    some = lambda: [(random.choice(["a", "b", "c", "d", "e", None]),) for _ in range(7)]
+    due, *parts = [some() for _ in range(4)]
+    frame = lambda rows: spark.createDataFrame(rows, "transaction_id string")
+    canonical = frame(due).withColumn("transaction_type", F.lit("TRANSFER")).unionByName(frame([("z",)]).withColumn("transaction_type", F.lit("DEBIT")))
+    made = integrity.incomplete_lineage(frame(parts[0]), canonical, [frame(p) for p in parts[1:]])
+    assert "Join" not in _plan(made)
+    expected = Counter()
+    for name, part in zip(["lineage", "child 1", "child 2"], parts):
+        for (k,) in due:
+            expected[k, f"no {name}"] += k is None or (k,) not in part
+        for (k,) in part:
+            expected[k, f"stray {name}"] += k is None or (k,) not in due
+    assert {(r[0], r["problem"]): r["n_rows"] for r in made.collect()} == dict(+expected)
+
+
 def test_nodes_of_rows_in_order_are_made_before_the_shuffle():
     ks = list(range(2, 5000))
     hashes = {k: hashlib.sha256(str(k).encode()).digest() for k in ks}
