@@ -99,9 +99,14 @@ def _money(rows: DataFrame, found: dict) -> T.DecimalType:
     return T.DecimalType(precision, scale)
 
 
-def checked(rows: DataFrame) -> T.DecimalType:
-    """Raise for the rejected row with the smallest number; else the decimal that holds all money exactly, with two fraction digits at least, so that nothing is ever rounded. One pass, and one more for the digits where MONEY may not do: a row goes to the driver. Raises where 38 digits do not do."""
-    return _money(rows, _with_code(rows).agg(*_measures(None)).first().asDict())
+def _sums(found: dict) -> tuple:
+    return tuple(v for k, v in found.items() if k not in ("bad", "unusual"))
+
+
+def checked(rows: DataFrame, sums: Callable[[Column], list[Column]] | None = None) -> tuple[T.DecimalType, tuple]:
+    """Raise for the rejected row with the smallest number; else the decimal that holds all money exactly, with two fraction digits at least, so that nothing is ever rounded, and sums of the rows as they were read. One pass, and one more for the digits where MONEY may not do: a row goes to the driver. Raises where 38 digits do not do."""
+    found = _with_code(rows).agg(*_measures(sums)).first().asDict()
+    return _money(rows, found), _sums(found)
 
 
 def write_checked(rows: DataFrame, artifact_sha256: str, path: str, sums: Callable[[Column], list[Column]]) -> tuple:
@@ -112,7 +117,7 @@ def write_checked(rows: DataFrame, artifact_sha256: str, path: str, sums: Callab
     money = _money(rows, found)
     if money != MONEY:
         canonical(rows, artifact_sha256, money).write.mode("overwrite").parquet(path)
-    return tuple(v for k, v in found.items() if k not in ("bad", "unusual"))
+    return _sums(found)
 
 
 def require_as_read(written: DataFrame, artifact_sha256: str, sums: Callable[[Column], list[Column]], expected: tuple) -> None:
