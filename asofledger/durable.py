@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -53,15 +53,23 @@ def rename(spark: SparkSession, source: str, target: str) -> None:
         raise FileExistsError(f"{source} could not become {target}")
 
 
-def with_row_number(df: DataFrame, order: list[str], name: str = "source_row_number", first: int = 2) -> DataFrame:
+def in_order(df: DataFrame, order: list[str], late: dict[str, Column] | None = None) -> DataFrame:
+    """df in ranges of order, sorted within them. late: columns of order that are made of df's own once its rows are shuffled, as they are wider."""
+    late = late or {}
+    return df.repartitionByRange(*[late.get(c, F.col(c)) for c in order]).withColumns(late).sortWithinPartitions(*order)
+
+
+def with_row_number(df: DataFrame, order: list[str], name: str = "source_row_number", first: int = 2, late: dict[str, Column] | None = None) -> DataFrame:
     """df with consecutive numbers in a total order, without bringing all rows to one task.
 
     Rows are range-partitioned and sorted, written once with their partition and place in it, and numbered by the partitions' counts before them (one row per
-    partition). Ties beyond order are numbered in any order.
+    partition). Ties beyond order are numbered in any order. Columns of late, as in in_order(), are neither shuffled nor written; discard() deletes what was written.
     """
     place = F.monotonically_increasing_id()
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.shiftright(place, 33).alias("__part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
+    ranged = in_order(df, order, late).select(*df.columns, F.shiftright(place, 33).alias("__part"), place.bitwiseAND(F.lit((1 << 33) - 1)).alias("__place"))
     held = materialize(ranged, "ordered")
     before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
     ahead = held.groupBy("__part").agg(F.count("*").alias("__n")).select("__part", F.coalesce(before, F.lit(0)).alias("__before"))
-    return held.join(F.broadcast(ahead), "__part").withColumn(name, (F.col("__before") + F.col("__place") + F.lit(first)).cast("long")).drop("__part", "__place", "__before")
+    made = held.join(F.broadcast(ahead), "__part").withColumn(name, (F.col("__before") + F.col("__place") + F.lit(first)).cast("long")).drop("__part", "__place", "__before")
+    made.written_at = held.written_at
+    return made

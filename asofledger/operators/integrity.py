@@ -64,18 +64,29 @@ def require_types(df: DataFrame, expected: dict[str, str]) -> None:
         raise IntegrityError("; ".join(wrong))
 
 
-def incomplete_lineage(lineage: DataFrame, canonical: DataFrame, children: list[DataFrame], key: str = "transaction_id") -> DataFrame:
+def incomplete_lineage(lineage: DataFrame, canonical: DataFrame, children: list[DataFrame], key: str = "transaction_id", stored: bool = False) -> DataFrame:
     """Keys with a part missing or without a whole: of every TRANSFER row of canonical there must be one row in lineage and in each child, and no other. Columns: key, problem, n_rows (how many rows of the key have it).
 
-    Keys of all relations meet in one grouping, so each relation is shuffled once. A null key meets none.
+    Keys of all relations meet in one grouping, so each relation is shuffled once. Where all are stored in as many buckets by key, each part meets the canonical rows bucket by bucket instead, and nothing is shuffled. A null key meets none.
     """
     relations = [canonical.where(F.col("transaction_type") == MODELLED_TYPE), lineage, *children]
+    if stored:
+        counted = lambda i: relations[i].groupBy(key).agg(F.count("*").alias(f"__n{i}"))
+        return reduce(DataFrame.unionByName, [_problems(counted(0).join(counted(i), key, "full_outer").na.fill(0, ["__n0", f"__n{i}"]), key, {i: name}) for i, name in _parts(children)])
     held = reduce(DataFrame.unionByName, [df.select(key, F.lit(i).alias("__of")) for i, df in enumerate(relations)])
     counts = held.groupBy(key).agg(*[F.count_if(F.col("__of") == i).alias(f"__n{i}") for i in range(len(relations))])
+    return _problems(counts, key, dict(_parts(children)))
+
+
+def _parts(children: list[DataFrame]) -> list[tuple[int, str]]:
+    return list(enumerate(["lineage", *[f"child {i}" for i in range(1, len(children) + 1)]], 1))
+
+
+def _problems(counts: DataFrame, key: str, names: dict[int, str]) -> DataFrame:
+    """What is missing or stray by key, of counts of the whole's rows (__n0) and of named parts' (__n1 and on)."""
     n = lambda i: F.col(f"__n{i}")
     alone = lambda i, other: F.when((n(other) == 0) | F.col(key).isNull(), n(i)).otherwise(0)
-    names = list(enumerate(["lineage", *[f"child {i}" for i in range(1, len(children) + 1)]], 1))
-    problems = [(f"no {name}", alone(0, i)) for i, name in names] + [(f"stray {name}", alone(i, 0)) for i, name in names]
+    problems = [(f"no {name}", alone(0, i)) for i, name in names.items()] + [(f"stray {name}", alone(i, 0)) for i, name in names.items()]
     return counts.select(key, F.inline(F.array(*[F.struct(F.lit(p).alias("problem"), m.alias("n_rows")) for p, m in problems]))).where("n_rows > 0")
 
 

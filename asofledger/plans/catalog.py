@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import exists, filesystem, materialize, rename, shared_dir, with_row_number
+from ..durable import discard, exists, filesystem, materialize, rename, shared_dir, with_row_number
 from ..functions import decimals
 from ..functions.identity import transaction_id, uuid5
 from ..functions.patterns import evaluation_partition, inferred_kind
@@ -19,9 +19,9 @@ from ..functions.wide import exact_sums
 from ..operators import audit, contract, features, integrity, metrics, modelling, validation
 from ..operators.digest import ordered_digest, row_text
 from ..operators.quantiles import quantiles
-from ..schema import CANONICAL_SCHEMA, CORE_FEATURES, EVENT_COLUMNS, MONEY_COLUMNS, SOURCE_COLUMNS
+from ..schema import CANONICAL_SCHEMA, CORE_FEATURES, EVENT_COLUMNS, MODELLED_TYPE, MONEY_COLUMNS, SOURCE_COLUMNS
 from ..sources import artifact, csv_source
-from ..sources.adapter import SQL_TXN, TOTAL_ORDER, joined, numbered, table, transactions, typed
+from ..sources.adapter import KEY_PARTS, SQL_TXN, TOTAL_ORDER, joined, numbered, numbered_rows, table, transactions, txn_key, typed
 from ..streaming import history, ledger
 from . import pipelines, store
 
@@ -441,19 +441,39 @@ def inferred_kinds(spark, sf_dir):
     return transactions(spark, sf_dir).select(kind.alias("kind")).groupBy("kind").agg(F.count("*").alias("n_rows"))
 
 
+def _stored(held: DataFrame) -> DataFrame:
+    """The canonical rows to store, of numbered_rows()."""
+    return typed(held, True, "source_row_number").drop("score").withColumnRenamed("txn_key", "transaction_id")
+
+
+def _load(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """What a load is made of, each written once: the transactions as numbered_rows(), and what _keyed() makes their features of, hashed by transaction_id into the store's buckets. Rows are narrow until they are there: parties are the tables' own whole numbers, keys are KEY_PARTS."""
+    held = numbered_rows(spark, sf_dir, True)
+    rows = typed(held, False, "o_custkey", *KEY_PARTS).withColumns({"initiator_id": F.col("o_custkey"), "recipient_id": F.col("l_suppkey")})
+    made = features.history_features(rows, [c for c in KEY_PARTS if c != "l_suppkey"], held=True).withColumnRenamed("recipient_id", "l_suppkey")
+    made = made.select(*KEY_PARTS, "step", *[c for c in CORE_FEATURES if c != "initiator_prior_outgoing_amount_mean"])
+    return held, materialize(made.repartition(store.buckets(held), txn_key()), "features")
+
+
+def _keyed(made: DataFrame) -> DataFrame:
+    """The features to store, of _load()'s."""
+    return features.with_mean(made.withColumns({"transaction_id": txn_key(), "transaction_type": F.lit(MODELLED_TYPE)}), False).drop(*KEY_PARTS)
+
+
 @query("catalog_views", """, t AS (SELECT * FROM txn WHERE transaction_type = 'TRANSFER') SELECT count(*) AS n_core, count(*) AS n_enhanced, count(*) AS n_target, CAST(sum(is_fraud) AS BIGINT) AS n_fraud, CAST(sum(initiator_balance_before) AS DOUBLE) AS balances, 'verified_existing' AS reload FROM t""")
 def catalog_views(spark, sf_dir):
     """The relations stored as catalog tables, loaded a second time, and read through their views; the database is dropped again."""
-    rows = numbered(transactions(spark, sf_dir, True).drop("score")).withColumnRenamed("txn_key", "transaction_id")
-    made = features.history_features(rows, ["transaction_id", "initiator_balance_before", "recipient_balance_before"])
-    made = materialize(made, "features")
+    held, made = _load(spark, sf_dir)
     name = f"ledger_{uuid.uuid4().hex[:12]}"
-    store.store(spark, name, rows, made)
-    again = store.store(spark, name, rows, made)
+    parts = _stored(held), _keyed(made)
+    store.store(spark, name, *parts, dealt=lambda n: _stored(held.repartition(n, txn_key())))
+    again = store.store(spark, name, *parts)
     core, enhanced, target = (spark.table(f"{name}.{v}") for v in ("core_predictors", "enhanced_predictors", "transaction_target"))
     sums = enhanced.agg(F.count("*").alias("n_enhanced"), F.sum("initiator_balance_before").cast("double").alias("balances")).join(core.agg(F.count("*").alias("n_core"))).join(target.agg(F.count("*").alias("n_target"), F.sum("is_fraud").cast("long").alias("n_fraud")))
     out = materialize(sums.withColumn("reload", F.lit(again)), "views")
     spark.sql(f"DROP DATABASE {name} CASCADE")
+    discard(held)
+    discard(made)
     return out
 
 
@@ -493,7 +513,7 @@ def _source_files(spark, sf_dir, dressed: Column | None = None, seen: Observatio
         dressed = F.concat("initiator_id", F.when(F.col("pick") == 0, ', "x"').when(F.col("pick") == 1, " ").otherwise(""))
     path = f"{shared_dir(spark)}/source-{uuid.uuid4().hex}/files"
     watched = lambda rows: rows.observe(seen, *validation.contract_sums(F.lit(1))) if seen else rows
-    artifact.write_csv(joined(spark, sf_dir, True), path, TOTAL_ORDER, lambda rows: _spelt(watched(typed(rows, True)), dressed))
+    artifact.write_csv(joined(spark, sf_dir, True), path, TOTAL_ORDER, lambda rows: _spelt(watched(typed(rows, True)), dressed), {"txn_key": txn_key()})
     return path
 
 

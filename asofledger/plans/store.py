@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.identity import code_identity
 from ..functions.patterns import evaluation_partition
 from ..operators import integrity
-from ..schema import CORE_FEATURES
+from ..schema import CORE_FEATURES, MODELLED_TYPE
 
 VERSION = 2
 #: Canonical rows of a bucket (some 200 MB). All tables of a load have as many buckets by transaction_id, a file each, and are joined without a shuffle.
@@ -48,17 +49,25 @@ def _sums(df: DataFrame) -> tuple[int, int]:
 
 
 def relations(canonical: DataFrame, features: DataFrame) -> dict[str, DataFrame]:
-    """The stored tables of canonical rows and features (with transaction_id, step and balances)."""
+    """The stored tables of canonical rows and features (with transaction_id and step). Balances are the features', or the canonical rows' where features have none."""
+    dressed = features if "initiator_balance_before" in features.columns else canonical.where(F.col("transaction_type") == MODELLED_TYPE)
     made = features.withColumn("evaluation_partition", evaluation_partition(F.col("step")))
     return {
         "canonical_transaction": canonical, "feature_lineage": made.select("transaction_id", "step", "transaction_type", "evaluation_partition"), "core_feature": made.select("transaction_id", *CORE_FEATURES),
-        "enhanced_feature": made.select("transaction_id", "initiator_balance_before", "recipient_balance_before"),
+        "enhanced_feature": dressed.select("transaction_id", "initiator_balance_before", "recipient_balance_before"),
     }
 
 
-def store(spark: SparkSession, database: str, canonical: DataFrame, features: DataFrame) -> str:
+def buckets(canonical: DataFrame) -> int:
+    """In how many buckets a load of canonical rows is stored."""
+    return max(1, -(-canonical.count() // BUCKET_ROWS))
+
+
+def store(spark: SparkSession, database: str, canonical: DataFrame, features: DataFrame, dealt: Callable[[int], DataFrame] | None = None) -> str:
     """Write canonical rows and features as tables once, check their keys and that each TRANSFER row has all its parts, read them back, and create the views: loaded.
 
+    dealt spares shuffles of wide rows: it gives the canonical rows hashed by transaction_id to a number of partitions, and says that features were written in buckets() files, one for each hash. Balances of stored canonical rows are not shuffled again.
+
     A repeated load writes nothing: it verifies that the same rows would result from the same code (verified_existing) and raises otherwise.
     """
     apply_schema(spark, database)
@@ -71,9 +80,15 @@ def store(spark: SparkSession, database: str, canonical: DataFrame, features: Da
         if changed := [name for name, (n, x, _) in held.items() if _sums(read(name)) != (n, x)]:
             raise integrity.IntegrityError(f"stored rows of {changed} are not those that were loaded")
         return "verified_existing"
-    expected, buckets = {}, max(1, -(-canonical.count() // BUCKET_ROWS))
+    expected, n_buckets = {}, buckets(canonical)
     for name, df in wanted.items():
-        writer = df.repartition(buckets, "transaction_id").write.mode("overwrite").option("compression", "zstd").bucketBy(buckets, "transaction_id").sortBy("transaction_id")
+        if name == "canonical_transaction":
+            put = dealt(n_buckets).select(*df.columns) if dealt else df.repartition(n_buckets, "transaction_id")
+        elif name == "enhanced_feature" and "initiator_balance_before" not in features.columns:
+            put = relations(read("canonical_transaction"), features)[name]  # lies in its buckets
+        else:
+            put = df if dealt else df.repartition(n_buckets, "transaction_id")
+        writer = put.write.mode("overwrite").option("compression", "zstd").bucketBy(n_buckets, "transaction_id").sortBy("transaction_id")
         (writer.partitionBy("evaluation_partition") if name == "feature_lineage" else writer).saveAsTable(f"{database}.{name}")
         expected[name] = _sums(df)
         if _sums(read(name).select(*df.columns)) != expected[name]:
@@ -81,7 +96,7 @@ def store(spark: SparkSession, database: str, canonical: DataFrame, features: Da
     for child, parent in (("feature_lineage", "canonical_transaction"), ("core_feature", "feature_lineage"), ("enhanced_feature", "core_feature")):
         if not integrity.orphans(read(child), read(parent), ["transaction_id"]).isEmpty() or not integrity.repeated_keys(read(child), ["transaction_id"]).isEmpty():
             raise integrity.IntegrityError(f"{database}.{child} has orphans or repeated keys")
-    if not integrity.incomplete_lineage(read("feature_lineage"), read("canonical_transaction"), [read("core_feature"), read("enhanced_feature")]).isEmpty():
+    if not integrity.incomplete_lineage(read("feature_lineage"), read("canonical_transaction"), [read("core_feature"), read("enhanced_feature")], stored=True).isEmpty():
         raise integrity.IntegrityError(f"{database} has TRANSFER rows without all their features")
     for name, text in VIEWS.items():
         spark.sql(f"CREATE OR REPLACE VIEW {database}.{name} AS {text.format(db=database)}")

@@ -15,7 +15,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..durable import exists, filesystem, rename
+from ..durable import exists, filesystem, in_order, rename
 from ..operators.integrity import IntegrityError, difference
 from ..schema import MONEY_COLUMNS, SOURCE_COLUMNS
 
@@ -182,10 +182,10 @@ def source_rows(rows: DataFrame) -> DataFrame:
     return rows.select(*[F.col(f"{c}_literal" if c in MONEY_COLUMNS else names[c]).cast("string").alias(c) for c in SOURCE_COLUMNS])
 
 
-def write_csv(rows: DataFrame, path: str, order: str | list[str] = "source_row_number", spell: Callable[[DataFrame], DataFrame] | None = None) -> None:
-    """Source columns as CSV, range-partitioned in source order, minimal quoting; the folder must not exist. spell makes wide columns of the rows once they are in order, so that these are not shuffled."""
+def write_csv(rows: DataFrame, path: str, order: str | list[str] = "source_row_number", spell: Callable[[DataFrame], DataFrame] | None = None, late: dict[str, Column] | None = None) -> None:
+    """Source columns as CSV, range-partitioned in source order, minimal quoting; the folder must not exist. spell makes wide columns of the rows once they are in order, so that these are not shuffled; late makes columns of order, as in in_order()."""
     order = [order] if isinstance(order, str) else order
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ordered = in_order(rows, order, late)
     if spell is not None:
         ordered = spell(ordered)
     source_rows(ordered).write.csv(path, header=True, escape='"', mode="errorifexists", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
