@@ -480,10 +480,12 @@ def catalog_views(spark, sf_dir):
 @query("read_back_join", ", t AS (SELECT step, amount, is_fraud FROM txn WHERE transaction_type = 'TRANSFER') SELECT CASE WHEN step <= 95 THEN 'train' WHEN step <= 119 THEN 'validation' ELSE 'test' END AS evaluation_partition, count(*) AS n_rows, CAST(sum(is_fraud) AS BIGINT) AS n_fraud, CAST(sum(amount) AS DOUBLE) AS total, 0::BIGINT AS n_different FROM t GROUP BY 1")
 def read_back_join(spark, sf_dir):
     """Stored features, lineage and canonical rows joined bucket by bucket, by partition: rows, frauds, amounts, and rows whose amounts or steps differ."""
-    rows = numbered(transactions(spark, sf_dir, True).drop("score")).withColumnRenamed("txn_key", "transaction_id")
-    made = features.history_features(rows, ["transaction_id", "initiator_balance_before", "recipient_balance_before"])
+    held, made = _load(spark, sf_dir)
     name = f"ledger_{uuid.uuid4().hex[:12]}"
-    store.store(spark, name, rows, materialize(made, "features"))
+    parts = _stored(held), _keyed(made)
+    store.store(spark, name, *parts, dealt=lambda n: _stored(held.repartition(n, txn_key())))
+    discard(held)
+    discard(made)
     different = (F.col("amount") != F.col("canonical_amount")) | (F.col("step") != F.col("canonical_step"))
     sums = store.read_back(spark, name).groupBy("evaluation_partition").agg(F.count("*").alias("n_rows"), F.sum("is_fraud").cast("long").alias("n_fraud"), F.sum("canonical_amount").cast("double").alias("total"), F.count_if(different).alias("n_different"))
     out = materialize(sums, "readback")

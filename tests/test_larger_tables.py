@@ -107,7 +107,7 @@ def _stages(spark):
     return {x.stageId(): x.shuffleWriteBytes() + x.diskBytesSpilled() + x.outputBytes() for x in (found.apply(i) for i in range(found.size()))}
 
 
-@pytest.mark.parametrize("name, most", [("catalog_views", 260)])
+@pytest.mark.parametrize("name, most", [("catalog_views", 260), ("read_back_join", 260)])
 def test_a_load_moves_few_bytes_a_row(spark, sf, name, most):
     last = max(_stages(spark), default=-1)
     catalog.QUERIES[name](spark, sf).collect()
